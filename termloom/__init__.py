@@ -1 +1,8 @@
 """Text and terminology analytics expressed as Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that workers need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
