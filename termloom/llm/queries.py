@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, secrets, warc
 from .common import table
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, index = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return warc.read_index(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 QUERIES = {
+    "op4_warc": op4_warc,
+    "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
