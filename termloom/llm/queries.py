@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, secrets, warc
+from . import decontamination, language, packing, secrets, warc
 from .common import table
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, index = warc.archive_and_index(table(spark, sf_dir, "pages"))
     return warc.read_index(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = language.remainder(F.col("doc_id"), 4) == 2
+    model = language.fit(documents.where(~held_out))
+    return language.predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -23,7 +35,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op4_warc": op4_warc,
+    "op7_language": op7_language,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
