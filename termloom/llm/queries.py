@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, packing, secrets, warc
+from . import decontamination, embeddings, jaccard, language, packing, secrets, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = language.remainder(F.col("doc_id"), 4) == 2
@@ -25,6 +29,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -37,7 +45,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
+    "op6_jaccard": op6_jaccard,
     "op7_language": op7_language,
+    "op8_embeddings": op8_embeddings,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
 }
