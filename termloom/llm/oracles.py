@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import queries, sharding
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP10 = rf"""
@@ -64,7 +66,18 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u) c USING (doc_id)
 """
 
+# The table is a parameter of the query (a test fills it by brute force); placement is SQL's own.
+OP2 = f"""
+WITH t AS (
+  SELECT string_split('{",".join(map(str, sharding.lookup_table(queries.SHARDS)))}', ',') AS k
+), d AS (
+  SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents
+)
+SELECT doc_id, slot, 'shard-' || lpad(k[slot + 1], 2, '0') AS shard FROM d, t
+"""
+
 ORACLES = {
+    "op2_sharding": OP2,
     "op4_warc": OP4,
     "op6_jaccard": OP6,
     "op10_decontamination": OP10,

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, jaccard, language, packing, secrets, warc
+from . import decontamination, embeddings, jaccard, language, language_model, licenses, packing, secrets, sharding, warc
 from .common import table
 
 
+#: Shards of the sharding query.
+SHARDS = [f"shard-{k:02d}" for k in range(48)]
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -18,6 +30,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = language.remainder(F.col("doc_id"), 7) == 2
+    model, counts = language_model.train(documents.where(~held_out))
+    return language_model.scores(documents, model, counts).withColumn("held_out", held_out)
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -43,8 +62,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
+    "op5_language_model": op5_language_model,
     "op6_jaccard": op6_jaccard,
     "op7_language": op7_language,
     "op8_embeddings": op8_embeddings,
