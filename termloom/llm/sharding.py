@@ -64,5 +64,6 @@ def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> D
     table = ",".join(map(str, lookup_table(shards, slots)))
     names = F.split(F.lit("\n".join(shards)), "\n")
     lookup = rows.sparkSession.range(1).select(F.posexplode(F.split(F.lit(table), ",")).alias("_slot", "_k")).select(F.col("_slot").cast("long").alias("_slot"), F.get(names, F.col("_k").cast("int")).alias("_shard"))
-    kept = [c for c in rows.columns if c not in ("slot", "shard")]
-    return rows.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(lookup), F.col("slot") == F.col("_slot")).select(*kept, "slot", F.col("_shard").alias("shard"))
+    keyed = rows.withColumn("slot", slot_of(F.col(key), slots))
+    kept = [keyed[c] for c in rows.columns if c not in ("slot", "shard")]
+    return keyed.join(F.broadcast(lookup), keyed["slot"] == lookup["_slot"]).select(*kept, keyed["slot"], lookup["_shard"].alias("shard"))
