@@ -13,6 +13,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stored
 
 CAPACITY = 4096
-#: Distinct words whose tokens a worker remembers.
-CACHE_WORDS = 300_000
+#: Distinct words (about 200 bytes each) whose tokens a worker remembers.
+CACHE_WORDS = 1_000_000
 #: Source groups that the local search tries at most.
 STEPS = 3000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,29 +39,54 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level models write bytes: printable ones stand for themselves, the rest follow from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
 class WordCache(dict):
-    """Little-endian ids of a word without white space; no token of this tokenizer crosses white space."""
+    """Little-endian ids of pre-tokens, which this tokenizer encodes each by itself.
+
+    Texts of Latin letters (all code points below U+0250, which are in normal form C) are split here and each
+    new pre-token goes to the BPE model at once; others are split at white space and each new part goes
+    through the whole tokenizer.
+    """
+
+    #: The tokenizer's pre-tokens for such texts, in lower case.
+    SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
+    #: Beyond Latin letters; control characters on which the libraries' white space differs; perhaps special tokens.
+    OTHER = re.compile(r"[^\x00-\u024f]|[\x1c-\x1f]|<\|")
+    LETTERS = _byte_letters()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, key: str | tuple[str]) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = out = self.ids(word)
+        if isinstance(key, tuple):
+            out = self.whole(key[0])
+        else:
+            written = key.encode().decode("latin-1").translate(self.LETTERS)
+            out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
+        self[key] = out
         return out
 
     def text_ids(self, text: str) -> bytes:
+        if not self.OTHER.search(text):
+            return b"".join([self[w] for w in self.SPLIT.findall(text.lower())])
         # str.split() also cuts at four control characters that the tokenizer keeps
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.ids(text)
-        return b"".join([self[w] for w in text.split()])
+            return self.whole(text)
+        return b"".join([self[(w,)] for w in text.split()])
 
 
 def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = 1, with_ids: bool = False) -> DataFrame:

@@ -51,6 +51,10 @@ def test_words_and_whole_texts_agree(encode):
     cache = packing.WordCache(packing.default_tokenizer())
     rng = random.Random(5)
     alphabet = list("abcXYZ'sS019.,;!|\n\t \r\x0b\x0c\x85\xa0 　́éÉßΣσ漢<>|🙂\x1c​") + ["<|endoftext|>", " 's", "'LL "]
+    latin = [c for c in alphabet if max(c) < "\u0250" and "<|" not in c] + list("_²¼ªºİŁǅ`\x00\x7f\xad")
+    for _ in range(800):
+        text = "".join(rng.choices(latin, k=rng.randrange(60)))
+        assert np.frombuffer(cache.text_ids(text), "<u4").tolist() == encode(text, add_special_tokens=False).ids, repr(text)
     for _ in range(400):
         text = "".join(rng.choices(alphabet, k=rng.randrange(60)))
         assert np.frombuffer(cache.text_ids(text), "<u4").tolist() == encode(text, add_special_tokens=False).ids, repr(text)
