@@ -8,8 +8,9 @@ compressed blocks; ``read_directory`` keeps one entry per block; ``lookup`` bina
 and range-reads one or two blocks and the captures; ``read_index`` decodes all blocks.
 
 Archives and index are plain files, written and read by Spark or Hadoop's file system, so any store works.
-Payload texts cross one shuffle (the join with the first page of their payload), whose hot keys AQE splits;
-the groups themselves are aggregated before shuffling.
+Groups of equal payloads are aggregated before shuffling. While they number ``GROUP_ROWS`` at most they are
+broadcast and payload texts stay where they were read; beyond that texts cross one shuffle, whose hot keys
+AQE splits.
 
 Edge cases: null html is an empty payload; equal payloads under a null page_id revisit the least non-null
 one; pages with neither are responses; repeated rows of the least page_id are all responses; a null url is
@@ -31,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, shuffle_partitions
+from .common import cut, shared_folder, shuffle_partitions
 
 FILE_BYTES = 32 << 20
 BLOCK_LINES = 3000
+#: Groups of equal payloads (under 100 bytes each) that may be broadcast; beyond that payloads are shuffled.
+GROUP_ROWS = 200_000
 #: Entries of the directory (about 100 bytes each) that may be held at once.
 DIRECTORY_ROWS = 1_000_000
 END = "\r\n\r\n"
@@ -54,6 +57,8 @@ def with_first(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.octet_length(payload).cast("long").alias("bytes"), base32_sha1(payload).alias("digest"))
     groups = rows.where(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    groups = cut(groups)
+    groups = F.broadcast(groups) if groups.count() <= GROUP_ROWS else groups
     is_first = F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(groups, ["digest", "bytes"], "left").withColumn("first", F.when(~is_first, F.col("first")))
 
