@@ -14,10 +14,10 @@ further seeds until it is rich; two similar sets meet under the first seed under
 its rarest, at most d + 1 less its number of unique ones (the prefix filter: anything else it shares is not
 needed to meet a similar class), which also removes passages and lines that many documents share.
 
-*Verification.* Each kept signature's group is first tied to its least member, so large groups of near
-copies cost one comparison a member, and verified links are contracted. Then only pairs of a group that are
-still in different components, and whose sizes and 512-bit parity sketches allow it, are compared. Both
-steps compare exact shingle sets. Links within a component that contraction makes superfluous are not
+*Verification.* In a few rounds (``LEADERS``) each class of a signature's group is compared with one leader of
+the group, so large groups of near copies cost a comparison or a few for each member, and verified links are
+contracted. Then all pairs of a group that are still in different components are compared. Pairs must be
+allowed by their sizes and 512-bit parity sketches; all steps compare exact shingle sets. Links within a component that contraction makes superfluous are not
 listed: the result is components, not all pairs.
 
 Class ids and shingles are 64-bit hashes: among N sets, N^2 / 2^65 clashes are expected.
@@ -53,6 +53,8 @@ FREQUENT = 64
 BROADCAST_ROWS = 1_000_000
 SEEN = 1_000_000
 SKETCH = 512
+#: Orders of leaders in each round before all pairs that are left.
+LEADERS = (1, 4, 16)
 CACHE_WORDS = 300_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -105,7 +107,7 @@ def deals(h: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
         k = max(d + 2, int(d * SLACK) + 1)
         own = min(d, n * (100 - PERCENT) // PERCENT)
         for seed in range(1 << 30):
-            x = h if not seed else np.sort(mix(h + np.uint64(seed) * M2))
+            x = h if not seed else np.sort(mix(h + np.uint64(seed * int(M2) % (1 << 64))))
             # x is sorted and uniform: its upper bits deal it into buckets that are runs
             bucket = ((x >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             starts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1])
@@ -285,22 +287,42 @@ def class_components(documents: DataFrame, classes: DataFrame) -> DataFrame:
     wanted = rows.select("id").distinct().join(classes.select("id", "doc_id", "text_key"), "id")
     sets = stored(class_shingles(documents, cut(wanted)), "shingles")
     facts = sets.select("id", "n", "p")
+    labelled = rows.withColumn("part", F.col("id"))
+    for leaders in (*LEADERS, None):
+        open_ = still_open(labelled)
+        pairs = distinct_pairs(open_, facts) if leaders is None else star_pairs(open_, facts, leaders)
+        links = cut(verified(pairs, sets))
+        parts = links.join(labels(labelled, "u", "pu"), "u").join(labels(labelled, "v", "pv"), "v")
+        merged = cut(connected_components(parts.select(F.col("pu").alias("u"), F.col("pv").alias("v")))).withColumnRenamed("id", "part")
+        labelled = cut(labelled.join(merged, "part", "left").select("sig", "id", F.coalesce("component", "part").alias("part")))
+    return labelled.select("id", F.col("part").alias("component")).distinct()
 
-    group = rows.withColumn("u", F.min("id").over(Window.partitionBy("sig")))
-    stars = group.where("u <> id").select("u", F.col("id").alias("v")).distinct()
+
+def labels(labelled: DataFrame, name: str, part: str) -> DataFrame:
+    return labelled.select(F.col("id").alias(name), F.col("part").alias(part)).distinct()
+
+
+def still_open(labelled: DataFrame) -> DataFrame:
+    """Rows of the signatures whose classes are in several components."""
+    group = Window.partitionBy("sig")
+    return labelled.withColumn("lo", F.min("part").over(group)).withColumn("hi", F.max("part").over(group)).where("lo < hi").select("sig", "id", "part")
+
+
+def star_pairs(open_: DataFrame, facts: DataFrame, leaders: int) -> DataFrame:
+    """(u, v): each class with one leader of its signature's group, if they are apart; groups choose between so many orders of leaders."""
+    rank = F.xxhash64("id", F.shiftrightunsigned("sig", 8) % leaders)
+    group = Window.partitionBy("sig")
+    rows = open_.withColumn("top", F.min(F.struct(rank.alias("rank"), "id", "part")).over(group)).where("part <> top.part")
+    pairs = rows.select(F.least("id", "top.id").alias("u"), F.greatest("id", "top.id").alias("v")).distinct()
     a, b = facts.select(F.struct("n", "p").alias("x"), F.col("id").alias("u")), facts.select(F.struct("n", "p").alias("y"), F.col("id").alias("v"))
-    stars = stars.join(a, "u").join(b, "v").where(_allowed("x", "y")).select("u", "v")
-    links = cut(verified(stars, sets))
-    parts = cut(connected_components(links))
-
-    labelled = rows.join(parts, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("part"))
-    ends = Window.partitionBy("sig")
-    open_ = labelled.withColumn("lo", F.min("part").over(ends)).withColumn("hi", F.max("part").over(ends)).where("lo < hi").select("sig", "id", "part")
-    open_ = cut(open_.join(facts, "id"))
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, F.expr("x.sig = y.sig and x.part < y.part and " + _allowed("x", "y"))).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
-    more = cut(verified(rest, sets))
-    return connected_components(links.union(more))
+    return pairs.join(a, "u").join(b, "v").where(_allowed("x", "y")).select("u", "v")
+
+
+def distinct_pairs(open_: DataFrame, facts: DataFrame) -> DataFrame:
+    """(u, v): all pairs of a group that are still apart."""
+    rows = cut(open_.join(facts, "id"))
+    x, y = rows.alias("x"), rows.alias("y")
+    return x.join(y, F.expr("x.sig = y.sig and x.part < y.part and " + _allowed("x", "y"))).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
 
 
 def components(documents: DataFrame) -> DataFrame:
