@@ -1 +1,14 @@
+"""Registered queries of the engine's operators and their SQL."""
 
+from __future__ import annotations
+
+from . import glossary_queries, memory_queries, text_queries
+
+_MODULES = (text_queries, glossary_queries, memory_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+
+
+def flagship(spark, sf_dir):
+    """The reuse audit: per language units, reused units and distinct keys."""
+    return QUERIES["slice_reuse_audit"](spark, sf_dir)
