@@ -57,7 +57,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit records: operation, user, duration, details as a map."""
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", "user_id", F.col("event_type").alias("operation"), F.col("value").alias("duration"), F.from_json("props", "map<string,string>").alias("details"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("operation"), F.col("value").alias("duration"), F.from_json("props", "map<string,string>").alias("details"))
 
 
 def memory(spark: SparkSession, sf_dir: str) -> DataFrame:

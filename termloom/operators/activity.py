@@ -74,7 +74,7 @@ def breaker(log: DataFrame, key: str, failures: int, open_seconds: int) -> DataF
 
 def daily_quota(log: DataFrame, key: str, limit: int) -> DataFrame:
     """ST02, A23: per key and UTC day used, left, per cent left (halves up) and exhaustion."""
-    g = log.groupBy(key, F.to_date("ts").alias("day")).agg(F.count("*").alias("used"))
+    g = log.groupBy(key, F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("used"))
     left = F.greatest(F.lit(0), limit - F.col("used"))
     return g.withColumns({"left": left, "percent": F.floor(100 * left / limit + 0.5).cast("int"), "exhausted": F.col("used") >= limit})
 

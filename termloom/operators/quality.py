@@ -75,7 +75,7 @@ def instruction_issues(source: Column, target: Column) -> Column:
 def complexity(text: Column) -> Column:
     """Weighted count of technical entities, at most 100."""
     n = lambda pattern, weight: F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))) * weight
-    total = n(rf"{P.B}(\d+(?:\.\d+)?\s*(?:mm|cm|kg|%|°C)){P.E}", 10) + n(rf"{P.B}([A-Z]{{2,}}){P.E}", 5) + n(rf"{P.B}([A-Z]+-\d+){P.E}", 15) + n(r"(\d+)", 8)
+    total = n(rf"{P.B}(\d+(?:\.\d+)?\s*(?:mm|cm|kg|%|°C))", 10) + n(rf"{P.B}([A-Z]{{2,}}){P.E}", 5) + n(rf"{P.B}([A-Z]+-\d+){P.E}", 15) + n(r"(\d+)", 8)
     return F.least(F.lit(100), total)
 
 

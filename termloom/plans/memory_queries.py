@@ -80,12 +80,12 @@ MATCHES = f"matches AS (SELECT l_orderkey AS q, {ORIGINS!r}[l_suppkey % 5 + 1] A
 add("w11_margin_choice", lambda s, d: M.choose(matches(s, d)).select("q", "origin", F.round("confidence", 6).alias("confidence"), "conflict"),
     """SELECT q, arg_min(origin, (-rank, -confidence, target)) AS origin, round(arg_min(confidence, (-rank, -confidence, target)), 6) AS confidence, count(DISTINCT CASE WHEN rank >= best THEN target END) > 1 AS conflict
     FROM (SELECT *, max(rank) OVER (PARTITION BY q) AS best FROM (SELECT *, max(confidence) OVER (PARTITION BY q) AS top FROM matches) WHERE top - confidence < 0.06) GROUP BY q""", MATCHES)
-add("l03_match_order", lambda s, d: matches(s, d).withColumn("rank", M.rank_of(F.col("origin"), M.ORIGIN_RANK)).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("confidence"), F.desc("rank"), "target", "words"))).where("r <= 2").select("q", "r", "target", "rank"), "SELECT q, r, target, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY confidence DESC, rank DESC, target, words) AS r FROM matches) WHERE r <= 2", MATCHES)
+add("l03_match_order", lambda s, d: matches(s, d).withColumn("rank", M.rank_of(F.col("origin"), M.ORIGIN_RANK)).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("confidence"), F.desc("rank"), "target", "words"))).where("r <= 2").select("q", F.col("r").cast("long").alias("r"), "target", "rank"), "SELECT q, r, target, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY confidence DESC, rank DESC, target, words) AS r FROM matches) WHERE r <= 2", MATCHES)
 SENT = "known_s AS (SELECT DISTINCT " + B.exact("sentence") + " AS k FROM memory)"
 add("j19_sentence_memory", lambda s, d: M.sentences_known(catalog.units(s, d).select((F.col("doc_id") * 10_000 + F.col("line_no")).alias("unit_id"), "text"), catalog.memory(s, d)),
     f"""SELECT unit_id, count(*) AS sentences, count(k) AS found, count(k) = count(*) AS complete FROM (SELECT doc_id * 10000 + line_no AS unit_id, unnest(string_split(text, '. ')) AS x FROM units) LEFT JOIN known_s ON k = {B.exact('x')} WHERE trim(x) <> '' GROUP BY unit_id HAVING count(k) > 0""", B.UNITS, B.MEMORY, SENT)
 TOPQ = "q AS (SELECT doc_id AS q, text AS q_text FROM units WHERE line_no = 0)"
-add("j20_style_examples", lambda s, d: M.style_examples(catalog.units(s, d).where("line_no = 0").select(F.col("doc_id").alias("q"), F.col("text").alias("q_text")), pair_sample(s, d)).select("q", "e", F.round("overlap", 6).alias("overlap"), "r"),
+add("j20_style_examples", lambda s, d: M.style_examples(catalog.units(s, d).where("line_no = 0").select(F.col("doc_id").alias("q"), F.col("text").alias("q_text")), pair_sample(s, d)).select("q", "e", F.round("overlap", 6).alias("overlap"), F.col("r").cast("long").alias("r")),
     f"""SELECT q, e, round(o, 6) AS overlap, r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY o DESC, e) AS r FROM (SELECT q, e, len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) AS o
       FROM (SELECT q, list_distinct({B.tokens('q_text')}) AS a FROM q), (SELECT e, list_distinct({B.tokens('e_text')}) AS b FROM entries) WHERE len(a) > 0 AND len(b) > 0) WHERE o >= 0.3) WHERE r <= 2""", B.UNITS, B.MEMORY, ENTRIES, TOPQ)
 add("fil04_segment_search", lambda s, d: M.search_segments(catalog.pairs(s, d), "Than", 25).select("conv_id", "turn"), "SELECT conv_id, turn FROM pairs WHERE contains(lower(source), 'than') OR contains(lower(target), 'than') ORDER BY conv_id, turn LIMIT 25", B.PAIRS)
@@ -103,7 +103,7 @@ add("j06_step_pairs", lambda s, d: A.step_pairs(stepped(s, d), ["doc_id"]), "SEL
 add("j07_adjacent_pairs", lambda s, d: A.adjacent_pairs(sided(s, d)),
     """SELECT doc_id, line_no AS first, mate AS second FROM (SELECT *, row_number() OVER w AS "at", lead(line_no) OVER w AS mate FROM (SELECT *, sum(CASE WHEN p <> side THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run
       FROM (SELECT *, lag(side) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM sided)) WINDOW w AS (PARTITION BY doc_id, run ORDER BY line_no)) WHERE "at" % 2 = 1 AND mate IS NOT NULL""", B.UNITS, SIDED)
-add("j08_block_pairs", lambda s, d: A.block_pairs(sided(s, d)),
+add("j08_block_pairs", lambda s, d: A.block_pairs(sided(s, d)).withColumn("at", F.col("at").cast("long")),
     """SELECT doc_id, a."at" AS "at", a.line_no AS a_line, b.line_no AS b_line FROM (SELECT * FROM r WHERE side = 'a') a JOIN (SELECT * FROM r WHERE side = 'b') b USING (doc_id, "at")
     WHERE doc_id IN (SELECT doc_id FROM r GROUP BY doc_id HAVING sum(change) = 1 AND count(*) FILTER (side = 'a') = count(*) FILTER (side = 'b'))""",
     B.UNITS, SIDED, "r AS (SELECT *, CASE WHEN lag(side) OVER (PARTITION BY doc_id ORDER BY line_no) <> side THEN 1 ELSE 0 END AS change, row_number() OVER (PARTITION BY doc_id, side ORDER BY line_no) AS \"at\" FROM sided)")
@@ -129,5 +129,5 @@ QUERIES["j01_term_matches"] = lambda s, d: A.matched_terms(catalog.units(s, d).s
 add("j01_candidates", lambda s, d: catalog.units(s, d).crossJoin(F.broadcast(s.createDataFrame([(g["term"],) for g in GLOSSARY], "term string"))).where(F.lower("text").contains(F.col("term"))).groupBy("term").agg(F.count("*").alias("units")), "SELECT term, count(*) AS units FROM units, (VALUES " + ", ".join(f"('{g['term']}')" for g in GLOSSARY) + ") v(term) WHERE contains(lower(text), term) GROUP BY term", B.UNITS)
 add("j21_relevant_terms", lambda s, d: F.broadcast(s.createDataFrame([(g["term"],) for g in GLOSSARY], "term string")).join(catalog.units(s, d).where("line_no = 0"), F.lower("text").contains(F.col("term")), "left_semi"), "SELECT term FROM (VALUES " + ", ".join(f"('{g['term']}')" for g in GLOSSARY) + ") v(term) WHERE EXISTS (SELECT 1 FROM units WHERE line_no = 0 AND contains(lower(text), term))", B.UNITS)
 add("j13_expected_outputs", lambda s, d: catalog.memory(s, d).select("item_id", "sentence_no", T.exact_key(F.col("sentence")).alias("k")).join(queries_of(s, d).select(T.exact_key(F.col("q_text")).alias("k"), F.lit(True).alias("hit")).distinct(), "k", "left").select("item_id", "sentence_no", F.coalesce("hit", F.lit(False)).alias("found")), f"SELECT item_id, sentence_no, {B.exact('sentence')} IN (SELECT {B.exact('q_text')} FROM questions) AS found FROM memory", B.UNITS, B.MEMORY, QUESTIONS)
-add("u04_merged_pairs", lambda s, d: M.history(("explicit", catalog.pairs(s, d).where("conv_id % 3 = 0"))).select("source", "target").unionByName(catalog.pairs(s, d).where("conv_id % 3 <> 0").join(catalog.pairs(s, d).where("conv_id % 3 = 0").select("source").distinct(), "source", "left_anti").select("source", "target").distinct()).groupBy(F.length("source").alias("len")).agg(F.count("*").alias("n")), "SELECT length(source) AS len, count(*) AS n FROM (SELECT DISTINCT source, target FROM pairs WHERE conv_id % 3 = 0 UNION ALL SELECT DISTINCT source, target FROM pairs WHERE conv_id % 3 <> 0 AND source NOT IN (SELECT source FROM pairs WHERE conv_id % 3 = 0)) GROUP BY 1", B.PAIRS)
+add("u04_merged_pairs", lambda s, d: M.history(("explicit", catalog.pairs(s, d).where("conv_id % 3 = 0"))).select("source", "target").unionByName(catalog.pairs(s, d).where("conv_id % 3 <> 0").join(catalog.pairs(s, d).where("conv_id % 3 = 0").select("source").distinct(), "source", "left_anti").select("source", "target").distinct()).groupBy(F.length("source").cast("long").alias("len")).agg(F.count("*").alias("n")), "SELECT length(source) AS len, count(*) AS n FROM (SELECT DISTINCT source, target FROM pairs WHERE conv_id % 3 = 0 UNION ALL SELECT DISTINCT source, target FROM pairs WHERE conv_id % 3 <> 0 AND source NOT IN (SELECT source FROM pairs WHERE conv_id % 3 = 0)) GROUP BY 1", B.PAIRS)
 add("prj03_routing", lambda s, d: M.plan(bulleted(s, d), known(s, d)).select("doc_id", "line_no", F.when(P.is_label(F.col("text")), "label").when(P.is_code(F.col("text")), "code").when(F.col("how") != "pending", F.col("how")).when(~F.col("text").rlike(r"\p{L}"), "passthrough").otherwise("enqueue").alias("route")).groupBy("route").agg(F.count("*").alias("n")))
