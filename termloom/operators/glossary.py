@@ -173,9 +173,9 @@ def delete(terms: DataFrame, ids: DataFrame) -> DataFrame:
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """SNK02, DML03: op and changed columns of each row that differs between two snapshots."""
     columns = [c for c in before.columns if c != key]
-    joined = before.alias("a").join(after.alias("b"), key, "full_outer")
+    joined = before.withColumn("_in", F.lit(True)).alias("a").join(after.withColumn("_in", F.lit(True)).alias("b"), key, "full_outer")
     a, b = F.struct(*(F.col(f"a.{c}") for c in columns)), F.struct(*(F.col(f"b.{c}") for c in columns))
-    there = {s: F.col(f"{s}.{columns[0]}").isNotNull() for s in "ab"}
+    there = {s: F.coalesce(F.col(f"{s}._in"), F.lit(False)) for s in "ab"}
     diff = F.filter(F.array(*(F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), c) for c in columns)), lambda c: c.isNotNull())
     op = F.when(~there["a"], "insert").when(~there["b"], "delete").when(~a.eqNullSafe(b), "update")
     return joined.select(key, op.alias("op"), F.when(op == "update", F.array_join(diff, ",")).alias("changed")).where("op is not null")

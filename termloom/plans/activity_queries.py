@@ -43,7 +43,7 @@ add("snk13_debug_ring", lambda s, d: V.newest(log(s, d), 100, [F.desc("ts"), F.d
 add("st07_latest_wins", lambda s, d: V.latest(log(s, d).select("user_id", "id", "ts", "operation"), "user_id", ["ts", "id"]).select("user_id", "id", "operation"), "SELECT user_id, id, operation FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS r FROM log) WHERE r = 1", B.LOG)
 add("w05_zones", lambda s, d: V.zones(log(s, d), "user_id", "operation"), "SELECT user_id, zone, operation, count(*) AS n, min(id) AS first_id FROM (SELECT *, CAST(sum(CASE WHEN p = operation THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, id) AS BIGINT) AS zone FROM (SELECT *, lag(operation) OVER (PARTITION BY user_id ORDER BY ts, id) AS p FROM log)) GROUP BY 1, 2, 3", B.LOG)
 add("w07_seen_so_far", lambda s, d: V.seen_so_far(log(s, d), "user_id", F.col("operation") == "purchase").select("id", "seen", "after_last"), "SELECT id, coalesce(max(f) OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS seen, r > coalesce(max(CASE WHEN f = 1 THEN r END) OVER (PARTITION BY user_id), 0) AS after_last FROM (SELECT *, CASE WHEN operation = 'purchase' THEN 1 ELSE 0 END AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS r FROM log)", B.LOG)
-add("w04_neighbour_tests", lambda s, d: log(s, d).withColumn("gap", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "id")))).select("id", "gap"), "SELECT id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id)) AS gap FROM log", B.LOG)
+add("w04_neighbour_tests", lambda s, d: log(s, d).withColumn("gap", F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "id"))), F.lit(-1))).select("id", "gap"), "SELECT id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, id)), -1) AS gap FROM log", B.LOG)
 add("a15_error_metrics", lambda s, d: log(s, d).groupBy("operation").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 2).alias("duration")), "SELECT operation, count(*) AS n, round(sum(duration), 2) AS duration FROM log GROUP BY operation", B.LOG)
 add("fil30_pruned_details", lambda s, d: log(s, d).select("id", F.size(F.map_filter("details", lambda k, v: ~k.isin("password", "k"))).alias("kept"), F.element_at("details", "k").alias("k")), "SELECT id, CAST(0 AS INTEGER) AS kept, json_extract_string(props, '$.k') AS k FROM log", B.LOG)
 add("src14_log_scan", lambda s, d: log(s, d).orderBy(F.desc("ts"), F.desc("id")).limit(1000).select("id", "user_id", F.element_at("details", "k").cast("int").alias("k")), "SELECT id, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM log ORDER BY ts DESC, id DESC LIMIT 1000", B.LOG)
