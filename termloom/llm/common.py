@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +55,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def text_key(text: Column) -> Column:
     """A key that, with doc_id, tells rows of one id apart by their text."""
     return F.xxhash64(text)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Rows of batches, about size bytes of text at a time, one row at least: what a worker makes of them stays as small."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0)
+        ends, start = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+    pa.default_memory_pool().release_unused()
