@@ -77,7 +77,10 @@ def positional_index(documents: DataFrame, terms: DataFrame, width: int = WINDOW
     w = documents.select("doc_id", text_key(F.col("text")).alias("text_key"), words(F.col("text")).alias("w"))
     tokens = w.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "term"))
     first = F.greatest(F.col("pos") - (width - 1), F.lit(0))
-    return tokens.join(_bounded(terms), "term").select("term", "doc_id", "text_key", "pos", first.alias("ctx_from"), F.slice("w", first + 1, F.col("pos") - first + width).alias("ctx"))
+    columns = ["term", "doc_id", "text_key", "pos", first.alias("ctx_from"), F.slice("w", first + 1, F.col("pos") - first + width).alias("ctx")]
+    if terms.count() <= BROADCAST_ROWS:  # words are cut out of matching rows only, without copying the text's array
+        return tokens.join(F.broadcast(terms), "term").select(*columns)
+    return tokens.select(*columns).join(terms, "term")
 
 
 def phrase_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
