@@ -23,6 +23,11 @@ BULLET = r"^\s*(?:[*•#]|[-–—]\s+|\d{1,3}[.)]\s*)"
 SPACE = r"[\s ]+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often the body's branches use it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Trimmed, with single spaces."""
     return F.trim(F.regexp_replace(text, SPACE, " "))

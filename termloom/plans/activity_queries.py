@@ -86,7 +86,7 @@ add(
     B.PAIRS, DECK,
 )
 INSTRUCTIONS = [("Kiểm tra khe hở 5 mm", "Check with gauge"), ("2. Ép 3 kg", "2. Press."), ("không vượt quá 3 mm", "3 mm"), ("tối đa 2 cm", "at most 2 cm"), ("plain", "plain")]
-add("a22_instruction_quality", lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(INSTRUCTIONS)], "i long, a string, b string").join(s.range(1), how="cross").select("i", F.array_join(Q.instruction_issues(F.col("a"), F.col("b")), ",").alias("issues")), "SELECT * FROM (VALUES (0, 'check_if_required,missing_measurement'), (1, 'incomplete_instruction,missing_measurement'), (2, 'missing_restriction'), (3, ''), (4, '')) v(i, issues)")
+add("a22_instruction_quality", lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(INSTRUCTIONS)], "i long, a string, b string").join(s.range(1), how="cross").select("i", F.array_join(Q.instruction_issues(F.col("a"), F.col("b")), ",").alias("issues")), "SELECT CAST(i AS BIGINT) AS i, issues FROM (VALUES (0, 'check_if_required,missing_measurement'), (1, 'incomplete_instruction,missing_measurement'), (2, 'missing_restriction'), (3, ''), (4, '')) v(i, issues)")
 add("a19_complexity", lambda s, d: units(s, d).select("doc_id", "line_no", Q.complexity(F.col("text")).alias("complexity")).where("complexity > 0"), r"SELECT doc_id, line_no, CAST(c AS INTEGER) AS complexity FROM (SELECT *, least(100, len(list_distinct(regexp_extract_all(text, '\b\d+(?:\.\d+)?\s*(?:mm|cm|kg|%|°C)'))) * 10 + len(list_distinct(regexp_extract_all(text, '\b[A-Z]{2,}\b'))) * 5 + len(list_distinct(regexp_extract_all(text, '\b[A-Z]+-\d+\b'))) * 15 + len(list_distinct(regexp_extract_all(text, '\d+'))) * 8) AS c FROM units WHERE NOT regexp_matches(text, '[^\x00-\x7F]')) WHERE c > 0", B.UNITS)
 _a19 = QUERIES["a19_complexity"]
 QUERIES["a19_complexity"] = lambda s, d: _a19(s, d).join(units(s, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
@@ -136,7 +136,7 @@ add("l04_top_candidates", lambda s, d: R.grams(units(s, d), 2, 5).orderBy(F.desc
 add("src06_labelled_pairs", lambda s, d: R.labelled_pairs(units(s, d)), r"SELECT doc_id, line_no, trim(regexp_extract(text, '^([^:]{2,60}):\s*(.+)$', 1)) AS source, trim(regexp_extract(text, '^([^:]{2,60}):\s*(.+)$', 2)) AS target FROM units WHERE trim(regexp_extract(text, '^([^:]{2,60}):\s*(.+)$', 1)) <> '' AND trim(regexp_extract(text, '^([^:]{2,60}):\s*(.+)$', 2)) <> ''", B.UNITS)
 add("src05_text_runs", lambda s, d: catalog.runs(s, d), "SELECT page_id, run_no, tag, text FROM runs", B.RUNS)
 DIFFS = [("Check the gap now", "Check the bond gap now"), ("a b c", "a x c"), ("same", "same"), ("one", "two three"), ("x y", "x y z")]
-add("f19_word_diff", lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(DIFFS)], "i long, a string, b string").select("i", R.word_diff(F.col("a"), F.col("b")).alias("w")).select("i", "w.old", "w.new"), "SELECT * FROM (VALUES (0, '', 'bond'), (1, 'b', 'x'), (2, '', ''), (3, 'one', 'two three'), (4, '', 'z')) v(i, old, new)")
+add("f19_word_diff", lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(DIFFS)], "i long, a string, b string").select("i", R.word_diff(F.col("a"), F.col("b")).alias("w")).select("i", "w.old", "w.new"), "SELECT CAST(i AS BIGINT) AS i, old, new FROM (VALUES (0, '', 'bond'), (1, 'b', 'x'), (2, '', ''), (3, 'one', 'two three'), (4, '', 'z')) v(i, old, new)")
 WORDS = {"the": "le", "and": "et", "of": "de", "in": "dans"}
 add("m02_offline_translator", lambda s, d: units(s, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "line_no", F.md5(R.translated(F.col("text"), {"of the": "du"}, WORDS)).alias("text")), "SELECT doc_id, line_no, md5(upper(substr(t, 1, 1)) || substr(t, 2)) AS text FROM (SELECT doc_id, line_no, array_to_string(list_transform(string_split(replace(lower(text), 'of the', 'du'), ' '), lambda w: CASE w WHEN 'the' THEN 'le' WHEN 'and' THEN 'et' WHEN 'of' THEN 'de' WHEN 'in' THEN 'dans' ELSE w END), ' ') AS t FROM units WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))", B.UNITS)
 add("dml11_dedupe_infer_join", lambda s, d: units(s, d).withColumn("key", T.exact_key(F.col("text"))).join(units(s, d).select(T.exact_key(F.col("text")).alias("key")).distinct().withColumn("answer", F.md5("key")), "key").select("doc_id", "line_no", "answer"), f"SELECT doc_id, line_no, md5({B.exact('text')}) AS answer FROM units", B.UNITS)
