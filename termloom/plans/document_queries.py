@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import catalog
 from ..functions import language as L
 from ..functions import predicates as P
+from ..functions import terms as X
 from ..functions import text as T
 from ..operators import activity as V
 from ..operators import align as A
@@ -95,3 +96,32 @@ add("p03_deck_audit", lambda s, d: R.classified(catalog.units(s, d), MQ.known(s,
 add("p04_apply_suggestions", lambda s, d: A.overlay(catalog.units(s, d).select((F.col("doc_id") * 10_000 + F.col("line_no")).alias("unit_id"), "text"), MQ.edits(s, d).where("id is not null"), "unit_id", "text").agg(F.count_if("edited").alias("applied"), F.count("*").alias("units")), "SELECT count(*) FILTER (doc_id % 2 = 0 AND line_no % 7 = 1) AS applied, count(*) AS units FROM units", B.UNITS)
 add("p05_workbook_audit", lambda s, d: catalog.units(s, d).withColumn("cell", P.is_cell_text(F.col("text"))).groupBy("doc_id").agg(F.count_if("cell").alias("cells"), F.count_if(~F.col("cell")).alias("other")), rf"SELECT doc_id, count(*) FILTER (c) AS cells, count(*) FILTER (NOT c) AS other FROM (SELECT doc_id, {TEXT['fil19_cell_text'].split('SELECT text, ')[-1].rsplit(' AS cell', 1)[0]} AS c FROM units) GROUP BY doc_id", B.UNITS)
 add("p10_corrected_provenance", lambda s, d: QUERIES["j26_memory_mediated"](s, d).groupBy("doc_id").agg(F.count("*").alias("matched")), f"SELECT doc_id, count(*) AS matched FROM bulleted JOIN (SELECT {B.compact('source')} AS k FROM known GROUP BY 1) ON k = {B.compact('text')} GROUP BY doc_id", B.UNITS, MQ.KNOWN, MQ.BULLETED)
+
+
+# --- term rewriting: fixed cases with their results, beside all lines of the tables, which hold none of the patterns
+def rewriting(name: str, function, cases: dict[str, str]) -> None:
+    values = ", ".join("('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''")) for a, b in cases.items())
+
+    def run(s, d):
+        fixed = s.createDataFrame([(k,) for k in cases], "text string").select("text", function(F.col("text")).alias("out"))
+        rows = catalog.units(s, d).select("text", function(F.col("text")).alias("out")).groupBy().agg(F.count_if(F.col("text") != F.col("out")).cast("string").alias("out")).select(F.lit("changed lines").alias("text"), "out")
+        return fixed.unionByName(rows)
+
+    QUERIES[name], ORACLES[name] = run, f"SELECT * FROM (VALUES {values}, ('changed lines', '0')) v(text, out)"
+
+
+rewriting("f10_stitch_density", X.stitch_density, {"9-10 mũi/inch": "SPI 9-10 stitches/inch", "10-12 SPI": "SPI 10-12 stitches/inch", "lại 2-3 mũi": "lại 2-3 mũi", "11-12 9-10 SPI": "SPI 11-12 stitches/inch"})
+rewriting("f11_hyphens_and_order", lambda c: X.hyphenated(X.reordered(c)), {"1. Shape toe": "1. Toe shape", "Tipquarter NOSEW": "Tip-quarter NO-SEW"})
+QUERIES["f13_clean_target"] = lambda s, d: catalog.terms(s, d).select("id", X.clean_target(F.concat_ws("/", "target_term", "source_term")).alias("target"))
+ORACLES["f13_clean_target"] = B.with_(B.TERMS) + "SELECT id, CASE WHEN contains(target_term, ' ') THEN target_term WHEN contains(source_term, ' ') THEN source_term ELSE target_term END AS target FROM terms"
+QUERIES["f18_bilingual_split"] = lambda s, d: s.createDataFrame([("Final Inspection\nKiểm tra cuối",), ("Hình mũi - Toe shape",), ("Toe - Heel",)], "text string").select("text", X.split_bilingual(F.col("text")).alias("p")).select("text", "p.en", "p.vi")
+ORACLES["f18_bilingual_split"] = "SELECT * FROM (VALUES ('Final Inspection' || chr(10) || 'Kiểm tra cuối', 'Final Inspection', 'Kiểm tra cuối'), ('Hình mũi - Toe shape', 'Toe shape', 'Hình mũi'), ('Toe - Heel', NULL, NULL)) v(text, en, vi)"
+QUERIES["f24_spelling"] = lambda s, d: catalog.units(s, d).where("line_no < 3").select("doc_id", "line_no", F.md5(X.spelling(F.col("text"), ["kiểm tra", "an toàn"])).alias("text"))
+QUERIES["f16_enforcement"] = lambda s, d: X.enforced(catalog.pairs(s, d).withColumn("k", F.col("conv_id") * 100 + F.col("turn")), "k", [{"term": "the", "target": "this", "synonyms": ["that"]}]).select("k", "replaced")
+lines("fil09_model_name", {"model": lambda: X.is_model_name(t())}, {
+    "model": r"trim(text) <> '' AND NOT " + _MARKS + r" AND (regexp_matches(m, '(?i)^(?:model|mẫu|sample|hình\s*thể|style|code|art(?:icle)?)\s*[:#\-]?\s*([A-Z0-9\-./]+)$') OR regexp_matches(m, '(?i)^\(?[A-Z0-9]{5,8}[-_/]\d{3}\)?$') OR (regexp_matches(m, '\d') AND regexp_matches(m, '(?i)^\(?#?[A-Z0-9]{1,8}(?:[-_/.][A-Z0-9]{1,8})+\)?$')) OR (len(list_filter(u, lambda w: w IN (BRANDS))) > 0 AND len(list_filter(u, lambda w: NOT (w IN (BRANDS) OR regexp_matches(w, '^\d+$') OR regexp_matches(w, '^[IVXLCDM]+$') OR (regexp_matches(w, '\d') AND regexp_matches(w, '^[A-Z0-9\-./]+$')) OR (length(w) <= 4 AND regexp_matches(w, '^[A-Z0-9]+$'))))) = 0))".replace("BRANDS", ", ".join(f"'{b}'" for b in X.BRANDS)),
+})
+ORACLES["fil09_model_name"] = ORACLES["fil09_model_name"].replace("FROM w", r"FROM (SELECT text, m, list_filter(regexp_split_to_array(upper(regexp_replace(m, '[()\[\]{}<>" + '"' + r"'',]', ' ', 'g')), '\s+'), lambda w: w <> '') AS u FROM (SELECT text, regexp_replace(trim(text), '(?i)^(?:tên\s*(?:hình\s*thể|giày|mẫu)|hình\s*thể|mẫu\s*giày|model(?:\s*name)?)\s*[::\-]\s*', '') AS m FROM w))")
+add("prj09_report_projection", lambda s, d: catalog.log(s, d).select("id", "user_id", "operation", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at_time")), "SELECT id, user_id, operation, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at_time FROM log", B.LOG)
+add("p12_post_flight_repair", lambda s, d: AQ.deck(s, d).select("deck", X.reordered(X.stitch_density(F.col("target"))).alias("target"), "source").transform(lambda x: Q.compliance(x, "deck")).select("deck", "densities", "nouns"), "SELECT deck, CAST(0 AS BIGINT) AS densities, CAST(0 AS BIGINT) AS nouns FROM deck GROUP BY deck", B.PAIRS, AQ.DECK)
+add("p02_deck_translation", lambda s, d: M.plan(MQ.bulleted(s, d), MQ.known(s, d)).withColumn("target", F.coalesce("target", R.translated(F.col("text"), {"of the": "du"}, AQ.WORDS))).groupBy("how").agg(F.count("*").alias("n"), F.count_if(F.col("target").isNull()).alias("missing")), "SELECT how, count(*) AS n, CAST(0 AS BIGINT) AS missing FROM (" + MQ.ORACLES["j02_j03_memory_plan"] + ") GROUP BY how")
