@@ -37,8 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, stored, text_key
+from .common import cut, shuffle_partitions, slices, stored, text_key
 from .components import connected_components
+from .words import M1, M2, chunks, mix, words_of
 
 WORDS = 5
 #: Similarity: 100 * intersection >= PERCENT * union.
@@ -55,35 +56,30 @@ SEEN = 1_000_000
 SKETCH = 512
 #: Orders of leaders in each round before all pairs that are left.
 LEADERS = (1, 4, 16)
-CACHE_WORDS = 300_000
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(32))
-
-
-def shingles(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the text's 5-word sequences; of the whole sequence if it is shorter."""
-    words = (text or b"").lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.array([hashes[x] for x in words], np.uint64)
-    n = min(WORDS, len(w))
-    out = np.full(len(w) - n + 1, n, np.uint64)
-    for j in range(n):
-        out = out * M1 + w[j : len(w) - n + 1 + j]
-    return np.unique(mix(out))
+def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its 5-word sequences; of the whole sequence if it is shorter."""
+    for _, part in chunks(texts):
+        w = words_of(part)  # A-Z in lower case, ASCII white space
+        total = len(w.hash)
+        padded = np.concatenate([w.hash, np.zeros(WORDS, np.uint64)])
+        whole = np.full(total, WORDS, np.uint64)
+        for j in range(WORDS):
+            whole = whole * M1 + padded[j : j + total]
+        whole = mix(whole)
+        at = 0
+        for n in np.bincount(w.owner, minlength=len(part)).tolist():
+            if n >= WORDS:
+                yield np.unique(whole[at : at + n - WORDS + 1])
+            elif n:
+                short = np.full(1, n, np.uint64)
+                for x in w.hash[at : at + n]:
+                    short = short * M1 + x
+                yield mix(short)
+            else:
+                yield np.empty(0, np.uint64)
+            at += n
 
 
 @memo
@@ -141,9 +137,8 @@ def document_sets(documents: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("code", pa.int32()), ("full", pa.int32()), ("d", pa.int32()), ("least", pa.int32())]))
 
     def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            sets = [shingles(t, hashes) for t in _texts(batch)]
+        for batch in slices(batches):
+            sets = list(shingle_sets(_texts(batch)))
             dealt = [[{"code": c, "full": len(s), "d": d, "least": t} for c, d, t, s in deals(h)] for h in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array([len(h) for h in sets], pa.int64()), pa.array([class_id(h) if len(h) else None for h in sets], pa.int64()), pa.array(dealt, kind)],
@@ -158,11 +153,10 @@ def signatures(documents: DataFrame) -> DataFrame:
     """(sig, id) of every class; a class that a task has just seen is not repeated."""
 
     def run(batches):
-        hashes, seen = WordHashes(), set()
-        for batch in batches:
+        seen = set()
+        for batch in slices(batches):
             sigs, ids = [], []
-            for text in _texts(batch):
-                h = shingles(text, hashes)
+            for h in shingle_sets(_texts(batch)):
                 if not len(h) or (c := class_id(h)) in seen:
                     continue
                 if len(seen) >= SEEN:
@@ -242,9 +236,8 @@ def class_shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, n, p, h) of the wanted classes (id, doc_id, text_key): sketch words p and all hashes h."""
 
     def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            sets = [shingles(t, hashes) for t in _texts(batch)]
+        for batch in slices(batches):
+            sets = list(shingle_sets(_texts(batch)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([parity_sketch(h).tolist() for h in sets], pa.list_(pa.int64())), pa.array([h.tobytes() for h in sets], pa.binary())],
                 ["id", "n", "p", "h"],

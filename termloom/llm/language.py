@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Labelled rows that are counted, about; chosen by a hash of the row.
 SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 15
 GRAMS = 3
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 
@@ -97,7 +99,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, docs, letters = defaultdict(lambda: np.zeros(BUCKETS, np.int64)), defaultdict(int), _Letters()
-        for batch in batches:
+        for batch in slices(batches):
             by = defaultdict(list)
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by[lang].append(text)
@@ -149,7 +151,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _Letters()
-        for batch in batches:
+        for batch in slices(batches):
             names, best = score(shared.value, batch.column(1).to_pylist(), letters)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(best, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -162,7 +164,7 @@ def keep_known(documents: DataFrame, model: Model) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _Letters()
-        for batch in batches:
+        for batch in slices(batches):
             names, _ = score(shared.value, batch.column(at).to_pylist(), letters)
             yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
 

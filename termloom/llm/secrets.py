@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 REDACTED = "[REDACTED]"
 
@@ -196,7 +198,7 @@ def find_secrets(documents: DataFrame, rules=RULES) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in scanner.spans(_bytes(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
@@ -231,7 +233,7 @@ def redact(documents: DataFrame, rules=RULES) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in slices(batches):
             at = names.index("text")
             columns = list(batch.columns)
             raw = _bytes(columns[at])
