@@ -148,5 +148,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """documents, with their columns, without the contaminated ones."""
-    bad = contamination(documents, benchmark, width).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    return documents.join(_bounded(cut(bad)), documents.doc_id.eqNullSafe(bad.bad_id) & (text_key(documents.text) == bad.bad_key), "left_anti")
+    bad = cut(contamination(documents, benchmark, width).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct())
+    on = documents["doc_id"].eqNullSafe(bad["bad_id"]) & (text_key(documents["text"]) == bad["bad_key"])
+    return documents.join(_bounded(bad), on, "left_anti")

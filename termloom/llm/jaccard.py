@@ -337,9 +337,10 @@ def keep_one(documents: DataFrame) -> DataFrame:
     ranked = cut(found.withColumn("r", F.row_number().over(order)).where("r > 1 or n > 1").select(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_key"), "r"))
     # decisions are few against documents; texts are only shuffled if they are not
     small = (lambda df: F.broadcast(df)) if ranked.count() <= BROADCAST_ROWS else (lambda df: df)
-    on = documents.doc_id.eqNullSafe(F.col("k_doc")) & (text_key(documents.text) == F.col("k_key"))
+    on = documents["doc_id"].eqNullSafe(ranked["k_doc"]) & (text_key(documents["text"]) == ranked["k_key"])
     kept = documents.join(small(ranked), on, "left_anti")
     repeated = ranked.where("r = 1")
     if not repeated.isEmpty():
-        kept = kept.union(documents.join(small(repeated), on).dropDuplicates(["k_doc", "k_key"]).select([documents[c] for c in documents.columns]))
+        rows = documents.join(small(repeated), on).select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), ranked["k_doc"], ranked["k_key"])
+        kept = kept.union(rows.dropDuplicates(["k_doc", "k_key"]).select("row.*"))
     return kept

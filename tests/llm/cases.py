@@ -12,7 +12,7 @@ def documents(spark, texts, extra=False):
     rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, None, None, None if t is None else len(t)) for i, t in rows], DOCUMENTS).repartition(3)
     if extra:
-        for name in ("n", "bucket", "term", "pos", "score", "length", "_row", "_salt", "_rank", "start", "phrase", "text_key", "win", "id", "spans", "item", "first", "label", "sig", "hash", "component_id", "u", "v", "value", "bytes", "digest", "key", "words"):
+        for name in ("n", "bucket", "term", "pos", "score", "length", "_row", "_salt", "_rank", "start", "phrase", "text_key", "win", "id", "spans", "item", "first", "label", "sig", "hash", "component_id", "u", "v", "value", "bytes", "digest", "key", "words", "k_doc", "k_key", "r", "bad_id", "bad_key", "row"):
             df = df.selectExpr("*", f"'x' as `{name}`")
     return df
 
