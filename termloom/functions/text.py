@@ -38,6 +38,18 @@ def exact_key(text: Column) -> Column:
     return F.lower(squeeze(F.coalesce(text, F.lit(""))))
 
 
+def nfc_key(text: Column) -> Column:
+    """normal form C, trimmed, single spaces, lower case; Spark has no function for normal forms, so Arrow batches go through Python."""
+    import unicodedata
+
+    import pandas as pd
+
+    def run(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: " ".join(unicodedata.normalize("NFC", t).split()).lower(), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def canonical_key(text: Column) -> Column:
     """the exact key without one leading bullet or number."""
     bare = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), " ", " ")), BULLET, "")
