@@ -6,6 +6,9 @@ boundaries are ASCII unless letters and digits of any script are named.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,10 +43,6 @@ def exact_key(text: Column) -> Column:
 
 def nfc_key(text: Column) -> Column:
     """normal form C, trimmed, single spaces, lower case; Spark has no function for normal forms, so Arrow batches go through Python."""
-    import unicodedata
-
-    import pandas as pd
-
     def run(column: pd.Series) -> pd.Series:
         return column.map(lambda t: " ".join(unicodedata.normalize("NFC", t).split()).lower(), na_action="ignore")
 
