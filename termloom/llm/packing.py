@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, slices, stored
+from .words import M2, mix, powers
 
 CAPACITY = 4096
 #: Distinct words (about 200 bytes each) whose tokens a worker remembers.
@@ -45,19 +46,28 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
+def _classes() -> np.ndarray:
+    """Of 16-bit code points: 0 white space, 1 letters, 2 numbers, 3 others; for texts that ``OTHER`` lets pass."""
+    kinds = [0 if c.isspace() else 1 if c.isalpha() else 2 if c.isnumeric() else 3 for c in map(chr, range(0x370))]
+    return np.array(kinds + [3] * (0x10000 - 0x370), np.uint8)
+
+
 class WordCache(dict):
     """Little-endian ids of pre-tokens, which this tokenizer encodes each by itself.
 
-    Texts of Latin letters (all code points below U+0250, which are in normal form C) are split here and each
-    new pre-token goes to the BPE model at once; others are split at white space and each new part goes
-    through the whole tokenizer.
+    Texts of Latin letters (all code points below U+0250, which are in normal form C) are split here, many at
+    once: pre-tokens are runs of letters, runs of other marks, and single numbers. They are told apart by 64-bit
+    hashes, and each new one goes to the BPE model. Texts with apostrophes, which may begin contractions, are
+    split by a pattern; texts of other scripts at white space, and each new part goes through the whole tokenizer.
     """
 
-    #: The tokenizer's pre-tokens for such texts, in lower case.
+    #: The tokenizer's pre-tokens for Latin texts, in lower case.
     SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
     #: Beyond Latin letters; control characters on which the libraries' white space differs; perhaps special tokens.
     OTHER = re.compile(r"[^\x00-\u024f]|[\x1c-\x1f]|<\|")
     LETTERS = _byte_letters()
+    CLASSES = _classes()
+    CHUNK = 1 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -75,11 +85,63 @@ class WordCache(dict):
         if isinstance(key, tuple):
             out = self.whole(key[0])
         else:
-            written = key.encode().decode("latin-1").translate(self.LETTERS)
-            out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
+            out = self.encoded(key)
         self[key] = out
         return out
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        out, plain, size = [b""] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            if "'" in text or self.OTHER.search(text):
+                out[i] = self.text_ids(text)
+                continue
+            plain.append(i)
+            size += len(text)
+            if size > self.CHUNK:
+                self._latin(texts, plain, out)
+                plain, size = [], 0
+        if plain:
+            self._latin(texts, plain, out)
+        return out
+
+    def _latin(self, texts: list[str], which: list[int], out: list[bytes]) -> None:
+        low = [texts[i].lower() for i in which]
+        joined = " ".join([*low, ""])
+        codes = np.frombuffer(joined.encode("utf-16-le"), np.uint16)
+        kind = self.CLASSES[codes]
+        change = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)])
+        edge = np.append(np.flatnonzero(change), len(codes))
+        begins = kind[edge[:-1]] != 0
+        start, end = edge[:-1][begins], edge[1:][begins]
+        up, down = powers(len(codes))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
+        hashed, first, which_one = np.unique(mix((sums[end] - sums[start]) * down[start] + M2), return_index=True, return_inverse=True)
+        ids = []
+        for h, a, b in zip(hashed.tolist(), start[first].tolist(), end[first].tolist()):
+            known = self.get(h)
+            if known is None:
+                if len(self) >= CACHE_WORDS:
+                    self.clear()
+                known = self[h] = self.encoded(joined[a:b])
+            ids.append(known)
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        length = np.array([len(x) // 4 for x in ids], np.int64)
+        place = np.cumsum(length) - length
+        n = length[which_one]
+        flat = pool[np.repeat(place[which_one] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        stops = np.cumsum([len(t) + 1 for t in low])
+        per_text = np.bincount(np.searchsorted(stops, start, "right"), weights=n, minlength=len(low)).astype(np.int64)
+        stop = np.cumsum(per_text)
+        for i, a, b in zip(which, (stop - per_text).tolist(), stop.tolist()):
+            out[i] = flat[a:b].tobytes()
+
+    def encoded(self, word: str) -> bytes:
+        """Ids of a pre-token, by the model."""
+        written = word.encode().decode("latin-1").translate(self.LETTERS)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
+
     def text_ids(self, text: str) -> bytes:
         if not self.OTHER.search(text):
             return b"".join([self[w] for w in self.SPLIT.findall(text.lower())])
@@ -99,8 +161,8 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
         cache = WordCache(path)
         for batch in slices(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = cache.text_ids(text or "") + stop
+            for doc, ids in zip(batch.column(0).to_pylist(), cache.many([t or "" for t in batch.column(1).to_pylist()])):
+                ids += stop
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])

@@ -55,6 +55,11 @@ class _Table:
 _TABLE = _Table()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    return _TABLE.upto(n)
+
+
 def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes | None]]]:
     """(index of the first, texts) of about CHUNK bytes."""
     start = size = 0

@@ -55,6 +55,9 @@ def test_words_and_whole_texts_agree(encode):
     for _ in range(800):
         text = "".join(rng.choices(latin, k=rng.randrange(60)))
         assert np.frombuffer(cache.text_ids(text), "<u4").tolist() == encode(text, add_special_tokens=False).ids, repr(text)
+    some = ["".join(rng.choices([c for c in latin if c != "'"], k=rng.randrange(60))) for _ in range(500)] + ["", "x" * 300_000, "", "it's", "漢 a"]
+    for text, ids in zip(some, cache.many(some)):
+        assert np.frombuffer(ids, "<u4").tolist() == encode(text, add_special_tokens=False).ids, repr(text[:80])
     for _ in range(400):
         text = "".join(rng.choices(alphabet, k=rng.randrange(60)))
         assert np.frombuffer(cache.text_ids(text), "<u4").tolist() == encode(text, add_special_tokens=False).ids, repr(text)
