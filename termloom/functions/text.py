@@ -18,7 +18,8 @@ PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd"
 #: Other Latin letters with marks that occur in German, French and Spanish.
 OTHER_MARKED, OTHER_PLAIN = "äåçëîïñöûüÿ", "aaceiinouuy"
 
-VIETNAMESE = f"[{MARKED}{MARKED.upper()}]"
+#: The same letters in both cases as a character class of few parts, which the JVM tests far faster than one of single letters.
+VIETNAMESE = "[" + "".join(c for c in MARKED + MARKED.upper() if c < "\u0100") + "ĂăĐđĨĩŨũƠơƯư" + "\u1ea0-\u1ef9]"
 #: Words that must survive fuzzy reuse, after folding.
 CONTRAST = ["not", "no", "without", "before", "after", "left", "right", "increase", "decrease", "khong", "truoc", "sau", "trai", "phai", "tang", "giam"]
 NUMBER = r"\d+(?:[.,]\d+)*"
