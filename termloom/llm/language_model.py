@@ -2,13 +2,12 @@
 
 A text is a sequence of words and an end token. Frequent words are symbols of a Huffman code made from the
 training counts; other words are an escape symbol, their bytes (a second Huffman code) and an end of word.
-A branching of a code is a binary decision. Those that one word in ``SHARE`` meets, or more, are predicted
-in three ways: by the branching alone, and by two hashed contexts (the class of the word before, of the two
-words before; inside spelled words the two and the four bytes before), each a slot of a table of counts. The
-predictions' logits are combined with weights that a gate selects by how often both contexts were seen; each
-document starts from the same weights and refines them as it is read, in steps of ``STEP`` symbols. Rarer
-branchings, for which no context gathers counts enough, have their own training counts only. Costs of all
-decisions add up to the text's probability, hence bits per byte.
+Every branching of a code is a binary decision, predicted in three ways: by the branching alone, and by two
+hashed contexts (the class of the word before, of the two words before; inside spelled words the two and the
+four bytes before), each a slot of a table of counts. The predictions' logits are combined with weights that
+a gate selects by how often both contexts were seen; each document starts from the same weights and refines
+them as it is read, in steps of ``STEP`` symbols. Costs of all decisions add up to the text's probability,
+hence bits per byte.
 
 Learning: word counts and context tables are counted over all training texts, by task, and summed in
 shuffles whose volume follows the input. What is broadcast is bounded by parameters: the vocabulary, the
@@ -40,8 +39,6 @@ from .words import Lookup, Words, chunks, mix, words_of
 VOCABULARY = 1 << 18
 KNOWN = 1 << 20
 TABLE_BITS = 20
-#: A branching met by a smaller share of symbols than one in so many has no contexts: of the words' code, of the bytes'.
-SHARE, SHARE_OF_BYTES = 32, 1 << 14
 STEP = 256
 FLUSH_WORDS = 4_000_000
 PIECE = 1 << 15
@@ -112,41 +109,37 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 
 class Tree(NamedTuple):
-    """Of each symbol the mixed decisions (node, bit), one after another, and what its other ones cost; logits of bit 1 by node."""
+    """Of each symbol the decisions (node, bit), one after another; logits of bit 1 by node."""
 
     lengths: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    rest: np.ndarray
     logits: np.ndarray
 
 
-def huffman(weights: np.ndarray, share: int) -> Tree:
+def huffman(weights: np.ndarray) -> Tree:
     n = len(weights)
     heap = [(int(w), i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
-    parent, side, weight = np.full(2 * n - 1, -1), np.zeros(2 * n - 1, np.uint8), np.zeros(2 * n - 1)
-    weight[:n] = weights
+    parent, side = np.full(2 * n - 1, -1), np.zeros(2 * n - 1, np.uint8)
     logits = np.zeros(n - 1, np.float32)
     for k in range(n, 2 * n - 1):
         (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
         parent[i] = parent[j] = k
-        side[j], weight[k], logits[k - n] = 1, a + b, np.log(b / a)
+        side[j], logits[k - n] = 1, np.log(b / a)
         heapq.heappush(heap, (a + b, k))
-    at, paths, top = np.arange(n), [], np.arange(n)  # top: where a symbol's mixed decisions end
+    at, paths = np.arange(n), []
     while (up := np.where(parent[at] >= 0, parent[at], at)).max() != at.min() or (up != at).any():
-        mixed = (up != at) & (weight[up] * share >= weight[2 * n - 2])
-        top = np.where((up != at) & ~mixed, up, top)
-        paths.append((mixed, up - n, side[at]))
+        paths.append((up != at, up - n, side[at]))
         at = up
     lengths = np.sum([m for m, _, _ in paths], axis=0, dtype=np.int64) if paths else np.zeros(n, np.int64)
     starts = np.cumsum(lengths) - lengths
     nodes, bits, seen = np.zeros(int(lengths.sum()), np.uint32), np.zeros(int(lengths.sum()), np.uint8), np.zeros(n, np.int64)
-    for mixed, node, bit in reversed(paths):  # from the root
-        where = starts[mixed] + seen[mixed]
-        nodes[where], bits[where] = node[mixed], bit[mixed]
-        seen[mixed] += 1
-    return Tree(lengths, nodes, bits, np.log(weight[top]) - np.log(weight[:n]), logits)
+    for met, node, bit in reversed(paths):  # from the root
+        where = starts[met] + seen[met]
+        nodes[where], bits[where] = node[met], bit[met]
+        seen[met] += 1
+    return Tree(lengths, nodes, bits, logits)
 
 
 class Code(NamedTuple):
@@ -158,23 +151,23 @@ class Code(NamedTuple):
     starts: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    rest: np.ndarray
+    rest: np.ndarray  # what a symbol costs outside of its decisions: nothing
     logits: np.ndarray
     escape: int
 
 
 def code(words: np.ndarray, counts: np.ndarray, outside: int, octets: np.ndarray) -> Code:
     """words by falling count; outside: training tokens that are none of them."""
-    first, second = huffman(np.append(counts, max(1, outside)), SHARE), huffman(octets + 1, SHARE_OF_BYTES)
+    first, second = huffman(np.append(counts, max(1, outside))), huffman(octets + 1)
     lengths = np.concatenate([first.lengths, second.lengths])
     order = np.argsort(words)
     both = lambda name: np.concatenate([getattr(first, name), getattr(second, name)])
     nodes = np.concatenate([first.nodes, second.nodes + np.uint32(len(first.logits))])
-    return Code(words[order], order, lengths, np.cumsum(lengths) - lengths, nodes, both("bits"), both("rest"), both("logits"), len(words))
+    return Code(words[order], order, lengths, np.cumsum(lengths) - lengths, nodes, both("bits"), np.zeros(len(lengths)), both("logits"), len(words))
 
 
 class Stream(NamedTuple):
-    """Mixed decisions of a chunk of documents in reading order, step by step: document, node, bit and both slots; rest: the other decisions' cost by document."""
+    """Decisions of a chunk of documents in reading order, step by step: document, node, bit and both slots; rest: cost besides them by document."""
 
     doc: np.ndarray
     node: np.ndarray

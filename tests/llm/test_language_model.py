@@ -116,3 +116,14 @@ def test_held_out_texts_gain_from_training(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     out = LM.scores(docs.where(held), *LM.train(docs.where(~held))).agg(F.sum("score"), F.sum("bits_per_byte"), F.count("*")).first()
     assert out[1] / out[2] < 2.6
+
+
+def test_every_branching_is_mixed():
+    """Rare words' decisions, too, are made in contexts: the decisions of a symbol are its whole path from the root."""
+    counts = 1 + 5000 // (1 + np.arange(999))
+    c = LM.code(np.arange(999, dtype=np.uint64), counts, 7, np.arange(257))
+    for first, last in ((0, c.escape + 1), (c.escape + 1, c.escape + 258)):
+        assert (2.0 ** -c.lengths[first:last]).sum() == 1
+        nodes = [c.nodes[a : a + n] for a, n in zip(c.starts[first:last], c.lengths[first:last])]
+        assert len(np.unique(np.concatenate(nodes))) == last - first - 1
+    assert not c.rest.any()
