@@ -5,12 +5,13 @@ training counts; other words are an escape symbol, their bytes (a second Huffman
 Every branching of a code is a binary decision, predicted in three ways: by the branching alone, and by two
 hashed contexts (the class of the word before, of the two words before; inside spelled words the two and the
 four bytes before), each a slot of a table of counts. The predictions' logits are combined with weights that
-a gate selects by how often both contexts were seen; each document starts from the same weights and refines
-them as it is read, in steps of ``STEP`` symbols. Costs of all decisions add up to the text's probability,
-hence bits per byte.
+a gate selects by how often both contexts were seen; each document starts from weights learned over the
+training texts and refines them as it is read, in steps of ``STEP`` symbols. Costs of all decisions add up to
+the text's probability, hence bits per byte.
 
 Learning: word counts and context tables are counted over all training texts, by task, and summed in
-shuffles whose volume follows the input. What is broadcast is bounded by parameters: the vocabulary, the
+shuffles whose volume follows the input. The starting weights are a Newton step from constants on the costs of
+all training decisions, each predicted by tables from which it is taken out itself. What is broadcast is bounded by parameters: the vocabulary, the
 ``KNOWN`` most frequent words' counts, and the tables. Rarer words of each text get their counts by a join.
 Numpy handles chunks of documents step by step side by side; a score depends on the model and the text only.
 
@@ -30,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,13 @@ from .words import Lookup, Words, chunks, mix, words_of
 VOCABULARY = 1 << 18
 KNOWN = 1 << 20
 TABLE_BITS = 20
-STEP = 256
+STEP = 4
 FLUSH_WORDS = 4_000_000
 PIECE = 1 << 15
 RATE = np.float32(0.002)
 GATES = 32
+PAIRS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
+PRIOR = 100.0  # decisions' worth of trust in the constants that learning starts from
 LEVELS = np.array([0, 2, 8, 40], np.int64)  # counts at which a context is trusted more
 
 
@@ -244,10 +248,10 @@ def stream(t: Tokens, c: Code, find: Lookup) -> Stream:
     return Stream(owner[expand], node, c.bits[index], slots, spelled[order][expand], steps, rest)
 
 
-def context_counts(documents: DataFrame, c: Code) -> np.ndarray:
+def context_counts(documents: DataFrame, shared: Broadcast) -> np.ndarray:
     """(2, slots, 2): how often each decision fell either way, for both contexts, over all training texts."""
     spark = documents.sparkSession
-    shared, cells = spark.sparkContext.broadcast(c), 2 << TABLE_BITS
+    cells = 2 << TABLE_BITS
 
     def run(batches):
         tables, seen, find = np.zeros((2, cells), np.int64), False, Lookup(shared.value.words)
@@ -285,16 +289,22 @@ class Model(NamedTuple):
     code: Code
     logits: np.ndarray  # by context and slot
     levels: np.ndarray  # of trust, 0 to 3
-    weights: np.ndarray  # by gate, at a document's start
+    weights: np.ndarray  # by gate, at a document's start; learned
     known: np.ndarray  # hashes of frequent words, sorted
     counts: np.ndarray
     total: int  # tokens
     distinct: int
 
 
+def trust(seen: np.ndarray) -> np.ndarray:
+    """Levels of contexts seen so often."""
+    return (np.searchsorted(LEVELS, seen, "left") - 1).clip(0).astype(np.uint8)
+
+
 def mixing(c: Code, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits and levels by context and slot; the weights that learning starts from."""
     logits = np.log((tables[:, :, 1] + 0.4) / (tables[:, :, 0] + 0.4)).astype(np.float32)
-    levels = (np.searchsorted(LEVELS, tables.sum(axis=2), "left") - 1).clip(0).astype(np.uint8)
+    levels = trust(tables.sum(axis=2))
     weights = np.zeros((GATES, 3), np.float32)
     for g in range(GATES):
         raw = np.array([1.0, 0.5 * (g & 3), 0.7 * (g >> 2 & 3)])
@@ -302,15 +312,69 @@ def mixing(c: Code, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return logits, levels, weights
 
 
+def without(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits and levels by context and 2 x slot + bit, each without one decision that fell so."""
+    ones = (tables[:, :, 1, None] - np.array([0, 1])).clip(0)
+    zeros = (tables[:, :, 0, None] - np.array([1, 0])).clip(0)
+    return np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32).reshape(2, -1), trust(ones + zeros).reshape(2, -1)
+
+
+def slopes(c: Code, logits: np.ndarray, levels: np.ndarray, weights: np.ndarray, s: Stream) -> np.ndarray:
+    """(9, GATES): the cost's gradient (3) and second derivatives (6) in each gate's weights, summed over a stream's decisions."""
+    at = [v.astype(np.int64) * 2 + s.bit for v in s.slots]
+    gate = levels[0][at[0]] | levels[1][at[1]] << np.uint8(2) | s.spelled.view(np.uint8) << np.uint8(4)
+    gate = gate.astype(np.int64)
+    x = (c.logits[s.node], logits[0][at[0]], logits[1][at[1]])
+    z = weights[gate, 0] * x[0]
+    z += weights[gate, 1] * x[1]
+    z += weights[gate, 2] * x[2]
+    p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+    fall, bend = p - s.bit.astype(np.float32), p * (1 - p)
+    bent = [bend * v for v in x]
+    parts = [*(fall * v for v in x), *(bent[i] * x[j] for i, j in PAIRS)]
+    return np.stack([np.bincount(gate, weights=v, minlength=GATES) for v in parts])
+
+
+def learned(documents: DataFrame, code: Broadcast, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights a Newton step on, over all training texts; a gate that met few decisions stays near where it was."""
+    shared = documents.sparkSession.sparkContext.broadcast((*without(tables), weights))
+
+    def run(batches):
+        c = code.value
+        total, find = np.zeros((9, GATES)), Lookup(c.words)
+        for batch in slices(batches):
+            for _, texts in chunks(_texts(batch)):
+                total += slopes(c, *shared.value, stream(tokens(texts), c, find))
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    sums = documents.select("text").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    total = np.zeros(9 * GATES)
+    for r in sums.collect():
+        total[r["i"]] = r["v"]
+    shared.destroy()  # its copies take disk on every executor
+    total, bends = total.reshape(9, GATES), np.zeros((GATES, 3, 3))
+    for v, (i, j) in zip(total[3:], PAIRS):
+        bends[:, i, j] = bends[:, j, i] = v
+    step = np.linalg.solve(bends + PRIOR * np.eye(3), total[:3].T[:, :, None])[:, :, 0]
+    return np.round(weights - step, 4).astype(np.float32)  # free of the order in which tasks were summed
+
+
 def costs(m: Model, s: Stream, n: int) -> np.ndarray:
     """Natural log of each document's probability, negated."""
     x = (m.code.logits[s.node], m.logits[0][s.slots[0]], m.logits[1][s.slots[1]])
     gate = m.levels[0][s.slots[0]] | m.levels[1][s.slots[1]] << np.uint8(2) | s.spelled.view(np.uint8) << np.uint8(4)
-    cells = s.doc * GATES + gate
+    # documents by where they end, last first: those that a step reads are the first ones
+    last = np.full(n, -1, np.int64)
+    last[s.doc] = np.arange(len(s.doc))
+    order = np.argsort(-last, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    active = np.searchsorted(-last[order], -np.append(0, s.steps[:-1]), "right") * GATES
+    cells = place[s.doc] * GATES + gate
     sign = np.where(s.bit, np.float32(-1), np.float32(1))
     w = [np.tile(m.weights[:, k], n) for k in range(3)]
     cost, start = np.empty(len(cells), np.float32), 0
-    for stop in s.steps.tolist():
+    for stop, most in zip(s.steps.tolist(), active.tolist()):
         part = slice(start, stop)
         cell, flip, parts = cells[part], sign[part], [v[part] for v in x]
         z = w[0][cell] * parts[0]
@@ -324,7 +388,7 @@ def costs(m: Model, s: Stream, n: int) -> np.ndarray:
         np.divide(e, miss, out=miss)
         miss *= flip  # its probability, signed: the gradient
         for k in range(3):
-            w[k] -= RATE * np.bincount(cell, weights=miss * parts[k], minlength=len(w[k])).astype(np.float32)
+            w[k][:most] -= RATE * np.bincount(cell, weights=miss * parts[k], minlength=most).astype(np.float32)
         start = stop
     return s.rest + np.bincount(s.doc, weights=cost, minlength=n)
 
@@ -350,7 +414,11 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     known, n = known[order], n[order]
     size = min(int((n > 1).sum()), VOCABULARY - 1)  # words seen once tell how often new ones come
     c = code(known[:size], n[:size], int(total - n[:size].sum()), octets)
-    logits, levels, weights = mixing(c, context_counts(documents, c))
+    shared = documents.sparkSession.sparkContext.broadcast(c)
+    tables = context_counts(documents, shared)
+    logits, levels, weights = mixing(c, tables)
+    weights = learned(documents, shared, tables, weights)
+    shared.destroy()
     order = np.argsort(known)
     return Model(c, logits, levels, weights, known[order], n[order], total, distinct), counts
 
@@ -367,6 +435,9 @@ def scores(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         logs = np.log10((m.counts + 1) / below)
         for batch in slices(batches):
             out, texts = {k: [] for k in ("n_tokens", "n_known", "base", "score", "bytes", "tail")}, _texts(batch)
+            by_size = sorted(range(len(texts)), key=lambda i: len(texts[i] or b""))  # texts of like length are read side by side
+            texts = [texts[i] for i in by_size]
+            batch = batch.take(pa.array(by_size, pa.int64()))
             for _, part in chunks(texts):
                 t = tokens(part)
                 docs, h = part, t.hash

@@ -127,3 +127,18 @@ def test_every_branching_is_mixed():
         nodes = [c.nodes[a : a + n] for a, n in zip(c.starts[first:last], c.lengths[first:last])]
         assert len(np.unique(np.concatenate(nodes))) == last - first - 1
     assert not c.rest.any()
+
+
+def test_weights_are_learned_and_refined_in_short_texts(spark):
+    """Training moves the starting weights to where held-out texts cost less, and a short text moves them on."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model, _ = LM.train(docs.where(~held))
+    constants = np.array([[1.0, 0.5 * (g & 3), 0.7 * (g >> 2 & 3)] for g in range(LM.GATES)])
+    plain = model._replace(weights=(constants / constants.sum(axis=1, keepdims=True)).astype(np.float32))
+    texts = [r.text.encode() for r in docs.where(held & F.col("text").isNotNull()).collect()]
+    s = LM.stream(LM.tokens(texts), model.code, LM.Lookup(model.code.words))
+    assert LM.costs(model, s, len(texts)).sum() < 0.99 * LM.costs(plain, s, len(texts)).sum()
+    short = LM.stream(LM.tokens([b"the " * 40]), model.code, LM.Lookup(model.code.words))
+    whole = short._replace(steps=short.steps[-1:])  # without any refinement
+    assert len(short.steps) > 5 and LM.costs(model, short, 1)[0] < LM.costs(model, whole, 1)[0]
