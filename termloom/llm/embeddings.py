@@ -5,12 +5,15 @@ pass vectors get a code of 64 random hyperplanes' signs and are ordered by (labe
 the id). The order is cut at sampled quantiles into blocks of bounded size; inside a block every vector is
 compared with its ``WINDOW`` successors by exact cosine in double precision, and the ends of neighbouring
 blocks are compared in a second, small step, so block borders lose nothing. Verified pairs of all passes are
-united. ``passes_for`` gives the number of passes that finds a pair at the threshold with probability
-``RECALL`` for the largest label; groups larger than the window are covered by different windows of
-different passes.
+united into components by a spanning forest of each block's links. ``passes_for`` gives the number of passes
+that finds a pair at the threshold with probability ``RECALL`` for the largest label, if hyperplanes halve it.
+
+The passes only find the components: links are counted by comparing all pairs of a component, however much
+larger than the window it is. Components are cut into tiles of two blocks of ``BLOCK_ROWS``, which run apart.
 
 Per pass each vector crosses one shuffle and makes at most 2 x WINDOW comparisons; a label that holds most
-rows is cut into blocks as any other. Components use a spanning forest of each block's links.
+rows is cut into blocks as any other. Counting is quadratic in a component's distinct vectors and ships each
+of them once for every block of its component.
 
 Edge cases: null labels, null, empty or zero vectors, and vectors with null or non-finite components link
 with nothing; vectors of different dimension are never compared; repeated rows are linked copies and each
@@ -39,8 +42,6 @@ RECALL = 0.999
 BLOCK_ROWS = 4096
 MOST_BLOCKS = 20_000
 SAMPLE = 20
-LINKS = "array<struct<id:long,n:long>>"
-_LINKS = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int64())]))
 
 
 def usable(vector: str, label: str):
@@ -143,18 +144,14 @@ def _forest(near) -> list[list[int]]:
     return ties
 
 
-def _found(near, ids, counts, labels_from=None) -> list[list]:
+def _found(near, ids) -> list[pa.Array]:
     ties = _forest(near)
-    rows = [u for u, vs in enumerate(near) if vs]
-    return [
-        pa.array([ids[u] for u in rows], pa.int64()),
-        pa.array([[{"id": ids[v], "n": counts[v]} for v in near[u]] for u in rows], _LINKS),
-        pa.array([[ids[v] for v in ties[u]] for u in rows], pa.list_(pa.int64())),
-    ]
+    rows = [u for u, vs in enumerate(ties) if vs]
+    return [pa.array([ids[u] for u in rows], pa.int64()), pa.array([[ids[v] for v in ties[u]] for u in rows], pa.list_(pa.int64()))]
 
 
 def compared(table: DataFrame, passes: int, kind: str, window: int, block_rows: int) -> DataFrame:
-    """(id, links, ties) found in any pass, several rows for an id."""
+    """(id, ties) found in any pass, several rows for an id."""
     spark = table.sparkSession
     total = table.count()
     blocks = min(MOST_BLOCKS, -(-total // block_rows))
@@ -177,9 +174,9 @@ def compared(table: DataFrame, passes: int, kind: str, window: int, block_rows:
 
     dealt = table.select("id", "label", "dim", "n", "x", "h", "codes").mapInArrow(deal, "pass int, block int, label string, dim int, code long, h long, id long, n long, x binary")
     rows = dealt.repartition(shuffle_partitions(spark), "pass", "block").sortWithinPartitions("pass", "block", "label", "dim", "code", "h", "id")
-    names = ["id", "links", "ties", "pass", "border", "at", "label", "dim", "n", "x"]
-    schema = f"id long, links {LINKS}, ties array<long>, pass int, border int, at int, label string, dim int, n long, x binary"
-    arrow = pa.schema([("id", pa.int64()), ("links", _LINKS), ("ties", pa.list_(pa.int64())), ("pass", pa.int32()), ("border", pa.int32()), ("at", pa.int32()), ("label", pa.string()), ("dim", pa.int32()), ("n", pa.int64()), ("x", pa.binary())])
+    names = ["id", "ties", "pass", "border", "at", "label", "dim", "n", "x"]
+    schema = "id long, ties array<long>, pass int, border int, at int, label string, dim int, n long, x binary"
+    arrow = pa.schema([("id", pa.int64()), ("ties", pa.list_(pa.int64())), ("pass", pa.int32()), ("border", pa.int32()), ("at", pa.int32()), ("label", pa.string()), ("dim", pa.int32()), ("n", pa.int64()), ("x", pa.binary())])
 
     def near_of(rows, first=None):
         """Links of rows (label, dim, id, n, x) in order, dimension by dimension."""
@@ -192,13 +189,13 @@ def compared(table: DataFrame, passes: int, kind: str, window: int, block_rows:
             cross = None if first is None else int(np.searchsorted(at, first))
             for u, vs in enumerate(_links(x, labels[at], at, None, window, cross)):
                 near[at[u]] = [int(at[v]) for v in vs]
-        return _found(near, [r[2] for r in rows], [r[3] for r in rows])
+        return _found(near, [r[2] for r in rows])
 
     def inside(batches):
         def finish(key, rows):
             found = near_of(rows)
             n = len(found[0])
-            yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(n, arrow.field(c).type) for c in names[3:])], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(n, arrow.field(c).type) for c in names[2:])], schema=arrow)
             ends = [(key[1], i - len(rows), r) for i, r in enumerate(rows) if i >= len(rows) - window] + [(key[1] - 1, i, r) for i, r in enumerate(rows[:window])]
             yield pa.RecordBatch.from_pylist([{"id": r[2], "pass": key[0], "border": k, "at": i, "label": r[0], "dim": r[1], "n": r[3], "x": r[4]} for k, i, r in ends if 0 <= k < len(shared.value[key[0]])], arrow)
 
@@ -216,12 +213,51 @@ def compared(table: DataFrame, passes: int, kind: str, window: int, block_rows:
     def across(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in ("at", "label", "dim", "id", "n", "x"))), key=lambda r: r[0])
         found = near_of([r[1:] for r in rows], sum(r[0] < 0 for r in rows))
-        return pa.Table.from_arrays(found, ["id", "links", "ties"])
+        return pa.Table.from_arrays(found, ["id", "ties"])
 
     first = stored(rows.mapInArrow(inside, schema), "windows")
     borders = first.where("border is not null").select("pass", "border", "at", "label", "dim", "id", "n", "x")
-    second = borders.groupBy("pass", "border").applyInArrow(across, f"id long, links {LINKS}, ties array<long>")
-    return first.where("border is null").select("id", "links", "ties").union(second)
+    second = borders.groupBy("pass", "border").applyInArrow(across, "id long, ties array<long>")
+    return first.where("border is null").select("id", "ties").union(second)
+
+
+def counted(members: DataFrame, kind: str, block_rows: int) -> DataFrame:
+    """(id, others): linked rows of every vector of members (component, id, n, x), by all pairs of its component."""
+    large = members.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > block_rows)
+    blocks = F.coalesce(F.ceil(F.col("size") / block_rows), F.lit(1)).cast("int")
+    rows = members.join(large, "component", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a tile for every two blocks, and for a block with itself
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "x")
+    rows = rows.repartition(shuffle_partitions(members.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "block")
+
+    def tile(i, j, rows):
+        x, n = np.array([unit(r[2], kind) for r in rows]), np.array([r[1] for r in rows], np.int64)
+        others = np.zeros(len(rows), np.int64)
+        first = len(rows) if i == j else sum(r[3] == i for r in rows)
+        lo = 0 if i == j else first
+        for a in range(0, first, 512):
+            b = min(a + 512, first)
+            near = x[a:b] @ x[lo:].T >= COSINE
+            if i == j:
+                near[np.arange(b - a), np.arange(a, b)] = False  # a vector with itself
+            else:
+                others[lo:] += n[a:b] @ near
+            others[a:b] += near @ n[lo:]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(others)], ["id", "others"])
+
+    def run(batches):
+        key, rows = None, []
+        for b in batches:
+            for component, i, j, *r in zip(*(b.column(c).to_pylist() for c in ("component", "i", "j", "id", "n", "x", "block"))):
+                if key != (component, i, j):
+                    if rows:
+                        yield tile(*key[1:], rows)
+                    key, rows = (component, i, j), []
+                rows.append(r)
+        if rows:
+            yield tile(*key[1:], rows)
+
+    return rows.mapInArrow(run, "id long, others long").groupBy("id").agg(F.sum("others").alias("others"))
 
 
 def near_duplicates(embeddings: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS, passes: int | None = None) -> DataFrame:
@@ -232,9 +268,8 @@ def near_duplicates(embeddings: DataFrame, window: int = WINDOW, block_rows: int
         passes = passes_for(table.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, window)
     table = stored(coded(table, passes, kind), "codes")
     found = stored(compared(table, passes, kind, window, block_rows), "links")
-    # at most 2 x window links of each pass and a border meet for an id
-    links = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("l")).select("id", F.aggregate("l", F.lit(0).cast("long"), lambda a, v: a + v["n"]).alias("others"))
     parts = cut(connected_components(found.select(F.col("id").alias("u"), F.explode("ties").alias("v"))))
+    links = counted(parts.join(table, "id").select("component", "id", "n", "x"), kind, block_rows)
     least = parts.join(table.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
     facts = (
         table.select("id", "label", "x", "n", "least")

@@ -70,3 +70,19 @@ def test_empty(spark):
     df, _ = fixture(spark)
     assert result(df.limit(0)) == []
     assert all(r[1] == 0 for r in result(df.where("label is null")))
+
+
+def test_links_of_a_group_larger_than_the_window(spark):
+    """Thousands of distinct similar vectors, not all of them linked with one another."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(64)
+    spread = rng.uniform(0.01, 0.16, (3000, 1))
+    x = np.concatenate([centre + spread * rng.standard_normal((3000, 64)), rng.standard_normal((200, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").repartition(3)
+    x = x.astype(np.float64)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    expected = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert 1000 < expected.max() and expected[:3000].min() < expected.max() / 2
+    for rows in (embeddings.BLOCK_ROWS, 700):
+        got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, block_rows=rows).collect()}
+        assert [got[i] for i in range(3200)] == expected.tolist()
