@@ -4,7 +4,9 @@ Texts are normalised (lower case, no punctuation, no copyright lines) and compar
 2 |A and B| / (|A| + |B|) over sets of word bigrams, the whole text as well as each paragraph and each line
 of it, since notices stand inside longer documents. A score of t needs |A| between t / (2 - t) |B| and
 (2 - t) / t |B|: passages beyond these bounds of every template are not looked at, and templates beyond
-them are not compared. Templates are few and fixed; documents are scanned where they lie, without a shuffle.
+them are not compared. With ``inside``, which the query sets, windows of words anywhere in the text are
+compared too: where a text holds enough of a template's bigrams to reach t at all, the best end is taken for
+every start, and of the stretches that no reported one overlaps the most alike are reported. Templates are few and fixed; documents are scanned where they lie, without a shuffle.
 
 Edge cases: null and empty texts match nothing; ties go to the first name in order; repeated rows each get
 a row; extra columns are ignored; empty tables give empty results.
@@ -15,8 +17,10 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +60,15 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
 
 _COPYRIGHT = re.compile(r"^\W*copyright\s*(?:\(c\)|©|\d{4}).*$", re.IGNORECASE | re.MULTILINE)
 _SPLIT = re.compile(r"[^\w]+|_")
+_WORD = re.compile(r"[^\W_]+")
+
+
+def all_templates() -> dict[str, list[str]]:
+    """TEMPLATES and the full licence texts in ``license_texts``."""
+    out = {name: list(texts) for name, texts in TEMPLATES.items()}
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        out.setdefault(path.stem, []).append(path.read_text())
+    return out
 
 
 def normalised(text: str) -> list[str]:
@@ -123,16 +136,60 @@ class Matcher:
         found = [(*hit, a, b) for a, b in sorted(spans) if (hit := self.best(text[a:b]))]
         return sorted(found, key=lambda x: (x[2], -x[3]))
 
+    def held(self, grams: set) -> list[int]:
+        """Templates of which so many bigrams are there that a part of the text can reach the threshold."""
+        shared = Counter(i for g in grams & self.having.keys() for i in self.having[g])
+        return [i for i, n in shared.items() if n >= self.bounds(len(self.templates[i].grams))[0]]
+
+    def windows(self, text: str | None) -> list[tuple[str, float, int, int]]:
+        """The matches of scan and, where none of them is, windows of words that reach the threshold, most alike first."""
+        found = self.scan(text)
+        if not text or not (held := self.held(bigrams(normalised(text)))):
+            return found
+        plain = _COPYRIGHT.sub(lambda m: " " * len(m[0]), text) if "opyright" in text or "OPYRIGHT" in text else text
+        words = [(w, m.start(), m.end()) for m in _WORD.finditer(plain) for w in _SPLIT.split(m[0].lower()) if w]
+        grams = [(a[0], b[0]) for a, b in zip(words, words[1:])]
+        before, seen = np.empty(len(grams), np.int64), {}  # where the same bigram stood last
+        for p, g in enumerate(grams):
+            before[p] = seen.get(g, -1)
+            seen[g] = p
+        more = []
+        for i in held:
+            name, own = self.templates[i]
+            hit = np.fromiter((g in own for g in grams), bool, len(grams))
+            low, high = self.bounds(len(own))
+            for a in np.flatnonzero(hit).tolist():
+                size = 2 * int(high) + 2
+                while True:  # until the window holds more bigrams than can reach the threshold
+                    new = before[a : a + size] < a
+                    many = np.cumsum(new)
+                    if many[-1] > high or a + size >= len(grams):
+                        break
+                    size *= 2
+                shared = np.cumsum(new & hit[a : a + size])
+                if shared[-1] < low:
+                    continue
+                score = 2 * shared / (many + len(own))
+                e = int(score.argmax())
+                if score[e] >= self.threshold:
+                    more.append((name, float(score[e]), words[a][1], words[a + e + 1][2]))
+        taken = [(a, b) for _, _, a, b in found]
+        for hit in sorted(more, key=lambda x: (-x[1], x[2] - x[3], x[2], x[0])):
+            if all(hit[3] <= a or hit[2] >= b for a, b in taken):
+                found.append(hit)
+                taken.append(hit[2:])
+        return sorted(found, key=lambda x: (x[2], -x[3]))
+
 
-def scan_licenses(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, matches): every match of every whole text."""
+def scan_licenses(documents: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, inside: bool = False) -> DataFrame:
+    """(doc_id, matches): every match of every whole text; inside: of windows of words, too."""
     templates = dict(templates)
     kind = pa.list_(pa.struct([("license", pa.string()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, threshold)
         for batch in slices(batches):
-            found = [[{"license": n, "score": s, "start": a, "end": b} for n, s, a, b in matcher.scan(t)] for t in batch.column(1).to_pylist()]
+            found = [[{"license": n, "score": s, "start": a, "end": b} for n, s, a, b in (matcher.windows(t) if inside else matcher.scan(t))] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "matches"])
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

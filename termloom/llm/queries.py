@@ -14,7 +14,7 @@ SHARDS = [f"shard-{k:02d}" for k in range(48)]
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.summary(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+    return licenses.summary(licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.all_templates(), inside=True))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,19 @@ def test_summary(spark):
     out = {r.doc_id: tuple(r)[1:] for r in L.summary(L.scan_licenses(df)).collect()}
     assert out == {0: ("CC-BY-NC-4.0", 1.0, 2, "CC-BY-NC-4.0,MIT"), 1: (None, None, 0, ""), 2: (None, None, 0, "")}
     assert L.scan_licenses(df.limit(0)).collect() == []
+
+
+def test_licences_inside_longer_documents(spark):
+    """Several paragraphs of a notice, a notice in mid-line, and full texts are found where they stand."""
+    lines = lambda name: L.TEMPLATES[name][0].replace("MIT License\n", "").replace("\n", "\n\n")
+    filler = " ".join(f"word{i}" for i in range(3000))
+    around = "# A tool\n\nIt does this and that.\n\n{}\n\nSee the other files. " + filler
+    full = L.all_templates()
+    parts = {"MIT": lines("MIT"), "BSD-2-Clause": lines("BSD-2-Clause"), "ISC": lines("ISC"), "Apache-2.0": full["Apache-2.0"][-1].strip(), "GPL-2.0": full["GPL-2.0"][-1].strip(), "GPL-3.0": full["GPL-3.0"][-1].strip()}
+    texts = [around.format(p) for p in parts.values()] + ["Words come first. Licensed under CC BY 4.0. Words come last, and more of them.", "Nothing is licensed here.", "", None]
+    found = {r.doc_id: r.matches for r in L.scan_licenses(documents(spark, texts), full, inside=True).collect()}
+    for i, (name, part) in enumerate(parts.items()):
+        best = max(found[i], key=lambda m: m.end - m.start)
+        assert best.license == name and best.score > 0.95 and best.end - best.start > 0.95 * len(part)
+    assert [(m.license, m.score, texts[6][m.start : m.end]) for m in found[6]] == [("CC-BY-4.0", 1.0, "Licensed under CC BY 4.0")]
+    assert not any(found[i] for i in (7, 8, 9))
