@@ -89,3 +89,18 @@ def test_word_diff_of_equal_prefix_and_suffix(spark):
 def test_vietnamese_order_collates(spark):
     df = spark.createDataFrame([(1, "đế"), (2, "da"), (3, "ép"), (4, "em")], "id long, target_term string").withColumn("source_term", F.lit(""))
     assert [r.id for r in df.orderBy(*glossary.ordering("az_vi")).collect()] == [2, 1, 4, 3]
+
+
+def test_greedy_matching_query_reads_the_whole_table(spark):
+    from termloom.plans import memory_queries
+
+    path, best, expected = "/root/testdata/sf0.01", {}, []
+    for r in spark.read.parquet(f"{path}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").collect():
+        key = (r[0] % 200, r[1] % 9, r[2] % 9)
+        best[key] = max(best.get(key, 0), r[3])
+    used = set()
+    for (deck, a, b), score in sorted(((k, v) for k, v in best.items() if v >= 20), key=lambda x: (-x[1], x[0])):
+        if (deck, "a", a) not in used and (deck, "b", b) not in used:
+            used |= {(deck, "a", a), (deck, "b", b)}
+            expected.append((deck, a, b, score))
+    assert sorted(tuple(r) for r in memory_queries.QUERIES["j11_greedy_matching"](spark, path).collect()) == sorted(expected)
