@@ -116,7 +116,7 @@ QUERIES["f13_clean_target"] = lambda s, d: catalog.terms(s, d).select("id", X.cl
 ORACLES["f13_clean_target"] = B.with_(B.TERMS) + "SELECT id, CASE WHEN contains(target_term, ' ') THEN target_term WHEN contains(source_term, ' ') THEN source_term ELSE target_term END AS target FROM terms"
 QUERIES["f18_bilingual_split"] = lambda s, d: s.createDataFrame([("Final Inspection\nKiểm tra cuối",), ("Hình mũi - Toe shape",), ("Toe - Heel",)], "text string").select("text", X.split_bilingual(F.col("text")).alias("p")).select("text", "p.en", "p.vi")
 ORACLES["f18_bilingual_split"] = "SELECT * FROM (VALUES ('Final Inspection' || chr(10) || 'Kiểm tra cuối', 'Final Inspection', 'Kiểm tra cuối'), ('Hình mũi - Toe shape', 'Toe shape', 'Hình mũi'), ('Toe - Heel', NULL, NULL)) v(text, en, vi)"
-QUERIES["f24_spelling"] = lambda s, d: catalog.units(s, d).where("line_no < 3").select("doc_id", "line_no", F.md5(X.spelling(F.col("text"), ["kiểm tra", "an toàn"])).alias("text"))
+QUERIES["f24_spelling"] = lambda s, d: catalog.units(s, d).select("doc_id", "line_no", F.md5(X.spelling(F.col("text"), ["kiểm tra", "an toàn"])).alias("text"))
 QUERIES["f16_enforcement"] = lambda s, d: X.enforced(catalog.pairs(s, d).withColumn("k", F.col("conv_id") * 100 + F.col("turn")), "k", [{"term": "the", "target": "this", "synonyms": ["that"]}]).select("k", "replaced")
 lines("fil09_model_name", {"model": lambda: X.is_model_name(t())}, {
     "model": r"trim(text) <> '' AND NOT " + _MARKS + r" AND (regexp_matches(m, '(?i)^(?:model|mẫu|sample|hình\s*thể|style|code|art(?:icle)?)\s*[:#\-]?\s*([A-Z0-9\-./]+)$') OR regexp_matches(m, '(?i)^\(?[A-Z0-9]{5,8}[-_/]\d{3}\)?$') OR (regexp_matches(m, '\d') AND regexp_matches(m, '(?i)^\(?#?[A-Z0-9]{1,8}(?:[-_/.][A-Z0-9]{1,8})+\)?$')) OR (len(list_filter(u, lambda w: w IN (BRANDS))) > 0 AND len(list_filter(u, lambda w: NOT (w IN (BRANDS) OR regexp_matches(w, '^\d+$') OR regexp_matches(w, '^[IVXLCDM]+$') OR (regexp_matches(w, '\d') AND regexp_matches(w, '^[A-Z0-9\-./]+$')) OR (length(w) <= 4 AND regexp_matches(w, '^[A-Z0-9]+$'))))) = 0))".replace("BRANDS", ", ".join(f"'{b}'" for b in X.BRANDS)),

@@ -41,3 +41,14 @@ def test_enforcement(spark):
     df = spark.createDataFrame([(1, "hở keo ở mũi", "Glue gaps at toe"), (2, "hở keo", "bond gap here"), (3, "khác", "glue gap"), (4, None, None)], "k long, source string, target string")
     out = {r.k: (r.target, r.replaced) for r in X.enforced(df, "k", [{"term": "hở keo", "target": "bond gap", "synonyms": ["glue gap"]}]).collect()}
     assert out == {1: ("Bond gap at toe", 1), 2: ("bond gap here", 0), 3: ("glue gap", 0), 4: ("", 0)}
+
+
+def test_queries_without_sql_read_all_lines(spark):
+    from termloom import catalog
+    from termloom.plans import document_queries, more_queries
+
+    path = "/root/testdata/sf0.001"
+    units = catalog.units(spark, path)
+    assert document_queries.QUERIES["f24_spelling"](spark, path).count() == units.count()
+    plain = units.where(r"NOT text RLIKE '[^\\x00-\\x7F]'")
+    assert more_queries.QUERIES["m06_scoped_repair"](spark, path).agg({"units": "sum"}).first()[0] >= plain.count()
