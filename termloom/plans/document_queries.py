@@ -66,7 +66,7 @@ lines("fil18_metadata", {"metadata": lambda: L.is_metadata(t())}, {
 lines("f12_term_casing", {"cased": lambda: L.cased(F.replace(t(), F.lit("ß"), F.lit("ss")), F.lit(True))}, {
     "cased": "array_to_string(list_transform(regexp_split_to_array(trim(replace(text, 'ß', 'ss')), '\\s+'), lambda w, i: CASE WHEN upper(w) IN (" + ", ".join(f"'{a}'" for a in P.ACRONYMS) + ") THEN upper(w) WHEN regexp_matches(w, '\\d') OR regexp_matches(w, '^[A-Z0-9]+-[A-Z0-9\\-]+$') THEN w WHEN i = 1 THEN upper(substr(w, 1, 1)) || lower(substr(w, 2)) ELSE lower(w) END), ' ')",
 })
-QUERIES["fil13_bilingual"] = lambda s, d: s.createDataFrame([(x,) for x in ("Toe shape (Hình dạng mũi)", "Color matching-Phối màu liệu", "Check the gap")], "text string").unionByName(catalog.units(s, d).where("length(text) < 200").select("text")).withColumn("both", L.is_bilingual(t())).groupBy("both").agg(F.count("*").alias("n"))
+QUERIES["fil13_bilingual"] = lambda s, d: s.createDataFrame([(x,) for x in ("Toe shape (Hình dạng mũi)", "Color matching-Phối màu liệu", "Check the gap")], "text string").unionByName(catalog.units(s, d).select("text")).withColumn("both", L.is_bilingual(t())).groupBy("both").agg(F.count("*").alias("n"))
 QUERIES["f09_punctuation"] = lambda s, d: catalog.units(s, d).select("doc_id", "line_no", F.md5(L.punctuated(t())).alias("text"))
 QUERIES["j12_pair_verdict"] = lambda s, d: catalog.pairs(s, d).select(L.pair_verdict(F.col("source"), F.col("target")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 FORMULAS = ["A1+B2", "SUM(B1:C3)", "$B$1", "Other!B1", "LOG10(B1)"]

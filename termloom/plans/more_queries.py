@@ -87,7 +87,6 @@ def ladder(s, d):
 _ADJ = "adj AS (" + MQ.ORACLES["j07_adjacent_pairs"].split(MQ.SIDED + "\n")[-1] + ")"
 add("prj02_presentation_ladder", ladder, "SELECT CASE WHEN status IN ('NEEDS_TRANSLATION', 'NEEDS_REVIEW') AND EXISTS (SELECT 1 FROM adj WHERE adj.doc_id = c.doc_id AND (adj.first = c.line_no OR adj.second = c.line_no)) THEN 'BILINGUAL' ELSE status END AS status, count(*) AS n FROM classified c GROUP BY 1", B.UNITS, MQ.SIDED, AQ.CLASSIFIED, _ADJ)
 offline = I.Offline({"of the": "du"}, AQ.WORDS)
-ascii_units = lambda s, d: catalog.units(s, d).where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-add("m01_m02_provider", lambda s, d: I.translate(ascii_units(s, d), "text", offline).groupBy("origin").agg(F.count("*").alias("n")))
-add("m06_scoped_repair", lambda s, d: I.translate(ascii_units(s, d), "text", offline, I.Offline({}, {})).groupBy("doc_id").agg(F.count("*").alias("units"), F.count("target").alias("done")))
+add("m01_m02_provider", lambda s, d: I.translate(catalog.units(s, d), "text", offline).groupBy("origin").agg(F.count("*").alias("n")))
+add("m06_scoped_repair", lambda s, d: I.translate(catalog.units(s, d), "text", offline, I.Offline({}, {})).groupBy("doc_id").agg(F.count("*").alias("units"), F.count("target").alias("done")))
 add("m07_chunked_verdicts", lambda s, d: catalog.units(s, d).withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1) / 5)).groupBy("doc_id", "chunk").agg(F.count("*").alias("units")), "SELECT doc_id, (r - 1) // 5 AS chunk, count(*) AS units FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM units) GROUP BY 1, 2", B.UNITS)
