@@ -13,6 +13,7 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -27,10 +28,12 @@ from .common import shuffle_partitions, slices, stored
 from .words import M2, mix, powers
 
 CAPACITY = 4096
-#: Distinct words (about 200 bytes each) whose tokens a worker remembers.
-CACHE_WORDS = 1_000_000
-#: Source groups that the local search tries at most.
-STEPS = 3000
+#: Bytes that a worker spends on remembering the tokens of words, about: WORD_BYTES and both texts for each.
+CACHE_BYTES = 72 << 20
+WORD_BYTES = 190
+#: Exchanges that add less than this share of the squared fill of as many full bins as are still above the lower bound
+#: are not made: the search has converged.
+LEAST_GAIN = 1e-5
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -52,13 +55,23 @@ def _classes() -> np.ndarray:
     return np.array(kinds + [3] * (0x10000 - 0x370), np.uint8)
 
 
+def _same(codes: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each stretch of codes equals the one of number like."""
+    length = end - start
+    if (length != length[like]).any():
+        return False
+    inside = np.arange(int(length.sum()), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
+    return bool((codes[np.repeat(start.astype(np.int32), length) + inside] == codes[np.repeat(start[like].astype(np.int32), length) + inside]).all())
+
+
 class WordCache(dict):
     """Little-endian ids of pre-tokens, which this tokenizer encodes each by itself.
 
     Texts of Latin letters (all code points below U+0250, which are in normal form C) are split here, many at
-    once: pre-tokens are runs of letters, runs of other marks, and single numbers. They are told apart by 64-bit
-    hashes, and each new one goes to the BPE model. Texts with apostrophes, which may begin contractions, are
-    split by a pattern; texts of other scripts at white space, and each new part goes through the whole tokenizer.
+    once: pre-tokens are runs of letters, runs of other marks, and single numbers. They are grouped by 64-bit
+    hashes, each occurrence is compared with the first one of its group, and new ones go to the BPE model. Texts
+    with apostrophes, which may begin contractions, are split by a pattern; texts of other scripts at white space,
+    and each new part goes through the whole tokenizer.
     """
 
     #: The tokenizer's pre-tokens for Latin texts, in lower case.
@@ -67,7 +80,7 @@ class WordCache(dict):
     OTHER = re.compile(r"[^\x00-\u024f]|[\x1c-\x1f]|<\|")
     LETTERS = _byte_letters()
     CLASSES = _classes()
-    CHUNK = 1 << 20
+    CHUNK = 1 << 17
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -75,18 +88,19 @@ class WordCache(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.bytes = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, key: str | tuple[str]) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        word = key[0] if isinstance(key, tuple) else key
+        out = self.whole(word) if isinstance(key, tuple) else self.encoded(word)
+        if self.bytes >= CACHE_BYTES:
             self.clear()
-        if isinstance(key, tuple):
-            out = self.whole(key[0])
-        else:
-            out = self.encoded(key)
+            self.bytes = 0
         self[key] = out
+        self.bytes += WORD_BYTES + len(word) + len(out)
         return out
 
     def many(self, texts: list[str]) -> list[bytes]:
@@ -117,15 +131,12 @@ class WordCache(dict):
         up, down = powers(len(codes))
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-        hashed, first, which_one = np.unique(mix((sums[end] - sums[start]) * down[start] + M2), return_index=True, return_inverse=True)
-        ids = []
-        for h, a, b in zip(hashed.tolist(), start[first].tolist(), end[first].tolist()):
-            known = self.get(h)
-            if known is None:
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                known = self[h] = self.encoded(joined[a:b])
-            ids.append(known)
+        _, first, which_one = np.unique(mix((sums[end] - sums[start]) * down[start] + M2), return_index=True, return_inverse=True)
+        if not _same(codes, start, end, first[which_one]):  # two words of one hash
+            for i in which:
+                out[i] = self.text_ids(texts[i])
+            return
+        ids = [self[joined[a:b]] for a, b in zip(start[first].tolist(), end[first].tolist())]
         pool = np.frombuffer(b"".join(ids), "<u4")
         length = np.array([len(x) // 4 for x in ids], np.int64)
         place = np.cumsum(length) - length
@@ -140,7 +151,7 @@ class WordCache(dict):
     def encoded(self, word: str) -> bytes:
         """Ids of a pre-token, by the model."""
         written = word.encode().decode("latin-1").translate(self.LETTERS)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
+        return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
 
     def text_ids(self, text: str) -> bytes:
         if not self.OTHER.search(text):
@@ -201,17 +212,39 @@ def fill(histogram: dict[int, int], capacity: int) -> Counter:
     return bins
 
 
-def _exchange(source: tuple, items: np.ndarray, free: np.ndarray, fills: np.ndarray, capacity: int):
-    """The best exchange for one bin: (given pieces, row of items: the target and the piece it gives back, 0 for none)."""
+def _sums(source: tuple, pairs: bool) -> tuple[np.ndarray, list[tuple]]:
+    """Sorted totals of single pieces, or of two, that a bin can give, and such pieces."""
+    have = Counter(source)
+    values = np.array(sorted(have), np.int64)
+    if not pairs:
+        return values, [(int(v),) for v in values]
+    i, j = np.triu_indices(len(values))
+    twice = np.array([have[int(v)] > 1 for v in values], bool)
+    there = (i != j) | twice[i]
+    totals, first = np.unique((values[i] + values[j])[there], return_index=True)
+    return totals, [(int(a), int(b)) for a, b in zip(values[i[there][first]], values[j[there][first]])]
+
+
+def _exchange(source: tuple, items: np.ndarray, fills: np.ndarray, many: np.ndarray, least: float, capacity: int):
+    """The best exchange for one bin: (given pieces, row of items: the target and the piece it gives back, 0 for none).
+
+    many: how many bins of a row's group take part, 0 for none; less than least gained by them all is nothing.
+
+    A target gains the most from the largest total that it can take, so one binary search for each row finds it.
+    """
     have, best = sum(source), (0, None, None)
-    singles = sorted(set(source))
-    pairs = sorted({a + b: (a, b) for i, a in enumerate(source) for b in source[i + 1 :]}.items()) if len(source) < 40 else []
-    for total, given in [*((x, (x,)) for x in singles), *pairs]:
-        delta = total - items
-        gain = np.where((delta > 0) & (delta <= free) & (fills + delta > have) & ((items > 0) | (len(given) == 1)), delta * (fills - have + delta), 0)
+    for pairs in (False, True):
+        totals, given = _sums(source, pairs)
+        place = np.searchsorted(totals, items + capacity - fills, "right") - 1
+        delta = np.where(place >= 0, totals[place] if len(totals) else 0, 0) - items
+        fits = (many > 0) & (place >= 0) & (delta > 0) & (fills + delta > have)
+        if pairs:
+            fits &= items > 0
+        gain = np.where(fits, 2 * delta * (fills - have + delta), 0)
+        gain[gain * many < least] = 0
         at = int(gain.argmax()) if len(gain) else 0
         if len(gain) and gain[at] > best[0]:
-            best = (int(gain[at]), given, at)
+            best = (int(gain[at]), given[place[at]], at)
     return best[1], best[2]
 
 
@@ -222,39 +255,66 @@ def _without(contents: tuple, out: tuple, add: tuple) -> tuple:
     return tuple(sorted(have.elements(), reverse=True))
 
 
-def improve(bins: Counter, capacity: int, steps: int = STEPS) -> Counter:
-    """Local search over groups of equal bins, emptiest first."""
+class _Open:
+    """Groups of equal underfull bins, with a row for each piece that one may give back (0: none)."""
+
+    def __init__(self, bins: Counter, capacity: int):
+        self.capacity, self.groups, self.number = capacity, [], {}
+        self.which = self.items = self.fills = np.zeros(0, np.int64)
+        self.many = np.zeros(0, np.int64)  # by group
+        self.set({b: n for b, n in bins.items() if n})
+
+    def set(self, new: dict[tuple, int]) -> None:
+        """Groups now have so many bins."""
+        rows, count = [], []
+        for b, n in new.items():
+            if b in self.number:
+                self.many[self.number[b]] = n
+            elif (fill := sum(b)) < self.capacity and n:
+                self.number[b] = len(self.groups)
+                rows += [(len(self.groups), y, fill) for y in (0, *sorted(set(b)))]
+                self.groups.append(b)
+                count.append(n)
+        if rows:
+            which, items, fills = np.array(rows, np.int64).T
+            self.which, self.items, self.fills = np.append(self.which, which), np.append(self.items, items), np.append(self.fills, fills)
+            self.many = np.append(self.many, np.array(count, np.int64))
+
+
+def improve(bins: Counter, capacity: int) -> Counter:
+    """Local search over groups of equal bins, emptiest first, until bins are as few as can be or no exchange helps."""
     bins = Counter({k: n for k, n in bins.items() if n})
-
-    def targets():
-        open_ = [b for b in bins if sum(b) < capacity]
-        flat = [(i, y) for i, b in enumerate(open_) for y in (0, *sorted(set(b)))]
-        which = np.array([i for i, _ in flat], np.int64)
-        fills = np.array([sum(b) for b in open_], np.int64)
-        return open_, which, np.array([y for _, y in flat], np.int64), fills[which] if len(flat) else which
-
-    tried: set = set()
-    view = targets()
-    for _ in range(steps):
-        open_, which, items, fills = view
-        sources = [b for b in open_ if b not in tried and bins[b]]
-        if not sources:
-            break
-        source = min(sources, key=lambda b: (sum(b), b))
-        live = np.array([b != source and bins[b] > 0 for b in open_])[which]
-        given, at = _exchange(source, np.where(live, items, 1 << 40), capacity - fills, fills, capacity)
-        if given is None:
-            tried.add(source)
-            continue
-        target, back = open_[which[at]], (int(items[at]),) if items[at] else ()
-        many = min(bins[source], bins[target])
-        for old, new in ((source, _without(source, given, back)), (target, _without(target, back, given))):
-            bins[old] -= many
-            if new:
-                bins[new] += many
-        bins = Counter({k: n for k, n in bins.items() if n})
-        view = targets()
-    return bins
+    tokens = sum(sum(b) * n for b, n in bins.items())
+    fewest, changed = -(-tokens // capacity), True
+    while changed:
+        changed, open_, total = False, _Open(bins, capacity), sum(bins.values())
+        heap = [(sum(b), b) for b in open_.groups]
+        heapq.heapify(heap)
+        while heap and total > fewest:
+            source = heapq.heappop(heap)[1]
+            if not bins[source]:
+                continue
+            many = np.minimum(open_.many, bins[source])
+            many[open_.number[source]] = 0
+            given, at = _exchange(source, open_.items, open_.fills, many[open_.which], LEAST_GAIN * (total - fewest) * capacity**2, capacity)
+            if given is None:
+                continue
+            changed = True
+            target, back = open_.groups[open_.which[at]], (int(open_.items[at]),) if open_.items[at] else ()
+            times, touched = min(bins[source], bins[target]), {source, target}
+            for old, new in ((source, _without(source, given, back)), (target, _without(target, back, given))):
+                bins[old] -= times
+                if new:
+                    bins[new] += times
+                    touched.add(new)
+                    if sum(new) < capacity:
+                        heapq.heappush(heap, (sum(new), new))
+                else:
+                    total -= times
+            open_.set({b: bins[b] for b in touched})
+            if bins[source]:
+                heapq.heappush(heap, (sum(source), source))
+    return +bins
 
 
 def placement(bins: Counter) -> np.ndarray:
@@ -271,7 +331,7 @@ def placement(bins: Counter) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (pieces, with any further columns) with sequence_id and offset."""
     spark = cut.sparkSession
     salts = shuffle_partitions(spark)
@@ -279,7 +339,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataFr
     table = stored(cut.withColumn("_row", row).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")), "pieces")
     counts = table.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(placement(improve(fill(histogram, capacity), capacity, steps)))
+    plan = spark.sparkContext.broadcast(placement(improve(fill(histogram, capacity), capacity)))
 
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))

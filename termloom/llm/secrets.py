@@ -58,6 +58,14 @@ RULES = (
 
 #: Strings that are followed at once, at most; a longer list counts as unknown.
 _MOST = 64
+#: Trigrams of texts are looked up in a table of so many bits before they are compared.
+HASH_BITS = 16
+#: Bytes of texts whose trigrams are looked up at once.
+BLOCK = 1 << 18
+
+
+def _slot(gram: np.ndarray) -> np.ndarray:
+    return gram * np.uint32(0x9E3779B1) >> np.uint32(32 - HASH_BITS)
 
 
 def _of_strings(strings) -> tuple | None:
@@ -146,21 +154,22 @@ class Scanner:
         self.rules = [(r, re.compile(r.pattern, r.flags), trigram_query(r.pattern, r.flags)) for r in rules]
         grams = sorted(g for g in set().union(*(_leaves(q) for _, _, q in self.rules)) if g.isascii())
         self.column = {g: i for i, g in enumerate(grams)}
-        self.table = np.full(1 << 24, -1, np.int16)
-        for g, i in self.column.items():
-            a, b, c = g.encode()
-            self.table[a << 16 | b << 8 | c] = i
+        self.grams = np.array([int.from_bytes(g.encode()) for g in grams], np.uint32)
+        self.maybe = np.zeros(1 << HASH_BITS, bool)
+        self.maybe[_slot(self.grams)] = True
 
     def postings(self, texts: list[bytes]) -> np.ndarray:
         """A row of bits for each text, a column for each trigram of the queries."""
         bits = np.zeros((len(texts), len(self.column)), bool)
         ends = np.cumsum([len(t) for t in texts])
         raw = np.frombuffer(b"".join(texts).lower(), np.uint8)
-        for at in range(0, max(0, len(raw) - 2), 1 << 22):  # in blocks, for bounded memory
-            x = raw[at : at + (1 << 22) + 2].astype(np.uint32)
-            column = self.table[x[:-2] << 16 | x[1:-1] << 8 | x[2:]]
-            (where,) = np.nonzero(column >= 0)
-            bits[np.searchsorted(ends, where + at, "right"), column[where]] = True
+        for at in range(0, max(0, len(raw) - 2) if len(self.grams) else 0, BLOCK):
+            x = raw[at : at + BLOCK + 2].astype(np.uint32)
+            gram = x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]
+            where = np.flatnonzero(self.maybe[_slot(gram)])
+            column = np.searchsorted(self.grams, gram[where]).clip(max=len(self.grams) - 1)
+            real = self.grams[column] == gram[where]
+            bits[np.searchsorted(ends, where[real] + at, "right"), column[real]] = True
         return bits
 
     def candidates(self, query, bits: np.ndarray) -> np.ndarray:
