@@ -26,11 +26,24 @@ WITH d AS (
 ), i AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
+), post AS (
+  SELECT doc_id, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM d
+), cf AS (
+  SELECT term, count(*) AS cf FROM post GROUP BY term
+), t AS (
+  SELECT phrase, term, row_number() OVER (PARTITION BY phrase ORDER BY coalesce(cf, 0), off) AS r, min(coalesce(cf, 0)) OVER (PARTITION BY phrase) AS least
+  FROM (SELECT phrase, unnest(string_split(phrase, ' ')) AS term, unnest(range(0, len(string_split(phrase, ' ')))) AS off FROM (SELECT DISTINCT phrase FROM bw)) LEFT JOIN cf USING (term)
+), q AS (
+  SELECT DISTINCT item_id, a.term AS t1, b.term AS t2 FROM t a JOIN t b USING (phrase) JOIN bw USING (phrase) WHERE a.r = 1 AND b.r = 2 AND a.least > 0
+), nr AS (
+  SELECT x.doc_id, count(DISTINCT q.item_id) AS n_near
+  FROM q JOIN post x ON x.term = q.t1 JOIN post y ON y.doc_id = x.doc_id AND y.term = q.t2 AND abs(x.pos - y.pos) BETWEEN 1 AND 13 GROUP BY x.doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
 
 OP4 = """

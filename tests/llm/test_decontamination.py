@@ -73,6 +73,32 @@ def test_decontaminate_keeps_columns_and_clean_rows(spark):
 def test_proximity(spark):
     docs = documents(spark, ["rare1 x x x rare2", "rare1 " + "x " * 9 + "rare2", "rare2 rare1"])
     windows = D.item_windows(spark.createDataFrame([(1, "rare1 x rare2")], "item_id long, text string"))
-    queries = D.query_windows(windows, D.term_frequencies(docs, windows.selectExpr("explode(win) as term").distinct()))
-    index = D.positional_index(docs, queries.select("term").distinct())
+    index = D.positional_index(docs, windows.selectExpr("explode(win) as term").distinct())
+    queries = D.query_windows(windows, D.term_frequencies(index))
     assert {(r.doc_id, r.distance) for r in D.proximity_matches(index, queries, 5).collect()} == {(0, 4), (2, 1)}
+
+
+def test_proximity_brute_force(spark):
+    docs, benchmark = fixture(spark)
+    rows = [(r.doc_id, words(r.text)) for r in docs.collect()]
+    cf = {}
+    for _, w in rows:
+        for x in w:
+            cf[x] = cf.get(x, 0) + 1
+    pairs = set()
+    for i, text in [tuple(r) for r in benchmark.collect()]:
+        w = words(text)
+        for s in range(max(1, len(w) - 12) if w and i is not None else 0):
+            win = w[s : s + 13]
+            by = sorted((cf.get(x, 0), k, x) for k, x in enumerate(win))
+            if by[0][0] and len(by) > 1:
+                pairs.add((i, by[0][2], by[1][2]))
+    expected = []
+    for doc, w in rows:
+        at = {}
+        for p, x in enumerate(w):
+            at.setdefault(x, []).append(p)
+        expected.append((doc, len({i for i, a, b in pairs if any(0 < abs(p - q) <= 13 for p in at.get(a, ()) for q in at.get(b, ()))})))
+    got = [(r.doc_id, r.n_near) for r in D.contamination(docs, benchmark, near=13).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert sum(n for _, n in got) > 0
