@@ -1,8 +1,9 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
-``fit`` counts n-grams of a bounded sample of labelled texts (``SAMPLE_ROWS``), per language and bucket,
-and makes a matrix of log probabilities whose size is set by the buckets and the number of languages;
-the matrix is broadcast. ``predict`` scores Arrow batches in numpy: the n-grams of a chunk of texts are
+``fit`` counts the labelled rows of every language, then the n-grams of a bounded sample of them
+(``SAMPLE_ROWS``, of which each language has an equal share, so rare ones are learned, too), per language and
+bucket, and makes a matrix of log probabilities whose size is set by the buckets and the number of languages
+(the ``MOST_LANGUAGES`` most frequent); the matrix is broadcast. ``predict`` scores Arrow batches in numpy: the n-grams of a chunk of texts are
 hashed at once and each language's log probabilities are gathered and summed per text. Nothing is shuffled.
 
 Texts are lower-cased, runs of other characters than letters become one boundary. Every whole text is read.
@@ -91,38 +92,37 @@ def hashed_grams(texts: list[str], letters: _Letters) -> tuple[np.ndarray, list[
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from rows (doc_id, text, lang) with both; about sample_rows of them are read."""
+    """A model from rows (doc_id, text, lang) with both; of about sample_rows of them the n-grams are counted."""
     labelled = labelled.where("text is not null and lang is not null")
-    total = labelled.count()
-    if total > sample_rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1e6 * sample_rows / total))
+    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    if not totals:
+        return Model([], np.zeros(0), np.zeros((0, BUCKETS), np.float32))
+    share = -(-sample_rows // len(totals))
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, share / n)) for k, n in totals.items()], "lang string, part double")
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("part") * 1_000_000
+    labelled = labelled.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang").where(drawn)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, docs, letters = defaultdict(lambda: np.zeros(BUCKETS, np.int64)), defaultdict(int), _Letters()
+        found, letters = defaultdict(lambda: np.zeros(BUCKETS, np.int64)), _Letters()
         for batch in slices(batches):
             by = defaultdict(list)
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by[lang].append(text)
             for lang, texts in by.items():
-                docs[lang] += len(texts)
                 for a, b in _chunks(texts):
                     for h in hashed_grams(texts[a:b], letters)[1]:
                         found[lang] += np.bincount(h, minlength=BUCKETS)
         for lang, n in found.items():
             (where,) = np.nonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(where) + 1)), pa.array([-1, *where.tolist()], pa.int32()), pa.array([docs[lang], *n[where].tolist()], pa.int64())], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), pa.array(where.astype(np.int32)), pa.array(n[where])], ["lang", "bucket", "n"])
 
     counts = labelled.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counts.toArrow()  # at most languages x buckets
-    languages = sorted(set(rows["lang"].to_pylist()))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a matrix of {MOST_LANGUAGES} is the limit")
-    if not languages:
-        return Model([], np.zeros(0), np.zeros((0, BUCKETS), np.float32))
-    which = np.searchsorted(np.array(languages, object), np.array(rows["lang"].to_pylist(), object)).astype(np.int64)
-    matrix = np.zeros((len(languages), BUCKETS + 1))
-    np.add.at(matrix, (which, rows["bucket"].to_numpy()), rows["n"].to_numpy())  # bucket -1: the last column, documents
-    docs, matrix = matrix[:, -1], matrix[:, :-1] + 0.5
+    languages = sorted(totals)
+    place = {lang: i for i, lang in enumerate(languages)}
+    matrix = np.full((len(languages), BUCKETS), 0.5)
+    np.add.at(matrix, (np.array([place[x] for x in rows["lang"].to_pylist()], np.int64), rows["bucket"].to_numpy()), rows["n"].to_numpy())
+    docs = np.array([totals[x] for x in languages], float)
     return Model(languages, np.log(docs / docs.sum()), np.log(matrix / matrix.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
@@ -147,12 +147,12 @@ def score(model: Model, texts: list[str | None], letters: _Letters) -> tuple[lis
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(tuple(model))  # plain values: workers need no copy of this package
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = _Letters()
+        letters, model = _Letters(), Model(*shared.value)
         for batch in slices(batches):
-            names, best = score(shared.value, batch.column(1).to_pylist(), letters)
+            names, best = score(model, batch.column(1).to_pylist(), letters)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(best, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
@@ -160,12 +160,12 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
 def keep_known(documents: DataFrame, model: Model) -> DataFrame:
     """documents, with their columns, whose language is known."""
-    shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
+    shared, at = documents.sparkSession.sparkContext.broadcast(tuple(model)), documents.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = _Letters()
+        letters, model = _Letters(), Model(*shared.value)
         for batch in slices(batches):
-            names, _ = score(shared.value, batch.column(at).to_pylist(), letters)
+            names, _ = score(model, batch.column(at).to_pylist(), letters)
             yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)
