@@ -5,8 +5,8 @@ training counts; other words are an escape symbol, their bytes (a second Huffman
 Every branching of a code is a binary decision, predicted in three ways: by the branching alone, and by two
 hashed contexts (the class of the word before, of the two words before; inside spelled words the two and the
 four bytes before), each a slot of a table of counts. The predictions' logits are combined with weights that
-a gate selects by how often both contexts were seen; each document starts from weights learned over the
-training texts and refines them as it is read, in steps of ``STEP`` symbols. Costs of all decisions add up to
+a gate selects by how often both contexts were seen; the gates' weights are learned over the training texts, and
+each document refines them as it is read, by what it adds to each prediction's weight, in steps of ``STEP`` symbols. Costs of all decisions add up to
 the text's probability, hence bits per byte.
 
 Learning: word counts and context tables are counted over all training texts, by task, and summed in
@@ -15,8 +15,8 @@ all training decisions, each predicted by tables from which it is taken out itse
 ``KNOWN`` most frequent words' counts, and the tables. Rarer words of each text get their counts by a join.
 Numpy handles chunks of documents step by step side by side; a score depends on the model and the text only.
 
-Words are told apart by 64-bit hashes (56 bits and a suffix class) that numpy computes for a chunk of texts at
-once: N words make about N^2 / 2^57 clashes.
+Words are told apart by 64-bit hashes that numpy computes for a chunk of texts at once: N distinct words make
+about N^2 / 2^65 clashes, so ten billion words some two or three.
 
 Edge cases: null text is empty (one end token); without training texts all counts are zero; repeated rows
 each get a row; empty tables give empty results; extra columns are ignored.
@@ -31,7 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +44,11 @@ TABLE_BITS = 20
 STEP = 4
 FLUSH_WORDS = 4_000_000
 PIECE = 1 << 15
-RATE = np.float32(0.002)
+#: Decisions that are counted at once.
+FLUSH_DECISIONS = 1 << 21
+#: Sums of the tables are first made apart for so many groups of tasks.
+SALTS = 16
+RATE = np.float32(0.004)
 GATES = 32
 PAIRS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
 PRIOR = 100.0  # decisions' worth of trust in the constants that learning starts from
@@ -57,7 +61,8 @@ class Tokens(NamedTuple):
     raw: np.ndarray  # bytes, lower case
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray  # the lowest 8 bits are the class of the last two bytes
+    hash: np.ndarray
+    kind: np.ndarray  # class of the last two bytes, below 256
     count: np.ndarray  # by text
 
 
@@ -72,7 +77,7 @@ def tokens(texts: list[bytes | None]) -> Tokens:
     hashed[place] = w.hash
     last = np.zeros(total, np.uint64)
     last[place] = w.raw[w.end - 1] * np.uint64(131) + np.where(w.end - w.start > 1, w.raw[np.maximum(w.end - 2, 0)], 0)
-    return Tokens(w.raw, start, end, hashed & ~np.uint64(255) | mix(last) & np.uint64(255), count)
+    return Tokens(w.raw, start, end, hashed, (mix(last) & np.uint64(255)).astype(np.uint32), count)
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -155,7 +160,6 @@ class Code(NamedTuple):
     starts: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    rest: np.ndarray  # what a symbol costs outside of its decisions: nothing
     logits: np.ndarray
     escape: int
 
@@ -167,24 +171,28 @@ def code(words: np.ndarray, counts: np.ndarray, outside: int, octets: np.ndarray
     order = np.argsort(words)
     both = lambda name: np.concatenate([getattr(first, name), getattr(second, name)])
     nodes = np.concatenate([first.nodes, second.nodes + np.uint32(len(first.logits))])
-    return Code(words[order], order, lengths, np.cumsum(lengths) - lengths, nodes, both("bits"), np.zeros(len(lengths)), both("logits"), len(words))
+    return Code(words[order], order, lengths, np.cumsum(lengths) - lengths, nodes, both("bits"), both("logits"), len(words))
 
 
 class Stream(NamedTuple):
-    """Decisions of a chunk of documents in reading order, step by step: document, node, bit and both slots; rest: cost besides them by document."""
+    """Decisions of a chunk of documents, in reading order or step by step: node, bit and both slots."""
 
-    doc: np.ndarray
     node: np.ndarray
     bit: np.ndarray
     slots: tuple[np.ndarray, np.ndarray]
     spelled: np.ndarray
-    steps: np.ndarray  # where each step ends
-    rest: np.ndarray
+    runs: np.ndarray  # how many decisions each document has in each step, by step and document; none left out
+    owner: np.ndarray  # a run's document
+    steps: np.ndarray  # the number of runs up to each step's end
 
 
 def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    x = (context ^ node) * np.uint32(2246822519)
-    return (x ^ x >> np.uint32(15)) * np.uint32(3266489917) >> np.uint32(32 - TABLE_BITS)
+    x = context ^ node
+    x *= np.uint32(2246822519)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(3266489917)
+    x >>= np.uint32(32 - TABLE_BITS)
+    return x
 
 
 def _mix(a, b) -> np.ndarray:
@@ -192,13 +200,14 @@ def _mix(a, b) -> np.ndarray:
     return (x ^ x >> np.uint32(16)) * np.uint32(0x85EBCA6B)
 
 
-def stream(t: Tokens, c: Code, find: Lookup) -> Stream:
+def stream(t: Tokens, c: Code, find: Lookup, stepwise: bool = True) -> Stream:
+    """stepwise: every document's first symbols before any document's next ones."""
     n = len(t.count)
     doc = np.repeat(np.arange(n), t.count)
     at, known = find.find(t.hash)
     symbol = np.where(known, np.append(c.ranks, c.escape)[at], c.escape)
     # a word's context: its rank among the most frequent, else the class of its end
-    kind = np.where(symbol < 256, symbol + 256, (t.hash & np.uint64(255)).astype(np.int64)).astype(np.uint32)
+    kind = np.where(symbol < 256, (symbol + 256).astype(np.uint32), t.kind)
     begin = np.cumsum(t.count) - t.count
     before, before2 = np.roll(kind, 1), np.roll(kind, 2)
     before[begin] = 999
@@ -233,19 +242,24 @@ def stream(t: Tokens, c: Code, find: Lookup) -> Stream:
         near = past[0] | past[1] << np.uint32(9)
         contexts[0][spelled] = _mix(near, np.uint32(11))
         contexts[1][spelled] = _mix(_mix(near, past[2] | past[3] << np.uint32(9)), np.uint32(13))
-    owner = np.repeat(doc, sizes)
-    per_doc = np.bincount(owner, minlength=n)
-    step = (np.arange(total) - (np.cumsum(per_doc) - per_doc)[owner]) // STEP
-    order = np.argsort(step.astype(np.uint16 if total < STEP << 16 else np.int64), kind="stable")  # of 16 bits: a radix sort
-    rest = np.bincount(owner, weights=c.rest[symbols], minlength=n)
-    symbols, owner, step = symbols[order], owner[order], step[order]
+    runs, owner, steps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if stepwise:
+        doc = np.repeat(doc, sizes)
+        per_doc = np.bincount(doc, minlength=n)
+        step = (np.arange(total) - (np.cumsum(per_doc) - per_doc)[doc]) // STEP
+        order = np.argsort(step.astype(np.uint16 if total < STEP << 16 else np.int64), kind="stable")  # of 16 bits: a radix sort
+        symbols, spelled, doc, step = symbols[order], spelled[order], doc[order], step[order]
+        contexts = [x[order] for x in contexts]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (step[1:] != step[:-1])]))
+        runs, owner = np.add.reduceat(c.lengths[symbols], first), doc[first]
+        steps = np.cumsum(np.bincount(step[first]))
     length = c.lengths[symbols]
-    index = np.repeat(c.starts[symbols] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-    node, expand = c.nodes[index], np.repeat(np.arange(total), length)
+    index = np.repeat((c.starts[symbols] - (np.cumsum(length) - length)).astype(np.int32), length)
+    index += np.arange(len(index), dtype=np.int32)
+    node = c.nodes[index]
     scattered = node * np.uint32(2654435761)
-    steps = np.cumsum(np.bincount(step, weights=length)).astype(np.int64)
-    slots = tuple(_slot(x[order][expand], scattered) for x in contexts)
-    return Stream(owner[expand], node, c.bits[index], slots, spelled[order][expand], steps, rest)
+    slots = tuple(_slot(np.repeat(x, length), scattered) for x in contexts)
+    return Stream(node, c.bits[index], slots, np.repeat(spelled, length), runs, owner, steps)
 
 
 def context_counts(documents: DataFrame, shared: Broadcast) -> np.ndarray:
@@ -254,41 +268,59 @@ def context_counts(documents: DataFrame, shared: Broadcast) -> np.ndarray:
     cells = 2 << TABLE_BITS
 
     def run(batches):
-        tables, seen, find = np.zeros((2, cells), np.int64), False, Lookup(shared.value.words)
+        tables, find, c = np.zeros((2, cells), np.int64), Lookup(shared.value[0]), Code(*shared.value)
+        held, size, seen = ([], []), 0, False
+
+        def flush():
+            for k in range(2):
+                if held[k]:
+                    tables[k] += np.bincount(np.concatenate(held[k]), minlength=cells)
+                held[k].clear()
+
         for batch in slices(batches):
             for _, texts in chunks(_texts(batch)):
-                s, seen = stream(tokens(texts), shared.value, find), True
+                s, seen = stream(tokens(texts), c, find, stepwise=False), True
                 for k in range(2):
-                    tables[k] += np.bincount(s.slots[k].astype(np.int64) * 2 + s.bit, minlength=cells)
+                    held[k].append((s.slots[k] << np.uint32(1) | s.bit).astype(np.int32))
+                size += len(s.bit)
+                if size > FLUSH_DECISIONS:
+                    flush()
+                    size = 0
+        flush()
+        salt = TaskContext.get().partitionId() % SALTS
         for i, part in enumerate(tables.reshape(-1, PIECE) if seen else ()):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["piece", "data"])
+            yield piece_of(i, salt, part)
+
+    def piece_of(i, salt, part):
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["piece", "salt", "data"])
 
     def add(batches):
-        piece, total = None, None
+        key, total = None, None
         for batch in batches:
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for *at, data in zip(*(batch.column(c).to_pylist() for c in ("piece", "salt", "data"))):
                 part = np.frombuffer(zlib.decompress(data), np.int64)
-                if i == piece:
+                if at == key:
                     total += part
                     continue
-                if piece is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["piece", "data"])
-                piece, total = i, part.copy()
-        if piece is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["piece", "data"])
-
-    parts = documents.select("text").mapInArrow(run, "piece int, data binary")
-    summed = parts.repartition(shuffle_partitions(spark), "piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, data binary")
+                if key is not None:
+                    yield piece_of(*key, total)
+                key, total = at, part.copy()
+        if key is not None:
+            yield piece_of(*key, total)
+
+    form, n = "piece int, salt int, data binary", shuffle_partitions(spark)
+    parts = documents.select("text").mapInArrow(run, form)
+    parts = parts.repartition(n, "piece", "salt").sortWithinPartitions("piece", "salt").mapInArrow(add, form)  # so a piece's parts are never all in one task
+    parts = parts.withColumn("salt", F.lit(0)).repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(add, form)
     out = np.zeros(2 * cells, np.int64)
-    for r in summed.collect():  # as many pieces as the tables have
+    for r in parts.collect():  # as many pieces as the tables have
         out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(zlib.decompress(r["data"]), np.int64)
     return out.reshape(2, -1, 2)
 
 
 class Model(NamedTuple):
     code: Code
-    logits: np.ndarray  # by context and slot
-    levels: np.ndarray  # of trust, 0 to 3
+    cells: np.ndarray  # by context and slot, see ``packed``
     weights: np.ndarray  # by gate, at a document's start; learned
     known: np.ndarray  # hashes of frequent words, sorted
     counts: np.ndarray
@@ -301,50 +333,65 @@ def trust(seen: np.ndarray) -> np.ndarray:
     return (np.searchsorted(LEVELS, seen, "left") - 1).clip(0).astype(np.uint8)
 
 
-def mixing(c: Code, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits and levels by context and slot; the weights that learning starts from."""
-    logits = np.log((tables[:, :, 1] + 0.4) / (tables[:, :, 0] + 0.4)).astype(np.float32)
-    levels = trust(tables.sum(axis=2))
+def packed(logits: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Logits whose two lowest bits are the levels: one look-up finds both."""
+    return logits.astype(np.float32).view(np.uint32) & ~np.uint32(3) | levels
+
+
+def mixing(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells by context and slot; the weights that learning starts from."""
+    logits = np.log((tables[:, :, 1] + 0.4) / (tables[:, :, 0] + 0.4))
     weights = np.zeros((GATES, 3), np.float32)
     for g in range(GATES):
         raw = np.array([1.0, 0.5 * (g & 3), 0.7 * (g >> 2 & 3)])
         weights[g] = raw / raw.sum()
-    return logits, levels, weights
+    return packed(logits, trust(tables.sum(axis=2))), weights
 
 
-def without(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits and levels by context and 2 x slot + bit, each without one decision that fell so."""
+def without(tables: np.ndarray) -> np.ndarray:
+    """Cells by context and 2 x slot + bit, each without one decision that fell so."""
     ones = (tables[:, :, 1, None] - np.array([0, 1])).clip(0)
     zeros = (tables[:, :, 0, None] - np.array([1, 0])).clip(0)
-    return np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32).reshape(2, -1), trust(ones + zeros).reshape(2, -1)
+    return packed(np.log((ones + 0.4) / (zeros + 0.4)), trust(ones + zeros)).reshape(2, -1)
+
+
+def _inputs(c: Code, cells: tuple[np.ndarray, np.ndarray], s: Stream) -> tuple[np.ndarray, np.ndarray]:
+    """(3, decisions) logits of bit 1, and gates."""
+    x = np.empty((3, len(s.node)), np.float32)
+    x[0] = c.logits[s.node]
+    for k in range(2):
+        np.bitwise_and(cells[k], ~np.uint32(3), out=x[k + 1].view(np.uint32))
+    gate = (cells[0] & np.uint32(3) | (cells[1] & np.uint32(3)) << np.uint32(2)).astype(np.uint8)
+    gate |= s.spelled.view(np.uint8) << np.uint8(4)
+    return x, gate
 
 
-def slopes(c: Code, logits: np.ndarray, levels: np.ndarray, weights: np.ndarray, s: Stream) -> np.ndarray:
+def slopes(c: Code, cells: np.ndarray, weights: np.ndarray, s: Stream) -> np.ndarray:
     """(9, GATES): the cost's gradient (3) and second derivatives (6) in each gate's weights, summed over a stream's decisions."""
-    at = [v.astype(np.int64) * 2 + s.bit for v in s.slots]
-    gate = levels[0][at[0]] | levels[1][at[1]] << np.uint8(2) | s.spelled.view(np.uint8) << np.uint8(4)
-    gate = gate.astype(np.int64)
-    x = (c.logits[s.node], logits[0][at[0]], logits[1][at[1]])
-    z = weights[gate, 0] * x[0]
-    z += weights[gate, 1] * x[1]
-    z += weights[gate, 2] * x[2]
-    p = 1 / (1 + np.exp(-np.clip(z, -20, 20)))
-    fall, bend = p - s.bit.astype(np.float32), p * (1 - p)
-    bent = [bend * v for v in x]
-    parts = [*(fall * v for v in x), *(bent[i] * x[j] for i, j in PAIRS)]
-    return np.stack([np.bincount(gate, weights=v, minlength=GATES) for v in parts])
+    x, gate = _inputs(c, tuple(cells[k][s.slots[k] << np.uint32(1) | s.bit] for k in range(2)), s)
+    order = np.argsort(gate, kind="stable")  # of 8 bits: a radix sort
+    x, bit, out = np.take(x, order, axis=1), s.bit[order], np.zeros((9, GATES))
+    ends = np.cumsum(np.bincount(gate, minlength=GATES))
+    for g, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+        if a < b:
+            own = x[:, a:b]
+            p = 1 / (1 + np.exp(-np.clip(weights[g] @ own, -20, 20)))
+            bent = own * (p * (1 - p))
+            out[:3, g] = own @ (p - bit[a:b])
+            out[3:, g] = [bent[i] @ own[j] for i, j in PAIRS]
+    return out
 
 
 def learned(documents: DataFrame, code: Broadcast, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weights a Newton step on, over all training texts; a gate that met few decisions stays near where it was."""
-    shared = documents.sparkSession.sparkContext.broadcast((*without(tables), weights))
+    shared = documents.sparkSession.sparkContext.broadcast((without(tables), weights))
 
     def run(batches):
-        c = code.value
+        c = Code(*code.value)
         total, find = np.zeros((9, GATES)), Lookup(c.words)
         for batch in slices(batches):
             for _, texts in chunks(_texts(batch)):
-                total += slopes(c, *shared.value, stream(tokens(texts), c, find))
+                total += slopes(c, *shared.value, stream(tokens(texts), c, find, stepwise=False))
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
 
     sums = documents.select("text").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
@@ -361,36 +408,31 @@ def learned(documents: DataFrame, code: Broadcast, tables: np.ndarray, weights:
 
 def costs(m: Model, s: Stream, n: int) -> np.ndarray:
     """Natural log of each document's probability, negated."""
-    x = (m.code.logits[s.node], m.logits[0][s.slots[0]], m.logits[1][s.slots[1]])
-    gate = m.levels[0][s.slots[0]] | m.levels[1][s.slots[1]] << np.uint8(2) | s.spelled.view(np.uint8) << np.uint8(4)
-    # documents by where they end, last first: those that a step reads are the first ones
-    last = np.full(n, -1, np.int64)
-    last[s.doc] = np.arange(len(s.doc))
-    order = np.argsort(-last, kind="stable")
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    active = np.searchsorted(-last[order], -np.append(0, s.steps[:-1]), "right") * GATES
-    cells = place[s.doc] * GATES + gate
-    sign = np.where(s.bit, np.float32(-1), np.float32(1))
-    w = [np.tile(m.weights[:, k], n) for k in range(3)]
-    cost, start = np.empty(len(cells), np.float32), 0
-    for stop, most in zip(s.steps.tolist(), active.tolist()):
-        part = slice(start, stop)
-        cell, flip, parts = cells[part], sign[part], [v[part] for v in x]
-        z = w[0][cell] * parts[0]
-        z += w[1][cell] * parts[1]
-        z += w[2][cell] * parts[2]
-        np.clip(z, -20, 20, out=z)
-        z *= flip
-        e = np.exp(z)  # odds of the bit that did not come
-        miss = 1 + e
-        cost[part] = np.log(miss)
-        np.divide(e, miss, out=miss)
-        miss *= flip  # its probability, signed: the gradient
+    if not len(s.node):
+        return np.zeros(n)
+    x, gate = _inputs(m.code, tuple(m.cells[k][s.slots[k]] for k in range(2)), s)
+    x *= 1 - 2 * s.bit.astype(np.float32)  # from here on, logits of the bit that did not come
+    z, more = np.zeros(len(gate), np.float32), np.empty(len(gate), np.float32)
+    for k in range(3):
+        np.take(m.weights[:, k].copy(), gate, out=more)
+        more *= x[k]
+        z += more
+    added = np.zeros((3, n), np.float32)  # to the weights, by document
+    stops, a = np.concatenate([[0], np.cumsum(s.runs)]), 0
+    for b in s.steps.tolist():
+        start, stop, docs, runs = stops[a], stops[b], s.owner[a:b], s.runs[a:b]
+        here, e = z[start:stop], more[: stop - start]
+        if a:
+            for k in range(3):
+                np.multiply(np.repeat(added[k].take(docs), runs), x[k, start:stop], out=e)
+                here += e
+        np.clip(here, -20, 20, out=here)
+        np.exp(here, out=e)
+        miss = e / (1 + e)
         for k in range(3):
-            w[k][:most] -= RATE * np.bincount(cell, weights=miss * parts[k], minlength=most).astype(np.float32)
-        start = stop
-    return s.rest + np.bincount(s.doc, weights=cost, minlength=n)
+            added[k][docs] -= RATE * np.add.reduceat(miss * x[k, start:stop], stops[a:b] - start)
+        a = b
+    return np.bincount(s.owner, weights=np.add.reduceat(np.log(1 + np.exp(z)), stops[:-1], dtype=np.float64), minlength=n)
 
 
 def train(documents: DataFrame) -> tuple[Model, DataFrame]:
@@ -414,23 +456,23 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     known, n = known[order], n[order]
     size = min(int((n > 1).sum()), VOCABULARY - 1)  # words seen once tell how often new ones come
     c = code(known[:size], n[:size], int(total - n[:size].sum()), octets)
-    shared = documents.sparkSession.sparkContext.broadcast(c)
+    shared = documents.sparkSession.sparkContext.broadcast(tuple(c))  # plain values: workers need no copy of this package
     tables = context_counts(documents, shared)
-    logits, levels, weights = mixing(c, tables)
+    cells, weights = mixing(tables)
     weights = learned(documents, shared, tables, weights)
     shared.destroy()
     order = np.argsort(known)
-    return Model(c, logits, levels, weights, known[order], n[order], total, distinct), counts
+    return Model(c, cells, weights, known[order], n[order], total, distinct), counts
 
 
 def scores(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast((tuple(model.code), *model[1:]))
     below = model.total + model.distinct + 1
     tail = pa.list_(pa.struct([("h", pa.int64()), ("m", pa.int64())]))
 
     def run(batches):
-        m = shared.value
+        m = Model(Code(*shared.value[0]), *shared.value[1:])
         find, known = Lookup(m.code.words), Lookup(m.known)
         logs = np.log10((m.counts + 1) / below)
         for batch in slices(batches):

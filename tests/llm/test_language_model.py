@@ -42,23 +42,95 @@ def test_rare_words_are_counted_by_the_join(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_known, round(r.base_score, 6)) for r in LM.scores(df, *LM.train(df)).collect()) == whole
 
 
+def unpacked(model, k, slot):
+    """Logit and level of a context's slot."""
+    cell = model.cells[k][slot]
+    return float(np.array([cell & np.uint32(0xFFFFFFFC)], np.uint32).view(np.float32)[0]), int(cell & np.uint32(3))
+
+
 def naive(model, text):
     """One document, one decision at a time."""
     s = LM.stream(LM.tokens([text]), model.code, LM.Lookup(model.code.words))
-    w, cost, begin = model.weights.astype(float), s.rest[0], 0
-    for end in s.steps.tolist():
-        change = np.zeros_like(w)
-        for i in range(begin, end):
-            x = [model.code.logits[s.node[i]], model.logits[0][s.slots[0][i]], model.logits[1][s.slots[1][i]]]
-            g = int(model.levels[0][s.slots[0][i]]) + 4 * int(model.levels[1][s.slots[1][i]]) + 16 * bool(s.spelled[i])
-            p = 1 / (1 + math.exp(-min(20, max(-20, sum(a * b for a, b in zip(w[g], x))))))
+    added, cost, begin = np.zeros(3), 0.0, 0
+    assert s.owner.tolist() == [0] * len(s.runs) and s.steps.tolist() == list(range(1, len(s.runs) + 1))
+    for n in s.runs.tolist():
+        change = np.zeros(3)
+        for i in range(begin, begin + n):
+            (one, level), (two, level2) = unpacked(model, 0, s.slots[0][i]), unpacked(model, 1, s.slots[1][i])
+            x = np.array([model.code.logits[s.node[i]], one, two])
+            g = level + 4 * level2 + 16 * bool(s.spelled[i])
+            p = 1 / (1 + math.exp(-min(20, max(-20, float((model.weights[g] + added) @ x)))))
             cost -= math.log(p if s.bit[i] else 1 - p)
-            change[g] += [(int(s.bit[i]) - p) * v for v in x]
-        w += LM.RATE * change
-        begin = end
+            change += (int(s.bit[i]) - p) * x
+        added += LM.RATE * change
+        begin += n
     return cost
 
 
+def test_tree_slots_and_tables_by_hand(spark):
+    """Codes by a plain Huffman construction; contexts, slots and counts decision by decision."""
+    import heapq
+    import itertools
+
+    df = documents(spark, ["b a b a c", "a b", None, "zz a"])
+    counts = LM.word_counts(df)
+    found = {(r.kind, r.h): r.n for r in counts.collect()}
+    hashes = {w: int(LM.tokens([w]).hash[0].view(np.int64)) for w in (b"a", b"b", b"c", b"zz")} | {b"": int(LM.tokens([b""]).hash[0].view(np.int64))}
+    assert {w: found[0, h] for w, h in hashes.items()} == {b"a": 4, b"b": 3, b"c": 1, b"zz": 1, b"": 4}
+    assert [found[1, b] for b in b"abcz"] == [4, 3, 1, 2] and found[1, 256] == 13
+    octets = np.array([found.get((1, b), 0) for b in range(257)])
+    known = [b"a", b"", b"b"]
+    order = sorted(known, key=lambda w: (-found[0, hashes[w]], np.int64(hashes[w]).view(np.uint64)))
+    c = LM.code(np.array([hashes[w] for w in order], np.int64).view(np.uint64), np.array([found[0, hashes[w]] for w in order]), 2, octets)
+
+    def plain(weights):
+        tick = itertools.count()
+        heap = [(w, i, (i,)) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        paths = [""] * len(weights)
+        for k in itertools.count(len(weights)):
+            if len(heap) == 1:
+                return paths
+            (a, _, left), (b, _, right) = heapq.heappop(heap), heapq.heappop(heap)
+            for side, symbols in (("0", left), ("1", right)):
+                for i in symbols:
+                    paths[i] = side + paths[i]
+            heapq.heappush(heap, (a + b, k, left + right))
+            next(tick)
+
+    paths = plain([found[0, hashes[w]] for w in order] + [2]) + plain((octets + 1).tolist())
+    for i, path in enumerate(paths):
+        assert "".join(map(str, c.bits[c.starts[i] : c.starts[i] + c.lengths[i]])) == path
+
+    u32 = 1 << 32
+    mixed = lambda a, b: ((x := (a * 0x9E3779B1 % u32) ^ (b + 0x7F4A7C15) % u32) ^ x >> 16) * 0x85EBCA6B % u32
+
+    def slot(context, node):
+        x = (context ^ node * 2654435761 % u32) * 2246822519 % u32
+        return ((x ^ x >> 15) * 3266489917 % u32) >> (32 - LM.TABLE_BITS)
+
+    tables = Counter()
+    for text in (b"b a b a c", b"a b", b"", b"zz a"):
+        toks, kinds = [*text.split(), b""], []
+        t = LM.tokens([text])
+        for j, w in enumerate(toks):
+            symbol = order.index(w) if w in order else c.escape
+            kinds.append(symbol + 256 if symbol < 256 else int(t.kind[j]))
+            before, before2 = (kinds[j - 1] if j else 999), (kinds[j - 2] if j > 1 else 999)
+            units = [(symbol, mixed(before, 7), mixed(before & 63, before2 & 63))]
+            if symbol == c.escape:
+                for i, value in enumerate([*w, 256]):
+                    past = [w[i - k] + 1 if i >= k else 0 for k in range(1, 5)]
+                    near = past[0] | past[1] << 9
+                    units.append((c.escape + 1 + value, mixed(near, 11), mixed(mixed(near, past[2] | past[3] << 9), 13)))
+            for symbol, one, two in units:
+                for at in range(c.starts[symbol], c.starts[symbol] + c.lengths[symbol]):
+                    for k, context in enumerate((one, two)):
+                        tables[k, slot(context, int(c.nodes[at])), int(c.bits[at])] += 1
+    out = LM.context_counts(df, spark.sparkContext.broadcast(tuple(c)))
+    assert {(int(k), int(i), int(b)): int(out[k, i, b]) for k, i, b in zip(*np.nonzero(out))} == dict(tables)
+
+
 def test_scores_are_those_of_a_plain_loop_and_of_the_text_alone(trained):
     _, model, _ = trained
     docs = [t.encode() for t in ("the cat sat on unseen grounds", "", "the " * 700, "é漢 mat", "x" * 600)]
@@ -77,7 +149,7 @@ def test_probabilities_of_a_symbol_sum_to_one(trained):
         for symbol in symbols:
             a, n = c.starts[symbol], c.lengths[symbol]
             slots = tuple(LM._slot(np.full(n, k, np.uint32), c.nodes[a : a + n] * np.uint32(2654435761)) for k in (3, 4))
-            s = LM.Stream(np.zeros(n, np.int64), c.nodes[a : a + n], c.bits[a : a + n], slots, np.zeros(n, bool), np.array([n]), c.rest[[symbol]])
+            s = LM.Stream(c.nodes[a : a + n], c.bits[a : a + n], slots, np.zeros(n, bool), np.array([n]), np.array([0]), np.array([1]))
             total += math.exp(-LM.costs(model, s, 1)[0])
         assert abs(total - 1) < 1e-3
 
@@ -126,7 +198,6 @@ def test_every_branching_is_mixed():
         assert (2.0 ** -c.lengths[first:last]).sum() == 1
         nodes = [c.nodes[a : a + n] for a, n in zip(c.starts[first:last], c.lengths[first:last])]
         assert len(np.unique(np.concatenate(nodes))) == last - first - 1
-    assert not c.rest.any()
 
 
 def test_weights_are_learned_and_refined_in_short_texts(spark):
@@ -140,5 +211,5 @@ def test_weights_are_learned_and_refined_in_short_texts(spark):
     s = LM.stream(LM.tokens(texts), model.code, LM.Lookup(model.code.words))
     assert LM.costs(model, s, len(texts)).sum() < 0.99 * LM.costs(plain, s, len(texts)).sum()
     short = LM.stream(LM.tokens([b"the " * 40]), model.code, LM.Lookup(model.code.words))
-    whole = short._replace(steps=short.steps[-1:])  # without any refinement
+    whole = short._replace(runs=short.runs.sum(keepdims=True), owner=short.owner[:1], steps=np.array([1]))  # without any refinement
     assert len(short.steps) > 5 and LM.costs(model, short, 1)[0] < LM.costs(model, whole, 1)[0]
