@@ -26,8 +26,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, index = warc.archive_and_index(table(spark, sf_dir, "pages"))
-    return warc.read_index(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    _, index = warc.archive_and_index(pages)
+    return warc.find_captures(spark, index, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

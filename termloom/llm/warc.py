@@ -4,8 +4,9 @@
 ``FILE_BYTES``); the first page of each group of equal payloads is a response, the others revisit it.
 ``read_archives`` parses the files again, record by record, and recomputes each payload's digest.
 ``write_index`` sorts captures by reversed-host URL keys and packs them, ``BLOCK_LINES`` at a time, into
-compressed blocks; ``read_directory`` keeps one entry per block; ``lookup`` binary-searches that directory
-and range-reads one or two blocks and the captures; ``read_index`` decodes all blocks.
+compressed blocks, and writes the directory beside them: one entry per block with its first and last key and
+where it stands. ``find_captures`` looks up many URLs: each is binary-searched in the sparse directory and only
+blocks found through it are decoded. ``Index`` answers single URLs by range reads of a block and of a record.
 
 Archives and index are plain files, written and read by Spark or Hadoop's file system, so any store works.
 Groups of equal payloads are aggregated before shuffling. While they number ``GROUP_ROWS`` at most they are
@@ -23,6 +24,7 @@ import base64
 import bisect
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,14 +34,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_folder, shuffle_partitions
+from .common import cut, shared_folder, shuffle_partitions, stored
 
 FILE_BYTES = 32 << 20
+#: Archive files stay under so many bytes, as readers take them whole.
+MOST_FILE_BYTES = 1 << 30
+#: Payloads beyond this are written to files of their own kind, so that no run of them makes a file too large.
+LARGE = 1 << 20
 BLOCK_LINES = 3000
 #: Groups of equal payloads (under 100 bytes each) that may be broadcast; beyond that payloads are shuffled.
 GROUP_ROWS = 200_000
-#: Entries of the directory (about 100 bytes each) that may be held at once.
-DIRECTORY_ROWS = 1_000_000
+#: Entries of the directory (about 150 bytes each) that may be held at once. ``lines_for`` makes blocks so large that
+#: they stay far below it, however many captures there are.
+MOST_BLOCKS = 500_000
 END = "\r\n\r\n"
 CAPTURE = "urlkey string, url string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -93,15 +100,25 @@ def records(rows: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
-    size = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)) + 700).alias("mean")).first()["mean"] or 700
-    records(with_first(pages, min_bytes)).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / size))).text(path)
+    bytes_ = F.coalesce(F.octet_length("html"), F.lit(0))
+    small = F.when(bytes_ <= LARGE, bytes_)
+    facts = pages.agg((F.avg(small) + 700).alias("mean"), F.max(F.when(bytes_ > LARGE, bytes_)).alias("most")).first()
+    rows = with_first(pages, min_bytes)
+    to = lambda df, n: records(df).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, n)).text(path)
+    to(rows.where(F.col("bytes") <= LARGE), min(int(FILE_BYTES / (facts["mean"] or 700)), MOST_FILE_BYTES // (2 * LARGE)))
+    if facts["most"]:
+        to(rows.where(F.col("bytes") > LARGE), MOST_FILE_BYTES // (2 * facts["most"]))
     return path
 
 
+_UNSAFE = re.compile(r"[\x00-\x20]")
+
+
 def url_key(url: str | None) -> str:
     """Reversed host, then the rest: http://a.example.com/x?y is com,example,a)/x?y."""
     if not url:
         return ""
+    url = _UNSAFE.sub("%20", url)  # as records hold it
     try:
         parts = urlsplit(url)
         host, port = (parts.hostname or "").rstrip("."), parts.port
@@ -162,32 +179,61 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, CAPTURE)
 
 
+def lines_for(captures: int) -> int:
+    """Captures for each block, so that a directory of any index can be held."""
+    return max(BLOCK_LINES, -(-captures // (MOST_BLOCKS // 4)))
+
+
+DIRECTORY = "first_key string, last_key string, captures long, offset long, length long, file string"
+
+
 def write_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES) -> str:
-    """Index files: on each line a block's first key, its number of captures, and its compressed lines."""
+    """Folders path/blocks and path/directory. A block is a line: its offset in the file, its first and last key, its number of captures, and its compressed lines."""
+
     def pack(batches):
-        lines: list[str] = []
+        lines, offset = [], 0
 
         def block():
             data = base64.b64encode(zlib.compress("\n".join(lines).encode(), 6)).decode()
-            return pa.RecordBatch.from_arrays([pa.array([f"{json.dumps(json.loads(lines[0])['urlkey'])}\t{len(lines)}\t{data}"])], ["value"])
+            ends = "\t".join(json.dumps(json.loads(x)["urlkey"]) for x in (lines[0], lines[-1]))
+            line = f"{offset}\t{ends}\t{len(lines)}\t{data}"
+            return line, pa.RecordBatch.from_arrays([pa.array([line])], ["value"])
 
         for batch in batches:
             for row in batch.to_pylist():
                 lines.append(json.dumps(row))
                 if len(lines) == block_lines:
-                    yield block()
+                    line, out = block()
+                    offset += len(line) + 1
+                    yield out
                     lines.clear()
         if lines:
-            yield block()
+            yield block()[1]
 
     key = ("urlkey", "page_id", "file", "offset")
-    n = shuffle_partitions(captures.sparkSession)
-    captures.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(pack, "value string").write.text(path)
+    spark = captures.sparkSession
+    captures.repartitionByRange(shuffle_partitions(spark), *key).sortWithinPartitions(*key).mapInArrow(pack, "value string").write.text(f"{path}/blocks")
+    _blocks(spark, path).drop("value").write.parquet(f"{path}/directory")
     return path
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """All captures of the index's blocks."""
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """DIRECTORY and value: each block's line with what its head says."""
+    head = F.split("value", "\t", 5)
+    name = lambda i: F.from_json(F.concat(F.lit('{"k":'), head[i], F.lit("}")), "k string")["k"]
+    rows = spark.read.text(f"{path}/blocks").select("value", F.col("_metadata.file_path").alias("file"))
+    return rows.select(name(1).alias("first_key"), name(2).alias("last_key"), head[3].cast("long").alias("captures"), head[0].cast("long").alias("offset"), F.octet_length("value").cast("long").alias("length"), "file", "value")
+
+
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DIRECTORY).parquet(f"{path}/directory")
+
+
+def decode_block(line: str) -> list[dict]:
+    return [json.loads(x) for x in zlib.decompress(base64.b64decode(line.rsplit("\t", 1)[1])).decode().split("\n")]
+
+
+def _decoded(blocks: DataFrame) -> DataFrame:
     schema = _arrow(CAPTURE)
 
     def unpack(batches):
@@ -195,38 +241,49 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             for line in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_pylist(decode_block(line), schema)
 
-    return spark.read.text(path).mapInArrow(unpack, CAPTURE)
+    return blocks.select("value").mapInArrow(unpack, CAPTURE)
 
 
-def decode_block(line: str) -> list[dict]:
-    return [json.loads(x) for x in zlib.decompress(base64.b64decode(line.rsplit("\t", 1)[1])).decode().split("\n")]
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """All captures of the index's blocks."""
+    return _decoded(spark.read.text(f"{path}/blocks"))
 
 
-def read_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(first_key, file, offset, length): where each block stands."""
-    def entries(batches):
+def _search(directory: list[tuple[str, str]], key: str) -> range:
+    """Numbers of the blocks (first and last keys, sorted) that may hold a key."""
+    first = bisect.bisect_left(directory, key, key=lambda x: x[1])
+    return range(first, bisect.bisect_right(directory, key, key=lambda x: x[0]))
+
+
+def find_captures(spark: SparkSession, path: str, urls: DataFrame) -> DataFrame:
+    """The captures of every URL (column url) that urls holds: directory first, then the blocks found through it."""
+    keys_of = lambda batches: (pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], ["urlkey"]) for b in batches)
+    asked = stored(urls.select("url").distinct().mapInArrow(keys_of, "urlkey string").distinct(), "keys")
+    directory = read_directory(spark, path)
+    if (n := directory.count()) > MOST_BLOCKS:
+        raise ValueError(f"{n} blocks: build the index with larger ones (lines_for)")
+    rows = sorted((r.first_key, r.last_key, r.file, r.offset) for r in directory.select("first_key", "last_key", "file", "offset").collect())
+    shared = spark.sparkContext.broadcast(([r[:2] for r in rows], [r[2:] for r in rows]))
+
+    def search(batches):
+        ends, places = shared.value
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at, rows = 0, []
-                for line in content.as_buffer().to_pybytes().split(b"\n")[:-1]:
-                    rows.append({"first_key": json.loads(line.split(b"\t", 1)[0]), "file": file, "offset": at, "length": len(line)})
-                    at += len(line) + 1
-                yield pa.RecordBatch.from_pylist(rows, _arrow("first_key string, file string, offset long, length long"))
+            found = sorted({i for key in batch.column(0).to_pylist() for i in _search(ends, key)})
+            yield pa.RecordBatch.from_arrays([pa.array([places[i][0] for i in found], pa.string()), pa.array([places[i][1] for i in found], pa.int64())], ["file", "offset"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    return files.mapInArrow(entries, "first_key string, file string, offset long, length long")
+    found = asked.mapInArrow(search, "file string, offset long").distinct()
+    blocks = _blocks(spark, path).join(found, ["file", "offset"], "left_semi")
+    return _decoded(blocks).join(asked, "urlkey", "left_semi").select(*(x.split()[0] for x in CAPTURE.split(", ")))
 
 
 class Index:
-    """Point look-ups: the directory is searched in memory, blocks and records are read by their ranges."""
+    """Point look-ups: the directory is searched, blocks and records are read by their ranges."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        directory = read_directory(spark, path)
-        if (n := directory.count()) > DIRECTORY_ROWS:
-            raise ValueError(f"{n} blocks: build the index with larger blocks, or query read_index by urlkey")
-        self.entries = sorted(map(tuple, directory.collect()))
-        self.keys = [x[0] for x in self.entries]
+        self.spark, self.directory = spark, read_directory(spark, path)
+        self.entries = None
+        if self.directory.count() <= MOST_BLOCKS:
+            self.entries = sorted((r.first_key, r.last_key, r.file, r.offset, r.length) for r in self.directory.collect())
 
     def read(self, file: str, offset: int, length: int) -> bytes:
         jvm = self.spark._jvm
@@ -238,10 +295,16 @@ class Index:
         finally:
             stream.close()
 
+    def blocks(self, key: str) -> list[tuple[str, int, int]]:
+        """(file, offset, length) of blocks that may hold a key."""
+        if self.entries is not None:
+            return [self.entries[i][2:] for i in _search([x[:2] for x in self.entries], key)]
+        rows = self.directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key))  # row groups are sorted: their statistics rule most of them out
+        return [(r.file, r.offset, r.length) for r in rows.collect()]
+
     def captures(self, url: str) -> list[dict]:
         key = url_key(url)
-        first = max(0, bisect.bisect_left(self.keys, key) - 1)  # the key may begin in the block before
-        rows = [r for _, file, at, n in self.entries[first : bisect.bisect_right(self.keys, key)] for r in decode_block(self.read(file, at, n).decode())]
+        rows = [r for place in self.blocks(key) for r in decode_block(self.read(*place).decode())]
         return [r for r in rows if r["urlkey"] == key]
 
     def lookup(self, url: str) -> list[tuple[dict, bytes]]:
@@ -254,4 +317,4 @@ def archive_and_index(pages: DataFrame, min_bytes: int = 0) -> tuple[str, str]:
     spark = pages.sparkSession
     base = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     archives = write_archives(pages, f"{base}/archives", min_bytes)
-    return archives, write_index(read_archives(spark, archives), f"{base}/index")
+    return archives, write_index(read_archives(spark, archives), f"{base}/index", lines_for(pages.count()))
