@@ -54,6 +54,8 @@ FREQUENT = 64
 BROADCAST_ROWS = 1_000_000
 SEEN = 1_000_000
 SKETCH = 512
+#: Rows of a signature's group that are compared in one tile with as many others.
+TILE_ROWS = 512
 #: Orders of leaders in each round before all pairs that are left.
 LEADERS = (1, 4, 16)
 
@@ -312,10 +314,17 @@ def star_pairs(open_: DataFrame, facts: DataFrame, leaders: int) -> DataFrame:
 
 
 def distinct_pairs(open_: DataFrame, facts: DataFrame) -> DataFrame:
-    """(u, v): all pairs of a group that are still apart."""
+    """(u, v): all pairs of a group that are still apart and may be similar. Large groups are cut into tiles of two blocks, which are joined apart."""
     rows = cut(open_.join(facts, "id"))
-    x, y = rows.alias("x"), rows.alias("y")
-    return x.join(y, F.expr("x.sig = y.sig and x.part < y.part and " + _allowed("x", "y"))).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
+    large = rows.groupBy("sig").agg(F.count("*").alias("size")).where(F.col("size") > TILE_ROWS)
+    blocks = F.coalesce(F.ceil(F.col("size") / TILE_ROWS), F.lit(1)).cast("int")
+    dealt = rows.join(large, "sig", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    tile = "x.sig = y.sig and x.i = y.i and x.j = y.j and x.part <> y.part"
+    # a tile of two blocks pairs one with the other, a block's own tile each two rows once
+    once = "case when x.i = x.j then x.id < y.id else x.block = x.i and y.block = y.j end"
+    return x.join(y, F.expr(f"{tile} and {once} and {_allowed('x', 'y')}")).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
 
 
 def components(documents: DataFrame) -> DataFrame:

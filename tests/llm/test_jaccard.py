@@ -70,6 +70,19 @@ def test_frequent_signatures(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_tiles_pair_all_rows_of_a_group_once(spark, monkeypatch):
+    """Groups larger than a tile: the pairs are those of a plain self-join."""
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 4)
+    rows = [(sig, i, i % 7) for sig, n in ((1, 23), (2, 4), (3, 1), (4, 9)) for i in range(n)]
+    facts = spark.createDataFrame([(i, 10, [0] * 8) for i in range(23)], "id long, n long, p array<long>")
+    pairs = jaccard.distinct_pairs(spark.createDataFrame(rows, "sig long, id long, part long"), facts)
+    expected = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
+    assert sorted(map(tuple, pairs.collect())) == sorted(expected)
+    texts = near_copies(random.Random(8), 40, [f"w{i}" for i in range(60)], [60, 59], 5)
+    df = documents(spark, texts)
+    assert got(df) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
 def test_empty_table(spark):
     assert got(documents(spark, [])) == []
     assert got(documents(spark, [None, ""])) == [(0, 0, 0), (1, 0, 1)]
