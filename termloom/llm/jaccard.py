@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, slices, stored, text_key
+from .common import cut, mapped, shuffle_partitions, slices, stored, text_key
 from .components import connected_components
 from .words import M1, M2, chunks, mix, words_of
 
@@ -148,7 +148,7 @@ def document_sets(documents: DataFrame) -> DataFrame:
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, id long, deals array<struct<code:int,full:int,d:int,least:int>>")
+    return mapped(rows, run, "doc_id long, text_key long, n_shingles long, id long, deals array<struct<code:int,full:int,d:int,least:int>>")
 
 
 def signatures(documents: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def signatures(documents: DataFrame) -> DataFrame:
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "id"])
 
-    return documents.select("text").mapInArrow(run, "sig long, id long")
+    return mapped(documents.select("text"), run, "sig long, id long")
 
 
 def shared_signatures(sigs: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def class_shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
     on = docs.doc_id.eqNullSafe(wanted.w_doc) & (docs.text_key == wanted.w_key)
     rows = docs.join(F.broadcast(wanted) if small else wanted, on).select("id", "text")
-    return rows.mapInArrow(run, "id long, n long, p array<long>, h binary").dropDuplicates(["id"])
+    return mapped(rows, run, "id long, n long, p array<long>, h binary").dropDuplicates(["id"])
 
 
 def _allowed(a: str, b: str) -> str:
@@ -272,7 +272,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     one, other = sets.select(F.col("id").alias("u"), F.col("h").alias("a")), sets.select(F.col("id").alias("v"), F.col("h").alias("b"))
-    return pairs.join(other, "v").join(one, "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return mapped(pairs.join(other, "v").join(one, "u").select("u", "v", "a", "b"), run, "u long, v long")
 
 
 def class_components(documents: DataFrame, classes: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 
 #: Labelled rows that are counted, about; chosen by a hash of the row.
 SAMPLE_ROWS = 20_000
@@ -116,7 +116,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             (where,) = np.nonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), pa.array(where.astype(np.int32)), pa.array(n[where])], ["lang", "bucket", "n"])
 
-    counts = labelled.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = mapped(labelled.select("text", "lang"), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counts.toArrow()  # at most languages x buckets
     languages = sorted(totals)
     place = {lang: i for i, lang in enumerate(languages)}
@@ -155,7 +155,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             names, best = score(model, batch.column(1).to_pylist(), letters)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(best, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), label, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(documents: DataFrame, model: Model) -> DataFrame:
@@ -168,7 +168,7 @@ def keep_known(documents: DataFrame, model: Model) -> DataFrame:
             names, _ = score(model, batch.column(at).to_pylist(), letters)
             yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return mapped(documents, keep, documents.schema)
 
 
 def remainder(doc_id, divisor: int):

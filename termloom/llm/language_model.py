@@ -35,7 +35,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, stored
+from .common import mapped, shuffle_partitions, slices, stored
 from .words import Lookup, Words, chunks, mix, words_of
 
 VOCABULARY = 1 << 18
@@ -114,7 +114,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
         if octets[256]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(257, np.int32)), pa.array(np.arange(257)), pa.array(octets)], ["kind", "h", "n"])
 
-    return documents.select("text").mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    return mapped(documents.select("text"), run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
 
 
 class Tree(NamedTuple):
@@ -309,7 +309,7 @@ def context_counts(documents: DataFrame, shared: Broadcast) -> np.ndarray:
             yield piece_of(*key, total)
 
     form, n = "piece int, salt int, data binary", shuffle_partitions(spark)
-    parts = documents.select("text").mapInArrow(run, form)
+    parts = mapped(documents.select("text"), run, form)
     parts = parts.repartition(n, "piece", "salt").sortWithinPartitions("piece", "salt").mapInArrow(add, form)  # so a piece's parts are never all in one task
     parts = parts.withColumn("salt", F.lit(0)).repartition(n, "piece").sortWithinPartitions("piece").mapInArrow(add, form)
     out = np.zeros(2 * cells, np.int64)
@@ -394,7 +394,7 @@ def learned(documents: DataFrame, code: Broadcast, tables: np.ndarray, weights:
                 total += slopes(c, *shared.value, stream(tokens(texts), c, find, stepwise=False))
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["sums"])
 
-    sums = documents.select("text").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    sums = mapped(documents.select("text"), run, "sums array<double>").select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
     total = np.zeros(9 * GATES)
     for r in sums.collect():
         total[r["i"]] = r["v"]
@@ -506,7 +506,7 @@ def scores(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], ["doc_id", *out])
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = narrow.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, bytes long, tail array<struct<h:long,m:long>>")
+    scored = mapped(narrow, run, "doc_id long, n_tokens long, n_known long, base double, score double, bytes long, tail array<struct<h:long,m:long>>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.m").join(counts, "h", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 1) / below)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("known"))

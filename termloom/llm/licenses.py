@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 
 THRESHOLD = 0.9
 
@@ -193,7 +193,7 @@ def scan_licenses(documents: DataFrame, templates=TEMPLATES, threshold: float =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "matches"])
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(run, "doc_id long, matches array<struct<license:string,score:double,start:long,end:long>>")
+    return mapped(narrow, run, "doc_id long, matches array<struct<license:string,score:double,start:long,end:long>>")
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, stored
+from .common import mapped, shuffle_partitions, slices, stored
 from .words import M2, mix, powers
 
 CAPACITY = 4096
@@ -179,7 +179,7 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, capacity: int = C
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE + ", ids binary" * with_ids)
+    return mapped(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, PIECE + ", ids binary" * with_ids)
 
 
 def fill(histogram: dict[int, int], capacity: int) -> Counter:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 REDACTED = "[REDACTED]"
@@ -212,7 +212,7 @@ def find_secrets(documents: DataFrame, rules=RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(scan, f"doc_id long, spans {SPANS}")
+    return mapped(narrow, scan, f"doc_id long, spans {SPANS}")
 
 
 def _joined(spans: Column) -> Column:
@@ -259,4 +259,4 @@ def redact(documents: DataFrame, rules=RULES) -> DataFrame:
                     columns[names.index("n_chars")] = pa.array(lengths, columns[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents.mapInArrow(scan, documents.schema)
+    return mapped(documents, scan, documents.schema)
