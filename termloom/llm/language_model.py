@@ -6,7 +6,8 @@ Every branching of a code is a binary decision, predicted in three ways: by the
 hashed contexts (the class of the word before, of the two words before; inside spelled words the two and the
 four bytes before), each a slot of a table of counts. The predictions' logits are combined with weights that
 a gate selects by how often both contexts were seen; the gates' weights are learned over the training texts, and
-each document refines them as it is read, by what it adds to each prediction's weight, in steps of ``STEP`` symbols. Costs of all decisions add up to
+each document refines them as it is read, by what it adds to each prediction's weight: online Newton steps, at
+first after every 4 symbols, later whenever a sixteenth more is read (``STEPS``). Costs of all decisions add up to
 the text's probability, hence bits per byte.
 
 Learning: word counts and context tables are counted over all training texts, by task, and summed in
@@ -38,17 +39,25 @@ from pyspark.sql import functions as F
 from .common import mapped, shuffle_partitions, slices, stored
 from .words import Lookup, Words, chunks, mix, words_of
 
+
+def _steps(least: int, share: int) -> np.ndarray:
+    at = [0]
+    while at[-1] < 1 << 40:
+        at.append(at[-1] + max(least, at[-1] // share))
+    return np.array(at)
+
+
 VOCABULARY = 1 << 18
 KNOWN = 1 << 20
 TABLE_BITS = 20
-STEP = 4
+#: Symbols of a document after which its weights are refined: every 4 at first, then whenever a sixteenth more is read.
+STEPS = _steps(4, 16)
 FLUSH_WORDS = 4_000_000
 PIECE = 1 << 15
-#: Decisions that are counted at once.
-FLUSH_DECISIONS = 1 << 21
 #: Sums of the tables are first made apart for so many groups of tasks.
 SALTS = 16
-RATE = np.float32(0.004)
+#: A document moves its weights by the gradient over CAUTION times the curvature it has seen, plus TRUST decisions' worth.
+CAUTION, TRUST = np.float32(1), np.float32(50)
 GATES = 32
 PAIRS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
 PRIOR = 100.0  # decisions' worth of trust in the constants that learning starts from
@@ -158,8 +167,7 @@ class Code(NamedTuple):
     ranks: np.ndarray  # their symbols
     lengths: np.ndarray
     starts: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
+    decisions: np.ndarray  # 2 x node + bit
     logits: np.ndarray
     escape: int
 
@@ -171,7 +179,7 @@ def code(words: np.ndarray, counts: np.ndarray, outside: int, octets: np.ndarray
     order = np.argsort(words)
     both = lambda name: np.concatenate([getattr(first, name), getattr(second, name)])
     nodes = np.concatenate([first.nodes, second.nodes + np.uint32(len(first.logits))])
-    return Code(words[order], order, lengths, np.cumsum(lengths) - lengths, nodes, both("bits"), both("logits"), len(words))
+    return Code(words[order], order, lengths, np.cumsum(lengths) - lengths, nodes << np.uint32(1) | both("bits"), both("logits"), len(words))
 
 
 class Stream(NamedTuple):
@@ -246,20 +254,22 @@ def stream(t: Tokens, c: Code, find: Lookup, stepwise: bool = True) -> Stream:
     if stepwise:
         doc = np.repeat(doc, sizes)
         per_doc = np.bincount(doc, minlength=n)
-        step = (np.arange(total) - (np.cumsum(per_doc) - per_doc)[doc]) // STEP
-        order = np.argsort(step.astype(np.uint16 if total < STEP << 16 else np.int64), kind="stable")  # of 16 bits: a radix sort
+        step = np.searchsorted(STEPS, np.arange(total) - (np.cumsum(per_doc) - per_doc)[doc], "right").astype(np.uint16)
+        order = np.argsort(step, kind="stable")  # of 16 bits: a radix sort
         symbols, spelled, doc, step = symbols[order], spelled[order], doc[order], step[order]
         contexts = [x[order] for x in contexts]
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (step[1:] != step[:-1])]))
         runs, owner = np.add.reduceat(c.lengths[symbols], first), doc[first]
-        steps = np.cumsum(np.bincount(step[first]))
+        steps = np.cumsum(np.bincount(step[first])[1:])
     length = c.lengths[symbols]
     index = np.repeat((c.starts[symbols] - (np.cumsum(length) - length)).astype(np.int32), length)
     index += np.arange(len(index), dtype=np.int32)
-    node = c.nodes[index]
+    node = np.take(c.decisions, index)
+    bit = (node & np.uint32(1)).astype(np.uint8)
+    node >>= np.uint32(1)
     scattered = node * np.uint32(2654435761)
     slots = tuple(_slot(np.repeat(x, length), scattered) for x in contexts)
-    return Stream(node, c.bits[index], slots, np.repeat(spelled, length), runs, owner, steps)
+    return Stream(node, bit, slots, np.repeat(spelled, length), runs, owner, steps)
 
 
 def context_counts(documents: DataFrame, shared: Broadcast) -> np.ndarray:
@@ -269,24 +279,12 @@ def context_counts(documents: DataFrame, shared: Broadcast) -> np.ndarray:
 
     def run(batches):
         tables, find, c = np.zeros((2, cells), np.int64), Lookup(shared.value[0]), Code(*shared.value)
-        held, size, seen = ([], []), 0, False
-
-        def flush():
-            for k in range(2):
-                if held[k]:
-                    tables[k] += np.bincount(np.concatenate(held[k]), minlength=cells)
-                held[k].clear()
-
+        seen = False
         for batch in slices(batches):
             for _, texts in chunks(_texts(batch)):
                 s, seen = stream(tokens(texts), c, find, stepwise=False), True
                 for k in range(2):
-                    held[k].append((s.slots[k] << np.uint32(1) | s.bit).astype(np.int32))
-                size += len(s.bit)
-                if size > FLUSH_DECISIONS:
-                    flush()
-                    size = 0
-        flush()
+                    np.add.at(tables[k], s.slots[k] << np.uint32(1) | s.bit, 1)
         salt = TaskContext.get().partitionId() % SALTS
         for i, part in enumerate(tables.reshape(-1, PIECE) if seen else ()):
             yield piece_of(i, salt, part)
@@ -334,8 +332,8 @@ def trust(seen: np.ndarray) -> np.ndarray:
 
 
 def packed(logits: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Logits whose two lowest bits are the levels: one look-up finds both."""
-    return logits.astype(np.float32).view(np.uint32) & ~np.uint32(3) | levels
+    """16 bits: a logit (a multiple of 1/256, 32 at most) and a level: one look-up in a small table finds both."""
+    return ((np.rint(logits * 256).clip(-8191, 8191).astype(np.int32) + 8192) << 2 | levels).astype(np.uint16)
 
 
 def mixing(tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,17 +356,18 @@ def without(tables: np.ndarray) -> np.ndarray:
 def _inputs(c: Code, cells: tuple[np.ndarray, np.ndarray], s: Stream) -> tuple[np.ndarray, np.ndarray]:
     """(3, decisions) logits of bit 1, and gates."""
     x = np.empty((3, len(s.node)), np.float32)
-    x[0] = c.logits[s.node]
+    np.take(c.logits, s.node, out=x[0])
     for k in range(2):
-        np.bitwise_and(cells[k], ~np.uint32(3), out=x[k + 1].view(np.uint32))
-    gate = (cells[0] & np.uint32(3) | (cells[1] & np.uint32(3)) << np.uint32(2)).astype(np.uint8)
+        np.multiply((cells[k] >> np.uint16(2)).astype(np.float32) - np.float32(8192), np.float32(1 / 256), out=x[k + 1])
+    gate = (cells[0] & np.uint16(3)).astype(np.uint8)
+    gate |= ((cells[1] & np.uint16(3)) << np.uint16(2)).astype(np.uint8)
     gate |= s.spelled.view(np.uint8) << np.uint8(4)
     return x, gate
 
 
 def slopes(c: Code, cells: np.ndarray, weights: np.ndarray, s: Stream) -> np.ndarray:
     """(9, GATES): the cost's gradient (3) and second derivatives (6) in each gate's weights, summed over a stream's decisions."""
-    x, gate = _inputs(c, tuple(cells[k][s.slots[k] << np.uint32(1) | s.bit] for k in range(2)), s)
+    x, gate = _inputs(c, tuple(np.take(cells[k], s.slots[k] << np.uint32(1) | s.bit) for k in range(2)), s)
     order = np.argsort(gate, kind="stable")  # of 8 bits: a radix sort
     x, bit, out = np.take(x, order, axis=1), s.bit[order], np.zeros((9, GATES))
     ends = np.cumsum(np.bincount(gate, minlength=GATES))
@@ -410,27 +409,31 @@ def costs(m: Model, s: Stream, n: int) -> np.ndarray:
     """Natural log of each document's probability, negated."""
     if not len(s.node):
         return np.zeros(n)
-    x, gate = _inputs(m.code, tuple(m.cells[k][s.slots[k]] for k in range(2)), s)
+    x, gate = _inputs(m.code, tuple(np.take(m.cells[k], s.slots[k]) for k in range(2)), s)
     x *= 1 - 2 * s.bit.astype(np.float32)  # from here on, logits of the bit that did not come
     z, more = np.zeros(len(gate), np.float32), np.empty(len(gate), np.float32)
     for k in range(3):
         np.take(m.weights[:, k].copy(), gate, out=more)
         more *= x[k]
         z += more
-    added = np.zeros((3, n), np.float32)  # to the weights, by document
+    added, seen = np.zeros((3, n), np.float32), np.full((3, n), TRUST)  # to the weights, and curvature, by document
     stops, a = np.concatenate([[0], np.cumsum(s.runs)]), 0
     for b in s.steps.tolist():
         start, stop, docs, runs = stops[a], stops[b], s.owner[a:b], s.runs[a:b]
-        here, e = z[start:stop], more[: stop - start]
+        here, e, first = z[start:stop], more[: stop - start], stops[a:b] - start
         if a:
             for k in range(3):
                 np.multiply(np.repeat(added[k].take(docs), runs), x[k, start:stop], out=e)
                 here += e
         np.clip(here, -20, 20, out=here)
-        np.exp(here, out=e)
-        miss = e / (1 + e)
-        for k in range(3):
-            added[k][docs] -= RATE * np.add.reduceat(miss * x[k, start:stop], stops[a:b] - start)
+        if b < len(s.owner):  # what the last step teaches is of no use
+            np.exp(here, out=e)
+            e /= 1 + e
+            bend = e * (1 - e)
+            for k in range(3):
+                own = x[k, start:stop]
+                seen[k][docs] += CAUTION * np.add.reduceat(bend * own * own, first)
+                added[k][docs] -= np.add.reduceat(e * own, first) / seen[k][docs]
         a = b
     return np.bincount(s.owner, weights=np.add.reduceat(np.log(1 + np.exp(z)), stops[:-1], dtype=np.float64), minlength=n)
 

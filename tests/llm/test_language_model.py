@@ -44,29 +44,36 @@ def test_rare_words_are_counted_by_the_join(spark, monkeypatch):
 
 def unpacked(model, k, slot):
     """Logit and level of a context's slot."""
-    cell = model.cells[k][slot]
-    return float(np.array([cell & np.uint32(0xFFFFFFFC)], np.uint32).view(np.float32)[0]), int(cell & np.uint32(3))
+    cell = int(model.cells[k][slot])
+    return ((cell >> 2) - 8192) / 256, cell & 3
 
 
 def naive(model, text):
     """One document, one decision at a time."""
     s = LM.stream(LM.tokens([text]), model.code, LM.Lookup(model.code.words))
-    added, cost, begin = np.zeros(3), 0.0, 0
+    added, seen, cost, begin = np.zeros(3), np.full(3, float(LM.TRUST)), 0.0, 0
     assert s.owner.tolist() == [0] * len(s.runs) and s.steps.tolist() == list(range(1, len(s.runs) + 1))
     for n in s.runs.tolist():
-        change = np.zeros(3)
+        fall, bend = np.zeros(3), np.zeros(3)
         for i in range(begin, begin + n):
             (one, level), (two, level2) = unpacked(model, 0, s.slots[0][i]), unpacked(model, 1, s.slots[1][i])
             x = np.array([model.code.logits[s.node[i]], one, two])
             g = level + 4 * level2 + 16 * bool(s.spelled[i])
             p = 1 / (1 + math.exp(-min(20, max(-20, float((model.weights[g] + added) @ x)))))
             cost -= math.log(p if s.bit[i] else 1 - p)
-            change += (int(s.bit[i]) - p) * x
-        added += LM.RATE * change
+            fall += (p - int(s.bit[i])) * x
+            bend += p * (1 - p) * x * x
+        seen += float(LM.CAUTION) * bend
+        added -= fall / seen
         begin += n
     return cost
 
 
+def test_steps_grow_with_the_text():
+    at = LM.STEPS[LM.STEPS < 1_000_000]
+    assert at[:5].tolist() == [0, 4, 8, 12, 16] and len(at) < 250 and (np.diff(at) <= np.maximum(4, at[:-1] // 16)).all()
+
+
 def test_tree_slots_and_tables_by_hand(spark):
     """Codes by a plain Huffman construction; contexts, slots and counts decision by decision."""
     import heapq
@@ -100,7 +107,7 @@ def test_tree_slots_and_tables_by_hand(spark):
 
     paths = plain([found[0, hashes[w]] for w in order] + [2]) + plain((octets + 1).tolist())
     for i, path in enumerate(paths):
-        assert "".join(map(str, c.bits[c.starts[i] : c.starts[i] + c.lengths[i]])) == path
+        assert "".join(str(v & 1) for v in c.decisions[c.starts[i] : c.starts[i] + c.lengths[i]].tolist()) == path
 
     u32 = 1 << 32
     mixed = lambda a, b: ((x := (a * 0x9E3779B1 % u32) ^ (b + 0x7F4A7C15) % u32) ^ x >> 16) * 0x85EBCA6B % u32
@@ -126,7 +133,7 @@ def test_tree_slots_and_tables_by_hand(spark):
             for symbol, one, two in units:
                 for at in range(c.starts[symbol], c.starts[symbol] + c.lengths[symbol]):
                     for k, context in enumerate((one, two)):
-                        tables[k, slot(context, int(c.nodes[at])), int(c.bits[at])] += 1
+                        tables[k, slot(context, int(c.decisions[at]) >> 1), int(c.decisions[at]) & 1] += 1
     out = LM.context_counts(df, spark.sparkContext.broadcast(tuple(c)))
     assert {(int(k), int(i), int(b)): int(out[k, i, b]) for k, i, b in zip(*np.nonzero(out))} == dict(tables)
 
@@ -148,8 +155,9 @@ def test_probabilities_of_a_symbol_sum_to_one(trained):
         total = 0.0
         for symbol in symbols:
             a, n = c.starts[symbol], c.lengths[symbol]
-            slots = tuple(LM._slot(np.full(n, k, np.uint32), c.nodes[a : a + n] * np.uint32(2654435761)) for k in (3, 4))
-            s = LM.Stream(c.nodes[a : a + n], c.bits[a : a + n], slots, np.zeros(n, bool), np.array([n]), np.array([0]), np.array([1]))
+            nodes, bits = c.decisions[a : a + n] >> np.uint32(1), (c.decisions[a : a + n] & np.uint32(1)).astype(np.uint8)
+            slots = tuple(LM._slot(np.full(n, k, np.uint32), nodes * np.uint32(2654435761)) for k in (3, 4))
+            s = LM.Stream(nodes, bits, slots, np.zeros(n, bool), np.array([n]), np.array([0]), np.array([1]))
             total += math.exp(-LM.costs(model, s, 1)[0])
         assert abs(total - 1) < 1e-3
 
@@ -196,7 +204,7 @@ def test_every_branching_is_mixed():
     c = LM.code(np.arange(999, dtype=np.uint64), counts, 7, np.arange(257))
     for first, last in ((0, c.escape + 1), (c.escape + 1, c.escape + 258)):
         assert (2.0 ** -c.lengths[first:last]).sum() == 1
-        nodes = [c.nodes[a : a + n] for a, n in zip(c.starts[first:last], c.lengths[first:last])]
+        nodes = [c.decisions[a : a + n] >> np.uint32(1) for a, n in zip(c.starts[first:last], c.lengths[first:last])]
         assert len(np.unique(np.concatenate(nodes))) == last - first - 1
 
 
