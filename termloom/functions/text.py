@@ -20,8 +20,9 @@ OTHER_MARKED, OTHER_PLAIN = "äåçëîïñöûüÿ", "aaceiinouuy"
 
 #: The same letters in both cases as a character class of few parts, which the JVM tests far faster than one of single letters.
 VIETNAMESE = "[" + "".join(c for c in MARKED + MARKED.upper() if c < "\u0100") + "ĂăĐđĨĩŨũƠơƯư" + "\u1ea0-\u1ef9]"
-#: Words that must survive fuzzy reuse, after folding.
+#: Words that must survive fuzzy reuse, after folding.
 CONTRAST = ["not", "no", "without", "before", "after", "left", "right", "increase", "decrease", "khong", "truoc", "sau", "trai", "phai", "tang", "giam"]
+#: Patterns of numbers, bullets and white space.
 NUMBER = r"\d+(?:[.,]\d+)*"
 BULLET = r"^\s*(?:[*•#]|[-–—]\s+|\d{1,3}[.)]\s*)"
 SPACE = r"[\s ]+"
@@ -81,6 +82,11 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(folded(text), " "), "")
 
 
+def plain_compact(text: str) -> str:
+    """F04 of a lower-case literal of words."""
+    return text.translate(str.maketrans(MARKED + OTHER_MARKED, PLAIN + OTHER_PLAIN)).replace(" ", "")
+
+
 def word_key(text: Column) -> Column:
     """letters and digits, lower case, single spaces."""
     return squeeze(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]", " "))

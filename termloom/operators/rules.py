@@ -89,16 +89,3 @@ def translated(text: Column, glossary: dict[str, str], words: dict[str, str]) ->
     table = F.create_map(*(F.lit(x) for kv in sorted(words.items()) for x in kv))
     done = F.array_join(F.transform(F.split(out, " "), lambda w: F.coalesce(F.element_at(table, w), w)), " ")
     return F.concat(F.upper(F.substring(done, 1, 1)), F.substring(done, 2, 1 << 30))
-
-
-def classified(units: DataFrame, memory: DataFrame) -> DataFrame:
-    """PRJ01: each unit's status by the decision ladder: label, code, bilingual line, memory, then language; with a reason."""
-    keys = memory.select(T.exact_key(F.col("source")).alias("key")).distinct().withColumn("known", F.lit(True))
-    rows = units.withColumn("key", T.exact_key(F.col("text"))).join(keys, "key", "left")
-    t = F.col("text")
-    words = T.tokens(t)
-    status = (
-        F.when(P.is_label(t), "LABEL").when(P.is_code(t), "NON_TRANSLATABLE").when(t.rlike(r"^[^|]+ \| [^|]+$"), "BILINGUAL").when(F.col("known"), "TM_REUSE")
-        .when(P.has_marks(t), "NEEDS_TRANSLATION").when(P.language_hits(words, ["the", "and", "of", "to", "in"]) >= 2, "ALREADY_TARGET").otherwise("NEEDS_REVIEW")
-    )
-    return rows.withColumn("status", status).drop("known")

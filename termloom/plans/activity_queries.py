@@ -13,8 +13,7 @@ from ..operators import glossary as G
 from ..operators import quality as Q
 from ..operators import rules as R
 from . import base as B
-from .text_queries import IS_LABEL
-from .text_queries import ORACLES as TEXT
+from . import language_queries as LQ
 
 QUERIES, ORACLES = {}, {}
 
@@ -87,32 +86,22 @@ add(
 )
 INSTRUCTIONS = [("Kiểm tra khe hở 5 mm", "Check with gauge"), ("2. Ép 3 kg", "2. Press."), ("không vượt quá 3 mm", "3 mm"), ("tối đa 2 cm", "at most 2 cm"), ("plain", "plain")]
 add("a22_instruction_quality", lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(INSTRUCTIONS)], "i long, a string, b string").join(s.range(1), how="cross").select("i", F.array_join(Q.instruction_issues(F.col("a"), F.col("b")), ",").alias("issues")), "SELECT CAST(i AS BIGINT) AS i, issues FROM (VALUES (0, 'check_if_required,missing_measurement'), (1, 'incomplete_instruction,missing_measurement'), (2, 'missing_restriction'), (3, ''), (4, '')) v(i, issues)")
-add("a19_complexity", lambda s, d: units(s, d).select("doc_id", "line_no", Q.complexity(F.col("text")).alias("complexity")).where("complexity > 0"), r"SELECT doc_id, line_no, CAST(c AS INTEGER) AS complexity FROM (SELECT *, least(100, len(list_distinct(regexp_extract_all(text, '\b\d+(?:\.\d+)?\s*(?:mm|cm|kg|%|°C)'))) * 10 + len(list_distinct(regexp_extract_all(text, '\b[A-Z]{2,}\b'))) * 5 + len(list_distinct(regexp_extract_all(text, '\b[A-Z]+-\d+\b'))) * 15 + len(list_distinct(regexp_extract_all(text, '\d+'))) * 8) AS c FROM units WHERE NOT regexp_matches(text, '[^\x00-\x7F]')) WHERE c > 0", B.UNITS)
-_a19 = QUERIES["a19_complexity"]
-QUERIES["a19_complexity"] = lambda s, d: _a19(s, d).join(units(s, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
-add("a20_entity_coverage", lambda s, d: pairs(s, d).select("conv_id", "turn", F.round(Q.coverage(F.array_distinct(T.numbers(F.col("source"))), F.col("target")), 3).alias("coverage")), r"SELECT conv_id, turn, round(CASE WHEN len(n) = 0 THEN 100.0 ELSE len(list_filter(n, lambda x: contains(target, x))) * 100.0 / len(n) END, 3) AS coverage FROM (SELECT *, list_distinct(regexp_extract_all(source, '\d+(?:[.,]\d+)*')) AS n FROM pairs)", B.PAIRS)
 add("u06_missing_numbers", lambda s, d: pairs(s, d).select("conv_id", "turn", F.size(F.array_except(T.numbers(F.col("source")), T.numbers(F.col("target")))).alias("missing")), r"SELECT conv_id, turn, CAST(len(list_distinct(list_filter(regexp_extract_all(source, '\d+(?:[.,]\d+)*'), lambda x: NOT list_contains(regexp_extract_all(target, '\d+(?:[.,]\d+)*'), x)))) AS INTEGER) AS missing FROM pairs", B.PAIRS)
 add("u07_shared_words", lambda s, d: pairs(s, d).select("conv_id", "turn", F.size(F.array_intersect(T.tokens(F.col("source")), T.tokens(F.col("target")))).alias("shared")), f"SELECT conv_id, turn, CAST(len(list_intersect(list_distinct({B.tokens('source')}), list_distinct({B.tokens('target')}))) AS INTEGER) AS shared FROM pairs", B.PAIRS)
 add("fil20_needs_recovery", lambda s, d: quality_pairs(s, d).select("p", P.needs_recovery(F.col("source"), F.when(F.col("p") % 5 == 0, F.col("source")).when(F.col("p") % 7 == 0, F.lit(" ")).otherwise(F.col("target"))).alias("again")), f"SELECT p, trim(t) = '' OR {B.exact('source')} = {B.exact('t')} OR regexp_matches(t, '[{B.MARKED}{B.MARKED.upper()}]') AS again FROM (SELECT *, CASE WHEN p % 5 = 0 THEN source WHEN p % 7 = 0 THEN ' ' ELSE target END AS t FROM qp)", B.PAIRS, QUALITY)
-classified = lambda s, d: R.classified(units(s, d), units(s, d).where("doc_id % 3 = 0").select(F.col("text").alias("source")))
-_code = TEXT["fil08_non_translatable"].split("SELECT text, ")[-1].rsplit(" AS code", 1)[0]
-CLASSIFIED = f"""classified AS (SELECT doc_id, line_no, {B.exact('text')} AS key, CASE WHEN {IS_LABEL} THEN 'LABEL' WHEN {_code} THEN 'NON_TRANSLATABLE' WHEN regexp_matches(text, '^[^|]+ \\| [^|]+$') THEN 'BILINGUAL' WHEN {B.exact('text')} IN (SELECT {B.exact('text')} FROM units WHERE doc_id % 3 = 0) THEN 'TM_REUSE'
-  WHEN regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]') THEN 'NEEDS_TRANSLATION' WHEN len(list_filter({B.tokens('text')}, lambda t: t IN ('the', 'and', 'of', 'to', 'in'))) >= 2 THEN 'ALREADY_TARGET' ELSE 'NEEDS_REVIEW' END AS status FROM units)"""
-add("prj01_classifier", lambda s, d: classified(s, d).select("doc_id", "line_no", "status"), "SELECT doc_id, line_no, status FROM classified", B.UNITS, CLASSIFIED)
-add("a01_status_histogram", lambda s, d: Q.status_histogram(classified(s, d)), "SELECT status, count(*) AS n, CAST(CASE WHEN status = 'NEEDS_TRANSLATION' THEN ceil(count(*) / 25) ELSE 0 END AS BIGINT) AS batches FROM classified GROUP BY status", B.UNITS, CLASSIFIED)
-add("a04_issue_buckets", lambda s, d: Q.buckets(classified(s, d).select("status", "key", (F.length("key") / 100).alias("confidence"), (F.col("doc_id") % 2 == 0).alias("safe"))), "SELECT status, key, count(*) AS n, min(length(key) / 100.0) AS confidence, bool_and(doc_id % 2 = 0) AS safe FROM classified GROUP BY 1, 2 HAVING count(*) > 1", B.UNITS, CLASSIFIED)
-add("a21_affected_documents", lambda s, d: classified(s, d).where("status = 'NEEDS_REVIEW'").groupBy("status").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first")), "SELECT status, count(DISTINCT doc_id) AS documents, min(doc_id) AS first FROM classified WHERE status = 'NEEDS_REVIEW' GROUP BY status", B.UNITS, CLASSIFIED)
-add("l05_group_order", lambda s, d: Q.buckets(classified(s, d).select("status", "key", (F.length("key") / 100).alias("confidence"), (F.col("doc_id") % 2 == 0).alias("safe"))).orderBy("safe", F.desc("confidence"), "status", "key").limit(30).select("status", "key", "n"), "SELECT status, key, count(*) AS n FROM classified GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY bool_and(doc_id % 2 = 0), min(length(key)) DESC, status, key LIMIT 30", B.UNITS, CLASSIFIED)
-add("a05_conflict_groups", lambda s, d: classified(s, d).join(catalog.table(s, d, "labels"), "doc_id").groupBy("status", "quality").agg(F.countDistinct("doc_id").alias("documents"), F.sum("toxic").alias("toxic")), "SELECT status, quality, count(DISTINCT doc_id) AS documents, CAST(sum(toxic) AS BIGINT) AS toxic FROM classified JOIN labels USING (doc_id) GROUP BY 1, 2", B.UNITS, CLASSIFIED)
+classified, CLASSIFIED = LQ.classified, LQ.CLASSIFIED
+add("a01_status_histogram", lambda s, d: Q.status_histogram(classified(s, d)), "SELECT status, count(*) AS n, CAST(CASE WHEN status = 'NEEDS_TRANSLATION' THEN ceil(count(*) / 25) ELSE 0 END AS BIGINT) AS batches FROM classified GROUP BY status", B.UNITS, *CLASSIFIED)
+add("a04_issue_buckets", lambda s, d: Q.buckets(classified(s, d).select("status", "key", (F.length("key") / 100).alias("confidence"), (F.col("doc_id") % 2 == 0).alias("safe"))), "SELECT status, key, count(*) AS n, min(length(key) / 100.0) AS confidence, bool_and(doc_id % 2 = 0) AS safe FROM classified GROUP BY 1, 2 HAVING count(*) > 1", B.UNITS, *CLASSIFIED)
+add("a21_affected_documents", lambda s, d: classified(s, d).where("status = 'REVIEW_REQUIRED'").groupBy("status").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first")), "SELECT status, count(DISTINCT doc_id) AS documents, min(doc_id) AS first FROM classified WHERE status = 'REVIEW_REQUIRED' GROUP BY status", B.UNITS, *CLASSIFIED)
+add("l05_group_order", lambda s, d: Q.buckets(classified(s, d).select("status", "key", (F.length("key") / 100).alias("confidence"), (F.col("doc_id") % 2 == 0).alias("safe"))).orderBy("safe", F.desc("confidence"), "status", "key").limit(30).select("status", "key", "n"), "SELECT status, key, count(*) AS n FROM classified GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY bool_and(doc_id % 2 = 0), min(length(key)) DESC, status, key LIMIT 30", B.UNITS, *CLASSIFIED)
+add("a05_conflict_groups", lambda s, d: classified(s, d).join(catalog.table(s, d, "labels"), "doc_id").groupBy("status", "quality").agg(F.countDistinct("doc_id").alias("documents"), F.sum("toxic").alias("toxic")), "SELECT status, quality, count(DISTINCT doc_id) AS documents, CAST(sum(toxic) AS BIGINT) AS toxic FROM classified JOIN labels USING (doc_id) GROUP BY 1, 2", B.UNITS, *CLASSIFIED)
 add("a11_deck_statistics", lambda s, d: Q.deck_statistics(units(s, d), "doc_id").select("doc_id", "lines", "words", "chars", "title"), r"SELECT doc_id, count(*) AS lines, CAST(sum(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> ''))) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars, substr(arg_min(trim(text), line_no), 1, 80) AS title FROM units GROUP BY doc_id", B.UNITS)
-add("a12_slide_roll_up", lambda s, d: classified(s, d).groupBy("doc_id").agg(F.count("*").alias("units"), F.count_if(F.col("status").isin("NEEDS_TRANSLATION", "NEEDS_REVIEW")).alias("needs"), F.min_by("status", "line_no").alias("first")), "SELECT doc_id, count(*) AS units, count(*) FILTER (status IN ('NEEDS_TRANSLATION', 'NEEDS_REVIEW')) AS needs, arg_min(status, line_no) AS first FROM classified GROUP BY doc_id", B.UNITS, CLASSIFIED)
+add("a12_slide_roll_up", lambda s, d: classified(s, d).groupBy("doc_id").agg(F.count("*").alias("units"), F.count_if(F.col("status").isin("NEEDS_TRANSLATION", "REVIEW_REQUIRED")).alias("needs"), F.min_by("status", "line_no").alias("first")), "SELECT doc_id, count(*) AS units, count(*) FILTER (status IN ('NEEDS_TRANSLATION', 'REVIEW_REQUIRED')) AS needs, arg_min(status, line_no) AS first FROM classified GROUP BY doc_id", B.UNITS, *CLASSIFIED)
 add("a14_pairs_by_session", lambda s, d: pairs(s, d).groupBy("conv_id").agg(F.count("*").alias("pairs")), "SELECT conv_id, count(*) AS pairs FROM pairs GROUP BY conv_id", B.PAIRS)
 add("a16_column_profile", lambda s, d: units(s, d).where("line_no < 20").groupBy("doc_id").agg(F.count_if(P.has_marks(F.col("text"))).alias("marked"), F.count_if(F.col("text").rlike("[a-zA-Z]{2,}")).alias("latin"), F.count_if(F.col("text").rlike(r"^\d+$")).alias("numeric")).withColumn("role", F.when(F.col("marked") > 3, "vi").when((F.col("latin") > 3) & (F.col("marked") == 0), "en").when(F.col("numeric") > 10, "skip").otherwise("unknown")), rf"SELECT *, CASE WHEN marked > 3 THEN 'vi' WHEN latin > 3 AND marked = 0 THEN 'en' WHEN numeric > 10 THEN 'skip' ELSE 'unknown' END AS role FROM (SELECT doc_id, count(*) FILTER (regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]')) AS marked, count(*) FILTER (regexp_matches(text, '[a-zA-Z]{{2,}}')) AS latin, count(*) FILTER (regexp_matches(text, '^\d+$')) AS numeric FROM units WHERE line_no < 20 GROUP BY doc_id)", B.UNITS)
 add("a17_slide_profile", lambda s, d: units(s, d).groupBy("doc_id").agg(F.count_if(P.has_marks(F.col("text"))).alias("marked"), F.count_if(F.length("text") > 200).alias("long"), F.round(F.avg(F.when(P.has_marks(F.col("text")), 1.0).otherwise(0.0)), 6).alias("ratio")), f"SELECT doc_id, count(*) FILTER (regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]')) AS marked, count(*) FILTER (length(text) > 200) AS long, round(avg(CASE WHEN regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]') THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM units GROUP BY doc_id", B.UNITS)
 add("a24_dedup_stats", lambda s, d: Q.entity_report(units(s, d).withColumn("key", T.exact_key(F.col("text")))), f"SELECT count(*) AS total, count(DISTINCT {B.exact('text')}) AS unique, count(*) - count(DISTINCT {B.exact('text')}) AS saved FROM units", B.UNITS)
-add("u08_distinct_pending", lambda s, d: classified(s, d).where("status = 'NEEDS_TRANSLATION'").select("key").dropDuplicates(), "SELECT DISTINCT key FROM classified WHERE status = 'NEEDS_TRANSLATION'", B.UNITS, CLASSIFIED)
-add("a27_post_flight", lambda s, d: quality_pairs(s, d).withColumns(Q.qa(F.col("source"), F.col("target"))).agg(F.sum("missing_numbers").alias("numbers"), F.sum("missing_urls").alias("urls"), F.every("passed").alias("passed")), "SELECT CAST(sum(missing_numbers) AS BIGINT) AS numbers, CAST(sum(missing_urls) AS BIGINT) AS urls, bool_and(passed) AS passed FROM (" + ORACLES["a08_quality_score"] + ")")
-add("a28_gate_merge", lambda s, d: QUERIES["a08_quality_score"](s, d).select("passed").union(QUERIES["a07_compliance_score"](s, d).select(F.col("score") >= 80)).agg(F.count("*").alias("checks"), F.every("passed").alias("passed")), "SELECT count(*) AS checks, bool_and(passed) AS passed FROM (SELECT passed FROM (" + ORACLES["a08_quality_score"] + ") UNION ALL SELECT score >= 80 FROM (" + ORACLES["a07_compliance_score"] + "))")
+add("u08_distinct_pending", lambda s, d: classified(s, d).where("status = 'NEEDS_TRANSLATION'").select("key").dropDuplicates(), "SELECT DISTINCT key FROM classified WHERE status = 'NEEDS_TRANSLATION'", B.UNITS, *CLASSIFIED)
 
 # --- rules, rewriting, harvesting
 RULES = [("r1", "the", "style", ["the\\s+the", "\\bthat\\b"], ["of of"], "", True, 2), ("r2", "table", "layout", ["\\|"], ["| |"], "", True, 1), ("r3", "off", "none", ["."], ["e"], "", False, 9)]
@@ -133,8 +122,6 @@ add(
 _grams = " UNION ALL ".join(f"SELECT doc_id, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM w WHERE len(w) >= {n})" for n in range(1, 5))
 add("p08_gram_scan", lambda s, d: R.grams(units(s, d), 4, 5), f"SELECT gram, count(DISTINCT doc_id) AS documents, count(*) AS n FROM ({_grams}) GROUP BY gram HAVING count(DISTINCT doc_id) >= 5", B.UNITS, f"w AS (SELECT doc_id, list_filter(string_split({B.word_key('text')}, ' '), lambda x: x <> '') AS w FROM units)")
 add("l04_top_candidates", lambda s, d: R.grams(units(s, d), 2, 5).orderBy(F.desc("n"), "gram").limit(100).select("gram", "n"), f"SELECT gram, count(*) AS n FROM ({' UNION ALL '.join(_grams.split(' UNION ALL ')[:2])}) GROUP BY gram HAVING count(DISTINCT doc_id) >= 5 ORDER BY n DESC, gram LIMIT 100", B.UNITS, f"w AS (SELECT doc_id, list_filter(string_split({B.word_key('text')}, ' '), lambda x: x <> '') AS w FROM units)")
-add("src06_labelled_pairs", lambda s, d: R.labelled_pairs(units(s, d)), r"SELECT doc_id, line_no, trim(regexp_extract(text, '^([^:]{2,60}):\s*(.+)$', 1)) AS source, trim(regexp_extract(text, '^([^:]{2,60}):\s*(.+)$', 2)) AS target FROM units WHERE trim(regexp_extract(text, '^([^:]{2,60}):\s*(.+)$', 1)) <> '' AND trim(regexp_extract(text, '^([^:]{2,60}):\s*(.+)$', 2)) <> ''", B.UNITS)
-add("src05_text_runs", lambda s, d: catalog.runs(s, d), "SELECT page_id, run_no, tag, text FROM runs", B.RUNS)
 DIFFS = [("Check the gap now", "Check the bond gap now"), ("a b c", "a x c"), ("same", "same"), ("one", "two three"), ("x y", "x y z")]
 add("f19_word_diff", lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(DIFFS)], "i long, a string, b string").select("i", R.word_diff(F.col("a"), F.col("b")).alias("w")).select("i", "w.old", "w.new"), "SELECT CAST(i AS BIGINT) AS i, old, new FROM (VALUES (0, '', 'bond'), (1, 'b', 'x'), (2, '', ''), (3, 'one', 'two three'), (4, '', 'z')) v(i, old, new)")
 WORDS = {"the": "le", "and": "et", "of": "de", "in": "dans"}
@@ -143,16 +130,10 @@ add("dml11_dedupe_infer_join", lambda s, d: units(s, d).withColumn("key", T.exac
 add("j17_containment_count", lambda s, d: units(s, d).join(F.broadcast(s.createDataFrame([("edon",), ("thion",), ("der",)], "needle string")), F.lower("text").contains(F.col("needle"))).groupBy("needle").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents")), "SELECT needle, count(*) AS n, count(DISTINCT doc_id) AS documents FROM units, (VALUES ('edon'), ('thion'), ('der')) v(needle) WHERE contains(lower(text), needle) GROUP BY needle", B.UNITS)
 add("j15_corrected_pairs", lambda s, d: pairs(s, d).alias("c").join(pairs(s, d).where("conv_id % 2 = 0").select("conv_id", "turn", F.col("target").alias("base")), ["conv_id", "turn"]).join(pairs(s, d).where("turn % 4 = 0").select("conv_id", "turn", F.lit(True).alias("logged")), ["conv_id", "turn"], "left").select("conv_id", "turn", (F.coalesce("logged", F.lit(False)) | (F.col("target") != F.col("base"))).alias("corrected")), "SELECT conv_id, turn, turn % 4 = 0 AS corrected FROM pairs WHERE conv_id % 2 = 0", B.PAIRS)
 add("j23_a09_term_coverage", lambda s, d: Q.term_coverage(pairs(s, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), F.explode(F.array(F.lit("the"), F.lit("la"), F.lit("der"))).alias("term"), "source").where(F.lower("source").contains(F.col("term"))).withColumn("target_form", F.col("term")), pairs(s, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), F.col("target").alias("text"))), "SELECT key, count(*) AS terms, count(*) FILTER (contains(lower(target), term)) AS present, CAST(floor(100.0 * count(*) FILTER (contains(lower(target), term)) / count(*) + 0.5) AS INTEGER) AS compliance FROM (SELECT conv_id * 100 + turn AS key, source, target FROM pairs), (VALUES ('the'), ('la'), ('der')) v(term) WHERE contains(lower(source), term) GROUP BY key", B.PAIRS)
-add("src08_presentation_order", lambda s, d: catalog.table(s, d, "nation").join(F.broadcast(catalog.table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("ordinal")), "SELECT n_nationkey, n_name, r_name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER) AS ordinal FROM nation JOIN region ON n_regionkey = r_regionkey")
 add("src13_cell_neighbours", lambda s, d: catalog.table(s, d, "lineitem").withColumns({"next": F.lead("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")), "value": F.lead("l_returnflag").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))}).select("l_orderkey", "l_linenumber", F.when(F.col("next") == F.col("l_linenumber") + 1, F.col("value")).alias("right")), "SELECT l_orderkey, l_linenumber, CASE WHEN lead(l_linenumber) OVER w = l_linenumber + 1 THEN lead(l_returnflag) OVER w END AS \"right\" FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)")
 add("fil28_table_overflow", lambda s, d: units(s, d).groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).select("doc_id", "rows", ((F.col("rows") - 1 >= 5) | ((F.col("rows") - 1 >= 4) & (F.col("chars") >= 800))).alias("split"), F.when((F.col("rows") - 1 >= 5) | ((F.col("rows") - 1 >= 4) & (F.col("chars") >= 800)), 1 + F.ceil((F.col("rows") - 1) / 2)).otherwise(F.col("rows")).alias("index")), "SELECT doc_id, rows, s AS split, CAST(CASE WHEN s THEN 1 + ceil((rows - 1) / 2) ELSE rows END AS BIGINT) AS \"index\" FROM (SELECT doc_id, count(*) AS rows, count(*) - 1 >= 5 OR (count(*) - 1 >= 4 AND sum(length(text)) >= 800) AS s FROM units GROUP BY doc_id)", B.UNITS)
-add("fil26_concise_mode", lambda s, d: units(s, d).select("doc_id", "line_no", F.when(F.length("text") < 40, "short").when(F.col("text").contains("|"), "list").when(F.length("text") > 300, "long").otherwise("plain").alias("mode")), "SELECT doc_id, line_no, CASE WHEN length(text) < 40 THEN 'short' WHEN contains(text, '|') THEN 'list' WHEN length(text) > 300 THEN 'long' ELSE 'plain' END AS mode FROM units", B.UNITS)
 add("snk04_session_log", lambda s, d: pairs(s, d).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "source"))).alias("pairs")).select("conv_id", F.size("pairs").alias("n"), F.col("pairs")[0]["turn"].alias("first_turn")), "SELECT conv_id, CAST(count(*) AS INTEGER) AS n, min(turn) AS first_turn FROM pairs GROUP BY conv_id", B.PAIRS)
-add("snk05_audit_trace", lambda s, d: V.newest(QUERIES["a12_slide_roll_up"](s, d), 20, [F.desc("needs"), F.col("doc_id")]), "SELECT doc_id, count(*) AS units, count(*) FILTER (status IN ('NEEDS_TRANSLATION', 'NEEDS_REVIEW')) AS needs, arg_min(status, line_no) AS first FROM classified GROUP BY doc_id ORDER BY needs DESC, doc_id LIMIT 20", B.UNITS, CLASSIFIED)
+add("snk05_audit_trace", lambda s, d: V.newest(QUERIES["a12_slide_roll_up"](s, d), 20, [F.desc("needs"), F.col("doc_id")]), "SELECT doc_id, count(*) AS units, count(*) FILTER (status IN ('NEEDS_TRANSLATION', 'REVIEW_REQUIRED')) AS needs, arg_min(status, line_no) AS first FROM classified GROUP BY doc_id ORDER BY needs DESC, doc_id LIMIT 20", B.UNITS, *CLASSIFIED)
 add("snk11_context_sections", lambda s, d: units(s, d).select("doc_id", "line_no", F.substring("text", 1, 500).alias("snippet")).groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("snippet")).alias("chars")), "SELECT doc_id, count(*) AS sections, CAST(sum(length(substr(text, 1, 500))) AS BIGINT) AS chars FROM units GROUP BY doc_id", B.UNITS)
-add("a25_section_stats", lambda s, d: units(s, d).groupBy("lang").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars")), "SELECT lang, count(DISTINCT doc_id) AS documents, count(*) AS sections, CAST(sum(length(text)) AS BIGINT) AS chars FROM units GROUP BY lang", B.UNITS)
-add("w13_section_numbers", lambda s, d: units(s, d).withColumn("section", F.sum(F.when(F.length("text") < 40, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("line_no"))).select("doc_id", "line_no", "section"), "SELECT doc_id, line_no, CAST(sum(CASE WHEN length(text) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section FROM units", B.UNITS)
 add("w14_first_occurrence", lambda s, d: units(s, d).select("doc_id", "line_no", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).groupBy("doc_id", "token").agg(F.min("line_no").alias("line_no")), f"SELECT doc_id, token, min(line_no) AS line_no FROM (SELECT doc_id, line_no, unnest({B.tokens('text')}) AS token FROM units) GROUP BY 1, 2", B.UNITS)
 add("f35_unique_names", lambda s, d: catalog.table(s, d, "part").select("p_partkey", F.concat(F.substring("p_name", 1, 8), F.when(F.row_number().over(Window.partitionBy(F.substring("p_name", 1, 8)).orderBy("p_partkey")) > 1, F.concat(F.lit("_"), F.row_number().over(Window.partitionBy(F.substring("p_name", 1, 8)).orderBy("p_partkey")).cast("string"))).otherwise("")).alias("name")), "SELECT p_partkey, substr(p_name, 1, 8) || CASE WHEN r > 1 THEN '_' || r ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY substr(p_name, 1, 8) ORDER BY p_partkey) AS r FROM part)")
-add("f27_prompt_lines", lambda s, d: G.eligible(catalog.terms(s, d)).groupBy("category").agg(F.substring(F.array_join(F.array_sort(F.array_distinct(F.collect_list(F.concat_ws(" => ", "source_term", "target_term")))), "; "), 1, 200).alias("prompt")), "SELECT category, substr(string_agg(x, '; ' ORDER BY x), 1, 200) AS prompt FROM (SELECT DISTINCT category, source_term || ' => ' || target_term AS x FROM terms WHERE status = 'approved') GROUP BY category", B.TERMS)
-add("p11_compliance_tool", lambda s, d: units(s, d).select("doc_id", "line_no", F.array_join(F.array_compact(F.array(F.when(P.has_marks(F.col("text")), "marks"), F.when(F.col("text").contains("  "), "spaces"), F.when(F.col("text").rlike(r"\|"), "table"), F.when(F.length("text") > 500, "long"))), ",").alias("issues")).where("issues <> ''"), rf"SELECT doc_id, line_no, issues FROM (SELECT doc_id, line_no, array_to_string(list_filter([CASE WHEN regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]') THEN 'marks' END, CASE WHEN contains(text, '  ') THEN 'spaces' END, CASE WHEN contains(text, '|') THEN 'table' END, CASE WHEN length(text) > 500 THEN 'long' END], lambda x: x IS NOT NULL), ',') AS issues FROM units) WHERE issues <> ''", B.UNITS)

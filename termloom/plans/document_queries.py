@@ -10,6 +10,7 @@ from ..functions import language as L
 from ..functions import predicates as P
 from ..functions import terms as X
 from ..functions import text as T
+from ..functions.vocabulary import ACRONYMS
 from ..operators import activity as V
 from ..operators import align as A
 from ..operators import glossary as G
@@ -19,6 +20,7 @@ from ..operators import rules as R
 from ..operators import salvage as S
 from . import activity_queries as AQ
 from . import base as B
+from . import language_queries as LQ
 from . import memory_queries as MQ
 from .text_queries import CASES, IS_LABEL, literal_query
 from .text_queries import ORACLES as TEXT
@@ -32,18 +34,6 @@ def add(name: str, query, sql: str | None = None, *ctes: str) -> None:
         ORACLES[name] = (B.with_(*ctes) if ctes else "") + sql
 
 
-_EN, _VI = ("[" + ", ".join(f"'{w}'" for w in ws) + "]" for ws in (L.ENGLISH, L.SYLLABLES))
-_MARKS = f"regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]')"
-_NOT_VI = L.NOT_VIETNAMESE.replace(r"(?<![A-Za-z0-9_])", r"\b").replace(r"(?![A-Za-z0-9_])", r"\b")
-_TOK, _COMPACT = B.tokens("text"), B.compact("text")
-_PHRASE = " OR ".join(f"contains({_COMPACT}, '{p}')" for p in L.PHRASES)
-_LET = rf"list_filter({_TOK}, lambda t: regexp_matches(t, '\p{{L}}'))"
-_HITS = f"len(list_filter({_LET}, lambda t: list_contains({_VI}, t) AND NOT list_contains({_EN}, t)))"
-VIETNAMESE = rf"""coalesce(CASE WHEN {_MARKS} THEN TRUE WHEN regexp_matches(text, '{_NOT_VI}') THEN FALSE WHEN {_PHRASE} OR regexp_matches(text, '{L.OPERATION}') THEN TRUE
-  WHEN len({_TOK}) >= 2 AND len(list_filter({_TOK}, lambda t: list_contains({_EN}, t)))::DOUBLE / greatest(1, len({_TOK})) >= 0.35 THEN FALSE
-  ELSE {_HITS} >= 2 OR (len({_LET}) >= 2 AND {_HITS}::DOUBLE / greatest(1, len({_LET})) >= 0.4) OR (len({_LET}) = 1 AND {_HITS} = 1) END, FALSE)"""
-ENGLISH = rf"(NOT {VIETNAMESE} AND len({_TOK}) > 0 AND len(list_filter({_TOK}, lambda t: list_contains({_EN}, t) OR regexp_matches(t, '(?i)^[A-Z0-9\-./]+$')))::DOUBLE / greatest(1, len({_TOK})) >= 0.6)"
-_CODE = "(" + TEXT["fil08_non_translatable"].split("SELECT text, ")[-1].rsplit(" AS code", 1)[0] + ")"
 LINES = [*CASES, "kiem tra may", "May 12, 2024", "Check the gap", "quet keo khuon giay", "May logo", "the khuon and the giay", "last step now", "tan color"]
 
 
@@ -56,17 +46,9 @@ def lines(name: str, columns: dict, sql: dict[str, str]) -> None:
 
 
 t = lambda: F.col("text")
-lines("fil15_vietnamese", {"vietnamese": lambda: L.is_vietnamese(t())}, {"vietnamese": VIETNAMESE})
-lines("fil16_english", {"english": lambda: L.is_english(t())}, {"english": ENGLISH})
-lines("fil11_immune", {"immune": lambda: L.is_immune(t(), "en")}, {"immune": f"trim(text) <> '' AND ({IS_LABEL} OR {_CODE})"})
-_META = ", ".join(f"'{m}'" for m in L.METADATA)
-lines("fil18_metadata", {"metadata": lambda: L.is_metadata(t())}, {
-    "metadata": rf"trim(text) <> '' AND NOT {_MARKS} AND ({_CODE} OR regexp_matches(trim(text), '^\d{{1,2}}[/\-.]\d{{1,2}}(?:[/\-.]\d{{2,4}})?$') OR (length(trim(text)) <= 45 AND regexp_matches(trim(text), '(?i)^[A-Z0-9\-_/.:#()\s]+$') AND len(list_filter(list_transform(regexp_split_to_array(trim(text), '\s+'), lambda w: regexp_replace(w, '^[#(\[{{.:]+|[)\]}}.:,]+$', '', 'g')), lambda w: NOT (w = '' OR regexp_matches(w, '\d') OR length(w) <= 3 OR upper(w) IN ({_META})))) = 0))",
-})
 lines("f12_term_casing", {"cased": lambda: L.cased(F.replace(t(), F.lit("ß"), F.lit("ss")), F.lit(True))}, {
-    "cased": "array_to_string(list_transform(regexp_split_to_array(trim(replace(text, 'ß', 'ss')), '\\s+'), lambda w, i: CASE WHEN upper(w) IN (" + ", ".join(f"'{a}'" for a in P.ACRONYMS) + ") THEN upper(w) WHEN regexp_matches(w, '\\d') OR regexp_matches(w, '^[A-Z0-9]+-[A-Z0-9\\-]+$') THEN w WHEN i = 1 THEN upper(substr(w, 1, 1)) || lower(substr(w, 2)) ELSE lower(w) END), ' ')",
+    "cased": "array_to_string(list_transform(regexp_split_to_array(trim(replace(text, 'ß', 'ss')), '\\s+'), lambda w, i: CASE WHEN upper(w) IN (" + ", ".join(f"'{a}'" for a in ACRONYMS) + ") THEN upper(w) WHEN regexp_matches(w, '\\d') OR regexp_matches(w, '^[A-Z0-9]+-[A-Z0-9\\-]+$') THEN w WHEN i = 1 THEN upper(substr(w, 1, 1)) || lower(substr(w, 2)) ELSE lower(w) END), ' ')",
 })
-QUERIES["fil13_bilingual"] = lambda s, d: s.createDataFrame([(x,) for x in ("Toe shape (Hình dạng mũi)", "Color matching-Phối màu liệu", "Check the gap")], "text string").unionByName(catalog.units(s, d).select("text")).withColumn("both", L.is_bilingual(t())).groupBy("both").agg(F.count("*").alias("n"))
 QUERIES["f09_punctuation"] = lambda s, d: catalog.units(s, d).select("doc_id", "line_no", F.md5(L.punctuated(t())).alias("text"))
 QUERIES["j12_pair_verdict"] = lambda s, d: catalog.pairs(s, d).select(L.pair_verdict(F.col("source"), F.col("target")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 FORMULAS = ["A1+B2", "SUM(B1:C3)", "$B$1", "Other!B1", "LOG10(B1)"]
@@ -91,8 +73,8 @@ add("src18_cache_load", lambda s, d: catalog.log(s, d).where(F.to_date("ts") ==
 add("src20_explicit_pairs", lambda s, d: catalog.table(s, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'href="/([^"]+)"'), 1)).alias("pos", "link")), r"""SELECT page_id, CAST(i AS INTEGER) AS pos, l[i + 1] AS link FROM (SELECT page_id, l, unnest(range(0, len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="/([^"]+)"', 1) AS l FROM pages))""")
 add("src09_deck_crawl", lambda s, d: catalog.runs(s, d).groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"), F.substring(F.min_by("text", "run_no"), 1, 80).alias("title")), "SELECT page_id, count(*) AS paragraphs, CAST(sum(length(text)) AS BIGINT) AS chars, substr(arg_min(text, run_no), 1, 80) AS title FROM runs GROUP BY page_id", B.RUNS)
 # --- whole pipelines, composed of the operators above
-add("p01_text_translation", lambda s, d: R.classified(catalog.units(s, d), MQ.known(s, d)).where("status in ('NEEDS_TRANSLATION', 'NEEDS_REVIEW', 'ALREADY_TARGET')").select("doc_id", "line_no", "text").withColumn("out", R.translated(F.col("text"), {"of the": "du"}, AQ.WORDS)).withColumns(Q.qa(F.col("text"), F.col("out"))).groupBy("passed").agg(F.count("*").alias("n"), F.min("score").alias("least")))
-add("p03_deck_audit", lambda s, d: R.classified(catalog.units(s, d), MQ.known(s, d)).groupBy("doc_id").agg(F.count("*").alias("units"), F.count_if(F.col("status") == "NEEDS_TRANSLATION").alias("needs"), F.count_if(F.col("status") == "TM_REUSE").alias("reuse"), F.count_if(F.col("status") == "NEEDS_REVIEW").alias("review")), "SELECT doc_id, count(*) AS units, count(*) FILTER (status = 'NEEDS_TRANSLATION') AS needs, count(*) FILTER (status = 'TM_REUSE') AS reuse, count(*) FILTER (status = 'NEEDS_REVIEW') AS review FROM classified GROUP BY doc_id", B.UNITS, AQ.CLASSIFIED)
+add("p01_text_translation", lambda s, d: LQ.classified(s, d).where("status in ('NEEDS_TRANSLATION', 'REVIEW_REQUIRED')").select("doc_id", "line_no", "text").withColumn("out", R.translated(F.col("text"), {"of the": "du"}, AQ.WORDS)).withColumns(Q.qa(F.col("text"), F.col("out"))).groupBy("passed").agg(F.count("*").alias("n"), F.min("score").alias("least")))
+add("p03_deck_audit", lambda s, d: LQ.classified(s, d).groupBy("doc_id").agg(F.count("*").alias("units"), F.count_if(F.col("status") == "NEEDS_TRANSLATION").alias("needs"), F.count_if(F.col("status") == "TM_REUSE").alias("reuse"), F.count_if(F.col("status") == "REVIEW_REQUIRED").alias("review")), "SELECT doc_id, count(*) AS units, count(*) FILTER (status = 'NEEDS_TRANSLATION') AS needs, count(*) FILTER (status = 'TM_REUSE') AS reuse, count(*) FILTER (status = 'REVIEW_REQUIRED') AS review FROM classified GROUP BY doc_id", B.UNITS, *LQ.CLASSIFIED)
 add("p04_apply_suggestions", lambda s, d: A.overlay(catalog.units(s, d).select((F.col("doc_id") * 10_000 + F.col("line_no")).alias("unit_id"), "text"), MQ.edits(s, d).where("id is not null"), "unit_id", "text").agg(F.count_if("edited").alias("applied"), F.count("*").alias("units")), "SELECT count(*) FILTER (doc_id % 2 = 0 AND line_no % 7 = 1) AS applied, count(*) AS units FROM units", B.UNITS)
 add("p05_workbook_audit", lambda s, d: catalog.units(s, d).withColumn("cell", P.is_cell_text(F.col("text"))).groupBy("doc_id").agg(F.count_if("cell").alias("cells"), F.count_if(~F.col("cell")).alias("other")), rf"SELECT doc_id, count(*) FILTER (c) AS cells, count(*) FILTER (NOT c) AS other FROM (SELECT doc_id, {TEXT['fil19_cell_text'].split('SELECT text, ')[-1].rsplit(' AS cell', 1)[0]} AS c FROM units) GROUP BY doc_id", B.UNITS)
 add("p10_corrected_provenance", lambda s, d: QUERIES["j26_memory_mediated"](s, d).groupBy("doc_id").agg(F.count("*").alias("matched")), f"SELECT doc_id, count(*) AS matched FROM bulleted JOIN (SELECT {B.compact('source')} AS k FROM known GROUP BY 1) ON k = {B.compact('text')} GROUP BY doc_id", B.UNITS, MQ.KNOWN, MQ.BULLETED)
@@ -118,10 +100,5 @@ QUERIES["f18_bilingual_split"] = lambda s, d: s.createDataFrame([("Final Inspect
 ORACLES["f18_bilingual_split"] = "SELECT * FROM (VALUES ('Final Inspection' || chr(10) || 'Kiểm tra cuối', 'Final Inspection', 'Kiểm tra cuối'), ('Hình mũi - Toe shape', 'Toe shape', 'Hình mũi'), ('Toe - Heel', NULL, NULL)) v(text, en, vi)"
 QUERIES["f24_spelling"] = lambda s, d: catalog.units(s, d).select("doc_id", "line_no", F.md5(X.spelling(F.col("text"), ["kiểm tra", "an toàn"])).alias("text"))
 QUERIES["f16_enforcement"] = lambda s, d: X.enforced(catalog.pairs(s, d).withColumn("k", F.col("conv_id") * 100 + F.col("turn")), "k", [{"term": "the", "target": "this", "synonyms": ["that"]}]).select("k", "replaced")
-lines("fil09_model_name", {"model": lambda: X.is_model_name(t())}, {
-    "model": r"trim(text) <> '' AND NOT " + _MARKS + r" AND (regexp_matches(m, '(?i)^(?:model|mẫu|sample|hình\s*thể|style|code|art(?:icle)?)\s*[:#\-]?\s*([A-Z0-9\-./]+)$') OR regexp_matches(m, '(?i)^\(?[A-Z0-9]{5,8}[-_/]\d{3}\)?$') OR (regexp_matches(m, '\d') AND regexp_matches(m, '(?i)^\(?#?[A-Z0-9]{1,8}(?:[-_/.][A-Z0-9]{1,8})+\)?$')) OR (len(list_filter(u, lambda w: w IN (BRANDS))) > 0 AND len(list_filter(u, lambda w: NOT (w IN (BRANDS) OR regexp_matches(w, '^\d+$') OR regexp_matches(w, '^[IVXLCDM]+$') OR (regexp_matches(w, '\d') AND regexp_matches(w, '^[A-Z0-9\-./]+$')) OR (length(w) <= 4 AND regexp_matches(w, '^[A-Z0-9]+$'))))) = 0))".replace("BRANDS", ", ".join(f"'{b}'" for b in X.BRANDS)),
-})
-ORACLES["fil09_model_name"] = ORACLES["fil09_model_name"].replace("FROM w", r"FROM (SELECT text, m, list_filter(regexp_split_to_array(upper(regexp_replace(m, '[()\[\]{}<>" + '"' + r"'',]', ' ', 'g')), '\s+'), lambda w: w <> '') AS u FROM (SELECT text, regexp_replace(trim(text), '(?i)^(?:tên\s*(?:hình\s*thể|giày|mẫu)|hình\s*thể|mẫu\s*giày|model(?:\s*name)?)\s*[::\-]\s*', '') AS m FROM w))")
 add("prj09_report_projection", lambda s, d: catalog.log(s, d).select("id", "user_id", "operation", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at_time")), "SELECT id, user_id, operation, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at_time FROM log", B.LOG)
-add("p12_post_flight_repair", lambda s, d: AQ.deck(s, d).select("deck", X.reordered(X.stitch_density(F.col("target"))).alias("target"), "source").transform(lambda x: Q.compliance(x, "deck")).select("deck", "densities", "nouns"), "SELECT deck, CAST(0 AS BIGINT) AS densities, CAST(0 AS BIGINT) AS nouns FROM deck GROUP BY deck", B.PAIRS, AQ.DECK)
 add("p02_deck_translation", lambda s, d: M.plan(MQ.bulleted(s, d), MQ.known(s, d)).withColumn("target", F.coalesce("target", R.translated(F.col("text"), {"of the": "du"}, AQ.WORDS))).groupBy("how").agg(F.count("*").alias("n"), F.count_if(F.col("target").isNull()).alias("missing")), "SELECT how, count(*) AS n, CAST(0 AS BIGINT) AS missing FROM (" + MQ.ORACLES["j02_j03_memory_plan"] + ") GROUP BY how")

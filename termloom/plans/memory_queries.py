@@ -9,6 +9,7 @@ from .. import catalog
 from ..functions import predicates as P
 from ..functions import text as T
 from ..operators import align as A
+from ..operators import classify as C
 from ..operators import memory as M
 from . import base as B
 
@@ -130,4 +131,13 @@ add("j01_candidates", lambda s, d: catalog.units(s, d).crossJoin(F.broadcast(s.c
 add("j21_relevant_terms", lambda s, d: F.broadcast(s.createDataFrame([(g["term"],) for g in GLOSSARY], "term string")).join(catalog.units(s, d).where("line_no = 0"), F.lower("text").contains(F.col("term")), "left_semi"), "SELECT term FROM (VALUES " + ", ".join(f"('{g['term']}')" for g in GLOSSARY) + ") v(term) WHERE EXISTS (SELECT 1 FROM units WHERE line_no = 0 AND contains(lower(text), term))", B.UNITS)
 add("j13_expected_outputs", lambda s, d: catalog.memory(s, d).select("item_id", "sentence_no", T.exact_key(F.col("sentence")).alias("k")).join(queries_of(s, d).select(T.exact_key(F.col("q_text")).alias("k"), F.lit(True).alias("hit")).distinct(), "k", "left").select("item_id", "sentence_no", F.coalesce("hit", F.lit(False)).alias("found")), f"SELECT item_id, sentence_no, {B.exact('sentence')} IN (SELECT {B.exact('q_text')} FROM questions) AS found FROM memory", B.UNITS, B.MEMORY, QUESTIONS)
 add("u04_merged_pairs", lambda s, d: M.history(("explicit", catalog.pairs(s, d).where("conv_id % 3 = 0"))).select("source", "target").unionByName(catalog.pairs(s, d).where("conv_id % 3 <> 0").join(catalog.pairs(s, d).where("conv_id % 3 = 0").select("source").distinct(), "source", "left_anti").select("source", "target").distinct()).groupBy(F.length("source").cast("long").alias("len")).agg(F.count("*").alias("n")), "SELECT length(source) AS len, count(*) AS n FROM (SELECT DISTINCT source, target FROM pairs WHERE conv_id % 3 = 0 UNION ALL SELECT DISTINCT source, target FROM pairs WHERE conv_id % 3 <> 0 AND source NOT IN (SELECT source FROM pairs WHERE conv_id % 3 = 0)) GROUP BY 1", B.PAIRS)
-add("prj03_routing", lambda s, d: M.plan(bulleted(s, d), known(s, d)).select("doc_id", "line_no", F.when(P.is_label(F.col("text")), "label").when(P.is_code(F.col("text")), "code").when(F.col("how") != "pending", F.col("how")).when(~F.col("text").rlike(r"\p{L}"), "passthrough").otherwise("enqueue").alias("route")).groupBy("route").agg(F.count("*").alias("n")))
+
+
+def routing(s, d):
+    rows = bulleted(s, d).withColumn("unit_id", F.struct("doc_id", "line_no"))
+    pairs = rows.where("doc_id % 7 = 0 and line_no = 1").select("unit_id", F.lit("there").alias("existing"))
+    memory = known(s, d).select("source", "target")
+    return C.routed(rows.select("unit_id", "text"), memory, pairs, "en").groupBy("route").agg(F.count("*").alias("n"))
+
+
+QUERIES["prj03_routing"] = routing

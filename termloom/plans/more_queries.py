@@ -17,7 +17,9 @@ from ..operators import memory as M
 from ..operators import rules as R
 from ..sources import files
 from . import activity_queries as AQ
+from ..operators import classify as C
 from . import base as B
+from . import language_queries as LQ
 from . import glossary_queries as GQ
 from . import memory_queries as MQ
 
@@ -40,9 +42,6 @@ def uploads(s, d):
 KIND = "CASE WHEN n % 3 = 2 THEN 'csv' WHEN n % 3 = 0 AND n % 4 = 0 THEN 'pdf' WHEN n % 3 = 1 AND n % 4 = 1 THEN 'xlsx' END"
 add("src01_src02_signature", lambda s, d: uploads(s, d).select("s_suppkey", files.signature(F.col("content"), F.col("name")).alias("kind")), f"SELECT s_suppkey, {KIND} AS kind FROM (SELECT *, s_suppkey AS n FROM supplier)")
 add("p09_upload_register", lambda s, d: uploads(s, d).groupBy(F.coalesce(files.signature(F.col("content"), F.col("name")), F.lit("refused")).alias("kind")).agg(F.count("*").alias("n")), f"SELECT coalesce({KIND}, 'refused') AS kind, count(*) AS n FROM (SELECT s_suppkey AS n FROM supplier) GROUP BY 1")
-HEADERS = [("s", 0, "Viet"), ("s", 1, "English"), ("t", 0, "foo"), ("t", 1, "bar"), ("t", 2, "z"), ("u", 0, "Term (EN)"), ("u", 1, "Definition")]
-add("src03_header_roles", lambda s, d: files.header_roles(s.createDataFrame(HEADERS, "sheet string, col int, text string"), "sheet"), "SELECT * FROM (VALUES ('s', 0, 'target'), ('s', 1, 'source'), ('t', 0, 'source'), ('t', 1, 'target'), ('t', 2, NULL), ('u', 0, NULL), ('u', 1, 'definition')) v(sheet, col, role)")
-add("src04_heading_sections", lambda s, d: catalog.units(s, d).withColumn("head", F.length("text") < 40).withColumn("section", F.sum(F.col("head").cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no"))).groupBy("doc_id", "section").agg(F.count("*").alias("lines")), "SELECT doc_id, section, count(*) AS lines FROM (SELECT doc_id, CAST(sum(CASE WHEN length(text) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS section FROM units) GROUP BY 1, 2", B.UNITS)
 add("src10_paragraph_runs", lambda s, d: catalog.table(s, d, "pages").select("page_id", F.posexplode(files.text_runs(F.col("html"), "p")).alias("pos", "text")), r"SELECT page_id, CAST(i AS INTEGER) AS pos, l[i + 1] AS text FROM (SELECT page_id, l, unnest(range(0, len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<p(?:\s[^>]*)?>([^<]*)</p>', 1) AS l FROM pages))")
 add("src11_parent_shape", lambda s, d: A.containing(MQ.points(s, d), MQ.spans(s, d), ["k"], 16).groupBy("k").agg(F.count("*").alias("held")), "SELECT k, count(*) AS held FROM (" + MQ.ORACLES["j18_interval_join"] + ") GROUP BY k")
 add("src12_boxes", lambda s, d: catalog.table(s, d, "part").select("p_partkey", T.percent_box(F.col("p_retailprice"), F.col("p_size").cast("double"), F.lit(2000.0))[0].alias("low"), T.percent_box(F.col("p_retailprice"), F.col("p_size").cast("double"), F.lit(60.0))[1].alias("extent")), "SELECT p_partkey, floor(greatest(0.0, least(100.0, p_retailprice / 2000.0 * 100)) * 10 + 0.5) / 10 AS low, floor(greatest(0.0, least(100.0, p_size / 60.0 * 100)) * 10 + 0.5) / 10 AS extent FROM part")
@@ -78,14 +77,28 @@ add("dml10_memory_register", lambda s, d: M.resolve(MQ.recorded(s, d).where("sta
 
 
 def ladder(s, d):
-    mates = A.adjacent_pairs(MQ.sided(s, d)).select("doc_id", F.explode(F.array("first", "second")).alias("line_no"), F.lit(True).alias("paired"))
-    rows = AQ.classified(s, d).join(mates, ["doc_id", "line_no"], "left")
-    status = F.when(F.col("status").isin("NEEDS_TRANSLATION", "NEEDS_REVIEW") & F.col("paired"), "BILINGUAL").otherwise(F.col("status"))
-    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    lines = LQ.lines(s, d)
+    mates = A.adjacent_pairs(MQ.sided(s, d)).select("doc_id", F.explode(F.array("first", "second")).alias("line_no"))
+    unit = F.struct("doc_id", "line_no")
+    units = lines.select(unit.alias("unit_id"), "text", F.col("doc_id").alias("container"), F.lit(False).alias("reference"), F.lit(False).alias("to_duplicate"))
+    memory = catalog.units(s, d).where("doc_id % 3 = 0").select(F.col("text").alias("source"), F.col("text").alias("target"))
+    glossary = catalog.memory(s, d).select(F.col("sentence").alias("source"), F.col("sentence").alias("target"))
+    out = C.presentation(units, mates.select(unit.alias("unit_id"), F.lit("there").alias("existing")), memory, glossary)
+    return out.select("unit_id.doc_id", "unit_id.line_no", "status")
 
 
 _ADJ = "adj AS (" + MQ.ORACLES["j07_adjacent_pairs"].split(MQ.SIDED + "\n")[-1] + ")"
-add("prj02_presentation_ladder", ladder, "SELECT CASE WHEN status IN ('NEEDS_TRANSLATION', 'NEEDS_REVIEW') AND EXISTS (SELECT 1 FROM adj WHERE adj.doc_id = c.doc_id AND (adj.first = c.line_no OR adj.second = c.line_no)) THEN 'BILINGUAL' ELSE status END AS status, count(*) AS n FROM classified c GROUP BY 1", B.UNITS, MQ.SIDED, AQ.CLASSIFIED, _ADJ)
+_KNOWN = lambda table, column: f"({B.exact('w.text')} IN (SELECT {B.exact(column)} FROM {table}) OR {B.canonical('w.text')} IN (SELECT {B.canonical(column)} FROM {table}))"
+add("prj02_presentation_ladder", ladder, rf"""
+SELECT doc_id, line_no, CASE WHEN c.label OR c.code THEN 'NON_TRANSLATABLE'
+  WHEN held.vi AND (regexp_matches(c.text, '(?i)^[-–—*•#]?\s*size\s*#?[\d.,\-]+') OR regexp_matches(c.text, '(?i)^[-–—*•#]?\s*#?\d+(?:[.,]\d+)?(?:\s*[-–—/]\s*#?\d+(?:[.,]\d+)?)?\s*[:：]?\s*[\d.,\-+±~]+\s*(?:kg/cm²|kg|g|cm|mm|℃|°c|sec|s|min|bar|psi|spi|%|m/s|v|w|a)?$')) THEN 'TM_REUSE'
+  WHEN NOT (c.vietnamese OR c.hints) THEN 'ALREADY_TRANSLATED'
+  WHEN EXISTS (SELECT 1 FROM adj WHERE adj.doc_id = c.doc_id AND (adj.first = c.line_no OR adj.second = c.line_no)) THEN 'ALREADY_TRANSLATED'
+  WHEN bi.both_languages THEN 'ALREADY_TRANSLATED'
+  WHEN regexp_matches(c.text, '(?i)^\s*\*?\s*(?:(?:đối\s*với|áp\s*dụng\s*cho|dành\s*cho)\s|(?:model|mẫu)\s*[:：\-])\s*[A-Z0-9\-/.()#:,][A-Z0-9\-/.\s()#:,]*$') THEN 'LOCKED_TERMINOLOGY'
+  WHEN {_KNOWN("memory", "sentence")} THEN 'LOCKED_TERMINOLOGY' WHEN {_KNOWN("(SELECT text AS x FROM units WHERE doc_id % 3 = 0)", "x")} THEN 'TM_REUSE' ELSE 'NEEDS_TRANSLATION' END AS status
+FROM c JOIN bi USING (doc_id, line_no) JOIN (SELECT doc_id, bool_or(regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]')) AS vi FROM whole_lines GROUP BY doc_id) held USING (doc_id) JOIN whole_lines w USING (doc_id, line_no) WHERE c.kind = 'whole'
+""", B.UNITS, B.MEMORY, MQ.SIDED, _ADJ, LQ.PARTS, LQ.EVIDENCE, LQ.CODES, LQ.BILINGUAL)
 offline = I.Offline({"of the": "du"}, AQ.WORDS)
 add("m01_m02_provider", lambda s, d: I.translate(catalog.units(s, d), "text", offline).groupBy("origin").agg(F.count("*").alias("n")))
 add("m06_scoped_repair", lambda s, d: I.translate(catalog.units(s, d), "text", offline, I.Offline({}, {})).groupBy("doc_id").agg(F.count("*").alias("units"), F.count("target").alias("done")))

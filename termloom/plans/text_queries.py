@@ -56,12 +56,6 @@ _label_raw, _label_bare = r"trim(regexp_replace(text, '^[#(\[{.:*]+|[)\]}.:,]+$'
 IS_LABEL = f"(regexp_matches({_label_raw}, '(?i)^{LABEL}$') OR regexp_matches({_label_bare}, '(?i)^{LABEL}$'))"
 literal_query("fil10_inspection_label", CASES, {"label": lambda: P.is_label(t())}, {"label": IS_LABEL})
 literal_query("fil12_item_code", CASES, {"code": lambda: P.is_item_code(t())}, {"code": r"regexp_matches(trim(regexp_replace(text, '^[#(\[{.:*\-\s]+|[)\]}.:,\-\s]+$', '', 'g')), '(?i)^(?:CTQ|CTP|SOP|QC|QA|STEP|ITEM|PART|NO|STT)?\s*#?\d+[a-z]?$')"})
-_U = P.UNITS
-_rules = [r"(?i)^(?:AC|DC)\s*\d+(?:[.,]\d+)?\s*V$", r"^[A-Z]{2,6}\s+[A-Z]{1,6}\d+[A-Z0-9-]*$", r"(?i)^https?://\S+$|^[\w.+-]+@[\w.-]+\.[a-z]{2,}$", r"^[*•\-#:/,.()\[\]{}_]+$", rf"(?i)^\d+(?:[.,]\d+)?(?:\s*{_U})?$", rf"(?i)^\d+(?:[.,]\d+)?\s*[-–—~]\s*\d+(?:[.,]\d+)?(?:\s*{_U})?$", r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$", r"(?i)^ISO(?:\s*|/IEC\s*)\d+(?:[-:]\d+)?$", r"(?i)^\(?[A-Z]{2,4}[-_]\d{2,4}(?:[-_][A-Z0-9]+)*\)?$", r"(?i)^(?:P/O|PO|BOM|LOT|STYLE|COLOR|SIZE|ITEM)(?:\s*[#:]\s*|\s+)[A-Z0-9\-_/]*\d[A-Z0-9\-_/]*$", r"(?i)^(?:P/O|PO|BOM|LOT|STYLE|COLOR|SIZE|ITEM)\s*#[A-Z0-9\-_/]+$", r"(?i)^SPI\s+\d+(?:-\d+)?\s+stitches/inch$"]
-_code = " OR ".join(f"regexp_matches(trim(text), '{r}')" for r in _rules)
-literal_query("fil08_non_translatable", CASES, {"code": lambda: P.is_code(t())}, {
-    "code": rf"trim(text) = '' OR (NOT regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]') AND ({_code} OR (regexp_matches(trim(text), '\d') AND regexp_matches(trim(text), '(?i)^(?:model\s+)?[A-Z0-9]{{1,6}}(?:[-_][A-Z0-9]+)+(?:\s*\([A-Z0-9\-]+\))?$')) OR upper(trim(regexp_replace(trim(text), '^[#(\[{{.:]+|[)\]}}.:,]+$', '', 'g'))) IN ({', '.join(repr(a) for a in P.ACRONYMS)}) OR {IS_LABEL}))",
-})
 literal_query("fil19_cell_text", CASES, {"cell": lambda: P.is_cell_text(t())}, {
     "cell": rf"length(trim(text)) >= 2 AND NOT (regexp_matches(trim(text), '^\d+(\.\d+)?%?$') OR regexp_matches(trim(text), '(?i)^(stt|no\.?|id|#)$') OR (regexp_matches(trim(text), '(?i)^[A-Z0-9_\-./]+$') AND regexp_matches(trim(text), '\d') AND NOT regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]'))) AND (regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]') OR (regexp_matches(trim(text), '[a-zA-Z]{{2,}}') AND contains(trim(text), ' ')))",
 })
@@ -76,7 +70,6 @@ def ladder(column: str, stages) -> str:
 
 
 literal_query("prj05_category", CASES, {"category": lambda: P.category(t())}, {"category": ladder("text", P.CATEGORIES)})
-literal_query("prj06_stage", CASES, {"stage": lambda: P.stage(t())}, {"stage": ladder("text", P.STAGES)})
 literal_query("f21_model_section", CASES, {"model": lambda: T.model_section(t())}, {
     "model": r"""CASE WHEN regexp_matches(text, '[\r\n]') OR len(regexp_extract_all(upper(regexp_extract(trim(text), '(?i)^(?:[*•#]\s*)?(?:đối\s+với|for|áp\s+dụng\s+cho|apply\s+to|applicable\s+to|dành\s+cho|with\s+(?:the\s+)?cutting\s+die|model\s*[:\-]?|mẫu\s*[:\-]?)\s+(.+)$', 1)), '[A-Z0-9]+(?:[-–][A-Z0-9]+)+')) = 0 THEN NULL
       ELSE array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(upper(regexp_extract(trim(text), '(?i)^(?:[*•#]\s*)?(?:đối\s+với|for|áp\s+dụng\s+cho|apply\s+to|applicable\s+to|dành\s+cho|with\s+(?:the\s+)?cutting\s+die|model\s*[:\-]?|mẫu\s*[:\-]?)\s+(.+)$', 1)), '[A-Z0-9]+(?:[-–][A-Z0-9]+)+'), lambda c: replace(c, '–', '-')))), '|') END""",
@@ -116,8 +109,3 @@ QUERIES["f32_geometry_box"] = lambda s, d: catalog.table(s, d, "lineitem").selec
 ORACLES["f32_geometry_box"] = "SELECT l_orderkey, l_linenumber, floor(greatest(0.0, least(100.0, l_extendedprice / 30000.0 * 100)) * 10 + 0.5) / 10 AS low FROM lineitem"
 QUERIES["f25_xml_unescape"] = lambda s, d: catalog.runs(s, d).select("page_id", "run_no", "tag", T.unescape_xml(F.col("text")).alias("text"))
 ORACLES["f25_xml_unescape"] = B.with_(B.RUNS) + "SELECT page_id, run_no, tag, replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&') AS text FROM runs"
-QUERIES["prj08_error_type"] = lambda s, d: catalog.log(s, d).select("id", P.error_type((F.col("id") % 8 * 100 - F.when(F.col("id") % 3 == 0, -29).otherwise(0)).cast("int"), F.concat(F.col("operation"), F.when(F.col("id") % 2 == 0, " per day").otherwise(" timeout"))).alias("error_type"))
-ORACLES["prj08_error_type"] = B.with_(B.LOG) + """
-SELECT id, CASE WHEN c = 429 AND regexp_matches(m, 'per day|daily|rpd') THEN 'daily_quota' WHEN c = 429 THEN 'rate_limit' WHEN c IN (401, 403) THEN 'auth' WHEN c = 404 THEN 'not_found'
-  WHEN c = 400 THEN 'bad_request' WHEN c = 503 THEN 'overloaded' WHEN c >= 500 THEN 'server' WHEN contains(m, 'timeout') THEN 'timeout' ELSE 'unknown' END AS error_type
-FROM (SELECT id, id % 8 * 100 + CASE WHEN id % 3 = 0 THEN 29 ELSE 0 END AS c, lower(operation || CASE WHEN id % 2 = 0 THEN ' per day' ELSE ' timeout' END) AS m FROM log)"""
