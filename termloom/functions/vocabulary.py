@@ -133,3 +133,11 @@ EVIDENCE_PHRASES = [
 
 #: Words of sample cards.
 METADATA = "NIKE ZOOM AIR MAX PLUS PRO RETRO FORCE DUNK SAMPLE STAGE CFM DEV PROD PASS FAIL OK NG DATE MODEL REV ROUND CONFIRM STATUS SPEC CODE SIZE QTY".split()
+
+#: English words that say nothing about whether two texts belong together.
+WEAK_WORDS = """
+the a an and or of to in on at by for with is are was were be been that this it not no as if from into than then its all any both each such
+inspection focuses focus strategy standard standards manual procedure process stage title sop qa qc ipqc oqc ctq
+check checking inspect inspecting use using make sure adjust adjusting need needed conduct conducted follow following before after
+operator operation method result results item items line lines have has had will would can could should must
+""".split()

@@ -120,11 +120,16 @@ def batches(items: DataFrame, order: list[str], size: int = 25, late_size: int =
 
 
 def global_rank(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rank from 0 over all rows: range-partitioned sort, then counts of the partitions before."""
+    """rank from 0 over all rows: range-partitioned sort, then counts of the partitions before.
+
+    Which partition a row is in must not change between the two uses, so it is checkpointed: ``spark.checkpoint.dir`` has to be set.
+    """
+    if not rows.sparkSession.conf.get("spark.checkpoint.dir", None) and rows.sparkSession.sparkContext.getCheckpointDir() is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     dealt = dealt.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)})
-    dealt = dealt.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else dealt.persist()
+    dealt = dealt.checkpoint()
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return dealt.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_id", "_before")

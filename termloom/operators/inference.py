@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
+from .memory import first_of
 
 
 class Provider(Protocol):
@@ -96,7 +97,8 @@ def suggestions(candidates: DataFrame, term: str, glossary: DataFrame, domain: D
     """For each term up to ``most`` distinct targets, by glossary, domain and dictionary (key, target) in that order; never ones with source letters."""
     keyed = candidates.withColumn("_k", T.word_key(F.col(term)))
     for name, table in (("_a", glossary), ("_b", domain), ("_c", dictionary)):
-        one = table.where(~P.has_marks(F.col("target"))).groupBy(T.word_key(F.col("key")).alias("_k")).agg(F.array_sort(F.collect_set("target")).alias(name))
+        targets = table.where(~P.has_marks(F.col("target"))).select(T.word_key(F.col("key")).alias("_k"), "target").distinct()
+        one = first_of(targets, "_k", "target", most).groupBy("_k").agg(F.array_sort(F.collect_list("target")).alias(name))  # at most ``most``
         keyed = keyed.join(one, "_k", "left")
     none = F.array().cast("array<string>")
     found = F.array_distinct(F.concat(*(F.coalesce(c, none) for c in ("_a", "_b", "_c"))))

@@ -38,9 +38,17 @@ def resolve(events: DataFrame) -> DataFrame:
 
 def reuse(units: DataFrame) -> DataFrame:
     """The first slice: per unit (doc_id, line_no, text) whether an earlier line has its exact key."""
-    key = T.exact_key(F.col("text"))
-    order = Window.partitionBy("key").orderBy("doc_id", "line_no")
-    return units.withColumn("key", key).withColumn("status", F.when(F.row_number().over(order) == 1, "NEEDS_TRANSLATION").otherwise("TM_REUSE"))
+    keyed = units.withColumn("key", T.exact_key(F.col("text")))
+    place = F.struct("doc_id", "line_no")
+    first = keyed.groupBy("key").agg(F.min(place).alias("_first"))  # combined before the shuffle, so a common line meets in no task
+    return keyed.join(first, "key").withColumn("status", F.when(place == F.col("_first"), "NEEDS_TRANSLATION").otherwise("TM_REUSE")).drop("_first")
+
+
+def first_of(rows: DataFrame, key: str, order: str, most: int, salts: int = 16) -> DataFrame:
+    """The first ``most`` rows of each key in order: chosen in salted groups, then among what those keep, so a hot key is dealt over tasks."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+    kept = salted.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(order))).where(F.col("_r") <= most)
+    return kept.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_r") <= most).drop("_r", "_salt")
 
 
 def consistency(pairs: DataFrame) -> DataFrame:
@@ -68,11 +76,10 @@ def fuzzy_matches(queries: DataFrame, entries: DataFrame, threshold: float = 0.7
     known = e.select(F.col("ef.compact").alias("k")).distinct()
     rest = q.where("size(qf.tokens) > 1 and length(qf.compact) <= 350").join(known, F.col("qf.compact") == F.col("k"), "left_anti")
     posting = e.select("e", F.explode(T.trigrams(F.col("ef.compact"))).alias("gram"))
-    posting = posting.withColumn("at", F.row_number().over(Window.partitionBy("gram").orderBy("e"))).withColumn("df", F.count("*").over(Window.partitionBy("gram")))
-    frequency = posting.where("at = 1").select("gram", "df")
+    frequency = posting.groupBy("gram").agg(F.count("*").alias("df"))
     wanted = rest.select("q", F.explode(T.trigrams(F.col("qf.compact"))).alias("gram")).join(frequency, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     wanted = wanted.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("df", "gram"))).where(F.col("r") <= rarest).select("q", "gram")
-    hits = wanted.join(posting.where(F.col("at") <= postings).select("gram", "e"), "gram").groupBy("q", "e").agg(F.count("*").alias("hits"))
+    hits = wanted.join(first_of(posting, "gram", "e", postings), "gram").groupBy("q", "e").agg(F.count("*").alias("hits"))
     best = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("hits"), "e"))).where(F.col("r") <= candidates)
     near = best.select("q", "e").join(q, "q").join(e, "e").select("q", "qf", "e", "ef")
     scored = same.unionByName(near).withColumn("confidence", T.similarity(F.col("qf"), F.col("ef")))

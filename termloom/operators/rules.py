@@ -18,17 +18,28 @@ def table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rules, RULE)
 
 
+#: Patterns or phrases of rules, at most: texts are matched with each of them.
+MOST_PATTERNS = 10_000
+
+
+def _few(patterns: DataFrame) -> DataFrame:
+    """patterns with a broadcast hint, once they are counted."""
+    if (n := patterns.count()) > MOST_PATTERNS:
+        raise ValueError(f"{n} patterns; texts are matched with {MOST_PATTERNS} at most")
+    return F.broadcast(patterns)
+
+
 def triggered(texts: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """FIL24: (key, rule id, priority) of enabled rules one of whose patterns occurs, as a regex over the lower-cased text."""
     patterns = rules.where("enabled").select("id", "priority", F.explode("patterns").alias("pattern"))
     hit = F.expr("rlike(lower(text), lower(pattern))")
-    return texts.join(F.broadcast(patterns), hit).select(key, F.col("id").alias("rule"), "priority").distinct()
+    return texts.join(_few(patterns), hit).select(key, F.col("id").alias("rule"), "priority").distinct()
 
 
 def prohibited(texts: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """FIL25: (key, rule, phrase) of phrases that a rule forbids."""
     phrases = rules.where("enabled").select(F.col("id").alias("rule"), F.explode("prohibited").alias("phrase"))
-    return texts.join(F.broadcast(phrases), F.expr("contains(lower(text), lower(phrase))")).select(key, "rule", "phrase").distinct()
+    return texts.join(_few(phrases), F.expr("contains(lower(text), lower(phrase))")).select(key, "rule", "phrase").distinct()
 
 
 def rewritten(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -52,11 +63,21 @@ def harvested(units: DataFrame, known: DataFrame, least: int) -> DataFrame:
 
 
 def grams(units: DataFrame, most: int = 4, least: int = 3) -> DataFrame:
-    """Word n-grams of one to ``most`` words in at least ``least`` documents, with counts; each document's are merged before the shuffle."""
+    """Word n-grams of one to ``most`` words in at least ``least`` documents, with counts.
+
+    N-grams are shuffled as 64-bit hashes with the place of one occurrence, merged by document first; only the
+    frequent ones' words are read again, from those places.
+    """
     words = F.array_remove(F.split(T.word_key(F.col("text")), " "), "")
-    rows = units.select("doc_id", words.alias("w"))
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    return rows.select("doc_id", F.explode(every).alias("gram")).groupBy("gram").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("n")).where(F.col("documents") >= least)
+    rows = units.select("doc_id", "line_no", words.alias("w"))
+    of_size = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.xxhash64(F.slice("w", i, n)).alias("h"), i.alias("i"), F.lit(n).alias("n")))).otherwise(F.array().cast("array<struct<h:bigint,i:int,n:int>>"))
+    every = F.flatten(F.array(*map(of_size, range(1, most + 1))))
+    found = rows.select("doc_id", "line_no", F.explode(every).alias("g")).groupBy("g.h", "doc_id").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "g.i", "g.n")).alias("at"))
+    frequent = found.groupBy("h").agg(F.count("*").alias("documents"), F.sum("n").alias("n"), F.min(F.struct("doc_id", "at")).alias("at")).where(F.col("documents") >= least)
+    places = frequent.select(F.col("at.doc_id").alias("doc_id"), F.col("at.at.line_no").alias("line_no"), F.struct("at.at.i", F.col("at.at.n").alias("k"), "documents", "n").alias("g"))
+    by_line = places.groupBy("doc_id", "line_no").agg(F.collect_list("g").alias("gs"))  # no more than a line's n-grams
+    texts = rows.join(by_line, ["doc_id", "line_no"]).select(F.explode(F.transform("gs", lambda g: F.struct(F.array_join(F.slice("w", g["i"], g["k"]), " ").alias("gram"), g["documents"].alias("documents"), g["n"].alias("n")))).alias("x"))
+    return texts.select("x.gram", "x.documents", "x.n").dropDuplicates(["gram"])
 
 
 def labelled_pairs(lines: DataFrame) -> DataFrame:

@@ -31,11 +31,27 @@ DAY = 86_400
 # --- logs
 add("w08_sliding_count", lambda s, d: V.sliding_count(log(s, d), "user_id", DAY).select("id", "n"), "SELECT id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM log", B.LOG)
 add("st01_rate_threshold", lambda s, d: V.sliding_count(log(s, d), "user_id", DAY).groupBy("user_id").agg(F.max("n").alias("peak"), F.count_if(F.col("n") > 5).alias("over")), "SELECT user_id, max(n) AS peak, count(*) FILTER (n > 5) AS over FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM log) GROUP BY user_id", B.LOG)
-add("w09_admission", lambda s, d: V.admitted(log(s, d), "user_id", 3, DAY))
-add("st04_identifier_limit", lambda s, d: V.admitted(log(s, d), "user_id", 3, DAY).groupBy("user_id").agg(F.count_if("ok").alias("admitted"), F.count_if(~F.col("ok")).alias("refused")))
+#: Each user's events one after another: the times of at most three admitted ones are carried on.
+ADMITTED = """numbered AS (SELECT user_id, id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM log),
+admitted AS (
+  SELECT user_id, id, n, [t] AS times, TRUE AS ok FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT user_id, id, n, CASE WHEN len(open) < 3 THEN list_append(open, t) ELSE open END, len(open) < 3
+  FROM (SELECT e.*, list_filter(a.times, lambda x: e.t - x < 86400000000) AS open FROM admitted a JOIN numbered e ON e.user_id = a.user_id AND e.n = a.n + 1)
+)"""
+add("w09_admission", lambda s, d: V.admitted(log(s, d), "user_id", 3, DAY), "WITH RECURSIVE " + B.LOG + ",\n" + ADMITTED + "\nSELECT user_id, id, ok FROM admitted")
+add("st04_identifier_limit", lambda s, d: V.admitted(log(s, d), "user_id", 3, DAY).groupBy("user_id").agg(F.count_if("ok").alias("admitted"), F.count_if(~F.col("ok")).alias("refused")), "WITH RECURSIVE " + B.LOG + ",\n" + ADMITTED + "\nSELECT user_id, count(*) FILTER (ok) AS admitted, count(*) FILTER (NOT ok) AS refused FROM admitted GROUP BY user_id")
 add("st02_daily_quota", lambda s, d: V.daily_quota(log(s, d), "user_id", 5), "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS used, greatest(0, 5 - count(*)) AS \"left\", CAST(floor(100 * greatest(0, 5 - count(*)) / 5 + 0.5) AS INTEGER) AS percent, count(*) >= 5 AS exhausted FROM log GROUP BY 1, 2", B.LOG)
 add("a23_quota_percent", lambda s, d: V.daily_quota(log(s, d), "user_id", 7).groupBy("percent").agg(F.count("*").alias("days")), "SELECT CAST(floor(100 * greatest(0, 7 - u) / 7 + 0.5) AS INTEGER) AS percent, count(*) AS days FROM (SELECT count(*) AS u FROM log GROUP BY user_id, CAST(ts AS DATE)) GROUP BY 1", B.LOG)
-add("st03_circuit_breaker", lambda s, d: V.breaker(log(s, d).withColumn("ok", F.col("operation") != "error"), "user_id", 2, DAY).groupBy("state").agg(F.count("*").alias("n")))
+add("st03_circuit_breaker", lambda s, d: V.breaker(log(s, d).withColumn("ok", F.col("operation") != "error"), "user_id", 2, DAY).select("user_id", "id", "state"), "WITH RECURSIVE " + B.LOG + """,
+numbered AS (SELECT user_id, id, epoch_us(ts) AS t, operation <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM log),
+met AS (
+  SELECT user_id, id, n, CASE WHEN ok THEN 0 ELSE 1 END AS bad, CAST(NULL AS BIGINT) AS until, 'CLOSED' AS state FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT user_id, id, n, CASE WHEN state = 'OPEN' THEN bad WHEN ok THEN 0 ELSE bad + 1 END, CASE WHEN state = 'OPEN' THEN until WHEN ok THEN NULL WHEN state = 'HALF_OPEN' OR bad + 1 >= 2 THEN t + 86400000000 ELSE until END, state
+  FROM (SELECT e.*, m.bad, m.until, CASE WHEN m.until IS NOT NULL AND e.t < m.until THEN 'OPEN' WHEN m.until IS NULL THEN 'CLOSED' ELSE 'HALF_OPEN' END AS state FROM met m JOIN numbered e ON e.user_id = m.user_id AND e.n = m.n + 1)
+)
+SELECT user_id, id, state FROM met""")
 add("w12_newest_logs", lambda s, d: V.newest(log(s, d), 1000, [F.desc("ts"), F.desc("id")]).select("id", "operation"), "SELECT id, operation FROM log ORDER BY ts DESC, id DESC LIMIT 1000", B.LOG)
 add("w12_newest_per_user", lambda s, d: V.newest(log(s, d), 20, [F.desc("ts"), F.desc("id")], ["user_id"]).select("user_id", "id"), "SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS r FROM log) WHERE r <= 20", B.LOG)
 add("snk13_debug_ring", lambda s, d: V.newest(log(s, d), 100, [F.desc("ts"), F.desc("id")]).agg(F.count("*").alias("kept"), F.count_if(F.col("operation") == "error").alias("errors")), "SELECT count(*) AS kept, count(*) FILTER (operation = 'error') AS errors FROM (SELECT * FROM log ORDER BY ts DESC, id DESC LIMIT 100)", B.LOG)

@@ -50,7 +50,6 @@ lines("f12_term_casing", {"cased": lambda: L.cased(F.replace(t(), F.lit("ß"), F
     "cased": "array_to_string(list_transform(regexp_split_to_array(trim(replace(text, 'ß', 'ss')), '\\s+'), lambda w, i: CASE WHEN upper(w) IN (" + ", ".join(f"'{a}'" for a in ACRONYMS) + ") THEN upper(w) WHEN regexp_matches(w, '\\d') OR regexp_matches(w, '^[A-Z0-9]+-[A-Z0-9\\-]+$') THEN w WHEN i = 1 THEN upper(substr(w, 1, 1)) || lower(substr(w, 2)) ELSE lower(w) END), ' ')",
 })
 QUERIES["f09_punctuation"] = lambda s, d: catalog.units(s, d).select("doc_id", "line_no", F.md5(L.punctuated(t())).alias("text"))
-QUERIES["j12_pair_verdict"] = lambda s, d: catalog.pairs(s, d).select(L.pair_verdict(F.col("source"), F.col("target")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 FORMULAS = ["A1+B2", "SUM(B1:C3)", "$B$1", "Other!B1", "LOG10(B1)"]
 add("f34_formula_shift", lambda s, d: S.shifted(s.createDataFrame(list(enumerate(FORMULAS)), "k long, formula string"), "k", 2), "SELECT CAST(k AS BIGINT) AS k, formula FROM (VALUES (0, 'A1+C2'), (1, 'SUM(C1:D3)'), (2, '$C$1'), (3, 'Other!B1'), (4, 'LOG10(C1)')) v(k, formula)")
 answered = lambda s, d: catalog.table(s, d, "events").select((F.col("event_id") % 500).alias("batch"), F.concat(F.lit('[{"id":"'), F.col("user_id").cast("string"), F.lit('","text":" '), F.col("event_type"), F.lit('"},{"id":"x'), F.when(F.col("event_id") % 2 == 0, '"').otherwise('","text":"y"}]')).alias("raw"))

@@ -63,7 +63,6 @@ add("f22_stage_classifier", lambda s, d: catalog.terms(s, d).select("id", P.stag
 pairs_of = lambda s, d, n: catalog.terms(s, d).where(f"id % 3 = {n}").select(F.col("source_term").alias("key"), F.col("target_term").alias("target"))
 add("f28_m08_suggestions", lambda s, d: I.suggestions(catalog.terms(s, d).select("source_term").distinct(), "source_term", pairs_of(s, d, 0), pairs_of(s, d, 1), pairs_of(s, d, 2), 100).select("source_term", F.size("suggestions").alias("n")), "SELECT source_term, CAST(count(DISTINCT target_term) AS INTEGER) AS n FROM terms GROUP BY source_term", B.TERMS)
 add("f38_elapsed", lambda s, d: catalog.log(s, d).groupBy("user_id").agg(F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1000).alias("ms")), "SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS ms FROM log GROUP BY user_id", B.LOG)
-add("j10_guarded_pairs", lambda s, d: catalog.pairs(s, d).where((F.least(F.length("source"), F.length("target")) / F.greatest(F.length("source"), F.length("target")) >= 0.25) & (F.coalesce(L.pair_verdict(F.col("source"), F.col("target")), F.lit("none")) != "numbers")).groupBy("conv_id").agg(F.count("*").alias("pairs")))
 add("j22_reversed_terms", lambda s, d: GQ.both(s, d).groupBy("is_direct").agg(F.count("*").alias("n")), "SELECT is_direct, count(*) AS n FROM two_way GROUP BY is_direct", B.TERMS, GQ.BOTH)
 
 

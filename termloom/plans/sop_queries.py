@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import catalog
+from ..functions import language as L
 from ..functions import vocabulary as V
 from ..operators import compliance as K
 from ..operators import concise as S
@@ -81,6 +82,47 @@ SELECT k, i, CAST(CASE WHEN n = 0 THEN 100 ELSE floor((n - critical - parts) * 1
   FROM (SELECT *, {_low} AS low FROM scored))""", B.PAIRS, PAIRED, COUNTED)
 add("f27_prompt_lines", lambda s, d: found(s, d).select("k", "i", F.size(F.split(S.must_keep(F.col("found")), ", ")).alias("lines"), (S.must_keep(F.col("found")) == "").alias("none")).where("k >= 0"), "SELECT k, i, CAST(greatest(1, least(12, measurement + range + component + defect + standard)) AS INTEGER) AS lines, measurement + range + component + defect + standard = 0 AS none FROM scored WHERE k >= 0", B.PAIRS, PAIRED, COUNTED)
 
+# --- pairs of texts
+_STEP = r"(?i)^(?:[*•#]\s*)?(?:(?:ct[qp]|step|item|stt|no|bước|mục)\s*)?#?(\d{1,3})[.)\-:]"
+_MEASURED = r"(?i)\b\d+(?:[.,]\d+)?(?:\s*(?:%|mm|cm|m|kg|g|spi|bar|psi|°c|°f|s|sec|min|h|hrs?))?\b"
+_nums = lambda t, step: rf"list_filter(list_transform(regexp_extract_all({t}, '{_MEASURED}'), lambda v: regexp_replace(lower(v), '\s+', '', 'g')), lambda v: v <> {step} AND NOT regexp_matches(v, '^\d{{1,2}}$'))"
+_weak = LQ.listed(V.WEAK_WORDS)
+_content = lambda t: rf"list_filter(regexp_split_to_array(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda v: length(v) >= 3 AND v NOT IN ({_weak}))"
+#: Both texts of each pair with their language, the guards, and the words they share.
+GUARDED = (
+    PAIRED,
+    "lines AS (SELECT k AS doc_id, i AS line_no, 'a' AS kind, 0 AS i, source AS text FROM paired UNION ALL SELECT k, i, 'b', 0, target FROM paired)",
+    LQ.EVIDENCE,
+    rf"""sides AS (
+  SELECT a.doc_id AS k, a.line_no AS i, a.text AS a, b.text AS b, a.vietnamese AS va, b.vietnamese AS vb, CASE WHEN a.vietnamese THEN a.text ELSE b.text END AS vi, CASE WHEN a.vietnamese THEN b.text ELSE a.text END AS en
+  FROM g a JOIN g b USING (doc_id, line_no) WHERE a.kind = 'a' AND b.kind = 'b'
+), steps AS (
+  SELECT *, regexp_extract(vi, '{_STEP}', 1) AS sv, regexp_extract(en, '{_STEP}', 1) AS se, regexp_extract(a, '{_STEP}', 1) AS sa, regexp_extract(b, '{_STEP}', 1) AS sb FROM sides
+), measured AS (
+  SELECT *, {_nums("vi", "sv")} AS nv, {_nums("en", "se")} AS ne, {_nums("a", "sa")} AS na, {_nums("b", "sb")} AS nb, {_content("a")} AS wa, {_content("b")} AS wb FROM steps
+), guarded AS (
+  SELECT *, CASE WHEN a = '' OR b = '' THEN 'empty' WHEN va = vb THEN 'same language' WHEN regexp_matches(vi, '^[*•#]') <> regexp_matches(en, '^[*•#]') THEN 'heading' WHEN sv <> '' AND se <> '' AND sv <> se THEN 'step'
+    WHEN (sv = '') <> (se = '') AND (regexp_matches(vi, '^[*•#]') OR regexp_matches(vi, '(?i)strategy|focus|tiêu điểm|trọng điểm|quy trình|tiêu chuẩn') OR regexp_matches(en, '(?i)strategy|focus|focuses|process|procedure|standard|title|manual')) THEN 'numbered against title'
+    WHEN len(nv) > 0 AND len(ne) > 0 AND NOT list_has_any(nv, ne) AND (len(nv) >= 2 OR len(ne) >= 2) THEN 'numbers' END AS guard,
+    len(list_filter(wa, lambda p: len(list_filter(wb, lambda w: contains(w, p) OR contains(p, w))) > 0)) AS shared, least(len(wa), len(wb)) AS fewest FROM measured
+)""",
+)
+add("j10_guarded_pairs", lambda s, d: paired(s, d).select("k", "i", L.pair_guards(F.col("source"), F.col("target")).alias("guard")), "SELECT k, i, guard FROM guarded", B.PAIRS, *GUARDED)
+
+
+def semantic(s, d):
+    """The sources themselves are the drafts."""
+    rows = paired(s, d).withColumn("p", L.semantic_pair(F.col("source"), F.col("target"), F.col("source"), F.lit(0)))
+    return rows.select("k", "i", "p.is_pair", "p.confidence", "p.reason")
+
+
+_ratio = "CASE WHEN fewest > 0 THEN shared::DOUBLE / fewest ELSE 0 END"
+_same, _both = "sa <> '' AND sa = sb", "list_has_any(na, nb)"
+add("j12_pair_verdict", semantic, f"""
+SELECT k, i, reason IN ('words', 'step') AS is_pair, CAST(CASE reason WHEN 'words' THEN 0.88 WHEN 'step' THEN 0.85 WHEN 'length' THEN 0.1 WHEN 'no overlap' THEN 0.2 ELSE 0.0 END AS DOUBLE) AS confidence, reason FROM (
+  SELECT k, i, CASE WHEN guard IS NOT NULL THEN guard WHEN least(length(a), length(b)) < 0.35 * greatest(length(a), length(b)) AND NOT ({_same}) THEN 'length' WHEN shared >= 2 AND {_ratio} >= 0.35 THEN 'words'
+    WHEN {_same} AND ({_both} OR shared >= 2 OR (greatest(length(a), length(b)) <= 30 AND shared >= 1)) THEN 'step' ELSE 'no overlap' END AS reason FROM guarded)""", B.PAIRS, *GUARDED)
+
 # --- compliance
 FINISHED = ["nosew film on the Tip quarter", "tip-quarter, 10 SPI", "Kiểm tra", "SPI 9-10 stitches/inch", "aplly cement foam", "Check with gauge", "Shape toe and shape collar", "8-9 stitches/inch", "*Spray cement and aplly foam", "the logo is printed together without matching", "quality standard tolerances are acceptable", "Dán đế ngoài", "quet keo de giua"]
 _fin = ", ".join(f"(CAST(-1 AS BIGINT), {i}, '{c}')" for i, c in enumerate(FINISHED))

@@ -74,3 +74,14 @@ def test_routes(spark):
     memory, pairs = spark.createDataFrame([("ép nhiệt", "Heat press")], "source string, target string"), spark.createDataFrame([(2, "Attach sole")], "unit_id int, existing string")
     out = {r.unit_id: (r.route, r.target) for r in C.routed(units, memory, pairs).collect()}
     assert out == {1: ("label", "OK"), 2: ("pair", "Attach sole"), 3: ("model condition", None), 4: ("model heading", None), 5: ("immune", "Check the gap"), 6: ("memory", "Heat press"), 7: ("memory without colon", "Heat press:"), 8: ("queue", None), 9: ("queue", None)}
+
+
+def test_semantic_pairs(spark):
+    cases = [
+        ("May viền", "Stitch binding", "Sew edge", 1, False, "no overlap"), ("May viền", "Stitch binding", "Stitch binding", 1, True, "glossary"), ("1. May vòng cổ", "1. Stitch collar", "1. Stitch collar", 0, True, "words"), ("1. May cổ", "1. Sew collar", "1. Cut collar", 0, True, "step"),
+        ("1. May viền", "2. Stitch collar", "x", 0, False, "step"), ("*May viền", "Stitch collar", "x", 0, False, "heading"), ("Mài đế mặt ngoài", "Cold press upper", "Buff outsole outside", 0, False, "no overlap"), ("Dán đế", "Đế giữa", "x", 0, False, "same language"),
+        ("Dán", "Attach the whole sole unit to the lasted upper with care", "Attach", 0, False, "length"), (None, "x", "x", 0, False, "empty"), ("3. Ép 12.5 kg", "3. Load 12.5 kg", "3. Force 12.5 kg", None, True, "step"),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, a string, b string, p string, n int")
+    got = {r.i: (r.x.is_pair, r.x.reason) for r in df.withColumn("x", L.semantic_pair(F.col("a"), F.col("b"), F.col("p"), F.col("n"))).collect()}
+    assert got == {i: c[4:] for i, c in enumerate(cases)}
