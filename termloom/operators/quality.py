@@ -58,32 +58,41 @@ def compliance(paragraphs: DataFrame, key: str) -> DataFrame:
     return g.withColumn("score", score.cast("int")).withColumn("grade", F.when(F.col("score") >= 98, "A+").when(F.col("score") >= 90, "A").when(F.col("score") >= 80, "B").otherwise("C"))
 
 
+#: Verbs that make a condition, as a pattern.
+FINITE = r"is|are|has|have|does|do|can|must|should|will|remains?|matches?|fits?|aligns?|exceeds?|meets?|follows?|shows?|covers?|contains?|overlaps?|passes?|stays?|lies?|sits?|reaches?|touches?|looks?|feels?"
+
+
 def instruction_issues(source: Column, target: Column) -> Column:
-    """Names of the rules that an instruction's translation breaks."""
+    """Names of the rules that an English instruction breaks, alone and against its source (null: none is known), in order, each once."""
+    b, e = P.EDGE, P.EDGE
+    target = F.coalesce(target, F.lit(""))
     body = T.without_step(target)
-    missing = F.array_except(T.measurements(source), T.measurements(target))
-    limit = source.rlike(r"(?iu)không\s+(?:vượt|quá)|tối\s+đa") & ~target.rlike(rf"(?i){P.B}(?:not\s+exceed|no\s+more\s+than|at\s+most|maximum|up\s+to|within){P.E}|[≤<]=?")
+    has = lambda t, p: t.rlike(rf"(?i){p}")
+    # fixed values: patterns of instructions and of their mistakes
+    opens = has(body, rf"^check\s+if{e}")
+    clause = F.split(F.regexp_replace(body, r"(?i)^check\s+if\s*", ""), r"[,;.!?]")[0]
+    few = F.size(F.regexp_extract_all(clause, F.lit(r"(\p{L}+)"), 1)) <= 3
+    unfinished = (clause == "") | (~has(clause, rf"{b}(?:{FINITE}){e}") & (few | has(clause, rf"^(?:the\s+)?(?:consistent|correct|no|free\s+of){e}") | has(clause, rf"{b}(?:attached|aligned|positioned|centered|pressed|stitched|bonded){e}")))
+    broken = (
+        (opens & unfinished) | has(body, rf"{b}(?:isn['’]t|is\s+not|aren['’]t|are\s+not)\s+(?:align|attach|stitch){e}") | has(body, rf"{b}(?:must\s+edge-even|with\s+be\s+at\s+center|is\s+not\s+scratch{e})")
+        | has(body, rf"^check\s+if\s+(?:the\s+)?(?:upper|mold|machine|tool|part)\s+match{e}") | has(body, r"^check\s+if\s+(?:the\s+)?(?:real\s+temp|temperature)\s+\d+")
+    )
+    asked = T.without_step(F.coalesce(source, F.lit("")))
+    inspects = has(asked, rf"^kiểm\s+tra{e}") | asked.rlike(r"(?iu)(?:^|\s)có\s+.+\s+không[?.!]?$")
+    limited = source.rlike(r"(?iu)không\s+(?:vượt|quá)|tối\s+đa") & ~has(target, rf"{b}(?:not\s+exceed|no\s+more\s+than|at\s+most|maximum|up\s+to|within){e}|[≤<]=?")
+    model = T.model_section(source).isNotNull() & source.rlike(r"(?iu)^\s*[*•#]?\s*(?:đối\s+với|dành\s+cho|áp\s+dụng\s+cho)") & has(target, rf"{b}cutting\s+die{e}") & ~source.rlike(r"(?iu)dao|khuôn")
+    known = lambda test: F.coalesce(source.isNotNull() & test, F.lit(False))
     rules = [
         F.when(P.is_fragment(target), "incomplete_instruction"),
-        F.when(body.rlike(rf"(?i){P.B}check\s+with{P.E}"), "check_if_required"),
-        F.when(F.size(missing) > 0, "missing_measurement"),
-        F.when(limit, "missing_restriction"),
+        F.when(has(body, rf"{b}check\s+with{e}") | known(inspects & ~opens), "check_if_required"),
+        F.when(broken, "incomplete_condition"),
+        F.when(known(F.size(F.array_except(T.measurements(source), T.measurements(target))) > 0), "missing_measurement"),
+        F.when(known(limited), "missing_restriction"),
+        F.when(known(model), "unsupported_operation"),
     ]
     return F.filter(F.array(*rules), lambda r: r.isNotNull())
 
 
-def complexity(text: Column) -> Column:
-    """Weighted count of technical entities, at most 100."""
-    n = lambda pattern, weight: F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))) * weight
-    total = n(rf"{P.B}(\d+(?:\.\d+)?\s*(?:mm|cm|kg|%|°C))", 10) + n(rf"{P.B}([A-Z]{{2,}}){P.E}", 5) + n(rf"{P.B}([A-Z]+-\d+){P.E}", 15) + n(r"(\d+)", 8)
-    return F.least(F.lit(100), total)
-
-
-def coverage(items: Column, target: Column) -> Column:
-    """Per cent of a text's items that its rewriting still holds; 100 without items."""
-    return F.when(F.size(items) == 0, 100.0).otherwise(F.size(F.filter(items, lambda x: target.contains(x))) * 100.0 / F.size(items))
-
-
 def term_coverage(matches: DataFrame, targets: DataFrame) -> DataFrame:
     """Per unit the share of its distinct matched terms (key, term, target_form) whose target occurs in targets (key, text); per cent, halves up."""
     rows = matches.select("key", "term", "target_form").distinct().join(targets, "key")

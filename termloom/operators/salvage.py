@@ -29,19 +29,16 @@ def _letters(n: int) -> str:
     return out
 
 
-def shift_columns(formula: str | None, first: int, by: int = 1) -> str | None:
-    """references to columns from ``first`` (1 is A) moved right; strings, functions, bracketed and other sheets' references stay."""
-    if not formula:
-        return formula
-    out, i, foreign = [], 0, False
+def references(formula: str):
+    """Pieces of a formula: (text, None), or for a reference (text, (sheet with its mark, own sheet or None, $, letters, row)). Strings, functions and brackets are plain pieces; the second end of a range has its first end's sheet."""
+    i, sheet = 0, None
     while i < len(formula):
-        c = formula[i]
+        c, end = formula[i], i + 1
         if c == '"':
-            end = i + 1
             while end < len(formula) and not (formula[end] == '"' and formula[end + 1 : end + 2] != '"'):
                 end += 2 if formula[end] == '"' else 1
-            out.append(formula[i : end + 1])
-            i, foreign = end + 1, False
+            yield formula[i : end + 1], None
+            i, sheet = end + 1, None
             continue
         before = formula[i - 1] if i else ""
         m = None if before and (before.isalnum() or before in "_.") else _REFERENCE.match(formula, i)
@@ -49,24 +46,47 @@ def shift_columns(formula: str | None, first: int, by: int = 1) -> str | None:
             after = formula[m.end() :]
             whole_column = not m[4] and (after.startswith(":") or before == ":")
             if (m[4] or whole_column) and not re.match(r"[\w.\[]|\s*\(", after):
-                foreign = bool(m[1]) or (before == ":" and foreign)
-                n = _number(m[3])
-                out.append((m[1] or "") + m[2] + (_letters(n + by) if not foreign and n >= first else m[3]) + (m[4] or ""))
-                foreign = foreign and after.startswith(":")
+                own = m[1][:-1].strip("'").replace("''", "'") if m[1] else sheet if before == ":" else None
+                yield m[0], (m[1] or "", own, m[2], m[3], m[4] or "")
+                sheet = own if after.startswith(":") else None
                 i = m.end()
                 continue
         if c == "[":
-            depth, end = 1, i + 1
+            depth = 1
             while end < len(formula) and depth:
                 depth += {"[": 1, "]": -1}.get(formula[end], 0)
                 end += 1
-            out.append(formula[i:end])
-            i = end
-            continue
-        out.append(c)
-        if c != ":":
-            foreign = False
-        i += 1
+        yield formula[i:end], None
+        if formula[end - 1] != ":":
+            sheet = None
+        i = end
+
+
+def shift_columns(formula: str | None, first: int, by: int = 1, own_sheet: str | None = None, shifted_sheet: str | None = None) -> str | None:
+    """references to columns from ``first`` (1 is A) moved right; other sheets' references stay. With both sheets named, those to the shifted sheet move."""
+    if not formula:
+        return formula
+    out = []
+    for text, ref in references(formula):
+        if ref:
+            mark, sheet, dollar, letters, row = ref
+            applies = (sheet or own_sheet or "").lower() == shifted_sheet.lower() if shifted_sheet else sheet is None
+            n = _number(letters)
+            text = mark + dollar + (_letters(n + by) if applies and n >= first else letters) + row
+        out.append(text)
+    return "".join(out)
+
+
+def rename_sheets(formula: str | None, names: dict[str, str]) -> str | None:
+    """sheets of references renamed, whatever their case; the new name is quoted."""
+    if not formula:
+        return formula
+    new, out = {k.lower(): v for k, v in names.items()}, []
+    for text, ref in references(formula):
+        if ref and ref[0] and ref[1] is not None and ref[1].lower() in new:
+            quoted = new[ref[1].lower()].replace("'", "''")
+            text = f"'{quoted}'!" + "".join(ref[2:])
+        out.append(text)
     return "".join(out)
 
 

@@ -100,8 +100,6 @@ add(
           count(*) FILTER (regexp_matches(trim(source), '^\s*\*[\w\s/\-]+:') AND regexp_matches(trim(target), '^\s*\*[\w\s/\-]+:')) AS kept_headings FROM deck GROUP BY deck))""",
     B.PAIRS, DECK,
 )
-INSTRUCTIONS = [("Kiểm tra khe hở 5 mm", "Check with gauge"), ("2. Ép 3 kg", "2. Press."), ("không vượt quá 3 mm", "3 mm"), ("tối đa 2 cm", "at most 2 cm"), ("plain", "plain")]
-add("a22_instruction_quality", lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(INSTRUCTIONS)], "i long, a string, b string").join(s.range(1), how="cross").select("i", F.array_join(Q.instruction_issues(F.col("a"), F.col("b")), ",").alias("issues")), "SELECT CAST(i AS BIGINT) AS i, issues FROM (VALUES (0, 'check_if_required,missing_measurement'), (1, 'incomplete_instruction,missing_measurement'), (2, 'missing_restriction'), (3, ''), (4, '')) v(i, issues)")
 add("u06_missing_numbers", lambda s, d: pairs(s, d).select("conv_id", "turn", F.size(F.array_except(T.numbers(F.col("source")), T.numbers(F.col("target")))).alias("missing")), r"SELECT conv_id, turn, CAST(len(list_distinct(list_filter(regexp_extract_all(source, '\d+(?:[.,]\d+)*'), lambda x: NOT list_contains(regexp_extract_all(target, '\d+(?:[.,]\d+)*'), x)))) AS INTEGER) AS missing FROM pairs", B.PAIRS)
 add("u07_shared_words", lambda s, d: pairs(s, d).select("conv_id", "turn", F.size(F.array_intersect(T.tokens(F.col("source")), T.tokens(F.col("target")))).alias("shared")), f"SELECT conv_id, turn, CAST(len(list_intersect(list_distinct({B.tokens('source')}), list_distinct({B.tokens('target')}))) AS INTEGER) AS shared FROM pairs", B.PAIRS)
 add("fil20_needs_recovery", lambda s, d: quality_pairs(s, d).select("p", P.needs_recovery(F.col("source"), F.when(F.col("p") % 5 == 0, F.col("source")).when(F.col("p") % 7 == 0, F.lit(" ")).otherwise(F.col("target"))).alias("again")), f"SELECT p, trim(t) = '' OR {B.exact('source')} = {B.exact('t')} OR regexp_matches(t, '[{B.MARKED}{B.MARKED.upper()}]') AS again FROM (SELECT *, CASE WHEN p % 5 = 0 THEN source WHEN p % 7 = 0 THEN ' ' ELSE target END AS t FROM qp)", B.PAIRS, QUALITY)
@@ -115,7 +113,6 @@ add("a11_deck_statistics", lambda s, d: Q.deck_statistics(units(s, d), "doc_id")
 add("a12_slide_roll_up", lambda s, d: classified(s, d).groupBy("doc_id").agg(F.count("*").alias("units"), F.count_if(F.col("status").isin("NEEDS_TRANSLATION", "REVIEW_REQUIRED")).alias("needs"), F.min_by("status", "line_no").alias("first")), "SELECT doc_id, count(*) AS units, count(*) FILTER (status IN ('NEEDS_TRANSLATION', 'REVIEW_REQUIRED')) AS needs, arg_min(status, line_no) AS first FROM classified GROUP BY doc_id", B.UNITS, *CLASSIFIED)
 add("a14_pairs_by_session", lambda s, d: pairs(s, d).groupBy("conv_id").agg(F.count("*").alias("pairs")), "SELECT conv_id, count(*) AS pairs FROM pairs GROUP BY conv_id", B.PAIRS)
 add("a16_column_profile", lambda s, d: units(s, d).where("line_no < 20").groupBy("doc_id").agg(F.count_if(P.has_marks(F.col("text"))).alias("marked"), F.count_if(F.col("text").rlike("[a-zA-Z]{2,}")).alias("latin"), F.count_if(F.col("text").rlike(r"^\d+$")).alias("numeric")).withColumn("role", F.when(F.col("marked") > 3, "vi").when((F.col("latin") > 3) & (F.col("marked") == 0), "en").when(F.col("numeric") > 10, "skip").otherwise("unknown")), rf"SELECT *, CASE WHEN marked > 3 THEN 'vi' WHEN latin > 3 AND marked = 0 THEN 'en' WHEN numeric > 10 THEN 'skip' ELSE 'unknown' END AS role FROM (SELECT doc_id, count(*) FILTER (regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]')) AS marked, count(*) FILTER (regexp_matches(text, '[a-zA-Z]{{2,}}')) AS latin, count(*) FILTER (regexp_matches(text, '^\d+$')) AS numeric FROM units WHERE line_no < 20 GROUP BY doc_id)", B.UNITS)
-add("a17_slide_profile", lambda s, d: units(s, d).groupBy("doc_id").agg(F.count_if(P.has_marks(F.col("text"))).alias("marked"), F.count_if(F.length("text") > 200).alias("long"), F.round(F.avg(F.when(P.has_marks(F.col("text")), 1.0).otherwise(0.0)), 6).alias("ratio")), f"SELECT doc_id, count(*) FILTER (regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]')) AS marked, count(*) FILTER (length(text) > 200) AS long, round(avg(CASE WHEN regexp_matches(text, '[{B.MARKED}{B.MARKED.upper()}]') THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM units GROUP BY doc_id", B.UNITS)
 add("a24_dedup_stats", lambda s, d: Q.entity_report(units(s, d).withColumn("key", T.exact_key(F.col("text")))), f"SELECT count(*) AS total, count(DISTINCT {B.exact('text')}) AS unique, count(*) - count(DISTINCT {B.exact('text')}) AS saved FROM units", B.UNITS)
 add("u08_distinct_pending", lambda s, d: classified(s, d).where("status = 'NEEDS_TRANSLATION'").select("key").dropDuplicates(), "SELECT DISTINCT key FROM classified WHERE status = 'NEEDS_TRANSLATION'", B.UNITS, *CLASSIFIED)
 
@@ -152,4 +149,3 @@ add("snk04_session_log", lambda s, d: pairs(s, d).groupBy("conv_id").agg(F.sort_
 add("snk05_audit_trace", lambda s, d: V.newest(QUERIES["a12_slide_roll_up"](s, d), 20, [F.desc("needs"), F.col("doc_id")]), "SELECT doc_id, count(*) AS units, count(*) FILTER (status IN ('NEEDS_TRANSLATION', 'REVIEW_REQUIRED')) AS needs, arg_min(status, line_no) AS first FROM classified GROUP BY doc_id ORDER BY needs DESC, doc_id LIMIT 20", B.UNITS, *CLASSIFIED)
 add("snk11_context_sections", lambda s, d: units(s, d).select("doc_id", "line_no", F.substring("text", 1, 500).alias("snippet")).groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("snippet")).alias("chars")), "SELECT doc_id, count(*) AS sections, CAST(sum(length(substr(text, 1, 500))) AS BIGINT) AS chars FROM units GROUP BY doc_id", B.UNITS)
 add("w14_first_occurrence", lambda s, d: units(s, d).select("doc_id", "line_no", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).groupBy("doc_id", "token").agg(F.min("line_no").alias("line_no")), f"SELECT doc_id, token, min(line_no) AS line_no FROM (SELECT doc_id, line_no, unnest({B.tokens('text')}) AS token FROM units) GROUP BY 1, 2", B.UNITS)
-add("f35_unique_names", lambda s, d: catalog.table(s, d, "part").select("p_partkey", F.concat(F.substring("p_name", 1, 8), F.when(F.row_number().over(Window.partitionBy(F.substring("p_name", 1, 8)).orderBy("p_partkey")) > 1, F.concat(F.lit("_"), F.row_number().over(Window.partitionBy(F.substring("p_name", 1, 8)).orderBy("p_partkey")).cast("string"))).otherwise("")).alias("name")), "SELECT p_partkey, substr(p_name, 1, 8) || CASE WHEN r > 1 THEN '_' || r ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY substr(p_name, 1, 8) ORDER BY p_partkey) AS r FROM part)")

@@ -95,8 +95,6 @@ rewriting("f10_stitch_density", X.stitch_density, {"9-10 mũi/inch": "SPI 9-10 s
 rewriting("f11_hyphens_and_order", lambda c: X.hyphenated(X.reordered(c)), {"1. Shape toe": "1. Toe shape", "Tipquarter NOSEW": "Tip-quarter NO-SEW"})
 QUERIES["f13_clean_target"] = lambda s, d: catalog.terms(s, d).select("id", X.clean_target(F.concat_ws("/", "target_term", "source_term")).alias("target"))
 ORACLES["f13_clean_target"] = B.with_(B.TERMS) + "SELECT id, CASE WHEN contains(target_term, ' ') THEN target_term WHEN contains(source_term, ' ') THEN source_term ELSE target_term END AS target FROM terms"
-QUERIES["f18_bilingual_split"] = lambda s, d: s.createDataFrame([("Final Inspection\nKiểm tra cuối",), ("Hình mũi - Toe shape",), ("Toe - Heel",)], "text string").select("text", X.split_bilingual(F.col("text")).alias("p")).select("text", "p.en", "p.vi")
-ORACLES["f18_bilingual_split"] = "SELECT * FROM (VALUES ('Final Inspection' || chr(10) || 'Kiểm tra cuối', 'Final Inspection', 'Kiểm tra cuối'), ('Hình mũi - Toe shape', 'Toe shape', 'Hình mũi'), ('Toe - Heel', NULL, NULL)) v(text, en, vi)"
 QUERIES["f24_spelling"] = lambda s, d: catalog.units(s, d).select("doc_id", "line_no", F.md5(X.spelling(F.col("text"), ["kiểm tra", "an toàn"])).alias("text"))
 QUERIES["f16_enforcement"] = lambda s, d: X.enforced(catalog.pairs(s, d).withColumn("k", F.col("conv_id") * 100 + F.col("turn")), "k", [{"term": "the", "target": "this", "synonyms": ["that"]}]).select("k", "replaced")
 add("prj09_report_projection", lambda s, d: catalog.log(s, d).select("id", "user_id", "operation", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at_time")), "SELECT id, user_id, operation, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at_time FROM log", B.LOG)

@@ -123,8 +123,6 @@ add("j14_edit_overlay", lambda s, d: A.overlay(catalog.units(s, d).select((F.col
 RANGES = ["1-5, 8", "10 - 12", "3", "9-7;2", "0-2", "abc", "", "99990-100020", "4, 4, 4-5"]
 add("fil29_slide_range", lambda s, d: s.createDataFrame([(r,) for r in RANGES], "expression string").select("expression", F.explode_outer(A.slide_range(F.col("expression"), F.lit(9999))).alias("slide")).join(catalog.table(s, d, "documents").select(F.col("doc_id").cast("int").alias("slide")), "slide", "left_semi").select("expression", "slide"),
     "SELECT DISTINCT expression, CAST(doc_id AS INTEGER) AS slide FROM (VALUES ('1-5, 8', 1, 5), ('1-5, 8', 8, 8), ('10 - 12', 10, 12), ('3', 3, 3), ('9-7;2', 7, 9), ('9-7;2', 2, 2), ('0-2', 1, 2), ('4, 4, 4-5', 4, 5)) v(expression, a, b) JOIN documents ON doc_id BETWEEN a AND b")
-scored = lambda s, d: catalog.table(s, d, "lineitem").select((F.col("l_orderkey") % 200).alias("deck"), (F.col("l_partkey") % 9).alias("a"), (F.col("l_suppkey") % 9).alias("b"), F.col("l_quantity").alias("score")).groupBy("deck", "a", "b").agg(F.max("score").alias("score"))
-QUERIES["j11_greedy_matching"] = lambda s, d: A.greedy_matching(scored(s, d), "deck", 20.0)
 GLOSSARY = [{"term": "that with", "priority": 2}, {"term": "that"}, {"term": "the"}, {"term": "thion"}, {"term": "la"}, {"term": "der"}, {"term": "an of"}]
 QUERIES["j01_term_matches"] = lambda s, d: A.matched_terms(catalog.units(s, d).select((F.col("doc_id") * 10_000 + F.col("line_no")).alias("unit_id"), "text"), GLOSSARY, "unit_id", "text").groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("key").alias("units"))
 add("j01_candidates", lambda s, d: catalog.units(s, d).crossJoin(F.broadcast(s.createDataFrame([(g["term"],) for g in GLOSSARY], "term string"))).where(F.lower("text").contains(F.col("term"))).groupBy("term").agg(F.count("*").alias("units")), "SELECT term, count(*) AS units FROM units, (VALUES " + ", ".join(f"('{g['term']}')" for g in GLOSSARY) + ") v(term) WHERE contains(lower(text), term) GROUP BY term", B.UNITS)

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import language as L
+from ..functions import terms as X
 from ..functions import vocabulary as V
 from ..operators import compliance as K
 from ..operators import concise as S
+from ..operators import quality as Q
 from ..operators import readers as R
+from ..operators import slides as SL
 from . import base as B
 from . import language_queries as LQ
 
@@ -123,6 +126,74 @@ SELECT k, i, reason IN ('words', 'step') AS is_pair, CAST(CASE reason WHEN 'word
   SELECT k, i, CASE WHEN guard IS NOT NULL THEN guard WHEN least(length(a), length(b)) < 0.35 * greatest(length(a), length(b)) AND NOT ({_same}) THEN 'length' WHEN shared >= 2 AND {_ratio} >= 0.35 THEN 'words'
     WHEN {_same} AND ({_both} OR shared >= 2 OR (greatest(length(a), length(b)) <= 30 AND shared >= 1)) THEN 'step' ELSE 'no overlap' END AS reason FROM guarded)""", B.PAIRS, *GUARDED)
 
+# --- instructions, names, slides
+INSTRUCTED = [
+    ("2. Kiểm tra khe hở 5 mm", "2. Check with gauge"), ("Ép 3 kg", "3. Press."), ("không vượt quá 3 mm", "3 mm"), ("tối đa 2 cm", "at most 2 cm"), ("Kiểm tra mũi", "Check if the toe"), ("Kiểm tra mũi", "Check if the toe is even"),
+    ("có hở keo không?", "Bond gap"), ("Đối với SB-12", "For SB-12 with cutting die"), ("x", "Check if the upper match the mold"), ("x", "The seam is not stitch well"), ("x", "Check if no gap between the parts here"),
+]
+_ins = ", ".join(f"(CAST(-2 AS BIGINT), {i}, '{a}', '{b}')" for i, (a, b) in enumerate(INSTRUCTED))
+_body = r"trim(regexp_replace(trim(target), '(?i)^(?:[*•#]\s*)?(?:(?:step|bước|item|ctq)\s*)?\d+(?:\.\d+)?[.):\-]\s*', ''))"
+_asked = _body.replace("target", "source")
+_measures = lambda c: rf"list_transform(regexp_extract_all(regexp_replace(replace(regexp_replace(lower({c}), '\+\s*[-−]\s*', '±', 'g'), ',', '.'), 'mũi\s*/\s*inch', 'stitches/inch', 'g'), '(?:[±+\-−]\s*)?\d+(?:\.\d+)?(?:\s*[-–]\s*\d+(?:\.\d+)?)?\s*(?:stitches\s*/\s*inch|kg\s*/\s*cm[²2]|mm|cm|kg|n\b|°\s*c|%)'), lambda v: replace(replace(regexp_replace(v, '\s+', '', 'g'), '–', '-'), '²', '2'))"
+_finite = r"\b(?:is|are|has|have|does|do|can|must|should|will|remains?|matches?|fits?|aligns?|exceeds?|meets?|follows?|shows?|covers?|contains?|overlaps?|passes?|stays?|lies?|sits?|reaches?|touches?|looks?|feels?)\b"
+_m = lambda c, p: f"regexp_matches({c}, '(?i){p}')"
+
+
+def instructed(s, d):
+    more = s.createDataFrame([(-2, i, *c) for i, c in enumerate(INSTRUCTED)], "k long, i int, source string, target string")
+    return paired(s, d).union(more)
+
+
+add("a22_instruction_quality", lambda s, d: instructed(s, d).select("k", "i", F.array_join(Q.instruction_issues(F.col("source"), F.col("target")), ",").alias("issues")), rf"""
+SELECT k, i, concat_ws(',', CASE WHEN {_m(r"trim(regexp_replace(regexp_replace(trim(target), '^\s*(?:\d+(?:\.\d+)?[.):\-]\s*)', ''), '[.!?:;]+$', ''))", r"^(?:check(?:\s+if)?|inspect|verify|ensure|accept|place|attach|apply|stitch|sew|press|avoid)$")} THEN 'incomplete_instruction' END,
+  CASE WHEN {_m("body", r"\bcheck\s+with\b")} OR (({_m("asked", r"^kiểm\s+tra\b")} OR {_m("asked", r"(?:^|\s)có\s+.+\s+không[?.!]?$")}) AND NOT opens) THEN 'check_if_required' END,
+  CASE WHEN (opens AND (clause = '' OR (NOT {_m("clause", _finite)} AND (len(regexp_extract_all(clause, '\p{{L}}+')) <= 3 OR {_m("clause", r"^(?:the\s+)?(?:consistent|correct|no|free\s+of)\b")} OR {_m("clause", r"\b(?:attached|aligned|positioned|centered|pressed|stitched|bonded)\b")}))))
+    OR {_m("body", r"\b(?:isn['’]t|is\s+not|aren['’]t|are\s+not)\s+(?:align|attach|stitch)\b".replace("'", "''"))} OR {_m("body", r"\b(?:must\s+edge-even|with\s+be\s+at\s+center|is\s+not\s+scratch\b)")} OR {_m("body", r"^check\s+if\s+(?:the\s+)?(?:upper|mold|machine|tool|part)\s+match\b")} OR {_m("body", r"^check\s+if\s+(?:the\s+)?(?:real\s+temp|temperature)\s+\d+")} THEN 'incomplete_condition' END,
+  CASE WHEN len(list_filter({_measures("source")}, lambda v: NOT list_contains({_measures("target")}, v))) > 0 THEN 'missing_measurement' END,
+  CASE WHEN {_m("source", r"không\s+(?:vượt|quá)|tối\s+đa")} AND NOT {_m("target", r"\b(?:not\s+exceed|no\s+more\s+than|at\s+most|maximum|up\s+to|within)\b|[≤<]=?")} THEN 'missing_restriction' END,
+  CASE WHEN {_m("source", r"^\s*[*•#]?\s*(?:đối\s+với|dành\s+cho|áp\s+dụng\s+cho)\s+.*[A-Z0-9]+-[A-Z0-9]+")} AND {_m("target", r"\bcutting\s+die\b")} AND NOT {_m("source", "dao|khuôn")} THEN 'unsupported_operation' END) AS issues
+FROM (SELECT *, {_m("body", r"^check\s+if\b")} AS opens, regexp_split_to_array(regexp_replace(body, '(?i)^check\s+if\s*', ''), '[,;.!?]')[1] AS clause FROM (SELECT *, {_body} AS body, {_asked} AS asked FROM (SELECT * FROM paired UNION ALL SELECT * FROM (VALUES {_ins}) v(k, i, source, target))))""", B.PAIRS, PAIRED)
+add("f35_unique_names", lambda s, d: catalog.table(s, d, "part").groupBy(F.floor(F.col("p_partkey") / 50).alias("book")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_brand"))).alias("x")).select("book", F.posexplode(X.unique_names(F.col("x.p_brand"), " EN")).alias("i", "name")), "SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY p_partkey) - 1 AS INTEGER) AS i, p_brand || CASE WHEN r > 1 THEN ' ' || (r - 1) ELSE '' END || ' EN' AS name FROM (SELECT *, row_number() OVER (PARTITION BY book, p_brand ORDER BY p_partkey) AS r FROM (SELECT *, p_partkey // 50 AS book FROM part))")
+SPLITS = [
+    ("Final check\nKiểm tra cuối", False, "Final check", "Kiểm tra cuối"), ("1. Cut\n1. Cắt da\n2. Sew\n2. Khâu lại", False, "1. Cut\n2. Sew", "1. Cắt da\n2. Khâu lại"), ("Dán đế\nÉp đế\nAttach\nPress", False, "Attach\nPress", "Dán đế\nÉp đế"),
+    ("Toe cap - Hình mũi", True, "Toe cap", "Hình mũi"), ("Toe cap - Hình mũi", False, None, None), ("CTQ 1 - Hình mũi", True, None, None), ("Packing wrongGiấy gói", True, "Packing wrong", "Giấy gói"), ("9-10", True, None, None), ("one\ntwo\nthree", False, None, None), ("Tip-quarter bị nhăn", True, None, None),
+]
+
+
+def splits(s, d):
+    cases = s.createDataFrame([(-1, i, t, item) for i, (t, item, _, _) in enumerate(SPLITS)], "doc_id long, line_no int, text string, item boolean")
+    rows = catalog.units(s, d).select("doc_id", "line_no", "text", F.lit(False).alias("item")).union(cases).withColumn("p", X.split_bilingual(F.col("text"), F.col("item")))
+    return rows.select("doc_id", "line_no", "p.en", "p.vi")
+
+
+_lit = lambda x: "NULL" if x is None else "'" + x.replace("\n", "' || chr(10) || '") + "'"
+add("f18_bilingual_split", splits, "SELECT doc_id, line_no, CAST(NULL AS VARCHAR) AS en, CAST(NULL AS VARCHAR) AS vi FROM units UNION ALL SELECT * FROM (VALUES " + ", ".join(f"(-1, {i}, {_lit(e)}, {_lit(v)})" for i, (_, _, e, v) in enumerate(SPLITS)) + ") x(doc_id, line_no, en, vi)", B.UNITS)
+
+
+def deck(s, d):
+    """Documents as slides of decks of sixteen; the slide's own text is its draft."""
+    rows = catalog.units(s, d)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    return rows.groupBy("doc_id").agg(texts.alias("texts")).select((F.floor(F.col("doc_id") / 16)).alias("file"), F.col("doc_id").alias("slide"), "texts", F.array_join("texts", " ").alias("probe"))
+
+
+_vn = lambda c: f"regexp_matches({c}, '[{B.MARKED}{B.MARKED.upper()}]')"
+_lat = lambda c: f"(NOT {_vn(c)} AND regexp_matches({c}, '[a-zA-Z]{{2,}}'))"
+_count = lambda test: f"CAST(len(list_filter(t, lambda x: {test})) AS INTEGER)"
+PROFILES = rf"""decks AS (
+  SELECT doc_id // 16 AS file, doc_id AS slide, list(text ORDER BY line_no) AS t FROM units GROUP BY doc_id
+), profiled AS (
+  SELECT file, slide, t, {_count(_vn("x"))} AS vi, {_count(_lat("x"))} AS en, {_count(_vn("x") + " AND length(trim(x)) >= 25")} AS vi_long, {_count(_lat("x") + " AND length(trim(x)) >= 25")} AS en_long,
+    len(list_filter(t[1:6], lambda x: regexp_matches(x, '(?i)\b(?:\d+[._-]?)?EN\b|\[EN\]|\(EN\)'))) > 0 AS en_marker, len(list_filter(t[1:6], lambda x: regexp_matches(x, '(?i)\b(?:\d+[._-]?)?(?:VI|VN)\b|\[VI\]|\(VI\)'))) > 0 AS vi_marker,
+    list_distinct(list_filter(flatten(list_transform(t[1:8], lambda x: [regexp_extract(x, '(?i)^\s*(?:(?:step|bước|ctq|sop|item|mục|trạm)\s*[:#]?\s*(\d+(?:\.\d+)?)|#?\s*(\d+(?:\.\d+)?)\s*(?:[.:\-/)]|\s*(?:en|vi|vn)\b))', 1), regexp_extract(x, '(?i)^\s*(?:(?:step|bước|ctq|sop|item|mục|trạm)\s*[:#]?\s*(\d+(?:\.\d+)?)|#?\s*(\d+(?:\.\d+)?)\s*(?:[.:\-/)]|\s*(?:en|vi|vn)\b))', 2), regexp_extract(x, '(?i)\b(\d+(?:\.\d+)?)\s*[._-]?\s*(?:EN|VI|VN)\b', 1)])), lambda x: x <> '')) AS steps
+  FROM decks
+)"""
+add("a17_slide_profile", lambda s, d: SL.profiles(deck(s, d)).select("file", "slide", "vi", "en", "vi_long", "en_long", "en_marker", "vi_marker", "step", "is_en", "is_vi", F.round("vi_ratio", 6).alias("vi_ratio")), """
+SELECT file, slide, vi, en, vi_long, en_long, en_marker, vi_marker, CASE WHEN len(steps) = 1 THEN steps[1] END AS step,
+  CASE WHEN en_marker AND NOT vi_marker THEN TRUE WHEN en_long >= 2 AND en_long > vi_long * 2 THEN TRUE ELSE (vi = 0 AND (en * 1.0 / len(t) >= 0.2 OR en >= 1)) OR (en > vi AND (vi <= 1 OR vi * 1.0 / len(t) < 0.25)) END AS is_en,
+  CASE WHEN vi_marker AND NOT en_marker THEN TRUE WHEN vi_long >= 2 AND vi_long > en_long THEN TRUE ELSE (vi >= 1 AND (vi * 1.0 / len(t) >= 0.2 OR vi >= en)) OR vi >= 2 END AS is_vi, round(vi * 1.0 / len(t), 6) AS vi_ratio FROM profiled""", B.UNITS, PROFILES)
+QUERIES["j11_greedy_matching"] = lambda s, d: SL.pairs(deck(s, d))
+
 # --- compliance
 FINISHED = ["nosew film on the Tip quarter", "tip-quarter, 10 SPI", "Kiểm tra", "SPI 9-10 stitches/inch", "aplly cement foam", "Check with gauge", "Shape toe and shape collar", "8-9 stitches/inch", "*Spray cement and aplly foam", "the logo is printed together without matching", "quality standard tolerances are acceptable", "Dán đế ngoài", "quet keo de giua"]
 _fin = ", ".join(f"(CAST(-1 AS BIGINT), {i}, '{c}')" for i, c in enumerate(FINISHED))

@@ -46,6 +46,12 @@ def test_formulas(formula, expected):
     assert S.shift_columns(formula, 2) == expected
 
 
+def test_formula_sheets():
+    assert S.rename_sheets("Data!A1+'My S'!B2:C3+\"Data!A1\"+B1", {"data": "Dữ liệu", "my s": "It's"}) == "'Dữ liệu'!A1+'It''s'!B2:C3+\"Data!A1\"+B1"
+    assert S.shift_columns("B1+Data!B1:C2+Other!B1", 2, 1, "Own", "Data") == "B1+Data!C1:D2+Other!B1" and S.shift_columns("B1", 2, 1, "Data", "Data") == "C1"
+    assert S.rename_sheets(None, {}) is None and S.shift_columns("", 1) == ""
+
+
 def test_answers(spark):
     raw = ['[{"id":"a","text":"x"},{"id":"a","text":"y"},{"id":"zz","text":"n"}]', '```json\n{"items":[{"id":"b","translation":" t "}]}\n```', '[{"id":"c","text":"cut"},{"id":"d","te', "no json", None, '{"id":"e","text":""}']
     df = spark.createDataFrame(list(enumerate(raw)), "batch long, raw string")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 from termloom.operators import compliance as K
 from termloom.operators import concise as S
+from termloom.operators import quality as Q
 from termloom.operators import readers as R
+from termloom.operators import slides as SL
 
 
 def one(spark, column, *values):
@@ -77,3 +79,32 @@ def test_sheets(spark):
     terms = sorted((r.row_no, r.source_term, r.target_term, r.source_language) for r in R.sheet_terms(df).where("file = 'a'").collect())
     assert terms == [(1, "gap", "khe", "en"), (3, "toe", "mũi", "en")]
     assert R.sheet_terms(df.limit(0)).collect() == []
+
+
+def deck(spark, rows):
+    return spark.createDataFrame([("f", i, t, p) for i, (t, p) in enumerate(rows, 1)], "file string, slide int, texts array<string>, probe string").selectExpr("*", "1 as step", "2 as a")
+
+
+EN, VI = "Apply the cement on the midsole surface evenly", "Quét keo đều lên bề mặt đế giữa của giày"
+
+
+def test_neighbouring_slides_pair(spark):
+    rows = [(["1.EN Cement line", EN, EN], None), (["1.VI Cement line", VI, VI], "apply cement evenly midsole surface"), (["2.EN Press", "Press the sole at 30 kg for long"], None), (["2.VI Press", "Ép đế với lực lớn vừa đủ"], "press sole with force"), (None, None), (["x", None], None)]
+    assert sorted(map(tuple, SL.pairs(deck(spark, rows)).collect())) == [("f", 1, 2), ("f", 3, 4)]
+    assert SL.pairs(deck(spark, rows).limit(0)).collect() == []
+
+
+def test_distant_slides_pair_by_score(spark):
+    far = [(["Kiểm tra gót", "Kiểm tra đường may ở gót giày 2.5 mm"], "inspect stitching seam heel 2.5 mm"), (["Ép nhiệt", "Ép nhiệt bằng máy ở 110 độ"], "heat pressing machine 110 degree"), (["Heel seam", "Inspect stitching of the heel seam 2.5 mm"], None), (["Heating", "Heat pressing with the machine 110"], None), (["Packing"], None), (["Labels here"], None)]
+    assert sorted(map(tuple, SL.pairs(deck(spark, far)).collect())) == [("f", 3, 1), ("f", 4, 2)]
+
+
+def test_slides_with_conflicts_do_not_pair(spark):
+    rows = [(["CTQ 1 EN", "Toe shape is even all over the shoe"], None), (["CTQ 1 VI", "Hình dạng gót đều nhau trên đôi giày"], "toe shape even shoe")]
+    assert SL.pairs(deck(spark, rows)).collect() == []
+
+
+def test_instruction_issues(spark):
+    assert one(spark, Q.instruction_issues, None, "Check if the toe") == ["incomplete_condition"] and one(spark, Q.instruction_issues, None, None) == []
+    assert one(spark, Q.instruction_issues, "Kiểm tra 5 mm", "Press.") == ["incomplete_instruction", "check_if_required", "missing_measurement"]
+    assert one(spark, Q.instruction_issues, "Kiểm tra mũi", "1. Check if the toe is even") == []

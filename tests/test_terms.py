@@ -27,10 +27,18 @@ def test_model_names(spark, text, expected):
     assert one(spark, X.is_model_name, text) is expected
 
 
-@pytest.mark.parametrize(("text", "expected"), [("Final Inspection\nKiểm tra cuối", ("Final Inspection", "Kiểm tra cuối")), ("Hình mũi - Toe shape", ("Toe shape", "Hình mũi")), ("Toe - Heel", None), ("one", None)])
-def test_split(spark, text, expected):
-    got = one(spark, X.split_bilingual, text)
-    assert (tuple(got) if got else None) == expected
+def test_split_bilingual(spark):
+    from termloom.plans.sop_queries import SPLITS
+
+    df = spark.createDataFrame([*SPLITS, (None, True, None, None), ("", True, None, None), ("Toe capped\n" * 4000, False, None, None)], "text string, item boolean, en string, vi string")
+    for r in df.withColumn("p", X.split_bilingual(F.col("text"), F.col("item"))).collect():
+        assert (r.p and (r.p.en, r.p.vi)) == (r.en and (r.en, r.vi)), r
+
+
+def test_unique_names(spark):
+    long = "n" * 40
+    rows = spark.createDataFrame([(["a", "A", "a 1", "a", long, long, ""],), ([],), (None,)], "x array<string>").select(X.unique_names(F.col("x"), " EN").alias("u")).collect()
+    assert rows[0].u == ["a EN", "A 1 EN", "a 1 1 EN", "a 2 EN", "n" * 28 + " EN", "n" * 26 + " 1 EN", " EN"] and rows[1].u == rows[2].u == []
 
 
 def test_spelling(spark):
