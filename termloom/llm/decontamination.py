@@ -136,6 +136,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
     windows = cut(item_windows(benchmark, width))
     index = stored(positional_index(documents, windows.select(F.explode("win").alias("term")).distinct()), "postings")
     queries = cut(query_windows(windows, cut(term_frequencies(index))))
+    # of the whole index only the lists of the windows' two rarest terms are read again, and the texts' ends
+    wanted = queries.select("term").union(queries.where("term2 is not null").select("term2")).union(windows.sparkSession.range(1).select(F.lit(END))).distinct()
+    index = stored(index.join(_bounded(cut(wanted)), "term", "left_semi"), "lists")
     found = stored(phrase_matches(documents, cut(intersected(index, queries)), queries, width), "phrases")
 
     key = ["doc_id", "text_key"]

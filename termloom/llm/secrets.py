@@ -7,6 +7,10 @@ candidates are verified by the regex. A rule without mandatory trigrams (plain h
 every text. Shards are independent: nothing is shuffled, memory is bounded by a batch, and a lost task is
 redone alone.
 
+The contract's three kinds have no bounds. Two of the added formats have some in their patterns, as the formats do: a
+private key's header names at most three words of at most 20 letters, and user name and password in an address are
+at most 256 characters each.
+
 Matches are leftmost and non-overlapping per rule; a match whose measured group is too short is dropped
 after it was consumed. Offsets are code points, end exclusive.
 
