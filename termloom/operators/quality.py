@@ -126,3 +126,26 @@ def snapshot(rows: DataFrame, columns: list[str]) -> DataFrame:
 def entity_report(pairs: DataFrame) -> DataFrame:
     """Total, distinct and saved items."""
     return pairs.agg(F.count("*").alias("total"), F.countDistinct("key").alias("unique")).withColumn("saved", F.col("total") - F.col("unique"))
+
+
+def _whole_word(term: Column) -> Column:
+    """A pattern of a term as a whole word, perhaps in the plural, whatever its case and spacing."""
+    escaped = F.regexp_replace(F.regexp_replace(F.trim(term), r"([.*+?^${}()|\[\]\\])", r"\\\\$1"), r"\s+", r"\\\\s+")
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), escaped, F.lit(r"(?:s|es)?(?![\p{L}\p{N}])"))
+
+
+def conflicts(observations: DataFrame, matches: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Per term (term, preferred, missing, variants, units, first_unit, candidates): units whose target lacks the preferred form, or has another approved one beside it.
+
+    observations: (unit, target); matches: (unit, term) of terms in the units' sources; glossary: (term, target, rank), the
+    preferred target is that of least rank. Flags are computed for each unit and term, and combined before the shuffle.
+    """
+    order = F.struct("rank", "target")
+    terms = glossary.groupBy("term").agg(F.min_by("target", order).alias("preferred"), F.array_sort(F.collect_set("target")).alias("all"))  # as many as a term has approved forms
+    rows = matches.select("unit", "term").distinct().join(observations.select("unit", F.coalesce("target", F.lit("")).alias("target")), "unit").join(terms, "term")
+    rest = F.call_function("regexp_replace", F.col("target"), _whole_word(F.col("preferred")), F.lit(" "))
+    found = F.filter("all", lambda a: (F.lower(a) != F.lower(F.col("preferred"))) & F.call_function("rlike", rest, _whole_word(a)))
+    rows = rows.select("unit", "term", "preferred", (~F.call_function("rlike", F.col("target"), _whole_word(F.col("preferred")))).alias("lacks"), found.alias("found")).where("lacks or size(found) > 0")
+    groups = rows.groupBy("term", "preferred").agg(F.count_if("lacks").alias("missing"), F.count_if(F.size("found") > 0).alias("variants"), F.count("*").alias("units"), F.min("unit").alias("first_unit"))
+    seen = rows.select("term", F.explode("found").alias("c")).distinct().groupBy("term").agg(F.array_join(F.array_sort(F.collect_list("c")), ",").alias("candidates"))
+    return groups.join(seen, "term", "left").withColumn("candidates", F.coalesce("candidates", F.lit("")))

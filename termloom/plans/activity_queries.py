@@ -108,7 +108,6 @@ add("a01_status_histogram", lambda s, d: Q.status_histogram(classified(s, d)), "
 add("a04_issue_buckets", lambda s, d: Q.buckets(classified(s, d).select("status", "key", (F.length("key") / 100).alias("confidence"), (F.col("doc_id") % 2 == 0).alias("safe"))), "SELECT status, key, count(*) AS n, min(length(key) / 100.0) AS confidence, bool_and(doc_id % 2 = 0) AS safe FROM classified GROUP BY 1, 2 HAVING count(*) > 1", B.UNITS, *CLASSIFIED)
 add("a21_affected_documents", lambda s, d: classified(s, d).where("status = 'REVIEW_REQUIRED'").groupBy("status").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first")), "SELECT status, count(DISTINCT doc_id) AS documents, min(doc_id) AS first FROM classified WHERE status = 'REVIEW_REQUIRED' GROUP BY status", B.UNITS, *CLASSIFIED)
 add("l05_group_order", lambda s, d: Q.buckets(classified(s, d).select("status", "key", (F.length("key") / 100).alias("confidence"), (F.col("doc_id") % 2 == 0).alias("safe"))).orderBy("safe", F.desc("confidence"), "status", "key").limit(30).select("status", "key", "n"), "SELECT status, key, count(*) AS n FROM classified GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY bool_and(doc_id % 2 = 0), min(length(key)) DESC, status, key LIMIT 30", B.UNITS, *CLASSIFIED)
-add("a05_conflict_groups", lambda s, d: classified(s, d).join(catalog.table(s, d, "labels"), "doc_id").groupBy("status", "quality").agg(F.countDistinct("doc_id").alias("documents"), F.sum("toxic").alias("toxic")), "SELECT status, quality, count(DISTINCT doc_id) AS documents, CAST(sum(toxic) AS BIGINT) AS toxic FROM classified JOIN labels USING (doc_id) GROUP BY 1, 2", B.UNITS, *CLASSIFIED)
 add("a11_deck_statistics", lambda s, d: Q.deck_statistics(units(s, d), "doc_id").select("doc_id", "lines", "words", "chars", "title"), r"SELECT doc_id, count(*) AS lines, CAST(sum(len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> ''))) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars, substr(arg_min(trim(text), line_no), 1, 80) AS title FROM units GROUP BY doc_id", B.UNITS)
 add("a12_slide_roll_up", lambda s, d: classified(s, d).groupBy("doc_id").agg(F.count("*").alias("units"), F.count_if(F.col("status").isin("NEEDS_TRANSLATION", "REVIEW_REQUIRED")).alias("needs"), F.min_by("status", "line_no").alias("first")), "SELECT doc_id, count(*) AS units, count(*) FILTER (status IN ('NEEDS_TRANSLATION', 'REVIEW_REQUIRED')) AS needs, arg_min(status, line_no) AS first FROM classified GROUP BY doc_id", B.UNITS, *CLASSIFIED)
 add("a14_pairs_by_session", lambda s, d: pairs(s, d).groupBy("conv_id").agg(F.count("*").alias("pairs")), "SELECT conv_id, count(*) AS pairs FROM pairs GROUP BY conv_id", B.PAIRS)

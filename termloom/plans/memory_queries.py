@@ -125,6 +125,11 @@ add("fil29_slide_range", lambda s, d: s.createDataFrame([(r,) for r in RANGES],
     "SELECT DISTINCT expression, CAST(doc_id AS INTEGER) AS slide FROM (VALUES ('1-5, 8', 1, 5), ('1-5, 8', 8, 8), ('10 - 12', 10, 12), ('3', 3, 3), ('9-7;2', 7, 9), ('9-7;2', 2, 2), ('0-2', 1, 2), ('4, 4, 4-5', 4, 5)) v(expression, a, b) JOIN documents ON doc_id BETWEEN a AND b")
 GLOSSARY = [{"term": "that with", "priority": 2}, {"term": "that"}, {"term": "the"}, {"term": "thion"}, {"term": "la"}, {"term": "der"}, {"term": "an of"}]
 QUERIES["j01_term_matches"] = lambda s, d: A.matched_terms(catalog.units(s, d).select((F.col("doc_id") * 10_000 + F.col("line_no")).alias("unit_id"), "text"), GLOSSARY, "unit_id", "text").groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("key").alias("units"))
+_MATCH = r"(?i)\b(?:that\s+with|an\s+of|thion|that|the|der|la)(?:es|s)?\b"
+ORACLES["j01_term_matches"] = B.with_(B.UNITS) + rf"""
+SELECT term, count(*) AS n, count(DISTINCT unit) AS units FROM (
+  SELECT unit, CASE WHEN regexp_matches(m, '^that\s') THEN 'that with' WHEN regexp_matches(m, '^an\s') THEN 'an of' WHEN starts_with(m, 'thion') THEN 'thion' WHEN starts_with(m, 'that') THEN 'that' WHEN starts_with(m, 'the') THEN 'the' WHEN starts_with(m, 'der') THEN 'der' ELSE 'la' END AS term
+  FROM (SELECT doc_id * 10000 + line_no AS unit, unnest(list_transform(regexp_extract_all(replace(regexp_replace(text, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', 'q', 'g'), '_', ' '), '{_MATCH}'), lambda x: lower(x))) AS m FROM units)) GROUP BY term"""
 add("j01_candidates", lambda s, d: catalog.units(s, d).crossJoin(F.broadcast(s.createDataFrame([(g["term"],) for g in GLOSSARY], "term string"))).where(F.lower("text").contains(F.col("term"))).groupBy("term").agg(F.count("*").alias("units")), "SELECT term, count(*) AS units FROM units, (VALUES " + ", ".join(f"('{g['term']}')" for g in GLOSSARY) + ") v(term) WHERE contains(lower(text), term) GROUP BY term", B.UNITS)
 add("j21_relevant_terms", lambda s, d: F.broadcast(s.createDataFrame([(g["term"],) for g in GLOSSARY], "term string")).join(catalog.units(s, d).where("line_no = 0"), F.lower("text").contains(F.col("term")), "left_semi"), "SELECT term FROM (VALUES " + ", ".join(f"('{g['term']}')" for g in GLOSSARY) + ") v(term) WHERE EXISTS (SELECT 1 FROM units WHERE line_no = 0 AND contains(lower(text), term))", B.UNITS)
 add("j13_expected_outputs", lambda s, d: catalog.memory(s, d).select("item_id", "sentence_no", T.exact_key(F.col("sentence")).alias("k")).join(queries_of(s, d).select(T.exact_key(F.col("q_text")).alias("k"), F.lit(True).alias("hit")).distinct(), "k", "left").select("item_id", "sentence_no", F.coalesce("hit", F.lit(False)).alias("found")), f"SELECT item_id, sentence_no, {B.exact('sentence')} IN (SELECT {B.exact('q_text')} FROM questions) AS found FROM memory", B.UNITS, B.MEMORY, QUESTIONS)

@@ -8,6 +8,7 @@ from .. import catalog
 from ..functions import language as L
 from ..functions import terms as X
 from ..functions import vocabulary as V
+from ..operators import align as A
 from ..operators import compliance as K
 from ..operators import concise as S
 from ..operators import quality as Q
@@ -170,6 +171,31 @@ _lit = lambda x: "NULL" if x is None else "'" + x.replace("\n", "' || chr(10) ||
 add("f18_bilingual_split", splits, "SELECT doc_id, line_no, CAST(NULL AS VARCHAR) AS en, CAST(NULL AS VARCHAR) AS vi FROM units UNION ALL SELECT * FROM (VALUES " + ", ".join(f"(-1, {i}, {_lit(e)}, {_lit(v)})" for i, (_, _, e, v) in enumerate(SPLITS)) + ") x(doc_id, line_no, en, vi)", B.UNITS)
 
 
+FORMS = [("the", "this", 0), ("the", "that", 1), ("der", "die", 0), ("la", "le", 0), ("la", "les", 1), ("la", "un", 2)]
+
+
+def conflict_groups(s, d):
+    rows = catalog.pairs(s, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("unit"), "source", "target")
+    found = A.matched_terms(rows, [{"term": t} for t in dict.fromkeys(t for t, _, _ in FORMS)], "unit", "source").select(F.col("key").alias("unit"), "term")
+    return Q.conflicts(rows, found, s.createDataFrame(FORMS, "term string, target string, rank int"))
+
+
+#: Words of a text between ASCII boundaries: letters and digits of other scripts are one letter, underscores are none.
+_ascii = lambda c: rf"replace(regexp_replace({c}, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', 'q', 'g'), '_', ' ')"
+_word = lambda c, w: rf"regexp_matches({c}, '(?i)\b{w}(?:s|es)?\b')"
+_case = lambda f: " ".join(f"WHEN '{t}' THEN {f(t)}" for t in ("the", "der", "la"))
+_others = {"the": ["that"], "der": [], "la": ["les", "un"]}
+_preferred = {"the": "this", "der": "die", "la": "le"}
+add("a05_conflict_groups", conflict_groups, rf"""
+WITH {B.PAIRS}, u AS (SELECT conv_id * 100 + turn AS unit, {_ascii("source")} AS s, {_ascii("target")} AS t FROM pairs),
+m AS (SELECT unit, term, t FROM u, (VALUES ('the'), ('der'), ('la')) v(term) WHERE CASE term {_case(lambda t: _word("s", t))} END),
+r AS (SELECT unit, term, NOT CASE term {_case(lambda t: _word("t", _preferred[t]))} END AS lacks,
+  CASE term {_case(lambda t: "list_filter([" + ", ".join(f"CASE WHEN {_word(chr(114) + 'est', a)} THEN '{a}' END" for a in _others[t]) + "]::VARCHAR[], lambda a: a IS NOT NULL)")} END AS found
+  FROM (SELECT *, CASE term {_case(lambda t: f"regexp_replace(t, '(?i)" + chr(92) + f"b{_preferred[t]}(?:s|es)?" + chr(92) + "b', ' ', 'g')")} END AS rest FROM m))
+SELECT term, CASE term WHEN 'the' THEN 'this' WHEN 'der' THEN 'die' ELSE 'le' END AS preferred, count(*) FILTER (lacks) AS missing, count(*) FILTER (len(found) > 0) AS variants, count(*) AS units, min(unit) AS first_unit,
+  coalesce(array_to_string(list_sort(list_distinct(flatten(list(found)))), ','), '') AS candidates FROM r WHERE lacks OR len(found) > 0 GROUP BY term""")
+
+
 def deck(s, d):
     """Documents as slides of decks of sixteen; the slide's own text is its draft."""
     rows = catalog.units(s, d)
