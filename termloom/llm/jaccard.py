@@ -29,7 +29,6 @@ null doc_id is never the least; extra columns are ignored by ``components`` and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache as memo
 
 import numpy as np
 import pyarrow as pa
@@ -84,9 +83,7 @@ def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
             at += n
 
 
-@memo
-def bands() -> tuple[tuple[int, int, int], ...]:
-    """(least size, next band's least size, d) for sizes up to 2^31."""
+def _bands() -> tuple[tuple[int, int, int], ...]:
     out, low = [], 4
     while low < 1 << 31:
         high = max(low + 1, int(low * RATIO))
@@ -96,10 +93,14 @@ def bands() -> tuple[tuple[int, int, int], ...]:
     return tuple(out)
 
 
+#: (least size, next band's least size, d) for sizes up to 2^31. A plain value: cached functions do not travel to workers.
+BANDS = _bands()
+
+
 def deals(h: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(band and seed, d, least number of shared full buckets, signatures of the full buckets) of a set."""
     n = len(h)
-    for j, (low, high, d) in enumerate(bands()):
+    for j, (low, high, d) in enumerate(BANDS):
         if not d or not low <= n <= (high - 1) * 100 // PERCENT:
             continue
         k = max(d + 2, int(d * SLACK) + 1)
