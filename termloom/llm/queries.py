@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, jaccard, language, language_model, licenses, packing, secrets, sharding, warc
+from . import decontamination, embeddings, jaccard, language, language_model, licenses, packing, secrets, sharding, warc, whitening
 from .common import table
 
 
@@ -62,6 +62,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    fits = whitening.fit(embeddings)
+    return whitening.whiten(embeddings, fits, whitening.identity_error(embeddings, fits))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_sharding": op2_sharding,
@@ -73,4 +79,5 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
 }
