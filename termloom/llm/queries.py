@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, embeddings, jaccard, language, language_model, licenses, packing, secrets, sharding, warc, whitening
+from . import alignment, decontamination, embeddings, jaccard, language, language_model, licenses, packing, secrets, sharding, suffixes, warc, whitening
 from .common import table
 
 
@@ -68,6 +68,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(embeddings, fits, whitening.identity_error(embeddings, fits))
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.summary(table(spark, sf_dir, "documents"))
 
@@ -84,5 +88,6 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
     "op11_whitening": op11_whitening,
+    "op12_suffixes": op12_suffixes,
     "op13_alignment": op13_alignment,
 }
