@@ -349,9 +349,10 @@ def auto_repaired(units: DataFrame, rules: DataFrame, text: str = "text") -> Dat
     for _, pattern, to in flat:
         try:
             re.compile(pattern)
+            exact = False
         except re.error:
-            pattern = re.escape(pattern)
-        program.append(Rule(pattern.replace(" ", "[ ]"), to.replace("\\", r"\\")))
+            pattern, exact = "".join(" " if c == " " else re.escape(c) for c in pattern), True
+        program.append(Rule(pattern.replace(" ", "[ ]"), to.replace("\\", r"\\"), exact))
     out = polished(units, text, rules=program, casing=False)
     names = F.array(*(F.lit(f"{i}: {p}") for i, p, _ in flat)) if flat else F.array().cast("array<string>")
     return out.withColumn("repairs", F.transform("fired", lambda i: F.get(names, i))).withColumnRenamed("polished", "repaired").drop("fired")
