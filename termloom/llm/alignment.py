@@ -23,6 +23,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,7 +38,9 @@ PIECE = 1 << 15
 #: Counted pairs that are broadcast, 17 bytes each.
 MOST_PAIRS = 4_000_000
 #: What a worker spends on remembered units, about, and the longest unit remembered.
-CACHE_BYTES, LONGEST_UNIT = 160 << 20, 200
+CACHE_BYTES, LONGEST_UNIT = 112 << 20, 200
+#: Links of a unit that are written one by one.
+MOST_REPEATS = 4096
 #: Text handled at once.
 SLICE = 1 << 20
 #: Pair keys are a * WIDTH + b.
@@ -104,8 +107,8 @@ class Unit(NamedTuple):
     n_b: int
     n_groups: int
     groups: str
-    pairs: bytes  # distinct, int64
-    links: bytes  # of each, int64
+    pairs: bytes  # int64; distinct in each group, or one for each link
+    links: bytes | None  # of each pair, int64; None: one
 
 
 def linked(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,9 +140,13 @@ class Aligner(dict):
         table = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(ranks, "rb"))}
         self.a = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.a_bytes = {i: x for x, i in table.items()}
+        self.a_bytes = [b""] * (max(table.values()) + 1)
+        for x, i in table.items():
+            self.a_bytes[i] = x
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
 
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t]) for t in (self.a_bytes, self.b_bytes))
+
     def a_ids(self, text: str) -> list[int]:
         try:
             return self.a.encode_ordinary(text)
@@ -166,39 +173,46 @@ class Aligner(dict):
                 out[unit] = None
         if not good:
             return out
-        a, b = (np.concatenate([np.array(x, np.int64) for x in ids]) for ids in (ids_a, ids_b))
         na, nb = (np.array([len(x) for x in ids]) for ids in (ids_a, ids_b))
-        ends_a, ends_b = np.cumsum([len(self.a_bytes[i]) for i in a.tolist()]), np.cumsum([len(self.b_bytes[i]) for i in b.tolist()])
-        group_a, group_b = groups_of(ends_a, ends_b)
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, na), (ids_b, nb)))
+        group_a, group_b = groups_of(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]))
         n = int(group_a[-1]) + 1
         last_group = group_a[np.cumsum(na) - 1]  # a unit's end is an end of both
-        first_group = np.append(0, last_group[:-1] + 1)
-        size_a, size_b = np.bincount(group_a, minlength=n).tolist(), np.bincount(group_b, minlength=n).tolist()
+        cut_groups = np.append(0, last_group + 1)
         group, pair, links = linked(a, b, group_a, group_b)
-        cut = np.searchsorted(group, np.append(first_group, n))
+        cut = np.searchsorted(group, cut_groups)
+        total = np.add.reduceat(links, cut[:-1])
+        # tokens of both in the order of the written groups, with what stands behind each
+        first_a, first_b = np.searchsorted(group_a, np.arange(n + 1)), np.searchsorted(group_b, np.arange(n + 1))
+        order = np.concatenate([np.arange(len(a)) + first_b[group_a], np.arange(len(b)) + first_a[group_b + 1]])
+        tokens, behind = np.empty(len(order), np.int64), np.full(len(order), ",", "U1")
+        tokens[order] = np.concatenate([a, b])
+        behind[order[first_a[1:] - 1]] = "|"
+        behind[order[len(a) + first_b[1:] - 1]] = ";"
+        written = [str(t) + c for t, c in zip(tokens.tolist(), behind.tolist())]
+        ends = np.append(0, np.cumsum(na + nb)).tolist()
+        counts = np.diff(cut_groups).tolist()
+        cut, na, nb = cut.tolist(), na.tolist(), nb.tolist()
         for k, unit in enumerate(good):
-            parts, i, j = [], 0, 0
-            sa, sb = [str(x) for x in ids_a[k]], [str(x) for x in ids_b[k]]
-            for g in range(first_group[k], last_group[k] + 1):
-                parts.append(",".join(sa[i : i + size_a[g]]) + "|" + ",".join(sb[j : j + size_b[g]]))
-                i += size_a[g]
-                j += size_b[g]
-            s = slice(cut[k], cut[k + 1])
-            p, where = np.unique(pair[s], return_inverse=True)
-            m = np.zeros(len(p), np.int64)
-            np.add.at(m, where, links[s])
-            out[unit] = Unit(int(na[k]), int(nb[k]), len(parts), ";".join(parts), p.tobytes(), m.tobytes())
+            p, m = pair[cut[k] : cut[k + 1]], links[cut[k] : cut[k + 1]]
+            if total[k] == len(p):  # as nearly always
+                p, m = p.tobytes(), None
+            elif total[k] <= MOST_REPEATS:
+                p, m = np.repeat(p, m).tobytes(), None
+            else:
+                p, m = p.tobytes(), m.tobytes()
+            out[unit] = Unit(na[k], nb[k], counts[k], "".join(written[ends[k] : ends[k + 1]])[:-1], p, m)
         return out
 
     def units(self, texts: list[list[str]]) -> dict[str, Unit | None]:
         """What is known of the units of some texts, once they are learned."""
-        new = list({u for units in texts for u in units if u not in self})
+        new = [u for u in set(chain.from_iterable(texts)) if u not in self]
         got = self.learn(new) if new else {}
         long = {u: v for u, v in got.items() if len(u) > LONGEST_UNIT}
         for u, v in got.items():
             if u not in long:
                 self[u] = v
-                self.size += 400 + len(u) + (len(v.groups) + len(v.pairs) + len(v.links) if v else 0)
+                self.size += 400 + len(u) + (len(v.groups) + len(v.pairs) if v else 0)
         return long
 
     def forget(self) -> None:
@@ -214,11 +228,18 @@ _ROW = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, pa
 
 def _text(units: list[Unit]) -> tuple:
     """Of one text: its numbers of tokens and groups, its groups, distinct pairs and links of each."""
-    pairs, links = np.frombuffer(b"".join([u.pairs for u in units]), np.int64), np.frombuffer(b"".join([u.links for u in units]), np.int64)
-    order = np.argsort(pairs, kind="stable")
-    pairs, links = pairs[order], links[order]
-    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
-    return sum([u.n_a for u in units]), sum([u.n_b for u in units]), sum([u.n_groups for u in units]), ";".join([u.groups for u in units]), pairs[first], np.add.reduceat(links, first) if len(first) else links
+    pairs = np.frombuffer(b"".join([u.pairs for u in units]), np.int64)
+    if any(u.links for u in units):
+        links = np.concatenate([np.frombuffer(u.links, np.int64) if u.links else np.ones(len(u.pairs) // 8, np.int64) for u in units])
+        order = np.argsort(pairs, kind="stable")
+        pairs, links = pairs[order], links[order]
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        links = np.add.reduceat(links, first)
+    else:
+        pairs = np.sort(pairs)
+        first = np.flatnonzero(np.append(len(pairs) > 0, pairs[1:] != pairs[:-1]))
+        links = np.diff(np.append(first, len(pairs)))
+    return sum([u.n_a for u in units]), sum([u.n_b for u in units]), sum([u.n_groups for u in units]), ";".join([u.groups for u in units]), pairs[first], links
 
 
 def aligned(documents: DataFrame, tokenizers: tuple[str, str, str] | None = None, groups: bool = False) -> DataFrame:
