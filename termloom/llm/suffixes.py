@@ -14,7 +14,8 @@ sorted reversed texts before the anchors which agree there; two windows are equa
 Anchors whose gram stands in more than ``CROWD`` different contexts (a passage common to a large part of the corpus)
 do not meet: their windows get anchors of longer grams, so that such a crowd parts by what surrounds the passage, up to
 grams as long as windows, which meet with equal ones only. Ranges are cut between grams, at a bounded sample of them;
-beyond ``MOST_RANGES`` ranges are parted by a hash of the gram, too. Texts are told apart by their MD5.
+beyond ``MOST_RANGES`` ranges are parted by a hash of the gram, too. Texts are told apart by their MD5. They are
+shuffled twice, compressed: to meet their anchors, and to meet what was found.
 
 Edge cases: null text is empty; texts shorter than ``length`` keep all; repeated rows repeat each other; a null doc_id
 stays; extra columns are ignored; an empty table gives an empty result; what is kept of a text need not be UTF-8.
@@ -24,19 +25,21 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mapped, shuffle_partitions, slices, stored
 from .words import M2, mix, powers
 
 LENGTH = 400
 #: Lengths of grams, as shares of a window, tried one after another where many contexts share one.
-GRAMS = (0.08, 0.32, 0.64, 0.96, 1.0)
+GRAMS = (0.2, 0.5, 0.8, 0.97, 1.0)
 CROWD = 20_000
 #: Suffixes of a range, ranges that are told apart by samples, sampled grams of a range.
 RANGE_ROWS, MOST_RANGES, SAMPLES = 20_000, 4096, 12
@@ -93,7 +96,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray, gram: int, length: int, wanted: n
     return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
 
 
-_ANCHOR = "key binary, at int, lo int, hi int, gram long, cover long, sample binary"
+_ANCHOR = "hash long, at int, lo int, hi int, gram long, cover long, sample binary"
 
 
 def _joined(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +105,22 @@ def _joined(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchored(texts: DataFrame, gram: int, length: int) -> DataFrame:
-    """Anchors of all windows of texts (key, text), or of those that a column ``open`` of ranges names."""
+    """Anchors of all windows of texts (hash, text), or of those that a column ``open`` of ranges names.
+
+    A text that a task meets again and again gives its anchors twice, which tells that they are not alone."""
     names = [c.split()[0] for c in _ANCHOR.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, int] = {}
         for b in slices(batches):
+            for h in (hashes := b.column("hash").to_pylist()):
+                met[h] = met.get(h, 0) + 1
+            count = Counter(hashes)
+            fresh = []
+            for h in hashes:  # the first two rows of a text in this task
+                fresh.append(met[h] - count[h] < 2)
+                count[h] -= 1
+            b = b.filter(pa.array(fresh, pa.bool_()))
             raw, ends = _joined(b)
             starts, wanted = np.append(0, ends[:-1]), None
             if "open" in b.schema.names:
@@ -118,7 +132,7 @@ def anchored(texts: DataFrame, gram: int, length: int) -> DataFrame:
             shift = starts[own]
             sample = [raw[a : a + gram].tobytes() if h % 64 == 0 else None for a, h in zip(at.tolist(), hashes.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").take(pa.array(own)), *(pa.array((x - shift).astype(np.int32)) for x in (at, lo, hi)), *(pa.array(x.view(np.int64)) for x in (hashes, cover)), pa.array(sample, pa.binary())],
+                [b.column("hash").take(pa.array(own)), *(pa.array((x - shift).astype(np.int32)) for x in (at, lo, hi)), *(pa.array(x.view(np.int64)) for x in (hashes, cover)), pa.array(sample, pa.binary())],
                 names,
             )
 
@@ -212,11 +226,14 @@ def sorted_runs(texts: DataFrame, gram: int, length: int, bounds: list[bytes], p
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        for b in slices(batches, size=RUN_BYTES):
+        for b in unpacked(batches):
             places: dict[tuple[bytes, bytes, int], list] = {}
-            for key, text, anchors in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("anchors").to_pylist()):
+            for text, anchors in zip(b.column("text").to_pylist(), b.column("anchors").to_pylist()):
+                key = hashlib.md5(text).digest()
                 for r in anchors:
                     at, lo, hi = r["at"], r["lo"], r["hi"]
+                    if hi + length > len(text):  # of another text with the same hash
+                        continue
                     got = places.setdefault((text[at : hi + length], text[lo:at][::-1], at - hi), [0, set()])
                     got[0] += 1
                     got[1].add((key, at))
@@ -340,25 +357,55 @@ def _bounds(anchors: DataFrame, total: int) -> tuple[list[bytes], int]:
     return [grams[i * len(grams) // told] for i in range(1, told)] if grams else [], -(-ranges // told)
 
 
+def packed(documents: DataFrame, *columns: str) -> DataFrame:
+    """documents' columns with their texts compressed, to be shuffled (null: empty), and their hashes and MD5."""
+    rows = documents.select(*columns, F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("key", F.unhex(F.md5("text"))).withColumn("size", F.octet_length("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for b in slices(batches):
+            texts = pa.array([codec.compress(t, asbytes=True) for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield b.set_column(b.schema.names.index("text"), "text", texts)
+
+    schema = T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in rows.schema.fields])
+    return mapped(rows, run, schema)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their texts as they were (binary), few at a time."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        sizes = np.cumsum(batch.column("size").to_numpy())
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + RUN_BYTES, "right")))
+            b = batch.slice(start, stop - start)
+            texts = [codec.decompress(t, n, asbytes=True) if n else b"" for t, n in zip(b.column("text").to_pylist(), b.column("size").to_pylist())]
+            yield b.set_column(b.schema.names.index("text"), "text", pa.array(texts, pa.binary()))
+            start = stop
+
+
 def repeats(documents: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(key, ranges): repeated windows' starts, as ranges (lo, hi), of each text that has any; key: MD5 of the text."""
-    texts = documents.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= length)
-    out, now = None, texts
+    long = documents.where(F.octet_length("text") >= length)
+    now, out = long.select(F.xxhash64("text").alias("hash"), "text"), None
     for gram in grams_for(length):
-        anchors = stored(anchored(now, gram, length), "anchors")
+        anchors = anchored(now, gram, length)  # made twice rather than stored
         grams = anchors.groupBy("gram", "cover").agg(F.count("*").alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
-        rows = anchors.join(grams.where("n > 1"), "gram").withColumn("crowded", (F.col("contexts") > crowd) & F.lit(gram < length))
-        rows = stored(rows.select("key", "at", "lo", "hi", "sample", "crowded"), "candidates")
+        grams = stored(grams.where("n > 1").select("gram", ((F.col("contexts") > crowd) & F.lit(gram < length)).alias("crowded")), "grams")
+        rows = stored(anchors.join(grams, "gram").select("hash", "at", "lo", "hi", "sample", "crowded"), "candidates")
         counts = {r.crowded: r["count"] for r in rows.groupBy("crowded").count().collect()}
         if counts.get(False):
             calm = rows.where("not crowded")
             bounds, parts = _bounds(calm, counts[False])
-            each = calm.groupBy("key").agg(F.collect_set(F.struct("at", "lo", "hi")).alias("anchors"))
-            found = repeats_of(sorted_runs(texts.join(each, "key"), gram, length, bounds, parts), gram, length)
-            out = stored(found, "repeats") if out is None else out.union(stored(found, "repeats"))
+            each = calm.groupBy("hash").agg(F.collect_set(F.struct("at", "lo", "hi")).alias("anchors"))
+            found = stored(repeats_of(sorted_runs(packed(long).join(each, "hash"), gram, length, bounds, parts), gram, length), "repeats")
+            out = found if out is None else out.union(found)
         if not counts.get(True):
             break
-        now = texts.join(rows.where("crowded").groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("open")), "key")
+        crowds = rows.where("crowded").groupBy("hash").agg(F.collect_set(F.struct("lo", "hi")).alias("open"))
+        now = long.select(F.xxhash64("text").alias("hash"), "text").join(crowds, "hash")
     if out is None:
         out = documents.sparkSession.createDataFrame([], "key binary, lo int, hi int")
     return out.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
@@ -378,13 +425,13 @@ def removed_runs(ranges: list[dict] | None, length: int) -> list[tuple[int, int]
 def without_repeats(documents: DataFrame, length: int = LENGTH, crowd: int = CROWD, digest: bool = False) -> DataFrame:
     """(doc_id, n_bytes, removed, kept) of every row: removed runs of bytes (start, end) and what is left; digest: the
     number of removed bytes and runs and the SHA-256 of what is left, in place of them."""
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = own.withColumn("key", F.unhex(F.md5("text"))).join(repeats(documents, length, crowd), "key", "left").select("doc_id", "text", "ranges")
+    own = packed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    rows = own.join(repeats(documents, length, crowd), "key", "left").select("doc_id", "text", "size", "ranges")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] if digest else ["doc_id", "n_bytes", "removed", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            texts = b.column("text").cast(pa.binary()).to_pylist()
+        for b in unpacked(batches):
+            texts = b.column("text").to_pylist()
             runs = [removed_runs(r, length) for r in b.column("ranges").to_pylist()]
             kept = [b"".join([t[a:z] for a, z in zip([0, *(e for _, e in r)], [*(s for s, _ in r), len(t)])]) for t, r in zip(texts, runs)]
             sizes = pa.array([len(t) for t in texts], pa.int64())
