@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -153,3 +154,123 @@ def matched_terms(texts: DataFrame, glossary: list[dict], key: str, text: str) -
 
     rows = texts.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(match, "key long, start long, end long, term string, found string")
+
+
+def anchored_pairs(units: DataFrame, pairs: DataFrame, slide: list[str], gaps: bool = False) -> DataFrame:
+    """(slide, a, b) of left-over units in containers that share a pair.
+
+    units: slide, id, container, at (order on the slide), foreign (is it of the source language), eligible (may it be paired
+    here); pairs: slide, a, b that are there. Containers are taken two by two in the order of their first units: if a pair
+    ties them and they have as many left-overs, these are tied one by one, where their languages differ, and are gone for the
+    containers after. gaps: where the numbers differ, the longest chain of pairs that rises in both containers parts their
+    left-overs, and parts with equal numbers are tied. A slide is one group; its units are bounded by what a slide holds.
+    """
+
+    def chain(ties: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        ends: list[tuple[int, int]] = []  # (b, place in back) of the best chain of each length
+        back: list[tuple[tuple[int, int], int]] = []
+        for a, b in sorted(ties, key=lambda t: (t[0], -t[1])):
+            k = bisect_left(ends, (b, -1))
+            back.append(((a, b), ends[k - 1][1] if k else -1))
+            ends[k : k + 1] = [(b, len(back) - 1)]
+        out, i = [], ends[-1][1] if ends else -1
+        while i >= 0:
+            out.append(back[i][0])
+            i = back[i][1]
+        return out[::-1]
+
+    def match(key, mine: pa.Table, there: pa.Table) -> pa.Table:
+        rows = sorted(mine.to_pylist(), key=lambda r: (r["at"], r["id"]))
+        of: dict = {}
+        for r in rows:
+            of.setdefault(r["container"], []).append(r)
+        partner: dict = {}
+        for p in there.to_pylist():
+            partner.setdefault(p["a"], p["b"])
+            partner.setdefault(p["b"], p["a"])
+        found = []
+
+        def tie(x: list, y: list) -> None:
+            if len(x) == len(y):
+                for p, q in zip(x, y):
+                    if p["foreign"] != q["foreign"]:
+                        a, b = (p, q) if p["foreign"] else (q, p)
+                        found.append((*(v.as_py() for v in key), a["id"], b["id"]))
+                        partner[a["id"]], partner[b["id"]] = b["id"], a["id"]
+
+        names = list(of)
+        for i, one in enumerate(names):
+            for other in names[i + 1 :]:
+                places = {r["id"]: k for k, r in enumerate(of[other])}
+                ties = [(k, places[partner[r["id"]]]) for k, r in enumerate(of[one]) if partner.get(r["id"]) in places]
+                if not ties:
+                    continue
+                free = [[r for r in of[c] if r["eligible"] and r["id"] not in partner] for c in (one, other)]
+                if len(free[0]) == len(free[1]) or not gaps:
+                    tie(*free)
+                    continue
+                borders = [(-1, -1), *chain(ties), (len(of[one]), len(of[other]))]
+                for (a0, b0), (a1, b1) in zip(borders, borders[1:]):
+                    tie(*([r for r in of[c][lo + 1 : hi] if r["eligible"] and r["id"] not in partner] for c, lo, hi in ((one, a0, a1), (other, b0, b1))))
+        names = [*slide, "a", "b"]
+        return pa.Table.from_pylist([dict(zip(names, f)) for f in found], pa.schema([pa.field(n, t) for n, t in zip(names, [*(k.type for k in key), mine.schema.field("id").type, mine.schema.field("id").type])]))
+
+    id_type = units.schema["id"].dataType.simpleString()
+    schema = ", ".join([*(f"{c} {units.schema[c].dataType.simpleString()}" for c in slide), f"a {id_type}", f"b {id_type}"])
+    mine = units.select(*slide, "id", "container", "at", "foreign", "eligible")
+    return mine.groupBy(*slide).cogroup(pairs.select(*slide, "a", "b").groupBy(*slide)).applyInArrow(match, schema)
+
+
+def mediated_pairs(units: DataFrame, known: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, a, b): sources with the targets that memory gives them.
+
+    units: scope, id, at, text, side ('source', 'target', or else not in play); known: q_text, origin, target, confidence, exact,
+    words (matches of a source's compact form). Of a source's matches the preferred one counts unless others conflict with it
+    (W11). Sources that want the same target text take those that have it in order, so the assignment needs no rounds: the
+    k-th source gets the k-th target of a compact form."""
+    from .memory import choose
+
+    wanted = choose(known.withColumn("q", T.compact(F.col("q_text")))).where("not conflict").select("q", T.compact(F.col("target")).alias("form"))
+    form = T.compact(F.col("text"))
+    nth = F.row_number().over(Window.partitionBy(*scope, "form").orderBy("at", "id"))
+    sources = units.where("side = 'source'").withColumn("q", form).join(wanted, "q").where("form <> ''").select(*scope, "form", F.col("id").alias("a"), nth.alias("k"))
+    targets = units.where("side = 'target'").withColumn("form", form).select(*scope, "form", F.col("id").alias("b"), nth.alias("k"))
+    return sources.join(targets, [*scope, "form", "k"]).select(*scope, "a", "b")
+
+
+def stitched_pairs(units: DataFrame, known: DataFrame, scope: list[str], longest: int = 60) -> DataFrame:
+    """(scope, a, a2, b, joined): neighbours that together are what memory knows, with their one partner.
+
+    units: scope, id, at, text, side ('source', 'target', or else), paired; known: as in ``mediated_pairs``. Two sources that
+    follow one another, each of at most ``longest`` characters, without different step numbers and not both paired, are joined
+    without their steps; the partner is the first unit of the scope that is no source, has no other step than the first, and
+    whose compact form is that of the preferred match, or holds it, or is held by it. Scopes are containers of a slide."""
+    from .memory import choose
+
+    order = Window.partitionBy(*scope).orderBy("at", "id")
+    after = {f"_{c}": F.lead(c).over(order) for c in ("id", "text", "side", "paired")}
+    rows = units.withColumns(after)
+    one, two = (F.coalesce(T.step_number(F.col(c)), F.lit("")) for c in ("text", "_text"))
+    fits = (F.col("side") == "source") & (F.col("_side") == "source") & ~(F.col("paired") & F.col("_paired")) & (F.length(F.trim("text")) <= longest) & (F.length(F.trim("_text")) <= longest)
+    rows = rows.where(fits & ~((one != "") & (two != "") & (one != two))).select(*scope, F.col("id").alias("a"), F.col("_id").alias("a2"), one.alias("step"), F.trim(F.concat_ws(" ", T.without_step(F.col("text")), T.without_step(F.col("_text")))).alias("joined"))
+    wanted = choose(known.withColumn("q", T.compact(F.col("q_text")))).where("not conflict").select("q", T.compact(F.col("target")).alias("form")).where("form <> ''")
+    rows = rows.withColumn("q", T.compact(F.col("joined"))).join(wanted, "q")
+    others = units.where("side <> 'source'").select(*scope, F.col("id").alias("b"), "at", F.coalesce(T.step_number(F.col("text")), F.lit("")).alias("other"), T.compact(F.col("text")).alias("c")).where("c <> ''")
+    met = rows.join(others, scope).where((F.col("step") == "") | (F.col("other") == "") | (F.col("step") == F.col("other")))
+    met = met.where(F.col("c").contains(F.col("form")) | F.col("form").contains(F.col("c")))
+    return met.groupBy(*scope, "a", "a2", "joined").agg(F.min_by("b", F.struct("at", "b")).alias("b")).select(*scope, "a", "a2", "b", "joined")
+
+
+def inherited_pairs(units: DataFrame, pairs: DataFrame, fits: Column, scope: list[str], longest: int = 60) -> DataFrame:
+    """(scope, a, b): an unpaired source takes its paired neighbour's partner if both together fit it.
+
+    pairs: scope, a, b, target (b's text); fits: a Column over ``joined`` and ``target``. In order: what a unit takes, the next may take of it."""
+    order = Window.partitionBy(*scope).orderBy("at", "id")
+    rows = units.join(pairs.select(*scope, F.col("a").alias("id"), "b", "target"), [*scope, "id"], "left")
+    rows = rows.withColumns({f"_{c}": F.lead(c).over(order) for c in ("id", "text", "side", "b", "target")} | {"_n": F.row_number().over(order)})
+    one, two = (F.coalesce(T.step_number(F.col(c)), F.lit("")) for c in ("text", "_text"))
+    near = (F.col("side") == "source") & (F.col("_side") == "source") & (F.length(F.trim("text")) <= longest) & (F.length(F.trim("_text")) <= longest) & ~((one != "") & (two != "") & (one != two))
+    joined = F.trim(F.concat_ws(" ", T.without_step(F.col("text")), T.without_step(F.col("_text"))))
+    forward = rows.where(near & F.col("b").isNotNull() & F.col("_b").isNull()).select(*scope, F.col("_id").alias("a"), "b", "target", joined.alias("joined"), F.lit(0).alias("_first"))
+    back = rows.where(near & F.col("b").isNull() & F.col("_b").isNotNull()).select(*scope, F.col("id").alias("a"), F.col("_b").alias("b"), F.col("_target").alias("target"), joined.alias("joined"), F.lit(1).alias("_first"))
+    return forward.unionByName(back).where(fits).groupBy(*scope, "a").agg(F.min_by("b", F.struct("_first", "b")).alias("b"))
