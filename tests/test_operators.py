@@ -91,16 +91,79 @@ def test_vietnamese_order_collates(spark):
     assert [r.id for r in df.orderBy(*glossary.ordering("az_vi")).collect()] == [2, 1, 4, 3]
 
 
-def test_greedy_matching_query_reads_the_whole_table(spark):
-    from termloom.plans import memory_queries
-
-    path, best, expected = "/root/testdata/sf0.01", {}, []
-    for r in spark.read.parquet(f"{path}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").collect():
-        key = (r[0] % 200, r[1] % 9, r[2] % 9)
-        best[key] = max(best.get(key, 0), r[3])
-    used = set()
-    for (deck, a, b), score in sorted(((k, v) for k, v in best.items() if v >= 20), key=lambda x: (-x[1], x[0])):
-        if (deck, "a", a) not in used and (deck, "b", b) not in used:
-            used |= {(deck, "a", a), (deck, "b", b)}
-            expected.append((deck, a, b, score))
-    assert sorted(tuple(r) for r in memory_queries.QUERIES["j11_greedy_matching"](spark, path).collect()) == sorted(expected)
+def agreement_by_hand(e, v):
+    """How sure two profiles are one slide's versions, or None; by plain Python."""
+    import re
+
+    from termloom.operators import slides as S
+
+    has = lambda r, *w: any(x in (r["low"] or "") for x in w)
+    same, differs = None not in (e["step"], v["step"]) and e["step"] == v["step"], None not in (e["step"], v["step"]) and e["step"] != v["step"]
+    markers = e["en_marker"] and v["vi_marker"]
+    heel, toe, gót, mũi = has(e, "heel"), has(e, "toe", "tip"), has(v, "gót", "hậu"), has(v, "mũi")
+    cut_e, cut_v = has(e, "cutting") and not has(e, "after cutting"), has(v, "chặt", "cutting") and not has(v, "sau khi chặt")
+    put_e, put_v = has(e, "assembly", "lasting", "bpm", "gò"), has(v, "thành hình", "lắp ráp", "gò", "bpm")
+    sew_e, sew_v = has(e, "stitching", "sewing"), has(v, "may") and not has(v, "may mắn")
+    stages = (cut_e and not cut_v and (put_v or sew_v)) or (cut_v and not cut_e and (put_e or sew_e)) or (put_e and not put_v and (cut_v or sew_v)) or (put_v and not put_e and (cut_e or sew_e))
+    measures = len(e["numbers"]) >= 2 and len(v["numbers"]) >= 1 and not same and not markers and not set(e["numbers"]) & set(v["numbers"])
+    if differs or (heel and not toe and mũi and not gót) or (toe and not heel and gót and not mũi) or stages or measures:
+        return None
+    words = lambda t: {w for w in re.split(r"\s+", re.sub(r"[^\w\s]|_", " ", (t or "").lower())) if len(w) >= 4 and w not in S.WEAK}
+    drafted, there = words(v["probe"]), words(e["low"])
+    ratio = sum(any(p in w or w in p for w in there) for p in drafted) / len(drafted) if drafted else 0.0
+    return None if ratio < S.OVERLAP and not same and not markers else max(ratio, 0.9 if same else 0.6)
+
+
+def slide_pairs_by_hand(rows):
+    """Neighbours from left to right; where they are few, the rest by falling score."""
+    import math
+    import re
+
+    from termloom.operators import slides as S
+
+    plain = lambda x: x != "" and not re.search(S.BANNER.replace(r"\p{L}\p{N}_", r"\w").replace(r"\p{L}\p{N}", r"\w"), x)
+    out = []
+    for file in sorted({r["file"] for r in rows}):
+        deck = sorted((r for r in rows if r["file"] == file), key=lambda r: r["slide"])
+        titled = lambda a, b: (plain(a["title"]) and plain(b["title"]) and (a["title"] in b["title"] or b["title"] in a["title"]), plain(a["subtitle"]) and plain(b["subtitle"]) and a["subtitle"] == b["subtitle"])
+        near, i = [], 0
+        while i + 1 < len(deck):
+            a, b = deck[i], deck[i + 1]
+            title, sub = titled(a, b)
+            steps = None not in (a["step"], b["step"])
+            marker = (a["en_marker"] and b["vi_marker"]) or (a["vi_marker"] and b["en_marker"])
+            topic = ((title and len(a["title"]) >= 8) or (sub and len(a["subtitle"]) >= 8)) and ((a["en_long"] >= 2 and b["vi_long"] >= 2) or (a["vi_long"] >= 2 and b["en_long"] >= 2))
+            sign = not (steps and a["step"] != b["step"]) and ((steps and a["step"] == b["step"]) or marker or topic) and (title or sub or marker)
+            en, vi = (a, b) if a["is_en"] and b["is_vi"] else (b, a) if a["is_vi"] and b["is_en"] else (None, None)
+            if sign and en and agreement_by_hand(en, vi) is not None:
+                near.append((en["slide"], vi["slide"]))
+                i += 1
+            i += 1
+        out += [(file, *p) for p in near]
+        k, n = len(near), len(deck)
+        if k >= 2 or k == 1 and n <= 4 or k * 2 >= n * 0.4:
+            continue
+        used, scored = {s for p in near for s in p}, []
+        rest = [r for r in deck if r["slide"] not in used]
+        for e in (r for r in rest if r["is_en"]):
+            for v in (r for r in rest if r["is_vi"] and r["slide"] != e["slide"]):
+                if (sure := agreement_by_hand(e, v)) is not None:
+                    score = math.floor(sure * 100 + 0.5) + S.POINTS["step"] * (e["step"] is not None and e["step"] == v["step"]) + S.POINTS["marker"] * (e["en_marker"] and v["vi_marker"]) + S.POINTS["title"] * any(titled(e, v)) + S.POINTS["numbers"] * bool(set(e["numbers"]) & set(v["numbers"])) + S.POINTS["neighbour"] * (abs(e["slide"] - v["slide"]) == 1)
+                    scored.append((-score, e["slide"], v["slide"]))
+        left, right = set(), set()
+        for score, e, v in sorted(scored):
+            if -score >= S.LEAST and e not in left and v not in right:
+                left.add(e)
+                right.add(v)
+                out.append((file, e, v))
+    return sorted(out)
+
+
+def test_slide_pairing_query_over_the_whole_tables(spark):
+    from termloom.operators import slides
+    from termloom.plans import sop_queries
+
+    path = "/root/testdata/sf0.001"
+    rows = [r.asDict(recursive=True) for r in slides.profiles(sop_queries.deck(spark, path)).collect()]
+    expected = slide_pairs_by_hand(rows)
+    assert len(expected) > 5 and sorted(tuple(r) for r in sop_queries.QUERIES["j11_greedy_matching"](spark, path).collect()) == expected
