@@ -8,12 +8,14 @@ blocks are compared in a second, small step, so block borders lose nothing. Veri
 united into components by a spanning forest of each block's links. ``passes_for`` gives the number of passes
 that finds a pair at the threshold with probability ``RECALL`` for the largest label, if hyperplanes halve it.
 
-The passes only find the components: links are counted by comparing all pairs of a component, however much
-larger than the window it is. Components are cut into tiles of two blocks of ``BLOCK_ROWS``, which run apart.
+The passes only find the components. An exact check follows: labels of at most ``EXACT_ROWS`` distinct vectors are
+closed by all their pairs, which counts links and ties components that no pass brought together, so crowded labels
+lose nothing; in larger labels all pairs of a component are compared, however much larger than the window it is.
+Both are cut into tiles of two blocks of ``BLOCK_ROWS``, which run apart.
 
 Per pass each vector crosses one shuffle and makes at most 2 x WINDOW comparisons; a label that holds most
-rows is cut into blocks as any other. Counting is quadratic in a component's distinct vectors and ships each
-of them once for every block of its component.
+rows is cut into blocks as any other. The check is quadratic in a label's or component's distinct vectors and
+ships each of them once for every block of it.
 
 Edge cases: null labels, null, empty or zero vectors, and vectors with null or non-finite components link
 with nothing; vectors of different dimension are never compared; repeated rows are linked copies and each
@@ -41,6 +43,8 @@ BITS = 64
 RECALL = 0.999
 BLOCK_ROWS = 4096
 MOST_BLOCKS = 20_000
+#: Distinct vectors of a label all of whose pairs are compared after the passes.
+EXACT_ROWS = 1 << 16
 SAMPLE = 20
 
 
@@ -222,45 +226,68 @@ def compared(table: DataFrame, passes: int, kind: str, window: int, block_rows:
 
 
 def counted(members: DataFrame, kind: str, block_rows: int) -> DataFrame:
-    """(id, others): linked rows of every vector of members (component, id, n, x), by all pairs of its component."""
-    large = members.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > block_rows)
+    """(id, others, tie) of members (place, component, id, n, x), by all pairs of those of one place: how many rows a vector is
+    linked with there, in parts, and rows (component, null, tie) of components that are linked there."""
+    large = members.groupBy("place").agg(F.count("*").alias("size")).where(F.col("size") > block_rows)
     blocks = F.coalesce(F.ceil(F.col("size") / block_rows), F.lit(1)).cast("int")
-    rows = members.join(large, "component", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = members.join(large, "place", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a tile for every two blocks, and for a block with itself
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "x")
-    rows = rows.repartition(shuffle_partitions(members.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "block")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "component", "id", "n", "x")
+    rows = rows.repartition(shuffle_partitions(members.sparkSession), "place", "i", "j").sortWithinPartitions("place", "i", "j", "block")
 
     def tile(i, j, rows):
-        x, n = np.array([unit(r[2], kind) for r in rows]), np.array([r[1] for r in rows], np.int64)
-        others = np.zeros(len(rows), np.int64)
-        first = len(rows) if i == j else sum(r[3] == i for r in rows)
-        lo = 0 if i == j else first
-        for a in range(0, first, 512):
-            b = min(a + 512, first)
-            near = x[a:b] @ x[lo:].T >= COSINE
-            if i == j:
-                near[np.arange(b - a), np.arange(a, b)] = False  # a vector with itself
-            else:
-                others[lo:] += n[a:b] @ near
-            others[a:b] += near @ n[lo:]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(others)], ["id", "others"])
+        n, ids, parts = (np.array([r[c] for r in rows], np.int64) for c in (1, 0, 4))
+        dims = np.array([len(r[2]) for r in rows])
+        others, second = np.zeros(len(rows), np.int64), np.array([r[3] == j and i != j for r in rows])
+        parent: dict[int, int] = {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        ties = []
+        for dim in np.unique(dims):  # vectors of other lengths are never compared
+            left = np.flatnonzero((dims == dim) & ~second)
+            right = np.flatnonzero((dims == dim) & second) if i != j else left
+            x = {k: unit(rows[k][2], kind) for k in {*left.tolist(), *right.tolist()}}
+            if not len(left) or not len(right):
+                continue
+            y = np.array([x[k] for k in right.tolist()])
+            for a in range(0, len(left), 512):
+                at = left[a : a + 512]
+                near = np.array([x[k] for k in at.tolist()]) @ y.T >= COSINE
+                if i == j:
+                    near[np.arange(len(at)), np.arange(a, a + len(at))] = False  # a vector with itself
+                else:
+                    others[right] += n[at] @ near
+                others[at] += near @ n[right]
+                p, q = np.nonzero(near & (parts[at][:, None] != parts[right][None, :]))
+                for u, v in np.unique(np.sort(np.column_stack([parts[at][p], parts[right][q]]), axis=1), axis=0).tolist():
+                    if (u0 := root(u)) != (v0 := root(v)):
+                        parent[max(u0, v0)] = min(u0, v0)
+                        ties.append((u, v))
+        k = len(ties)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([*ids.tolist(), *(t[0] for t in ties)], pa.int64()), pa.array([*others.tolist(), *[None] * k], pa.int64()), pa.array([*[None] * len(rows), *(t[1] for t in ties)], pa.int64())], ["id", "others", "tie"]
+        )
 
     def run(batches):
         key, rows = None, []
         for b in batches:
-            for component, i, j, *r in zip(*(b.column(c).to_pylist() for c in ("component", "i", "j", "id", "n", "x", "block"))):
-                if key != (component, i, j):
+            for place, i, j, *r in zip(*(b.column(c).to_pylist() for c in ("place", "i", "j", "id", "n", "x", "block", "component"))):
+                if key != (place, i, j):
                     if rows:
                         yield tile(*key[1:], rows)
-                    key, rows = (component, i, j), []
+                    key, rows = (place, i, j), []
                 rows.append(r)
         if rows:
             yield tile(*key[1:], rows)
 
-    return rows.mapInArrow(run, "id long, others long").groupBy("id").agg(F.sum("others").alias("others"))
+    return rows.mapInArrow(run, "id long, others long, tie long")
 
 
-def near_duplicates(embeddings: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS, passes: int | None = None) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS, passes: int | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     kind = "<f4" if isinstance(embeddings.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
     table = vectors(embeddings)
@@ -269,7 +296,15 @@ def near_duplicates(embeddings: DataFrame, window: int = WINDOW, block_rows: int
     table = stored(coded(table, passes, kind), "codes")
     found = stored(compared(table, passes, kind, window, block_rows), "links")
     parts = cut(connected_components(found.select(F.col("id").alias("u"), F.explode("ties").alias("v"))))
-    links = counted(parts.join(table, "id").select("component", "id", "n", "x"), kind, block_rows)
+    # labels of bounded size are closed by all their pairs; in larger ones, all pairs of a component
+    closed = table.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") <= exact_rows).select("label", F.lit(True).alias("closed"))
+    members = table.join(closed, "label", "left").join(parts, "id", "left").where("closed or component is not null")
+    own = F.coalesce("component", "id")
+    place = F.when(F.col("closed"), F.concat(F.lit("l"), "label")).otherwise(F.concat(F.lit("c"), own.cast("string")))
+    counts = stored(counted(members.select(place.alias("place"), own.alias("component"), "id", "n", "x"), kind, block_rows), "counts")
+    links = counts.where("others is not null").groupBy("id").agg(F.sum("others").alias("others"))
+    both = parts.select("id", "component").union(counts.where("tie is not null").select(F.col("id").alias("id"), F.col("tie").alias("component")))
+    parts = cut(connected_components(both.select(F.col("id").alias("u"), F.col("component").alias("v"))))
     least = parts.join(table.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
     facts = (
         table.select("id", "label", "x", "n", "least")

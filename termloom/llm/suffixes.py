@@ -399,7 +399,8 @@ def repeats(documents: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> D
         if counts.get(False):
             calm = rows.where("not crowded")
             bounds, parts = _bounds(calm, counts[False])
-            each = calm.groupBy("hash").agg(F.collect_set(F.struct("at", "lo", "hi")).alias("anchors"))
+            # stored, so that the join with many copies of one text can be split
+            each = stored(calm.groupBy("hash").agg(F.collect_set(F.struct("at", "lo", "hi")).alias("anchors")), "places")
             found = stored(repeats_of(sorted_runs(packed(long).join(each, "hash"), gram, length, bounds, parts), gram, length), "repeats")
             out = found if out is None else out.union(found)
         if not counts.get(True):
@@ -408,7 +409,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> D
         now = long.select(F.xxhash64("text").alias("hash"), "text").join(crowds, "hash")
     if out is None:
         out = documents.sparkSession.createDataFrame([], "key binary, lo int, hi int")
-    return out.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    return stored(out.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "ranges")
 
 
 def removed_runs(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:

@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from termloom.llm import embeddings
 
 
@@ -51,9 +53,10 @@ def test_brute_force(spark):
 
 
 def test_small_blocks_and_windows(spark):
-    """Cut into many blocks, passes still find nearly all links and no wrong one."""
+    """Cut into many blocks, passes alone still find nearly all links and no wrong one."""
     df, rows = fixture(spark)
-    whole, cut = brute(rows), result(df, window=8, block_rows=16, passes=8)
+    assert result(df, window=2, block_rows=5, passes=1) == brute(rows)  # what one pass leaves is closed
+    whole, cut = brute(rows), result(df, window=8, block_rows=16, passes=8, exact_rows=0)
     assert [r[0] for r in whole] == [r[0] for r in cut]
     assert all(b[1] <= a[1] for a, b in zip(whole, cut))
     assert sum(r[1] for r in cut) >= 0.9 * sum(r[1] for r in whole)
@@ -83,6 +86,22 @@ def test_links_of_a_group_larger_than_the_window(spark):
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     expected = (x @ x.T >= 0.98).sum(axis=1) - 1
     assert 1000 < expected.max() and expected[:3000].min() < expected.max() / 2
-    for rows in (embeddings.BLOCK_ROWS, 700):
-        got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, block_rows=rows).collect()}
+    for rows, exact in ((embeddings.BLOCK_ROWS, 0), (700, 0), (700, 5000)):
+        got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, block_rows=rows, exact_rows=exact).collect()}
         assert [got[i] for i in range(3200)] == expected.tolist()
+
+
+@pytest.mark.parametrize("n,noise", [(20_000, 0.24), (40_000, 0.25)])
+def test_crowded_labels_lose_no_link(spark, n, noise):
+    """Pairs of near copies about one centre, where hyperplanes do not part the crowd."""
+    rng = np.random.default_rng(n)
+    centre = rng.standard_normal(64)
+    base = centre + noise * rng.standard_normal((n // 2, 64))
+    x = np.concatenate([base, base + 0.06 * rng.standard_normal(base.shape)]).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32())), "label": np.ones(n, np.int32)})).repartition(8)
+    x = x.astype(np.float64)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    expected = np.concatenate([(x[a : a + 2000] @ x.T >= 0.98).sum(axis=1) - 1 for a in range(0, n, 2000)])
+    assert expected.sum() > n
+    got = embeddings.near_duplicates(df).select("vec_id", "n_links").toPandas().set_index("vec_id")["n_links"]
+    assert (got.sort_index().to_numpy() == expected).all()
