@@ -91,7 +91,7 @@ def test_links_of_a_group_larger_than_the_window(spark):
         assert [got[i] for i in range(3200)] == expected.tolist()
 
 
-@pytest.mark.parametrize("n,noise", [(20_000, 0.24), (40_000, 0.25)])
+@pytest.mark.parametrize("n,noise", [(20_000, 0.24), (40_000, 0.24)])
 def test_crowded_labels_lose_no_link(spark, n, noise):
     """Pairs of near copies about one centre, where hyperplanes do not part the crowd."""
     rng = np.random.default_rng(n)
@@ -102,6 +102,6 @@ def test_crowded_labels_lose_no_link(spark, n, noise):
     x = x.astype(np.float64)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     expected = np.concatenate([(x[a : a + 2000] @ x.T >= 0.98).sum(axis=1) - 1 for a in range(0, n, 2000)])
-    assert expected.sum() > n
+    assert expected.sum() >= n
     got = embeddings.near_duplicates(df).select("vec_id", "n_links").toPandas().set_index("vec_id")["n_links"]
     assert (got.sort_index().to_numpy() == expected).all()
