@@ -31,9 +31,6 @@ CAPACITY = 4096
 #: Bytes that a worker spends on remembering the tokens of words, about: WORD_BYTES and both texts for each.
 CACHE_BYTES = 72 << 20
 WORD_BYTES = 190
-#: Exchanges that add less than this share of the squared fill of as many full bins as are still above the lower bound
-#: are not made: the search has converged.
-LEAST_GAIN = 1e-5
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -225,10 +222,10 @@ def _sums(source: tuple, pairs: bool) -> tuple[np.ndarray, list[tuple]]:
     return totals, [(int(a), int(b)) for a, b in zip(values[i[there][first]], values[j[there][first]])]
 
 
-def _exchange(source: tuple, items: np.ndarray, fills: np.ndarray, many: np.ndarray, least: float, capacity: int):
+def _exchange(source: tuple, items: np.ndarray, fills: np.ndarray, many: np.ndarray, capacity: int):
     """The best exchange for one bin: (given pieces, row of items: the target and the piece it gives back, 0 for none).
 
-    many: how many bins of a row's group take part, 0 for none; less than least gained by them all is nothing.
+    many: how many bins of a row's group take part, 0 for none.
 
     A target gains the most from the largest total that it can take, so one binary search for each row finds it.
     """
@@ -241,7 +238,6 @@ def _exchange(source: tuple, items: np.ndarray, fills: np.ndarray, many: np.ndar
         if pairs:
             fits &= items > 0
         gain = np.where(fits, 2 * delta * (fills - have + delta), 0)
-        gain[gain * many < least] = 0
         at = int(gain.argmax()) if len(gain) else 0
         if len(gain) and gain[at] > best[0]:
             best = (int(gain[at]), given[place[at]], at)
@@ -295,13 +291,13 @@ def improve(bins: Counter, capacity: int) -> Counter:
             if not bins[source]:
                 continue
             many = np.minimum(open_.many, bins[source])
-            many[open_.number[source]] = 0
-            given, at = _exchange(source, open_.items, open_.fills, many[open_.which], LEAST_GAIN * (total - fewest) * capacity**2, capacity)
+            many[open_.number[source]] = bins[source] // 2  # two of a kind
+            given, at = _exchange(source, open_.items, open_.fills, many[open_.which], capacity)
             if given is None:
                 continue
             changed = True
             target, back = open_.groups[open_.which[at]], (int(open_.items[at]),) if open_.items[at] else ()
-            times, touched = min(bins[source], bins[target]), {source, target}
+            times, touched = bins[source] // 2 if source == target else min(bins[source], bins[target]), {source, target}
             for old, new in ((source, _without(source, given, back)), (target, _without(target, back, given))):
                 bins[old] -= times
                 if new:

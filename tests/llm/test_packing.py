@@ -95,3 +95,28 @@ def test_close_to_the_bound_on_the_tables(spark):
     rows = packed(docs)
     total = sum(r["length"] for r in rows)
     assert assert_valid(rows) <= 1.02 * -(-total // 4096)
+
+
+def test_the_search_ends_where_no_exchange_gains():
+    """Every exchange of one or two pieces for none or one, between any two bins, tried by hand."""
+    from collections import Counter
+    from itertools import combinations
+
+    import numpy as np
+
+    for low, high in ((7, 15), (11, 20), (3, 25)):
+        lengths = np.random.default_rng(low).integers(low, high, 200).tolist()
+        bins = packing.improve(packing.fill(Counter(lengths), 41), 41)
+        assert sorted(x for b, n in bins.items() for x in b * n) == sorted(lengths) and max(map(sum, bins)) <= 41
+        if sum(bins.values()) == -(-sum(lengths) // 41):
+            continue
+        for a, n in bins.items():
+            for b, m in bins.items():
+                if a == b and n < 2:
+                    continue
+                for given in {(x,) for x in a} | set(combinations(a, 2)):
+                    for back in {(), *((y,) for y in b)}:
+                        if len(given) == 2 and not back:
+                            continue  # two moves
+                        p, q = sum(a) - sum(given) + sum(back), sum(b) + sum(given) - sum(back)
+                        assert q > 41 or p > 41 or p * p + q * q <= sum(a) ** 2 + sum(b) ** 2
