@@ -34,46 +34,63 @@ def _joined(rows: DataFrame, pairs: DataFrame | None, name: str) -> DataFrame:
     return rows.withColumn(f"_{name}", F.coalesce(f"_{name}_e", f"_{name}_c")).drop(f"_{name}_e", f"_{name}_c", f"_{name}_e_key", f"_{name}_c_key")
 
 
-def _rungs(t: Column, e: Column, source: str, target: str) -> list[tuple[str, Column, str, float]]:
+FACTS = ["label", "code", "marks", "vietnamese", "english", "hints", "bilingual"]
+
+
+def _with_facts(rows: DataFrame) -> DataFrame:
+    """rows with what their texts alone tell, as ``_facts``. Each distinct text is looked at once, dealt over all cores however
+    few bytes there are; bilingual is told for texts that are neither labels nor codes nor English."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    own = F.coalesce("text", F.lit(""))
+    texts = rows.select(own.alias("_text")).distinct().repartition(parts, F.xxhash64("_text")).withColumn("_t", L.bare(F.col("_text")))
+    t = F.col("_t")
+    texts = texts.withColumn("_e", L.evidence(t)).withColumns({"label": P.is_label(t), "code": L.is_code(t), "marks": F.col("_e.marks"), "hints": F.col("_e.hints"), "vietnamese": L.vietnamese_by(F.col("_e")), "english": L.english_by(F.col("_e"))})
+    texts = texts.withColumn("bilingual", F.when(F.col("label") | F.col("code") | F.col("english"), False).otherwise(L.is_bilingual(t)))
+    return rows.join(texts.select("_text", F.struct(*FACTS).alias("_facts")), own == F.col("_text")).drop("_text")
+
+
+def _rungs(t: Column, source: str, target: str) -> list[tuple[str, Column, str, float]]:
     """(name, condition, status, confidence), in order."""
-    vietnamese, english, existing = L.vietnamese_by(e), L.english_by(e), L.bare(F.coalesce("_existing", F.lit("")))
+    label, code, marks, vietnamese, english, _, bilingual = (F.col(f"_facts.{c}") for c in FACTS)
+    existing = L.bare(F.coalesce("_existing", F.lit("")))
     rungs = [
-        ("label", P.is_label(t), "NON_TRANSLATABLE", 1.0),
-        ("code", L.is_code(t), "NON_TRANSLATABLE", 1.0),
+        ("label", label, "NON_TRANSLATABLE", 1.0),
+        ("code", code, "NON_TRANSLATABLE", 1.0),
         ("immune", (~vietnamese & english) if source == "vi" else F.lit(False), "ALREADY_TRANSLATED", 1.0),
-        ("bilingual item", F.col("_item") & L.is_bilingual(t), "ALREADY_TRANSLATED", 0.98),
+        ("bilingual item", F.col("_item") & bilingual, "ALREADY_TRANSLATED", 0.98),
         ("bilingual container", F.col("_container_bilingual"), "ALREADY_TRANSLATED", 0.95),
         ("existing translation", (existing != "") & (F.lower(existing) != F.lower(t)), "ALREADY_TRANSLATED", 0.95),
-        ("bilingual text", L.is_bilingual(t), "MIXED_LANGUAGE", 0.92),
+        ("bilingual text", bilingual, "MIXED_LANGUAGE", 0.92),
         ("glossary", F.col("_glossary").isNotNull(), "LOCKED_TERMINOLOGY", 1.0),
         ("memory", F.col("_memory").isNotNull(), "TM_REUSE", 0.95),
     ]
     if (source, target) == ("vi", "en"):
         rungs += [("source language", vietnamese, "NEEDS_TRANSLATION", 0.95), ("paired line", english & F.col("_container_vi"), "ALREADY_TRANSLATED", 0.95), ("target language", english, "ALREADY_TRANSLATED", 0.9)]
     if (source, target) == ("en", "vi"):
-        rungs += [("target language", e["marks"], "ALREADY_TRANSLATED", 0.95), ("paired line", english & F.col("_container_vi"), "ALREADY_TRANSLATED", 0.95), ("source language", english, "NEEDS_TRANSLATION", 0.95)]
+        rungs += [("target language", marks, "ALREADY_TRANSLATED", 0.95), ("paired line", english & F.col("_container_vi"), "ALREADY_TRANSLATED", 0.95), ("source language", english, "NEEDS_TRANSLATION", 0.95)]
     return rungs
 
 
-def classified(units: DataFrame, memory: DataFrame | None = None, glossary: DataFrame | None = None, source: str = "vi", target: str = "en") -> DataFrame:
-    """PRJ01: units (text; optional existing, is_item, container_bilingual, container_vi) with status, confidence, rung and suggestion.
-
-    memory and glossary: (source, target) pairs; approved examples belong to the glossary.
-    """
+def _classified(units: DataFrame, memory: DataFrame | None, glossary: DataFrame | None, source: str, target: str) -> DataFrame:
     has = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in units.columns else F.lit(default)
-    rows = units.withColumns({"_item": has("is_item", False), "_container_bilingual": has("container_bilingual", False), "_container_vi": has("container_vi", False), "_existing": has("existing", ""), "_exact": T.exact_key(F.col("text")), "_canonical": T.canonical_key(F.col("text"))})
+    rows = _with_facts(units).withColumns({"_item": has("is_item", False), "_container_bilingual": has("container_bilingual", False), "_container_vi": has("container_vi", False), "_existing": has("existing", ""), "_exact": T.exact_key(F.col("text")), "_canonical": T.canonical_key(F.col("text"))})
     rows = _joined(_joined(rows, glossary, "glossary"), memory, "memory")
     t = L.bare(F.coalesce("text", F.lit("")))
+    out = F.struct(F.lit("REVIEW_REQUIRED").alias("status"), F.lit(0.6).alias("confidence"), F.lit("ambiguous").alias("rung"))
+    for name, holds, status, confidence in reversed(_rungs(t, source, target)):
+        out = F.when(holds, F.struct(F.lit(status).alias("status"), F.lit(confidence).alias("confidence"), F.lit(name).alias("rung"))).otherwise(out)
+    rows = rows.withColumn("_d", out)
+    suggestion = F.when(F.col("_d.rung") == "glossary", F.col("_glossary")).when(F.col("_d.rung") == "memory", F.col("_memory")).when((F.col("_d.rung") == "existing translation"), F.col("_existing"))
+    return rows.select(*(c for c in units.columns if c not in RESULT), *(F.col(f"_d.{c}").alias(c) for c in RESULT[:3]), suggestion.alias("suggestion"), "_facts")
 
-    def decide(e: Column) -> Column:
-        out = F.struct(F.lit("REVIEW_REQUIRED").alias("status"), F.lit(0.6).alias("confidence"), F.lit("ambiguous").alias("rung"))
-        for name, holds, status, confidence in reversed(_rungs(t, e, source, target)):
-            out = F.when(holds, F.struct(F.lit(status).alias("status"), F.lit(confidence).alias("confidence"), F.lit(name).alias("rung"))).otherwise(out)
-        return out
 
-    rows = rows.withColumn("_d", T.let(L.evidence(t), decide))
-    suggestion = F.when(F.col("_d.rung") == "glossary", F.col("_glossary")).when(F.col("_d.rung") == "memory", F.col("_memory")).when((F.col("_d.rung") == "existing translation"), F.col("_existing"))
-    return rows.select(*(c for c in units.columns if c not in RESULT), *(F.col(f"_d.{c}").alias(c) for c in RESULT[:3]), suggestion.alias("suggestion"))
+def classified(units: DataFrame, memory: DataFrame | None = None, glossary: DataFrame | None = None, source: str = "vi", target: str = "en") -> DataFrame:
+    """PRJ01: units (text; optional existing, is_item, container_bilingual, container_vi) with status, confidence, rung and suggestion.
+
+    memory and glossary: (source, target) pairs; approved examples belong to the glossary.
+    """
+    return _classified(units, memory, glossary, source, target).drop("_facts")
 
 
 def with_container(units: DataFrame, key: str) -> DataFrame:
@@ -92,41 +109,39 @@ def presentation(units: DataFrame, pairs: DataFrame, memory: DataFrame | None =
     """
     found = units.join(pairs.groupBy("unit_id").agg(F.min("existing").alias("existing")), "unit_id", "left")
     found = with_container(found, "container")
-    base = classified(found, memory, glossary)
+    base = _classified(found, memory, glossary, "vi", "en")
     t = L.bare(F.coalesce("text", F.lit("")))
     # fixed values: patterns of size and parameter lines, of conditions that name a model, and of model headings
     size = r"(?i)^[-–—*•#]?\s*size\s*#?[\d.,\-]+"
     parameter = r"(?i)^[-–—*•#]?\s*#?\d+(?:[.,]\d+)?(?:\s*[-–—/]\s*#?\d+(?:[.,]\d+)?)?\s*[:：]?\s*[\d.,\-+±~]+\s*(?:kg/cm²|kg|g|cm|mm|℃|°c|sec|s|min|bar|psi|spi|%|m/s|v|w|a)?$"
     condition, heading = r"(?iu)^(\s*\*?\s*)(?:đối\s*với|áp\s*dụng\s*cho|dành\s*cho)\s+(.+)$", r"(?iu)^(\s*\*?\s*)(?:model|mẫu)\s*[:：\-]\s*(.+)$"
 
-    def of(e: Column) -> Column:
-        source, english = L.vietnamese_by(e) | e["hints"], L.english_by(e)
-        named = lambda p: (x := L.bare(F.regexp_extract(t, p, 2)), (x != "") & ~P.has_marks(x) & (L.is_model_name(x) | x.rlike(r"(?i)^[A-Z0-9\-/.\s()'\"#:,]+$")))
-        (model, is_condition), (title, is_heading) = named(condition), named(heading)
-        star = lambda p, word: F.concat(F.when(F.regexp_extract(t, p, 1).contains("*"), f"*{word}").otherwise(word), F.lit(" "))
-        paired = F.col("existing").isNotNull()
-        keep, duplicate = F.lit(None).cast("string"), F.coalesce("to_duplicate", F.lit(False)) & source
-        rungs = [
-            (F.coalesce("reference", F.lit(False)), "ALREADY_TRANSLATED", "reference slide", keep),
-            (P.is_label(t) | L.is_code(t), "NON_TRANSLATABLE", "code", keep),
-            (F.col("container").isNotNull() & F.col("container_vi") & (t.rlike(size) | t.rlike(parameter)), "TM_REUSE", "parameter line", F.col("text")),
-            (~source & english, "ALREADY_TRANSLATED", "english", keep),
-            (paired & ~duplicate, "ALREADY_TRANSLATED", "paired", keep),
-            (paired & duplicate, "TM_REUSE", "pair to duplicate", F.col("existing")),
-            (~source, "ALREADY_TRANSLATED", "no evidence of the source", keep),
-            (L.is_bilingual(t) & ~duplicate, "ALREADY_TRANSLATED", "bilingual text", keep),
-            (is_condition, "LOCKED_TERMINOLOGY", "model condition", F.concat(star(condition, "For"), model)),
-            (is_heading, "LOCKED_TERMINOLOGY", "model heading", F.concat(star(heading, "Model:"), title)),
-            (F.col("status").isin("LOCKED_TERMINOLOGY", "TM_REUSE"), F.col("status"), F.col("rung"), F.col("suggestion")),
-        ]
-        out = F.struct(F.lit("NEEDS_TRANSLATION").alias("status"), F.lit("source language").alias("rung"), F.lit(None).cast("string").alias("suggestion"))
-        for holds, status, rung, suggestion in reversed(rungs):
-            text = lambda x: x if isinstance(x, Column) else F.lit(x)
-            out = F.when(holds, F.struct(text(status).alias("status"), text(rung).alias("rung"), suggestion.alias("suggestion"))).otherwise(out)
-        return out
-
-    done = base.withColumn("_d", T.let(L.evidence(t), of))
-    return done.select(*(c for c in base.columns if c not in RESULT), *(F.col(f"_d.{c}").alias(c) for c in ("status", "rung", "suggestion"))).withColumn("requires_translation", ~F.col("status").isin("ALREADY_TRANSLATED", "NON_TRANSLATABLE"))
+    label, code, _, vietnamese, english, hints, bilingual = (F.col(f"_facts.{c}") for c in FACTS)
+    source = vietnamese | hints
+    named = lambda p: (x := L.bare(F.regexp_extract(t, p, 2)), (x != "") & ~P.has_marks(x) & (L.is_model_name(x) | x.rlike(r"(?i)^[A-Z0-9\-/.\s()'\"#:,]+$")))
+    (model, is_condition), (title, is_heading) = named(condition), named(heading)
+    star = lambda p, word: F.concat(F.when(F.regexp_extract(t, p, 1).contains("*"), f"*{word}").otherwise(word), F.lit(" "))
+    paired = F.col("existing").isNotNull()
+    keep, duplicate = F.lit(None).cast("string"), F.coalesce("to_duplicate", F.lit(False)) & source
+    rungs = [
+        (F.coalesce("reference", F.lit(False)), "ALREADY_TRANSLATED", "reference slide", keep),
+        (label | code, "NON_TRANSLATABLE", "code", keep),
+        (F.col("container").isNotNull() & F.col("container_vi") & (t.rlike(size) | t.rlike(parameter)), "TM_REUSE", "parameter line", F.col("text")),
+        (~source & english, "ALREADY_TRANSLATED", "english", keep),
+        (paired & ~duplicate, "ALREADY_TRANSLATED", "paired", keep),
+        (paired & duplicate, "TM_REUSE", "pair to duplicate", F.col("existing")),
+        (~source, "ALREADY_TRANSLATED", "no evidence of the source", keep),
+        (bilingual & ~duplicate, "ALREADY_TRANSLATED", "bilingual text", keep),
+        (is_condition, "LOCKED_TERMINOLOGY", "model condition", F.concat(star(condition, "For"), model)),
+        (is_heading, "LOCKED_TERMINOLOGY", "model heading", F.concat(star(heading, "Model:"), title)),
+        (F.col("status").isin("LOCKED_TERMINOLOGY", "TM_REUSE"), F.col("status"), F.col("rung"), F.col("suggestion")),
+    ]
+    out = F.struct(F.lit("NEEDS_TRANSLATION").alias("status"), F.lit("source language").alias("rung"), F.lit(None).cast("string").alias("suggestion"))
+    for holds, status, rung, suggestion in reversed(rungs):
+        text = lambda x: x if isinstance(x, Column) else F.lit(x)
+        out = F.when(holds, F.struct(text(status).alias("status"), text(rung).alias("rung"), suggestion.alias("suggestion"))).otherwise(out)
+    done = base.withColumn("_d", out)
+    return done.select(*(c for c in base.columns if c not in (*RESULT, "_facts")), *(F.col(f"_d.{c}").alias(c) for c in ("status", "rung", "suggestion"))).withColumn("requires_translation", ~F.col("status").isin("ALREADY_TRANSLATED", "NON_TRANSLATABLE"))
 
 
 def routed(units: DataFrame, memory: DataFrame | None, pairs: DataFrame, direction: str = "vi") -> DataFrame:
