@@ -15,6 +15,7 @@ a row; extra columns are ignored; empty tables give empty results.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from pathlib import Path
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import mapped, slices
 
 THRESHOLD = 0.9
+#: A window of more bigrams than this many times the different ones that can reach the threshold is mostly repeated.
+REPEATED = 8
 
 _GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
@@ -150,6 +153,27 @@ class Matcher:
         shared = Counter(i for g in grams & self.having.keys() for i in self.having[g])
         return [i for i, n in shared.items() if n >= self.bounds(len(self.templates[i].grams))[0]]
 
+    def _repeated(self, grams: list, words: list, hits: dict, late: dict) -> list[tuple[str, float, int, int]]:
+        """Windows from starts behind which little is new, for templates (late: {start: templates}): the places where each
+        bigram stands next are kept in order from the end of the text on, so a window costs its different bigrams only."""
+        places: list[int] = []  # of the next place of each bigram, negative, rising
+        there: dict = {}
+        out = []
+        for a in range(len(grams) - 1, min(late) - 1, -1):
+            if (old := there.get(grams[a])) is not None:
+                del places[bisect_left(places, -old)]
+            there[grams[a]] = a
+            places.append(-a)
+            for i in late.get(a, ()):
+                name, own = self.templates[i]
+                at = -np.array(places[-int(self.bounds(len(own))[1]) :][::-1], np.int64)
+                shared = np.cumsum(hits[i][at])
+                score = 2 * shared / (np.arange(1, len(at) + 1) + len(own))
+                e = int(score.argmax())
+                if score[e] >= self.threshold:
+                    out.append((name, float(score[e]), words[a][1], words[int(at[e]) + 1][2]))
+        return out
+
     def windows(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """The matches of scan and, where none of them is, windows of words that reach the threshold, most alike first."""
         found = self.scan(text)
@@ -162,19 +186,22 @@ class Matcher:
         for p, g in enumerate(grams):
             before[p] = seen.get(g, -1)
             seen[g] = p
-        more = []
+        more, hits, late = [], {}, defaultdict(list)
         for i in held:
             name, own = self.templates[i]
-            hit = np.fromiter((g in own for g in grams), bool, len(grams))
+            hit = hits[i] = np.fromiter((g in own for g in grams), bool, len(grams))
             low, high = self.bounds(len(own))
             for a in np.flatnonzero(hit).tolist():
                 size = 2 * int(high) + 2
                 while True:  # until the window holds more bigrams than can reach the threshold
                     new = before[a : a + size] < a
                     many = np.cumsum(new)
-                    if many[-1] > high or a + size >= len(grams):
+                    if many[-1] > high or a + size >= len(grams) or size > REPEATED * high:
                         break
                     size *= 2
+                if many[-1] <= high and a + size < len(grams):  # mostly what stood before
+                    late[a].append(i)
+                    continue
                 shared = np.cumsum(new & hit[a : a + size])
                 if shared[-1] < low:
                     continue
@@ -182,11 +209,21 @@ class Matcher:
                 e = int(score.argmax())
                 if score[e] >= self.threshold:
                     more.append((name, float(score[e]), words[a][1], words[a + e + 1][2]))
-        taken = [(a, b) for _, _, a, b in found]
+        if late:
+            more += self._repeated(grams, words, hits, late)
+        starts, ends = [], []  # what is taken, as stretches apart from one another
+        for a, b in sorted((a, b) for _, _, a, b in found):
+            if ends and a < ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
         for hit in sorted(more, key=lambda x: (-x[1], x[2] - x[3], x[2], x[0])):
-            if all(hit[3] <= a or hit[2] >= b for a, b in taken):
+            k = bisect_left(starts, hit[3])
+            if not k or ends[k - 1] <= hit[2]:
                 found.append(hit)
-                taken.append(hit[2:])
+                starts.insert(k, hit[2])
+                ends.insert(k, hit[3])
         return sorted(found, key=lambda x: (x[2], -x[3]))
 
 

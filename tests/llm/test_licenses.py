@@ -75,3 +75,24 @@ def test_licences_inside_longer_documents(spark):
         assert best.license == name and best.score > 0.95 and best.end - best.start > 0.95 * len(part)
     assert [(m.license, m.score, texts[6][m.start : m.end]) for m in found[6]] == [("CC-BY-4.0", 1.0, "Licensed under CC BY 4.0")]
     assert not any(found[i] for i in (7, 8, 9))
+
+
+def test_repeated_notices_are_found_in_linear_time(monkeypatch):
+    """The windows of repeated texts are those of reading on to the text's end, and two megabytes take seconds."""
+    import random
+    import time
+
+    from termloom.llm import licenses
+
+    mit = licenses.all_templates()["MIT"]
+    mit = mit if isinstance(mit, str) else mit[0]
+    rng, words = random.Random(3), mit.split()
+    texts = [" ".join([mit] * 12), " ".join(words[20:] * 9 + ["x"] * 40 + words), "a b c " * 900 + mit, " ".join(w for _ in range(14) for w in (words if rng.random() < 0.6 else rng.sample(words, len(words)))), " ".join(rng.choice(words) for _ in range(4000))]
+    monkeypatch.setattr(licenses, "REPEATED", 1 << 40)
+    whole = [licenses.Matcher(licenses.all_templates()).windows(t) for t in texts]
+    for limit in (0, 2, 8):
+        monkeypatch.setattr(licenses, "REPEATED", limit)
+        assert [licenses.Matcher(licenses.all_templates()).windows(t) for t in texts] == whole
+    matcher, began = licenses.Matcher({"MIT": [mit]}), time.process_time()
+    found = matcher.windows(" ".join([mit] * (2_000_000 // len(mit)) + [f"other{i}" for i in range(1000)]))
+    assert len(found) > 1500 and time.process_time() - began < 60
