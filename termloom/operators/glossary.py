@@ -184,3 +184,16 @@ def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 def forms(target: Column) -> Column:
     """PRJ07: surface forms of an approved target: itself and its slash alternatives."""
     return F.array_distinct(F.concat(F.array(F.trim(target)), F.filter(F.transform(F.split(target, "/"), lambda x: F.trim(x)), lambda x: x != "")))
+
+
+def seeded(existing: DataFrame, seeds: DataFrame) -> DataFrame:
+    """SRC15: existing, or the seeds where it has no row at all; one row of existing is read to tell."""
+    one = F.lit(1).alias("_any")
+    there = existing.limit(1).select(one)
+    fresh = seeds.select(*existing.columns, one).join(F.broadcast(there), "_any", "left_anti").drop("_any")
+    return existing.unionByName(fresh)
+
+
+def reseeded(existing: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """DML08: the seeds, which take the place of existing, with ``replaced``: whether their key was there before."""
+    return seeds.join(existing.select(key).distinct().withColumn("_old", F.lit(True)), key, "left").withColumn("replaced", F.coalesce("_old", F.lit(False))).drop("_old")

@@ -56,7 +56,7 @@ answered = lambda s, d: catalog.table(s, d, "events").select((F.col("event_id")
 add("f41_answer_salvage", lambda s, d: S.answers(answered(s, d), catalog.table(s, d, "events").select((F.col("event_id") % 500).alias("batch"), F.col("user_id").cast("string").alias("id"))).select("batch", "id"), "SELECT DISTINCT event_id % 500 AS batch, CAST(user_id AS VARCHAR) AS id FROM events")
 add("fil05_session_filter", lambda s, d: catalog.table(s, d, "conversations").where(F.lower("text").contains("than")).select("conv_id").distinct(), "SELECT DISTINCT conv_id FROM conversations WHERE contains(lower(text), 'than')")
 add("dml06_sentence_upsert", lambda s, d: catalog.memory(s, d).withColumn("k", T.exact_key(F.col("sentence"))).groupBy("k").agg(F.max(F.struct("item_id", "sentence_no")).alias("last")).select("k", "last.item_id"), f"SELECT {B.exact('sentence')} AS k, max(item_id) AS item_id FROM memory GROUP BY 1", B.MEMORY)
-add("dml08_reseed", lambda s, d: catalog.terms(s, d).where("id < 46").select("id", "source_term"), "SELECT id, source_term FROM terms WHERE id < 46", B.TERMS)
+add("dml08_reseed", lambda s, d: G.reseeded(catalog.terms(s, d).where("id % 3 = 0"), catalog.terms(s, d).where("id % 2 = 0").select("id", "source_term"), "id"), "SELECT id, source_term, id % 3 = 0 AS replaced FROM terms WHERE id % 2 = 0", B.TERMS)
 add("dml09_capped_log", lambda s, d: V.newest(catalog.log(s, d).unionByName(catalog.log(s, d).where("id < 10").withColumn("id", F.col("id") + 1_000_000)), 1000, [F.desc("ts"), F.desc("id")]).select("id"), "SELECT id FROM (SELECT id, ts FROM log UNION ALL SELECT id + 1000000, ts FROM log WHERE id < 10) ORDER BY ts DESC, id DESC LIMIT 1000", B.LOG)
 add("st08_batch_memory", lambda s, d: M.resolve(MQ.recorded(s, d).withColumn("seq", F.floor(F.col("seq") / 25))).agg(F.count("*").alias("keys"), F.sum("n").alias("events")), f"SELECT count(DISTINCT k) AS keys, count(*) AS events FROM (SELECT {B.exact('source')} AS k, {B.exact('target')} AS n FROM recorded) WHERE k <> '' AND n <> '' AND k <> n", B.UNITS, MQ.RECORDED)
 add("j28_cross_slide_steps", lambda s, d: A.step_pairs(MQ.stepped(s, d).withColumn("slide", F.floor(F.col("doc_id") / 2)).withColumn("side", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b")), ["slide"]), "SELECT slide, step, a.l AS a_line, b.l AS b_line FROM (SELECT doc_id // 2 AS slide, step, min(line_no) AS l FROM stepped WHERE doc_id % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 1) a JOIN (SELECT doc_id // 2 AS slide, step, min(line_no) AS l FROM stepped WHERE doc_id % 2 = 1 GROUP BY 1, 2 HAVING count(*) = 1) b USING (slide, step)", B.UNITS, MQ.SIDED, MQ.STEPPED)

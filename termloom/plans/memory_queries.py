@@ -131,7 +131,7 @@ SELECT term, count(*) AS n, count(DISTINCT unit) AS units FROM (
   SELECT unit, CASE WHEN regexp_matches(m, '^that\s') THEN 'that with' WHEN regexp_matches(m, '^an\s') THEN 'an of' WHEN starts_with(m, 'thion') THEN 'thion' WHEN starts_with(m, 'that') THEN 'that' WHEN starts_with(m, 'the') THEN 'the' WHEN starts_with(m, 'der') THEN 'der' ELSE 'la' END AS term
   FROM (SELECT doc_id * 10000 + line_no AS unit, unnest(list_transform(regexp_extract_all(replace(regexp_replace(text, '[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}\p{{C}}]', 'q', 'g'), '_', ' '), '{_MATCH}'), lambda x: lower(x))) AS m FROM units)) GROUP BY term"""
 add("j01_candidates", lambda s, d: catalog.units(s, d).crossJoin(F.broadcast(s.createDataFrame([(g["term"],) for g in GLOSSARY], "term string"))).where(F.lower("text").contains(F.col("term"))).groupBy("term").agg(F.count("*").alias("units")), "SELECT term, count(*) AS units FROM units, (VALUES " + ", ".join(f"('{g['term']}')" for g in GLOSSARY) + ") v(term) WHERE contains(lower(text), term) GROUP BY term", B.UNITS)
-add("j21_relevant_terms", lambda s, d: F.broadcast(s.createDataFrame([(g["term"],) for g in GLOSSARY], "term string")).join(catalog.units(s, d).where("line_no = 0"), F.lower("text").contains(F.col("term")), "left_semi"), "SELECT term FROM (VALUES " + ", ".join(f"('{g['term']}')" for g in GLOSSARY) + ") v(term) WHERE EXISTS (SELECT 1 FROM units WHERE line_no = 0 AND contains(lower(text), term))", B.UNITS)
+add("j21_relevant_terms", lambda s, d: catalog.units(s, d).join(F.broadcast(s.createDataFrame([(g["term"],) for g in GLOSSARY], "term string")), F.lower("text").contains(F.col("term"))).select("doc_id", "term").distinct(), "SELECT DISTINCT doc_id, term FROM units JOIN (VALUES " + ", ".join(f"('{g['term']}')" for g in GLOSSARY) + ") v(term) ON contains(lower(text), term)", B.UNITS)
 add("j13_expected_outputs", lambda s, d: catalog.memory(s, d).select("item_id", "sentence_no", T.exact_key(F.col("sentence")).alias("k")).join(queries_of(s, d).select(T.exact_key(F.col("q_text")).alias("k"), F.lit(True).alias("hit")).distinct(), "k", "left").select("item_id", "sentence_no", F.coalesce("hit", F.lit(False)).alias("found")), f"SELECT item_id, sentence_no, {B.exact('sentence')} IN (SELECT {B.exact('q_text')} FROM questions) AS found FROM memory", B.UNITS, B.MEMORY, QUESTIONS)
 add("u04_merged_pairs", lambda s, d: M.history(("explicit", catalog.pairs(s, d).where("conv_id % 3 = 0"))).select("source", "target").unionByName(catalog.pairs(s, d).where("conv_id % 3 <> 0").join(catalog.pairs(s, d).where("conv_id % 3 = 0").select("source").distinct(), "source", "left_anti").select("source", "target").distinct()).groupBy(F.length("source").cast("long").alias("len")).agg(F.count("*").alias("n")), "SELECT length(source) AS len, count(*) AS n FROM (SELECT DISTINCT source, target FROM pairs WHERE conv_id % 3 = 0 UNION ALL SELECT DISTINCT source, target FROM pairs WHERE conv_id % 3 <> 0 AND source NOT IN (SELECT source FROM pairs WHERE conv_id % 3 = 0)) GROUP BY 1", B.PAIRS)
 

@@ -45,7 +45,8 @@ add("p09_upload_register", lambda s, d: uploads(s, d).groupBy(F.coalesce(files.s
 add("src10_paragraph_runs", lambda s, d: catalog.table(s, d, "pages").select("page_id", F.posexplode(files.text_runs(F.col("html"), "p")).alias("pos", "text")), r"SELECT page_id, CAST(i AS INTEGER) AS pos, l[i + 1] AS text FROM (SELECT page_id, l, unnest(range(0, len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<p(?:\s[^>]*)?>([^<]*)</p>', 1) AS l FROM pages))")
 add("src11_parent_shape", lambda s, d: A.containing(MQ.points(s, d), MQ.spans(s, d), ["k"], 16).groupBy("k").agg(F.count("*").alias("held")), "SELECT k, count(*) AS held FROM (" + MQ.ORACLES["j18_interval_join"] + ") GROUP BY k")
 add("src12_boxes", lambda s, d: catalog.table(s, d, "part").select("p_partkey", T.percent_box(F.col("p_retailprice"), F.col("p_size").cast("double"), F.lit(2000.0))[0].alias("low"), T.percent_box(F.col("p_retailprice"), F.col("p_size").cast("double"), F.lit(60.0))[1].alias("extent")), "SELECT p_partkey, floor(greatest(0.0, least(100.0, p_retailprice / 2000.0 * 100)) * 10 + 0.5) / 10 AS low, floor(greatest(0.0, least(100.0, p_size / 60.0 * 100)) * 10 + 0.5) / 10 AS extent FROM part")
-add("src15_seed_when_empty", lambda s, d: catalog.terms(s, d).where("false").select("id", "source_term").unionByName(catalog.terms(s, d).where("id < 46").select("id", "source_term")), "SELECT id, source_term FROM terms WHERE id < 46", B.TERMS)
+_seeds = lambda s, d, n: catalog.terms(s, d).where(n).select("id", "source_term")
+add("src15_seed_when_empty", lambda s, d: G.seeded(_seeds(s, d, "id < 0"), _seeds(s, d, "true")).withColumn("existing", F.lit("none")).unionByName(G.seeded(_seeds(s, d, "id % 50 = 7"), _seeds(s, d, "true")).withColumn("existing", F.lit("some"))), "SELECT id, source_term, 'none' AS existing FROM terms UNION ALL SELECT id, source_term, 'some' FROM terms WHERE id % 50 = 7", B.TERMS)
 add("src19_catalog_pairs", lambda s, d: M.history(("catalog", catalog.terms(s, d).select(F.col("source_term").alias("source"), F.col("target_term").alias("target"))), ("coded", catalog.terms(s, d).select(F.concat_ws(" ", "category", "source_term").alias("source"), F.col("target_term").alias("target")))), "SELECT DISTINCT source_term AS source, target_term AS target, 'catalog' AS origin FROM terms UNION ALL SELECT DISTINCT category || ' ' || source_term, target_term, 'coded' FROM terms", B.TERMS)
 add("src22_live_errors", lambda s, d: V.newest(catalog.log(s, d).where("operation = 'error'"), 20, [F.desc("ts"), F.desc("id")]).select("id", "user_id"), "SELECT id, user_id FROM log WHERE operation = 'error' ORDER BY ts DESC, id DESC LIMIT 20", B.LOG)
 add("src23_batch_upsert", lambda s, d: G.upsert(GQ.old(s, d), GQ.new(s, d)).groupBy("op").agg(F.count("*").alias("n")), "SELECT op, count(*) AS n FROM (" + GQ.ORACLES["dml01_upsert"] + ") GROUP BY op")
@@ -53,10 +54,10 @@ add("src23_batch_upsert", lambda s, d: G.upsert(GQ.old(s, d), GQ.new(s, d)).grou
 
 def _f03(s, d):
     decomposed = F.replace(F.col("text"), F.lit("\u00e9"), F.lit("e\u0301"))
-    return catalog.units(s, d).where("line_no < 3").select("doc_id", "line_no", T.nfc_key(decomposed).alias("key"))
+    return catalog.units(s, d).select("doc_id", "line_no", T.nfc_key(decomposed).alias("key"))
 
 
-add("f03_nfc_key", _f03, r"SELECT doc_id, line_no, lower(trim(regexp_replace(nfc_normalize(replace(text, 'é', 'e' || chr(769))), '\s+', ' ', 'g'))) AS key FROM units WHERE line_no < 3", B.UNITS)
+add("f03_nfc_key", _f03, r"SELECT doc_id, line_no, lower(trim(regexp_replace(nfc_normalize(replace(text, 'é', 'e' || chr(769))), '\s+', ' ', 'g'))) AS key FROM units", B.UNITS)
 add("f15_acronyms", lambda s, d: GQ.cases(s).select("id", R.rewritten(F.col("target_term"), [(r"(?i)\bok\b", "OK"), (r"(?i)\bfine\b", "OK")]).alias("target")), r"SELECT CAST(id AS BIGINT) AS id, regexp_replace(regexp_replace(target_term, '(?i)\bok\b', 'OK', 'g'), '(?i)\bfine\b', 'OK', 'g') AS target FROM cases", GQ.CASES_CTE)
 STAGES = [("cutting", "cold|hot"), ("stitching", "bolt|nut"), ("assembly", "gear|ring")]
 add("f22_stage_classifier", lambda s, d: catalog.terms(s, d).select("id", P.stage(F.col("source_term"), STAGES).alias("stage")), "SELECT id, CASE WHEN regexp_matches(source_term, '(?i)(^|[^A-Za-z0-9_])(?:cold|hot)([^A-Za-z0-9_]|$)') THEN 'cutting' WHEN regexp_matches(source_term, '(?i)(^|[^A-Za-z0-9_])(?:bolt|nut)([^A-Za-z0-9_]|$)') THEN 'stitching' WHEN regexp_matches(source_term, '(?i)(^|[^A-Za-z0-9_])(?:gear|ring)([^A-Za-z0-9_]|$)') THEN 'assembly' ELSE 'general' END AS stage FROM terms", B.TERMS)
