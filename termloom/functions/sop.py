@@ -253,7 +253,9 @@ class SmallTerms:
         self.automaton.make_automaton()
 
     def run(self, text: str) -> str:
-        low = "".join(("s" if c == "ſ" else c.lower()) if len(c.lower()) == 1 else c for c in text)
+        low = text.lower()
+        if len(low) != len(text) or "ſ" in low:
+            low = "".join(("s" if c == "ſ" else c.lower()) if len(c.lower()) == 1 else c for c in text)
         out, n = list(text), len(text)
         for last, size in self.automaton.iter(low):
             start = last - size + 1
