@@ -9,6 +9,9 @@ numbered by the caller and pair once each; extra columns are ignored; empty tabl
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from ..functions import predicates as P
 from ..functions import text as T
 from ..functions.language import MEASURED
 from ..functions.predicates import EDGE
+from ..session import cut
 from .align import greedy_matching
 
 #: Patterns of steps, of language markers, and of banners that are no titles.
@@ -63,15 +67,44 @@ def profiles(slides: DataFrame) -> DataFrame:
     return rows.withColumns({"is_en": is_en, "is_vi": is_vi})
 
 
-def overlap(e: Column, v: Column) -> Column:
-    """Share of the draft's content words that the English slide has, in whole or in part."""
-    drafted, there = _content(v["probe"]), _content(e["low"])
-    shared = F.size(F.filter(drafted, lambda p: F.exists(there, lambda w: w.contains(p) | p.contains(w))))
-    return F.when(F.size(drafted) > 0, shared / F.size(drafted)).otherwise(0.0)
+#: Longest word whose parts are looked up one by one.
+PARTED = 32
+
+
+def with_content(profiled: DataFrame) -> DataFrame:
+    """profiles with ``drafted`` and ``there``: the content words of the draft and of the slide, a line each, told once for each slide."""
+    return profiled.withColumns({"drafted": F.array_join(_content(F.col("probe")), "\n"), "there": F.array_join(_content(F.col("low")), "\n")})
+
+
+def overlap(drafted: Column, there: Column) -> Column:
+    """Share of the draft's content words (a line each) that the English slide has, in whole or in part; null if either is null.
+
+    A word is part of one there if it stands in their lines, and holds one if one of its own parts is there, so no word meets all others."""
+    longest, shortest = PARTED, 4  # content words have four letters at least
+
+    def run(one: pd.Series, two: pd.Series) -> pd.Series:
+        @lru_cache(1 << 16)
+        def parts(word: str) -> frozenset[str]:
+            return frozenset(word[i:j] for i in range(len(word)) for j in range(i + shortest, len(word) + 1))
+
+        @lru_cache(64)
+        def words(lines: str) -> frozenset[str]:
+            return frozenset(lines.split("\n")) - {""}
+
+        def share(own: str | None, other: str | None) -> float | None:
+            if own is None or other is None:
+                return None
+            known, mine = words(other), words(own)
+            held = lambda p: p in other or (not known.isdisjoint(parts(p)) if len(p) <= longest else any(w in p for w in known))
+            return sum(map(held, mine)) / len(mine) if mine else 0.0
+
+        return pd.Series([share(*(None if pd.isna(x) else x for x in pair)) for pair in zip(one, two)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(drafted, there)
 
 
 def agreement(e: Column, v: Column) -> Column:
-    """How sure an English and a Vietnamese profile are one slide's two versions, 0 to 1; null if steps, parts, stages, measures or words part them."""
+    """How sure an English and a Vietnamese profile (``with_content``) are one slide's two versions, 0 to 1; null if steps, parts, stages, measures or words part them."""
     en, vi = lambda *w: _has(e["low"], *w), lambda *w: _has(v["low"], *w)
     step_match, step_differs = F.coalesce(e["step"] == v["step"], F.lit(False)), F.coalesce(e["step"] != v["step"], F.lit(False))
     markers = e["en_marker"] & v["vi_marker"]
@@ -83,8 +116,9 @@ def agreement(e: Column, v: Column) -> Column:
     sew_e, sew_v = en("stitching", "sewing"), vi("may") & ~vi("may mắn")
     stages = (cut_e & ~cut_v & (put_v | sew_v)) | (cut_v & ~cut_e & (put_e | sew_e)) | (put_e & ~put_v & (cut_v | sew_v)) | (put_v & ~put_e & (cut_e | sew_e))
     measures = (F.size(e["numbers"]) >= 2) & (F.size(v["numbers"]) >= 1) & ~step_match & ~markers & ~F.arrays_overlap(e["numbers"], v["numbers"])
-    sure = lambda r: F.when((r < OVERLAP) & ~step_match & ~markers, None).otherwise(F.greatest(r, F.when(step_match, 0.9).otherwise(0.6)))
-    return F.when(step_differs | parts | stages | measures, None).otherwise(T.let(overlap(e, v), sure))
+    barred = F.coalesce(step_differs | parts | stages | measures, F.lit(False))
+    r = overlap(F.when(~barred, v["drafted"]), e["there"])  # null if barred
+    return F.when(r.isNull() | (r < OVERLAP) & ~step_match & ~markers, None).otherwise(F.greatest(r, F.when(step_match, 0.9).otherwise(0.6)))
 
 
 def _has(text: Column, *words: str) -> Column:
@@ -103,7 +137,7 @@ def _titled(a: Column, b: Column) -> tuple[Column, Column]:
 
 def pairs(slides: DataFrame) -> DataFrame:
     """(file, en, vi) slides that are versions of each other: neighbours first; if they are few, the best scored of the others, each slide once."""
-    rows = profiles(slides)
+    rows = cut(with_content(profiles(slides)).drop("probe"))  # read five times
     names = [c for c in rows.columns if c != "file"]
     deck = Window.partitionBy("file").orderBy("slide")
     both = rows.select("file", F.struct(*names).alias("a")).withColumn("b", F.lead("a").over(Window.partitionBy("file").orderBy("a.slide"))).withColumn("slides", F.count("*").over(Window.partitionBy("file")))
@@ -114,8 +148,9 @@ def pairs(slides: DataFrame) -> DataFrame:
     topic = ((title & (F.length(a["title"]) >= 8)) | (sub & (F.length(a["subtitle"]) >= 8))) & (((a["en_long"] >= 2) & (b["vi_long"] >= 2)) | ((a["vi_long"] >= 2) & (b["en_long"] >= 2)))
     sign = ~step_differs & (step_match | marker | topic) & (title | sub | marker)
     first = F.when(sign & a["is_en"] & b["is_vi"], True).when(sign & a["is_vi"] & b["is_en"], False)
-    held = F.when(first, agreement(a, b)).when(~first, agreement(b, a)).isNotNull()
-    found = both.where(b.isNotNull()).select("file", "slides", a["slide"].alias("slide"), F.when(first, a["slide"]).otherwise(b["slide"]).alias("en"), F.when(first, b["slide"]).otherwise(a["slide"]).alias("vi"), held.alias("held")).where("held")
+    sided = cut(both.where(b.isNotNull()).withColumn("first", first).where("first is not null").select("file", "slides", a["slide"].alias("slide"), F.when(F.col("first"), a).otherwise(b).alias("e"), F.when(F.col("first"), b).otherwise(a).alias("v")))
+    found = sided.select("file", "slides", "slide", F.col("e.slide").alias("en"), F.col("v.slide").alias("vi"), agreement(F.col("e"), F.col("v")).isNotNull().alias("held")).where("held")
+    found = cut(found)  # few and narrow rows; what follows reads them three times, and planning all of it again took minutes
     # neighbours are taken from left to right: of a run of candidates every second one
     run = found.withColumn("_n", F.row_number().over(deck)).withColumn("_run", F.col("slide") - F.col("_n"))
     near = run.withColumn("_i", F.row_number().over(Window.partitionBy("file", "_run").orderBy("slide"))).where("_i % 2 = 1").select("file", "slides", "en", "vi")
