@@ -8,9 +8,9 @@ blocks are compared in a second, small step, so block borders lose nothing. Veri
 united into components by a spanning forest of each block's links. ``passes_for`` gives the number of passes
 that finds a pair at the threshold with probability ``RECALL`` for the largest label, if hyperplanes halve it.
 
-The passes only find the components. An exact check follows: labels of at most ``EXACT_ROWS`` distinct vectors are
-closed by all their pairs, which counts links and ties components that no pass brought together, so crowded labels
-lose nothing; in larger labels all pairs of a component are compared, however much larger than the window it is.
+The passes only find the components. An exact check follows: every label is closed by all its pairs, whatever its size,
+which counts links and ties components that no pass brought together, so crowded labels lose nothing. A caller may bound
+it (``exact_rows``): in labels of more distinct vectors only the pairs of a component are compared then.
 Both are cut into tiles of two blocks of ``BLOCK_ROWS``, which run apart.
 
 Per pass each vector crosses one shuffle and makes at most 2 x WINDOW comparisons; a label that holds most
@@ -43,8 +43,6 @@ BITS = 64
 RECALL = 0.999
 BLOCK_ROWS = 4096
 MOST_BLOCKS = 20_000
-#: Distinct vectors of a label all of whose pairs are compared after the passes.
-EXACT_ROWS = 1 << 16
 SAMPLE = 20
 
 
@@ -287,8 +285,8 @@ def counted(members: DataFrame, kind: str, block_rows: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, others long, tie long")
 
 
-def near_duplicates(embeddings: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS, passes: int | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
+def near_duplicates(embeddings: DataFrame, window: int = WINDOW, block_rows: int = BLOCK_ROWS, passes: int | None = None, exact_rows: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row; exact_rows: distinct vectors of a label all of whose pairs are compared (all of them if null)."""
     kind = "<f4" if isinstance(embeddings.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
     table = vectors(embeddings)
     if passes is None:
@@ -296,9 +294,12 @@ def near_duplicates(embeddings: DataFrame, window: int = WINDOW, block_rows: int
     table = stored(coded(table, passes, kind), "codes")
     found = stored(compared(table, passes, kind, window, block_rows), "links")
     parts = cut(connected_components(found.select(F.col("id").alias("u"), F.explode("ties").alias("v"))))
-    # labels of bounded size are closed by all their pairs; in larger ones, all pairs of a component
-    closed = table.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") <= exact_rows).select("label", F.lit(True).alias("closed"))
-    members = table.join(closed, "label", "left").join(parts, "id", "left").where("closed or component is not null")
+    # labels are closed by all their pairs; beyond a bound of the caller's, all pairs of a component
+    closed = table.withColumn("closed", F.lit(True))
+    if exact_rows is not None:
+        sizes = table.groupBy("label").agg((F.count("*") <= exact_rows).alias("closed"))
+        closed = table.join(sizes, "label")
+    members = closed.join(parts, "id", "left").where("closed or component is not null")
     own = F.coalesce("component", "id")
     place = F.when(F.col("closed"), F.concat(F.lit("l"), "label")).otherwise(F.concat(F.lit("c"), own.cast("string")))
     counts = stored(counted(members.select(place.alias("place"), own.alias("component"), "id", "n", "x"), kind, block_rows), "counts")
