@@ -14,6 +14,7 @@ from ..functions import language as L
 from ..functions import predicates as P
 from ..functions import terms
 from ..functions import text as T
+from ..session import cut
 from .rules import _few
 
 # fixed values: headings, headers of criteria, parts of shapes, pairs of a line, categories
@@ -66,8 +67,9 @@ def suggested(candidates: DataFrame, term: str, current: str, glossary: DataFram
     fallback = F.array(primary, F.concat(primary, F.lit(" standard")), F.concat(primary, F.lit(" specification")))
     raw = F.when(F.coalesce(terms.clean_target(F.col("_g")), F.lit("")) != "", of_known(F.col("_g"))).when(F.col("_d").isNotNull(), F.slice("_d", 1, 3)).when(F.col("_w").isNotNull(), of_known(F.col("_w"))).when(part != "", shape).otherwise(fallback)
     clean = F.filter(F.transform(raw, lambda o: F.trim(terms.clean_target(o))), lambda o: (F.length(o) >= 2) & (T.word_key(o) != F.col("_k")) & ~P.has_marks(o))
-    keys = F.transform(clean, T.word_key)
-    kept = F.filter(clean, lambda o, i: F.array_position(keys, T.word_key(o)) == i + 1)
+    # each option with its key, told once
+    keyed = F.transform(clean, lambda o: F.struct(o.alias("o"), T.word_key(o).alias("k")))
+    kept = T.let(keyed, lambda x: F.transform(F.filter(x, lambda o, i: F.array_position(x["k"], o["k"]) == i + 1), lambda o: o["o"]))
     return rows.withColumn("options", kept).drop("_k", "_g", "_d", "_w")
 
 
@@ -103,9 +105,23 @@ def fed(lines: DataFrame, glossary: DataFrame, domain: DataFrame, dictionary: Da
     """(doc_id, n, term, target, page, line_no, kind): the first ``most`` candidates of each document that the glossary lacks.
 
     lines: doc_id, page, line_no, text. Pairs of a line ("A : B") come first, then phrases of four to one words of lines of 5 to 250
-    characters, in the order of the text; each key once, and phrases only where a target can be suggested."""
-    text = F.trim(spaced(F.col("text")))
-    rows = lines.withColumn("text", text).where("text <> ''")
+    characters, in the order of the text; each key once, and phrases only where a target can be suggested.
+
+    Phrases of the first ``most`` words of a document (its first line at least) are told first. All later phrases stand behind
+    them, so they are only told for documents that have fewer than ``most`` candidates by then."""
+    rows = lines.select("doc_id", "page", "line_no", F.trim(spaced(F.col("text"))).alias("text")).where("text <> ''")
+    order = Window.partitionBy("doc_id").orderBy("page", "line_no")
+    words = F.sum(F.size(F.split("text", r"\s+"))).over(order)
+    rows = cut(rows.withColumn("head", (words <= most) | (F.rank().over(order) == 1)))
+    first = cut(_fed(rows, F.col("head"), glossary, domain, dictionary, source, most))
+    full = first.where(F.col("n") == most).select("doc_id")
+    rest = cut(rows.where(~F.col("head")).select("doc_id").distinct().join(full.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").withColumnRenamed("doc_id", "_id"))
+    mine = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return first.join(rest, mine, "left_anti").unionByName(_fed(rows.join(rest, mine, "left_semi"), F.lit(True), glossary, domain, dictionary, source, most))
+
+
+def _fed(rows: DataFrame, told: Column, glossary: DataFrame, domain: DataFrame, dictionary: DataFrame, source: str, most: int) -> DataFrame:
+    """Candidates of rows, with phrases of those lines only for which told holds."""
     known = glossary.select(F.trim(F.lower("source_term")).alias("key")).distinct()
     a, b = (F.trim(F.regexp_extract("text", PAIR, i)) for i in (1, 2))
     rows_a = rows.where(F.col("text").rlike(PAIR)).withColumns({"a": a, "b": b})
@@ -113,12 +129,14 @@ def fed(lines: DataFrame, glossary: DataFrame, domain: DataFrame, dictionary: Da
     turn = F.when(va & ~vb, 1).when(~va & vb, 2).when(F.lit(source == "vi"), 1)
     pairs = rows_a.withColumn("turn", turn).where("turn is not null").select("doc_id", "page", "line_no", spaced(F.when(F.col("turn") == 1, F.col("a")).otherwise(F.col("b"))).alias("term"), spaced(F.when(F.col("turn") == 1, F.col("b")).otherwise(F.col("a"))).alias("target"), F.lit(0).alias("kind"), F.lit(0).alias("size"), F.lit(0).alias("place"))
     pairs = pairs.where((F.col("term") != "") & (F.col("target") != "") & (F.lower("term") != F.lower("target")) & P.is_special_term(F.col("term")))
-    words = rows.where(F.length("text").between(5, 250)).select("doc_id", "page", "line_no", F.split("text", r"\s+").alias("w"))
+    words = rows.where(told & F.length("text").between(5, 250)).select("doc_id", "page", "line_no", F.split("text", r"\s+").alias("w"))
     of = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.lit(4 - n).alias("size"), i.alias("place"), F.regexp_replace(F.array_join(F.slice("w", i, n), " "), r"^[^A-Za-z0-9_À-ỹ]+|[^A-Za-z0-9_À-ỹ]+$", "").alias("term")))).otherwise(F.array().cast("array<struct<size: int, place: int, term: string>>"))
     phrases = words.select("doc_id", "page", "line_no", F.explode(F.flatten(F.array(*map(of, (4, 3, 2, 1))))).alias("g")).select("doc_id", "page", "line_no", spaced(F.col("g.term")).alias("term"), F.lit("").alias("target"), F.lit(1).alias("kind"), "g.size", "g.place").where(P.is_special_term(F.col("term")))
     order = ["kind", "page", "line_no", "size", "place"]
     every = pairs.unionByName(phrases).withColumn("key", F.trim(F.lower("term")))
     one = every.groupBy("doc_id", "key").agg(F.min(F.struct(*order, "term", "target")).alias("x")).join(known, "key", "left_anti").select("doc_id", *(F.col(f"x.{c}").alias(c) for c in (*order, "term", "target")))
-    out = suggested(one, "term", "target", glossary, domain, dictionary).withColumn("target", F.when(F.col("kind") == 0, F.col("target")).otherwise(spaced(F.get("options", F.lit(0))))).where("target is not null")
+    out = suggested(one, "term", "target", glossary, domain, dictionary)
+    one_or_none = F.when(F.col("kind") == 0, F.array("target")).otherwise(F.transform(F.slice("options", 1, 1), spaced))
+    out = out.withColumn("target", F.explode(one_or_none))
     best = out.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order, "term"))).where(F.col("n") <= most)
     return best.select("doc_id", "n", "term", "target", "page", "line_no", F.when(F.col("kind") == 0, "pair").otherwise("phrase").alias("kind"))
