@@ -1,16 +1,20 @@
 """Presentations as tables: order of slides, nesting of their XML, units with their places, boxes of nested groups, table cells.
 
 Parts of a deck are rows (deck, part, xml). XML becomes events, one for each tag with the text behind it, numbered in
-order; what encloses what follows from running depths (two window functions over a part's events, no join of ranges),
-however deep shapes are nested. A part's events are one window partition: a part is one slide.
+order; what encloses what follows from running depths, however deep shapes are nested: by two window functions over a
+part's events (``enclosing``), or, for units, in one reading of the part. A part is one slide.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions import text as T
 from ..session import cut
 
 PART = ["deck", "part"]
@@ -77,25 +81,86 @@ TITLE_TEXT = r"(?iu)(?<![\p{L}\p{N}_])(?:inspection\s*strategy|chiến\s*lược
 SHAPES = ["p:sp", "p:pic", "p:graphicFrame", "a:tc"]
 
 
+#: What a text that ``TITLE_TEXT`` finds holds; more is not refused.
+_MAYBE = re.compile(r"inspection\s*strategy|chiến\s*lược\s*kiểm\s*tra|standard\s*operating\s*procedure|(?:qa/?)?ipqc\s*manual", re.IGNORECASE)
+_TOKEN = re.compile(r"(<[^>]*>)([^<]*)")
+_NAME = re.compile(r"</?([A-Za-z0-9:_]+)")
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+class _Open:
+    """What is open of some kinds of tags, as ``enclosing`` tells it: at depth k what was opened last at depth k."""
+
+    def __init__(self):
+        self.depth, self.count, self.last = 0, 0, {}
+
+    def step(self, step: int, what) -> None:
+        self.depth += step
+        if step == 1:
+            self.last[self.depth], self.count = (self.count, what), self.count + 1
+
+    def __call__(self) -> tuple | None:
+        return self.last.get(self.depth) if self.depth > 0 else None
+
+
+def _paragraphs(xml: str) -> Iterator[tuple]:
+    """(paragraph, text, container, shape, shape_kind, in_table, title by its tags, what may be a title's text) of a part, tag by tag."""
+    title_type, title_name = re.compile(TITLE_TYPE, re.ASCII), re.compile(TITLE_NAME, re.ASCII)
+    p, body, shape, sp, cell = opened = [_Open() for _ in range(5)]
+    kinds = {"a:p": [p], "p:txBody": [body], "a:txBody": [body], "p:sp": [shape, sp], "p:pic": [shape], "p:graphicFrame": [shape], "a:tc": [shape, cell]}
+    found, shapes = [], []  # paragraphs with what held them as they were opened; of each p:sp whether its tags are a title's, and its texts
+    for tag, text in _TOKEN.findall(xml):
+        name = _NAME.match(tag)
+        name = name[1] if name else ""
+        step = -1 if tag.startswith("</") else 0 if tag.endswith("/>") or tag[1:2] in ("?", "!") else 1
+        if name in kinds and step:
+            for kind in kinds[name]:
+                kind.step(step, name)
+            if step == 1 and name == "p:sp":
+                shapes.append([False, []])
+            elif step == 1 and name == "a:p":
+                found.append(([], *(kind() for kind in opened[1:])))
+        elif name in ("p:ph", "p:cNvPr"):
+            if (held := sp()) and (title_type if name == "p:ph" else title_name).search(tag):
+                shapes[held[0]][0] = True
+        elif name == "a:t" and step == 1:
+            for entity, char in _ENTITIES:
+                text = text.replace(entity, char)
+            if held := sp():
+                shapes[held[0]][1].append(text)
+            if held := p():
+                found[held[0]][0].append(text)
+    titles = []
+    for tagged, texts in shapes:
+        said = " ".join(texts)
+        titles.append((tagged, "\n".join(said[max(0, m.start() - 1) : m.end() + 1] for m in _MAYBE.finditer(said))))
+    for i, (texts, held, around, of, inside) in enumerate(found):
+        if (text := "".join(texts).strip(" ")) != "":
+            yield (i, text, held and held[0], around and around[0], around and around[1], inside is not None, *(titles[of[0]] if of else (False, "")))
+
+
 def units(parts: DataFrame) -> DataFrame:
     """SRC11: (deck, part, paragraph, text, container, shape, shape_kind, is_title, in_table): non-blank paragraphs.
 
     container: number of the text body in its part, null outside; shape: number of the innermost shape or cell among its
-    part's; a title is a paragraph in a shape that is one by placeholder, name or text, but never in a table cell."""
-    rows = events(parts)
-    for kinds, column in ((["a:p"], "_p"), (["p:txBody", "a:txBody"], "_body"), (SHAPES, "_shape"), (["p:sp"], "_sp"), (["a:tc"], "_cell")):
-        rows = enclosing(rows, kinds, column)
-    texts = F.when((F.col("name") == "a:t") & (F.col("step") == 1), T.unescape_xml(F.col("text")))
-    said = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(texts.isNotNull(), F.struct("n", texts.alias("t"))))), lambda x: x["t"]), c)
-    titles = rows.where("_sp is not null").groupBy(*PART, "_sp").agg(
-        F.bool_or((F.col("name") == "p:ph") & F.col("tag").rlike(TITLE_TYPE)).alias("a"), F.bool_or((F.col("name") == "p:cNvPr") & F.col("tag").rlike(TITLE_NAME)).alias("b"), said(" ").rlike(TITLE_TEXT).alias("c")
-    ).select(*PART, "_sp", (F.col("a") | F.col("b") | F.col("c")).alias("title"))
-    number = lambda column, kinds: rows.where((F.col("step") == 1) & F.col("name").isin(kinds)).select(*PART, F.col("n").alias(column), F.col("name").alias(f"{column}_kind"), (F.row_number().over(Window.partitionBy(*PART).orderBy("n")) - 1).alias(f"{column}_no"))
-    paragraphs = rows.where("_p is not null").groupBy(*PART, "_p").agg(said("").alias("text"), *(F.first(F.when(F.col("n") == F.col("_p"), F.col(c)), ignorenulls=True).alias(c) for c in ("_body", "_shape", "_sp", "_cell")))
-    out = paragraphs.join(number("_p", ["a:p"]).drop("_p_kind"), [*PART, "_p"]).where(F.trim("text") != "")
-    out = out.join(number("_body", ["p:txBody", "a:txBody"]).drop("_body_kind"), [*PART, "_body"], "left").join(number("_shape", SHAPES), [*PART, "_shape"], "left").join(titles, [*PART, "_sp"], "left")
-    in_table = F.col("_cell").isNotNull()
-    return out.select(*PART, F.col("_p_no").alias("paragraph"), F.trim("text").alias("text"), F.col("_body_no").alias("container"), F.col("_shape_no").alias("shape"), F.col("_shape_kind").alias("shape_kind"), (~in_table & F.coalesce("title", F.lit(False))).alias("is_title"), in_table.alias("in_table"))
+    part's; a title is a paragraph in a shape that is one by placeholder, name or text, but never in a table cell.
+    A part is read once where it stands, and nothing is shuffled."""
+    columns = "paragraph int, text string, container int, shape int, shape_kind string, in_table boolean, _tagged boolean, _said string"
+    schema = StructType([parts.schema["deck"], parts.schema["part"], *StructType.fromDDL(columns).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, xml in enumerate(b.column(2).to_pylist()):
+                if xml is not None:
+                    rows += _paragraphs(xml)
+                    at += [i] * (len(rows) - len(at))
+            kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.string()]
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], schema.names)
+
+    title = ~F.col("in_table") & (F.col("_tagged") | F.col("_said").rlike(TITLE_TEXT))
+    return parts.select(*PART, "xml").mapInArrow(run, schema).select(*PART, "paragraph", "text", "container", "shape", "shape_kind", title.alias("is_title"), "in_table")
 
 
 RELATED = r"^ppt/(?:notesSlides/notesSlide\d+|diagrams/data\d+)\.xml$"
