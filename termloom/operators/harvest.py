@@ -7,13 +7,20 @@ by aggregates and ranks that Spark limits before it shuffles.
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..functions import language as L
 from ..functions import predicates as P
 from ..functions import terms
 from ..functions import text as T
+from ..functions.vocabulary import ACRONYMS
 from ..session import cut
 from .rules import _few
 
@@ -25,14 +32,21 @@ SHAPES = [("mũi", "Tip / Toe"), ("gót", "Heel"), (r"vòng\s*cổ", "Collar"),
 PAIR = r"^([A-Za-zÀ-ỹ0-9\s/\-]{2,40})\s*[:\-=–—]\s*([A-Za-zÀ-ỹ0-9\s/\-]{2,50})$"
 PROCESS, DEFECT, GENERAL = "Quy trình (Process)", "Lỗi chất lượng (CTQ Defect)", "Thuật ngữ chung (General)"
 MOST_FED = 100
+MARKS, BEGIN, END = T.VIETNAMESE, P.B, P.E
+
+
+#: Tip-quarter's forms in ASCII, and what they become.
+SPACED = [
+    (BEGIN + "Tipquarter" + END, "Tip-quarter"), (BEGIN + "tipquarter" + END, "tip-quarter"), (BEGIN + "TIPQUARTER" + END, "TIP-QUARTER"),
+    (BEGIN + r"T(?i:ip\s+quarter)" + END, "Tip-quarter"), (BEGIN + r"t(?i:ip\s+quarter)" + END, "tip-quarter"),
+]
 
 
 def spaced(term: Column) -> Column:
     """Tip-quarter with its hyphen, in the case that it has."""
-    out = F.regexp_replace(term, P.B + "Tipquarter" + P.E, "Tip-quarter")
-    out = F.regexp_replace(F.regexp_replace(out, P.B + "tipquarter" + P.E, "tip-quarter"), P.B + "TIPQUARTER" + P.E, "TIP-QUARTER")
-    out = F.regexp_replace(out, P.B + r"T(?i:ip\s+quarter)" + P.E, "Tip-quarter")
-    return F.regexp_replace(out, P.B + r"t(?i:ip\s+quarter)" + P.E, "tip-quarter")
+    for pattern, to in SPACED:
+        term = F.regexp_replace(term, pattern, to)
+    return term
 
 
 def one_target(table: DataFrame, key: str, target: str, order: str) -> DataFrame:
@@ -101,15 +115,22 @@ def unmapped(units: DataFrame, glossary: DataFrame, domain: DataFrame, dictionar
     return out.select(*slide, "term", "key", "pattern", "category", "at", F.when((F.col("pattern") == "domain") | valid, F.col("now")).otherwise(F.col("options")[0]).alias("current"), snippet.alias("snippet"), "options")
 
 
-def fed(lines: DataFrame, glossary: DataFrame, domain: DataFrame, dictionary: DataFrame, source: str = "vi", most: int = MOST_FED) -> DataFrame:
+def fed(lines: DataFrame, glossary: DataFrame, domain: DataFrame, dictionary: DataFrame, source: str = "vi", most: int = MOST_FED, keys: int = 1 << 18) -> DataFrame:
     """(doc_id, n, term, target, page, line_no, kind): the first ``most`` candidates of each document that the glossary lacks.
 
     lines: doc_id, page, line_no, text. Pairs of a line ("A : B") come first, then phrases of four to one words of lines of 5 to 250
     characters, in the order of the text; each key once, and phrases only where a target can be suggested.
 
-    Phrases of the first ``most`` words of a document (its first line at least) are told first. All later phrases stand behind
-    them, so they are only told for documents that have fewer than ``most`` candidates by then."""
-    rows = lines.select("doc_id", "page", "line_no", F.trim(spaced(F.col("text"))).alias("text")).where("text <> ''")
+    Up to ``keys`` keys of the tables are shipped, with the targets they suggest; then the lines of a document are read in their order,
+    and no phrase is told behind the ``most``-th candidate. Beyond, all is joined: phrases of the first ``most`` words of a document
+    (its first line at least) are told first, and later ones only for documents that have fewer than ``most`` candidates by then."""
+    text = F.when(F.lower("text").contains("quarter"), spaced(F.col("text"))).otherwise(F.col("text"))
+    rows = lines.select("doc_id", "page", "line_no", F.trim(text).alias("text")).where("text <> ''")
+    named = _answers(glossary, domain, dictionary)
+    known = glossary.select(F.trim(F.lower("source_term")).alias("key")).where(F.length("key").between(2, 80)).distinct()
+    known, named = (x.limit(keys + 1).toArrow() for x in (known, named))
+    if max(known.num_rows, named.num_rows) <= keys:
+        return _read(rows, set(known.column("key").to_pylist()), dict(zip(named.column("key").to_pylist(), named.column("target").to_pylist())), source, most)
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
     words = F.sum(F.size(F.split("text", r"\s+"))).over(order)
     rows = cut(rows.withColumn("head", (words <= most) | (F.rank().over(order) == 1)))
@@ -120,6 +141,182 @@ def fed(lines: DataFrame, glossary: DataFrame, domain: DataFrame, dictionary: Da
     return first.join(rest, mine, "left_anti").unionByName(_fed(rows.join(rest, mine, "left_semi"), F.lit(True), glossary, domain, dictionary, source, most))
 
 
+def _answers(glossary: DataFrame, domain: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(key, target): what ``suggested`` recommends for a phrase that the tables have, which only depends on its key; null for nothing."""
+    known = one_target(glossary.where("target_term is not null"), "source_term", "target_term", "id").where(F.coalesce(terms.clean_target(F.col("t")), F.lit("")) != "")
+    words = one_target(dictionary, "vi", "en", "position").where("t is not null")
+    keys = known.select("k").unionByName(words.select("k")).unionByName(domain.where("options is not null").select(T.word_key(F.col("term")).alias("k"))).distinct()
+    rows = suggested(keys.select(F.col("k").alias("term"), F.lit("").alias("target")), "term", "target", glossary, domain, dictionary)
+    return rows.select(F.col("term").alias("key"), F.get(F.transform(F.slice("options", 1, 1), spaced), F.lit(0)).alias("target"))
+
+
+def _suggester(named: dict) -> Callable[[str], str | None]:
+    """What ``suggested`` recommends for a phrase without a translation at hand, text by text; None for nothing. named: by the tables' keys."""
+    blank, held = r"[ \t\n\x0b\f\r]", "\ue000"
+    other, ends, marks = re.compile(r"[^\w \t\n\x0b\f\r]|_"), re.compile(r"[ \t\n\x0b\f\r\u00a0]+"), re.compile(MARKS)
+    code = re.compile(r"[0-9]|^[A-Z0-9]+-[A-Z0-9\-]+\Z")
+    preferred = re.compile(rf"([A-Za-z0-9 \t\n\x0b\f\r\-]+){blank}*\({blank}*ưu{blank}*tiên{blank}*\)", re.I)
+    note = re.compile(rf"{blank}*\([^)]*{MARKS}[^)]*\)")
+    inch, run_off = re.compile(rf"(stitches|stitch|mũi){blank}*/{blank}*inch", re.I), re.compile(rf"run(?:{blank}|-)off{blank}+stitching\Z", re.I | re.A)
+    hyphens = [(re.compile(BEGIN + p + END, re.A), to) for p, to in (("Nosew", "No-sew"), ("nosew", "no-sew"), ("NOSEW", "NO-SEW"), (r"Tip\s*quarter", "Tip-quarter"), (r"tip\s*quarter", "tip-quarter"), (r"TIP\s*QUARTER", "TIP-QUARTER"))]
+    forms = [(re.compile(p, re.A), to) for p, to in SPACED]
+    shape, parts = re.compile(SHAPE.removeprefix("(?iu)").replace(r"\s", blank), re.I), [(re.compile(p.replace(r"\s", blank), re.I), name) for p, name in SHAPES]
+    acronyms, told, blanks = set(ACRONYMS), {}, re.compile(f"{blank}+")
+
+    def mended(patterns: list, t: str) -> str:
+        for pattern, to in patterns:
+            t = pattern.sub(to, t)
+        return t
+
+    def word_key(t: str) -> str:
+        return ends.sub(" ", other.sub(" ", t.lower())).strip(" ")
+
+    def word(w: str, start: bool) -> str:
+        if (w, start) not in told:
+            if len(told) > 10_000:
+                told.clear()
+            up = w.upper()
+            told[w, start] = up if up in acronyms else w if code.search(w) else w[:1].upper() + w[1:].lower() if start else w.lower()
+        return told[w, start]
+
+    def cased(t: str) -> str:
+        w = blanks.split(t.strip(" "))
+        return " ".join([word(w[0], True), *(word(x, False) for x in w[1:])])
+
+    def clean(t: str) -> str | None:
+        t = t.strip(" ")
+        m = preferred.search(t)
+        t = note.sub("", m[1].strip(" ") if m and m[1].strip(" ") else t).strip(" ")
+        t = inch.sub(rf"\1{held}inch", t)
+        if "/" in t:
+            some = [x for x in (x.strip(" ") for x in t.split("/")) if x]
+            if not some:
+                return None
+            t = next((x for x in some if " " in x), some[0])
+        t = t.replace(held, "/")
+        t = "run-off stitching" if run_off.match(t) else t
+        low = t.lower()
+        return mended(hyphens, t) if "nosew" in low or "quarter" in low else t
+
+    def first(term: str) -> str | None:
+        low = term.lower()
+        key = low if low.replace(" ", "").isalnum() else word_key(term)
+        if key in named:
+            return named[key]
+        m = shape.match(term)
+        if m is None and "(" not in term and "/" not in term and held not in term and "nosew" not in low and "quarter" not in low:
+            if marks.search(term):
+                return None  # all that is made of it has its letters
+            primary = cased(term)
+            if primary.lower() == low:
+                return primary + " standard"  # the first option repeats the term
+        if m:
+            name = next((name for pattern, name in parts if pattern.search(m[1])), "Component")
+            options = [name + " shape", name + " contour / profile", name + " symmetry"]
+        else:
+            primary = cased(term)
+            options = [primary, primary + " standard", primary + " specification"]
+        for option in options:
+            option = clean(option)
+            option = option if option is None else option.strip(" ")
+            if option is not None and len(option) >= 2 and word_key(option) != key and not marks.search(option):
+                return mended(forms, option)
+        return None
+
+    return first
+
+
+def _read(rows: DataFrame, known: set, named: dict, source: str, most: int) -> DataFrame:
+    """``fed``, by reading each document's lines in their order. Only lines that are pairs or of a phrase's length are shuffled; a task
+    keeps ``most`` pairs, ``most`` phrases and the phrases' keys so far of one document."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.length("text")
+    told = rows.where(size.between(5, 250) | (size > 250) & F.col("text").rlike(PAIR)).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "page", "line_no")
+    fields = told.schema
+    schema = StructType([fields["doc_id"]]).add("n", IntegerType()).add("term", StringType()).add("target", StringType()).add(fields["page"]).add(fields["line_no"]).add("kind", StringType(), False)
+    shared = rows.sparkSession.sparkContext.broadcast((known, named))
+    modal, pair_of = P.MODAL.removeprefix("(?iu)"), PAIR.replace(r"\s", r" \t\n\x0b\f\r").replace(r" \t\n\x0b\f\r*", r"[ \t\n\x0b\f\r]*").removesuffix("$") + r"(?=(?:\r\n|(?<!\r)\n|[\r\x85\u2028\u2029])?\Z)"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, named = shared.value
+        first = _suggester(named)
+        blanks, barred, strange = re.compile(r"[ \t\n\x0b\f\r]+"), re.compile(r"[.?!;\n\r]"), re.compile(r"[\t\n\x0b\f\r]|  ")
+        letter, inner = re.compile("[A-Za-z0-9_À-ỹ]"), re.compile("[A-Za-z0-9_À-ỹ](?:.*[A-Za-z0-9_À-ỹ])?", re.S)
+        forms = [(re.compile(p, re.A), to) for p, to in SPACED]
+        sentence, couple, marks = re.compile(modal, re.I), re.compile(pair_of), re.compile(MARKS)
+
+        def mended(term: str) -> str:
+            for pattern, to in forms:
+                term = pattern.sub(to, term)
+            return term
+
+        def pair(text: str) -> tuple[str, str] | None:
+            m = couple.match(text)
+            if m is None:
+                return None
+            a, b = m[1].strip(" "), m[2].strip(" ")
+            va, vb = bool(marks.search(a)), bool(marks.search(b))
+            if va == vb and source != "vi":
+                return None
+            a, b = map(mended, (b, a) if vb and not va else (a, b))
+            t = a.strip(" ")
+            if a and b and a.lower() != b.lower() and 2 <= len(t) <= 40 and not barred.search(t) and not sentence.search(t) and len(blanks.split(t)) <= 4:
+                return a, b
+            return None
+
+        def phrases(text: str) -> Iterator[tuple[int, int, str]]:
+            words = blanks.split(text) if strange.search(text) else text.split(" ")
+            begins, ends = [bool(w and letter.match(w[0])) for w in words], [bool(w and letter.match(w[-1])) for w in words]
+            free = not barred.search(text) and not sentence.search(" ".join(words))
+            mend = "quarter" in text.lower()
+            for size, n in enumerate((4, 3, 2, 1)):
+                for i in range(len(words) - n + 1):
+                    term = " ".join(words[i : i + n])
+                    if not (begins[i] and ends[i + n - 1]):
+                        m = inner.search(term)
+                        term = m[0] if m else ""
+                    if mend:
+                        term = mended(term)
+                    if 2 <= len(term) <= 40 and (free or not barred.search(term) and not sentence.search(term)):
+                        yield size, i + 1, term
+
+        out: list[tuple] = []
+        for doc, of_doc in itertools.groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0]):
+            pairs, found, seen = {}, {}, set()
+            for place, here in itertools.groupby(of_doc, key=lambda r: r[1:3]):
+                texts = [r[3] for r in here]
+                for term, target in sorted(filter(None, map(pair, texts))):
+                    key = term.lower().strip(" ")
+                    if len(pairs) < most and key not in known and key not in pairs:
+                        pairs[key] = (term, target, *place, "pair")
+                texts = [t for t in texts if len(t) <= 250]
+                if len(found) == most or not texts:
+                    continue
+                for _, _, term in phrases(texts[0]) if len(texts) == 1 else sorted(x for t in texts for x in phrases(t)):
+                    key = term.lower().strip(" ")
+                    if key not in seen:
+                        seen.add(key)
+                        target = None if key in known else first(term)
+                        if target is not None:
+                            found[key] = (term, target, *place, "phrase")
+                            if len(found) == most:
+                                break
+            kept = [*pairs.values(), *(x for key, x in found.items() if key not in pairs)][:most]
+            out += [(doc, n, *x) for n, x in enumerate(kept, 1)]
+            if len(out) >= 10_000:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], schema.names)
+
+    types = rows.select("doc_id", "page", "line_no").limit(0).toArrow().schema.types
+    types = [types[0], pa.int32(), pa.string(), pa.string(), types[1], types[2], pa.string()]
+    return told.mapInArrow(run, schema)
+
+
 def _fed(rows: DataFrame, told: Column, glossary: DataFrame, domain: DataFrame, dictionary: DataFrame, source: str, most: int) -> DataFrame:
     """Candidates of rows, with phrases of those lines only for which told holds."""
     known = glossary.select(F.trim(F.lower("source_term")).alias("key")).distinct()
